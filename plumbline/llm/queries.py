@@ -6,8 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, linedup, quality, secrets
-from .common import table
+from . import bpe, chat, decontam, langid, linedup, lm, quality, secrets, simhash
+from .common import crc_mod, table
 
 TOKENIZER = os.path.join("/opt/tokenizers", "byte_bpe_50k.json")
 
@@ -39,5 +39,26 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.dedup_lines(docs).select("doc_id", "n_chunks_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op4_secrets": op4_secrets, "op6_chat": op6_chat, "op9_line_dedup": op9_line_dedup}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.digests(decontam.judged(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")))
+
+
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = crc_mod(F.col("doc_id"), 10) == 0
+    return lm.score(docs, ~out).select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_simhash, op4_secrets, op5_langid, op6_chat, op8_decontam, op9_line_dedup, op10_lm)}
 ORACLES: dict[str, str] = {}
