@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontam, langid, linedup, lm, quality, secrets, simhash
+from . import bpe, chat, decontam, langid, linedup, lm, quality, repeats, secrets, simhash
 from .common import crc_mod, table
 
 TOKENIZER = os.path.join("/opt/tokenizers", "byte_bpe_50k.json")
@@ -49,6 +49,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.digests(decontam.judged(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")))
@@ -60,5 +64,5 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, ~out).select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_simhash, op4_secrets, op5_langid, op6_chat, op8_decontam, op9_line_dedup, op10_lm)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_simhash, op4_secrets, op5_langid, op6_chat, op7_repeats, op8_decontam, op9_line_dedup, op10_lm)}
 ORACLES: dict[str, str] = {}

@@ -118,7 +118,7 @@ def repeats(rows, k=50):
         for i in range(len(b) - k + 1):
             if first[b[i : i + k]] < d:
                 gone[i : i + k] = b"\1" * k
-        out[d] = (len(b), sum(gone), len(re.findall(rb"\1+", bytes(gone))), sha(bytes(c for c, g in zip(b, gone) if not g)))
+        out[d] = (len(b), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), sha(bytes(c for c, g in zip(b, gone) if not g)))
     return out
 
 
