@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dir: list[str] = []
 
 
@@ -31,10 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """Cuts the lineage: writes ``df`` once to the shared folder and reads it back, so a
-    lost executor costs no recomputation of what came before."""
+    lost executor costs no recomputation of what came before. The shuffle files behind the
+    table go once it is written."""
     spark = df.sparkSession
     path = path or f"{shared_dir(spark)}/plumbline-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    was = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -20,7 +20,6 @@ as the empty string; other columns are kept by ``score``.
 
 from __future__ import annotations
 
-import gc
 from collections import defaultdict
 from itertools import count
 
@@ -175,7 +174,6 @@ def _score(parts: int, n: int, v: int, names: list[str], schema: pa.Schema):
 
 def score(docs: DataFrame, learn: Column) -> DataFrame:
     """The columns of ``docs`` but text; n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     names = [c for c in docs.columns if c not in (*made, "text", "block", "train")]
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -184,9 +182,6 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     rows = docs.select(*names, "text", F.coalesce(learn, F.lit(False)).alias("train"), block.alias("block"))
     asked = rows.select("block", "text", "train").groupBy("block").applyInArrow(_ask(parts), "block int, pid int, keys binary, counts binary, n_words int, start long")
     answers = stored(asked.groupBy("pid").applyInArrow(_answer, "block int, pid int, words binary, arcs binary, n long, v long"))
-    del asked
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # what the first job shuffled is not needed again
     n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     types = T.StructType([docs.schema[c] for c in names] + [T.StructField(c, t) for c, t in zip(made, [T.LongType()] * 3 + [T.DoubleType()] * 2)])
     from pyspark.sql.pandas.types import to_arrow_schema
