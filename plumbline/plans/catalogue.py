@@ -1,4 +1,534 @@
-"""The registered queries of the engine and their SQL."""
+"""The registered queries of the engine and their SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Each binds operators to the driver's tables. Where an operator compares two versions, the
+later one is derived by arithmetic on keys, so that SQL can repeat it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from plumbline.functions import scalars as S
+from plumbline.operators import diff, fingerprint, fixtures, gates, graph, parsers, pii, telemetry, vectors
+from plumbline.plans import samples
+from plumbline.streaming import run_state
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def cents(c: str):
+    return F.floor(F.col(c) * 100).cast("long")
+
+
+def micros(c: str):
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
+STATUS = "CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'active' END"
+
+
+def status():
+    return F.expr(STATUS)
+
+
+# ---- telemetry ------------------------------------------------------------------------
+
+
+@query(f"""SELECT count(*) AS total, count(*) FILTER (s = 'completed') AS completed, count(*) FILTER (s = 'failed') AS failed,
+ count(*) FILTER (s = 'active') AS active, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens,
+ round(count(*) FILTER (s = 'completed') / count(*) FILTER (s <> 'active'), 6) AS success_rate,
+ round(CAST(sum(CASE WHEN s = 'completed' THEN tokens ELSE 0 END) AS BIGINT) / count(*) FILTER (s = 'completed'), 4) AS avg_duration
+ FROM (SELECT {STATUS} AS s, CAST(json_extract_string(props, '$.k') AS BIGINT) AS calls, CAST(floor(value * 100) AS BIGINT) AS tokens FROM events)""")
+def dashboard_stats(spark, d):
+    e = read(spark, d, "events").select(status().alias("status"), F.get_json_object("props", "$.k").cast("long").alias("calls"), cents("value").alias("tokens"), cents("value").alias("duration"))
+    return telemetry.run_kpis(e)
+
+
+@query("""WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, ts FROM events WHERE event_type = 'click'),
+ e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, ts FROM events WHERE event_type = 'purchase')
+ SELECT s.user_id, s.n, epoch_us(e.ts) - epoch_us(s.ts) AS micros FROM s LEFT JOIN e USING (user_id, n)""")
+def stage_durations(spark, d):
+    p = telemetry.paired(read(spark, d, "events"), "user_id", F.col("event_type") == "click", F.col("event_type") == "purchase", "ts", "event_id")
+    return p.select("user_id", F.col("n").cast("long").alias("n"), (micros("ended") - micros("started")).alias("micros"))
+
+
+@query("""SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 5""")
+def log_tail_per_user(spark, d):
+    return telemetry.tail(read(spark, d, "events").select("user_id", "event_id"), "user_id", [F.desc("event_id")], 5)
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, ts, {STATUS} IN ('completed', 'failed') AS fin FROM events)
+ SELECT user_id, event_id, fin AND sum(CAST(fin AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)
+ <= greatest(count(*) OVER (PARTITION BY user_id) - 20, 0) AS evicted FROM e""")
+def run_retention(spark, d):
+    e = read(spark, d, "events").select("user_id", "event_id", "ts", status().alias("s"))
+    return telemetry.evicted(e, 20, F.col("s").isin("completed", "failed"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "evicted")
+
+
+@query("""SELECT event_type, count(*) FILTER (value <= 1.0) AS le_1_0, count(*) FILTER (value <= 10.0) AS le_10_0, count(*) FILTER (value <= 50.0) AS le_50_0,
+ count(*) FILTER (value <= 100.0) AS le_100_0, count(value) AS le_inf FROM events GROUP BY event_type""")
+def event_histogram(spark, d):
+    return telemetry.histogram(read(spark, d, "events"), "value", [1.0, 10.0, 50.0, 100.0], ["event_type"])
+
+
+@query("""SELECT user_id, CAST(floor(value * 100) AS BIGINT) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) r FROM events) WHERE r = 1""")
+def gauge_last_value(spark, d):
+    return telemetry.last_value(read(spark, d, "events"), "user_id", "value", ["ts", "event_id"]).select("user_id", cents("value").alias("value"))
+
+
+@query("""SELECT epoch_us(date_trunc('minute', ts)) AS minute_us, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS used,
+ CAST(greatest(0, 25000 - sum(CAST(floor(value * 100) AS BIGINT))) AS BIGINT) AS left_over FROM events GROUP BY 1""")
+def minute_token_budget(spark, d):
+    m = telemetry.minute_budget(read(spark, d, "events"), "ts", cents("value"), 25000)
+    return m.select(micros("minute").alias("minute_us"), "used", F.col("left").cast("long").alias("left_over"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 1800000000 THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ s AS (SELECT *, CAST(sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM g)
+ SELECT user_id, session, count(*) AS n, epoch_us(max(ts)) - epoch_us(min(ts)) AS micros FROM s GROUP BY 1, 2""")
+def session_activity(spark, d):
+    s = telemetry.sessions(read(spark, d, "events"), "user_id", "ts", "event_id", 1800)
+    return s.select("user_id", "session", "n", (micros("last_at") - micros("first_at")).alias("micros"))
+
+
+@query("""SELECT user_id, max(CASE event_type WHEN 'error' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END) AS severity FROM events GROUP BY user_id""")
+def health_rollup(spark, d):
+    return telemetry.worst(read(spark, d, "events"), "user_id", F.when(F.col("event_type") == "error", 2).when(F.col("event_type") == "signup", 1).otherwise(0))
+
+
+@query("""WITH a AS (SELECT user_id, event_id, CAST(floor(value * 100) AS BIGINT) AS score FROM events),
+ b AS (SELECT *, coalesce(max(score) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS m FROM a)
+ SELECT user_id, arg_max(event_id, score * 1000000000 - event_id) AS best, count(*) AS tried FROM b WHERE m < 8000 GROUP BY user_id""")
+def best_attempt(spark, d):
+    e = read(spark, d, "events").select("user_id", "event_id", cents("value").cast("double").alias("score"))
+    return telemetry.best_attempt(e, "user_id", "score", "event_id", 8000.0)
+
+
+RUN_STATE_SQL = f"""SELECT user_id, arg_max({STATUS}, epoch_us(ts)::HUGEINT * 1000000000 + event_id) AS status, count(*) AS n_events FROM events GROUP BY user_id"""
+
+
+@query(RUN_STATE_SQL)
+def run_states(spark, d):
+    return telemetry.run_states(read(spark, d, "events"), "user_id", status(), ["ts", "event_id"])
+
+
+@query(RUN_STATE_SQL)
+def stream_run_state(spark, d):
+    # the folder is the source: one file of it, chosen by a glob, is the event table
+    schema = read(spark, d, "events").schema
+    fold = lambda e: run_state.states(e, "user_id", status(), ["ts", "event_id"])
+    return run_state.run_available(spark, f"{d}/events.parque[t]", schema, fold, "plumbline_run_state")
+
+
+# ---- comparisons ----------------------------------------------------------------------
+
+ORDERS = """b AS (SELECT o_orderkey AS k, o_custkey, o_orderstatus, o_orderpriority, CAST(floor(o_totalprice * 100) AS BIGINT) AS price FROM orders),
+ a AS (SELECT k, o_custkey, CASE WHEN k % 83 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority, CASE WHEN k % 89 = 0 THEN price + 100 ELSE price END AS price FROM b WHERE k % 97 <> 0
+ UNION ALL SELECT k + 10000000, o_custkey, o_orderstatus, o_orderpriority, price FROM b WHERE k % 101 = 0)"""
+
+
+def orders_before(spark, d):
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey", "o_orderstatus", "o_orderpriority", cents("o_totalprice").alias("price"))
+
+
+def orders_after(b):
+    k = F.col("k")
+    kept = b.filter(k % 97 != 0).select("k", "o_custkey", F.when(k % 83 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), "o_orderpriority", F.when(k % 89 == 0, F.col("price") + 100).otherwise(F.col("price")).alias("price"))
+    return kept.unionByName(b.filter(k % 101 == 0).withColumn("k", k + 10000000))
+
+
+ROWS = f"""WITH {ORDERS}, j AS (SELECT coalesce(b.k, a.k) AS k, CASE WHEN b.k IS NULL THEN 'inserted' WHEN a.k IS NULL THEN 'deleted'
+ WHEN b.o_orderstatus IS DISTINCT FROM a.o_orderstatus OR b.price IS DISTINCT FROM a.price THEN 'modified' END AS change FROM b FULL JOIN a ON b.k = a.k)"""
+
+
+@query(f"{ROWS} SELECT * FROM j WHERE change IS NOT NULL")
+def table_diff_rows(spark, d):
+    b = orders_before(spark, d)
+    return diff.row_diff(b, orders_after(b), ["k"])
+
+
+@query(f"""WITH {ORDERS}, c AS (SELECT a.k, unnest([{{'col': 'o_orderstatus', 'old': b.o_orderstatus, 'new': a.o_orderstatus}}, {{'col': 'price', 'old': CAST(b.price AS VARCHAR), 'new': CAST(a.price AS VARCHAR)}}]) AS x FROM a JOIN b USING (k))
+ SELECT k, x.col AS col, x.old AS old, x.new AS new, x.col <> 'price' AS violation FROM c WHERE x.old IS DISTINCT FROM x.new""")
+def table_diff_columns(spark, d):
+    b = orders_before(spark, d)
+    return diff.column_diff(b, orders_after(b), ["k"], "orders", ("*.PRICE",))
+
+
+@query(f"{ROWS} SELECT k % 7 AS part, count(*) FILTER (change = 'inserted') AS inserted, count(*) FILTER (change = 'deleted') AS deleted, count(*) FILTER (change = 'modified') AS modified FROM j WHERE change IS NOT NULL GROUP BY 1")
+def table_diff_summary(spark, d):
+    b = orders_before(spark, d)
+    return diff.diff_summary(diff.row_diff(b, orders_after(b), ["k"]).withColumn("part", F.col("k") % 7), ["part"])
+
+
+@query("""SELECT 'nation' AS tbl, count(*) AS n_rows, sha256(string_agg(h, '' ORDER BY h)) AS content_hash FROM (SELECT sha256(concat_ws('|', n_nationkey, n_name, n_regionkey)) AS h FROM nation)
+ UNION ALL SELECT 'region', count(*), sha256(string_agg(h, '' ORDER BY h)) FROM (SELECT sha256(concat_ws('|', r_regionkey, r_name)) AS h FROM region)""")
+def table_content_hash(spark, d):
+    return diff.all_tables([diff.table_hash(read(spark, d, t), t) for t in ("nation", "region")])
+
+
+DOCS = """o AS (SELECT 'doc/' || doc_id AS path, sha256(coalesce(text, '')) AS hash, doc_id FROM documents),
+ n AS (SELECT path, CASE WHEN doc_id % 11 = 0 THEN sha256(coalesce(text, '') || '!') ELSE hash END AS hash, o.doc_id FROM o JOIN documents USING (doc_id) WHERE o.doc_id % 13 <> 0
+ UNION ALL SELECT 'new/' || doc_id, hash, doc_id FROM o WHERE doc_id % 17 = 0)"""
+
+
+def docs_before(spark, d):
+    return read(spark, d, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("content"), "doc_id")
+
+
+def docs_after(b):
+    i = F.col("doc_id")
+    kept = b.filter(i % 13 != 0).withColumn("content", F.when(i % 11 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return kept.unionByName(b.filter(i % 17 == 0).withColumn("path", F.regexp_replace("path", "^doc", "new")))
+
+
+def hashed(df):
+    return df.select("path", S.sha256(F.col("content")).alias("hash"))
+
+
+@query(f"""WITH {DOCS}, j AS (SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.hash <> n.hash THEN 'modified' END AS change FROM o FULL JOIN n ON o.path = n.path)
+ SELECT * FROM j WHERE change IS NOT NULL""")
+def manifest_diff(spark, d):
+    b = docs_before(spark, d)
+    return diff.file_diff(hashed(b), hashed(docs_after(b)))
+
+
+@query("""WITH y AS (SELECT l_returnflag, year(l_shipdate) AS y, count(*) AS n, CAST(sum(CAST(floor(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS amount FROM lineitem GROUP BY 1, 2),
+ n AS (SELECT l_returnflag || '/' || (y - 1) AS k, * FROM y), o AS (SELECT l_returnflag || '/' || y AS k, * FROM y)
+ SELECT n.k, n.n - coalesce(o.n, 0) AS n_delta, n.amount - coalesce(o.amount, 0) AS amount_delta, o.k IS NULL AS is_new FROM n LEFT JOIN o USING (k)""")
+def stage_delta(spark, d):
+    y = read(spark, d, "lineitem").groupBy("l_returnflag", F.year("l_shipdate").alias("y")).agg(F.count("*").alias("n"), F.sum(cents("l_extendedprice")).alias("amount"))
+    at = lambda c: y.select(F.concat_ws("/", "l_returnflag", c.cast("string")).alias("k"), "n", "amount")
+    return diff.stage_delta(at(F.col("y")), at(F.col("y") - 1), "k", ["n", "amount"])
+
+
+@query("""SELECT sha256(coalesce(text, '')) AS hash, substr(sha256(coalesce(text, '')), 1, 2) AS prefix, max(length(coalesce(text, ''))) AS n FROM documents GROUP BY 1, 2""")
+def dedup_objects(spark, d):
+    return fingerprint.new_objects(docs_before(spark, d)).select("hash", "prefix", F.length("content").cast("long").alias("n"))
+
+
+def docs_deps(df):
+    """A document depends on the one before it of the same source."""
+    w = W.partitionBy("source").orderBy("doc_id")
+    path = lambda c: F.concat(F.lit("doc/"), c.cast("string"))
+    return df.select(path(F.col("doc_id")).alias("path"), path(F.lag("doc_id").over(w)).alias("dep_path")).filter("dep_path is not null")
+
+
+PRINTS = """h AS (SELECT doc_id, 'doc/' || doc_id AS path, sha256(coalesce(text, '')) AS file_hash, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents),
+ f AS (SELECT h.path, h.file_hash, sha256(concat_ws('|', h.file_hash, g.file_hash)) AS composite_hash, h.doc_id FROM h LEFT JOIN h g ON h.p = g.doc_id)"""
+
+
+def prints(spark, d):
+    return fingerprint.fingerprints(docs_before(spark, d), docs_deps(read(spark, d, "documents")))
+
+
+@query(f"WITH {PRINTS} SELECT path, file_hash, composite_hash FROM f")
+def doc_fingerprints(spark, d):
+    return prints(spark, d)
+
+
+def previous(spark, d):
+    i = F.regexp_extract("path", r"(\d+)$", 1).cast("long")
+    f = prints(spark, d)
+    old = f.filter(i % 7 != 0).withColumn("composite_hash", F.when(i % 5 == 0, F.lit("old")).otherwise(F.col("composite_hash")))
+    return f, old.unionByName(f.filter(i % 19 == 0).withColumn("path", F.regexp_replace("path", "^doc", "gone")))
+
+
+CLASSES = f"""WITH {PRINTS}, p AS (SELECT path, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE composite_hash END AS c FROM f WHERE doc_id % 7 <> 0 UNION ALL SELECT 'gone/' || doc_id, composite_hash FROM f WHERE doc_id % 19 = 0),
+ x AS (SELECT coalesce(f.path, p.path) AS path, CASE WHEN p.path IS NULL THEN 'new' WHEN f.path IS NULL THEN 'deleted' WHEN p.c = f.composite_hash THEN 'unchanged' ELSE 'changed' END AS class FROM f FULL JOIN p ON f.path = p.path)"""
+
+
+@query(f"{CLASSES} SELECT * FROM x")
+def incremental_classify(spark, d):
+    return fingerprint.classify(*previous(spark, d))
+
+
+@query(f"{CLASSES} SELECT x.path, f.file_hash FROM x JOIN f USING (path) WHERE class IN ('new', 'changed')")
+def files_to_migrate(spark, d):
+    f, old = previous(spark, d)
+    return fingerprint.needed(f.select("path", "file_hash"), fingerprint.classify(f, old))
+
+
+def cache(spark, d):
+    f = prints(spark, d)
+    i = F.regexp_extract("path", r"(\d+)$", 1).cast("long")
+    return f, f.filter(i % 3 == 0).select("path", F.when(i % 2 == 0, F.col("composite_hash")).otherwise(F.lit("old")).alias("composite_hash"), (i % 10).alias("size"))
+
+
+CACHE = f"WITH {PRINTS}, c AS (SELECT path, CASE WHEN doc_id % 2 = 0 THEN composite_hash ELSE 'old' END AS composite_hash, doc_id % 10 AS size, doc_id FROM f WHERE doc_id % 3 = 0)"
+
+
+@query(f"{CACHE} SELECT f.path, c.size FROM f JOIN c ON f.path = c.path AND f.composite_hash = c.composite_hash")
+def cache_lookup(spark, d):
+    return fingerprint.cache_lookup(*cache(spark, d)).select("path", "size")
+
+
+@query(f"{CACHE} SELECT path FROM c WHERE doc_id % 4 = 0")
+def cache_prune(spark, d):
+    f, c = cache(spark, d)
+    i = F.regexp_extract("path", r"(\d+)$", 1).cast("long")
+    return fingerprint.cache_prune(c, f.filter(i % 4 != 0)).select("path")
+
+
+@query(f"{CACHE} SELECT count(*) AS entries, CAST(sum(size) AS BIGINT) AS total_size, count(*) FILTER (composite_hash = 'old') AS stale FROM c")
+def cache_stats(spark, d):
+    return cache(spark, d)[1].agg(F.count("*").alias("entries"), F.sum("size").alias("total_size"), F.count_if(F.col("composite_hash") == "old").alias("stale"))
+
+
+@query("""SELECT source, count(*) AS fixtures, count(*) FILTER (coalesce(quality = 1, true)) AS passed, count(*) FILTER (NOT coalesce(quality = 1, true)) AS failed,
+ count(*) FILTER (NOT coalesce(quality = 1, true)) = 0 AS pass FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""")
+def proof_pack(spark, d):
+    r = read(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("passed"))
+    p = gates.proof_pack(read(spark, d, "documents").select("doc_id", "source"), r, "doc_id", "passed")
+    ok = F.count_if("passed")
+    return p.groupBy("source").agg(F.count("*").alias("fixtures"), ok.alias("passed"), F.count_if(~F.col("passed")).alias("failed"), (F.count_if(~F.col("passed")) == 0).alias("pass"))
+
+
+METRICS = "m AS (SELECT source, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS bad FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source)"
+
+
+def doc_metrics(spark, d):
+    j = read(spark, d, "documents").select("doc_id", "source").join(read(spark, d, "labels"), "doc_id", "left")
+    return j.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("bad"))
+
+
+def doc_gates():
+    n, good, bad = F.col("n"), F.col("good"), F.col("bad")
+    return [gates.Gate("compilation", good * 100 >= n * 27, "critical"), gates.Gate("fixtures", good * 100 >= n * 33, "required"), gates.Gate("coverage", n >= 45, "advisory"), gates.Gate("errors", bad <= 3, "critical", good == 0)]
+
+
+GATES = f"""WITH {METRICS}, g AS (SELECT source, unnest([{{'ord': 0, 'gate': 'compilation', 'severity': 'critical', 'raw': CASE WHEN good * 100 >= n * 27 THEN 'passed' ELSE 'failed' END}},
+ {{'ord': 1, 'gate': 'fixtures', 'severity': 'required', 'raw': CASE WHEN good * 100 >= n * 33 THEN 'passed' ELSE 'failed' END}}, {{'ord': 2, 'gate': 'coverage', 'severity': 'advisory', 'raw': CASE WHEN n >= 45 THEN 'passed' ELSE 'failed' END}},
+ {{'ord': 3, 'gate': 'errors', 'severity': 'critical', 'raw': CASE WHEN good = 0 THEN 'skipped' WHEN bad <= 3 THEN 'passed' ELSE 'failed' END}}]) AS x FROM m),
+ s AS (SELECT source, x.ord AS ord, x.gate AS gate, x.severity AS severity, CASE WHEN coalesce(max(CAST(x.raw = 'failed' AND x.severity = 'critical' AS INT)) OVER (PARTITION BY source ORDER BY x.ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'skipped' ELSE x.raw END AS status FROM g)"""
+
+
+@query(f"{GATES} SELECT * FROM s")
+def quality_gates(spark, d):
+    return gates.evaluate(doc_metrics(spark, d), "source", doc_gates())
+
+
+@query(f"{GATES} SELECT source, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'failed' AND severity <> 'advisory') = 0 AS overall FROM s GROUP BY source")
+def quality_gates_overall(spark, d):
+    return gates.overall(gates.evaluate(doc_metrics(spark, d), "source", doc_gates()), "source")
+
+
+@query("""WITH s AS (SELECT l_suppkey, count(*) AS n, count(*) FILTER (l_returnflag <> 'R') AS ok, count(*) FILTER (l_returnflag = 'R') AS bad FROM lineitem GROUP BY 1)
+ SELECT l_suppkey, round(CASE WHEN n % 10 = 0 THEN CAST(0 AS DOUBLE) WHEN ok / n >= 0.7 AND bad <= 200 THEN CAST(0.975 AS DOUBLE) ELSE ok / n * 0.5 END, 6) AS score, round(CAST(greatest(0, 10 - bad % 13) AS DOUBLE) / 10, 6) AS penalty FROM s""")
+def gate_score(spark, d):
+    s = read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") != "R").alias("ok"), F.count_if(F.col("l_returnflag") == "R").alias("bad"))
+    score = S.gate_score(F.col("n") % 10 != 0, F.col("ok"), F.col("n"), F.col("bad"), 200, F.lit(0.5), 0.7)
+    return s.select("l_suppkey", F.round(score, 6).alias("score"), F.round(S.violation_penalty(F.col("bad") % 13), 6).alias("penalty"))
+
+
+@query(f"""{ROWS} SELECT round(CAST(0.3 AS DOUBLE) + 0.4 * (1 - count(*) FILTER (change = 'modified') / (SELECT count(*) FROM b)) + 0.3 * (1 - count(*) FILTER (change = 'deleted') / (SELECT count(*) FROM b)), 6) AS score FROM j""")
+def harness_score(spark, d):
+    b = orders_before(spark, d)
+    c = diff.row_diff(b, orders_after(b), ["k"]).agg(F.count_if(F.col("change") == "modified").alias("m"), F.count_if(F.col("change") == "deleted").alias("x")).withColumn("_k", F.lit(1))
+    n = b.agg(F.count("*").alias("n")).withColumn("_k", F.lit(1))
+    return c.join(n, "_k").select(F.round(0.3 + 0.4 * (1 - F.col("m") / F.col("n")) + 0.3 * (1 - F.col("x") / F.col("n")), 6).alias("score"))
+
+
+@query("""SELECT quality, toxic, CASE WHEN quality = 1 AND toxic = 0 THEN 'approved' ELSE 'review' END AS status, count(*) AS n FROM labels GROUP BY 1, 2, 3""")
+def review_summary(spark, d):
+    s = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "approved").otherwise("review")
+    return read(spark, d, "labels").groupBy("quality", "toxic", s.alias("status")).agg(F.count("*").alias("n"))
+
+
+# ---- personal data --------------------------------------------------------------------
+
+RE = {
+    "ssn": r"\b\d{3}-\d{2}-\d{4}\b", "credit_card": r"\b(?:\d{4}[-\s]?){3}\d{4}\b", "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
+    "phone": r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", "ip_address": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
+    "date_of_birth": r"\b(?:0?[1-9]|1[0-2])[/-](?:0?[1-9]|[12]\d|3[01])[/-](?:19|20)\d{2}\b", "account_number": r"\b[A-Z]{0,3}\d{8,17}\b",
+}
+FOUND = "m AS (" + " UNION ALL ".join(f"SELECT doc_id, '{t}' AS type, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for t, p in RE.items()) + ")"
+
+
+def found(spark, d):
+    return pii.detect(read(spark, d, "documents"), "text", ["doc_id"])
+
+
+@query(f"WITH {FOUND} SELECT type, count(*) AS n, count(DISTINCT doc_id) AS docs FROM m GROUP BY type")
+def pii_counts(spark, d):
+    return found(spark, d).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query(f"WITH {FOUND} SELECT doc_id, type, value FROM m")
+def pii_matches(spark, d):
+    return found(spark, d)
+
+
+MASKED = "text"
+for _t, _p in RE.items():
+    MASKED = f"regexp_replace({MASKED}, '{_p}', '[REDACTED:{_t}]', 'g')"
+
+
+@query(f"SELECT doc_id, sha256({MASKED}) AS masked FROM documents")
+def pii_masked(spark, d):
+    return read(spark, d, "documents").select("doc_id", S.sha256(pii.mask_text(F.col("text"))).alias("masked"))
+
+
+@query(f"""WITH {FOUND} SELECT doc_id, type, 'HASH:' || substr(sha256(value), 1, 16) AS hashed, 'TOKEN:' || type || ':' || substr(sha256(value), 1, 8) AS token FROM m""")
+def pii_tokens(spark, d):
+    v, t = F.col("value"), F.col("type")
+    return found(spark, d).select("doc_id", "type", pii.masked_value(v, t, "hash").alias("hashed"), pii.masked_value(v, t, "token").alias("token"))
+
+
+# ---- graphs and vectors ---------------------------------------------------------------
+
+EDGES = """e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'contains' AS kind FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'contains' FROM customer
+ UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'contains' FROM supplier), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"""
+
+
+def star_graph(spark, d):
+    def pair(t, a, ka, b, kb):
+        return read(spark, d, t).select(F.concat(F.lit(a), F.col(ka).cast("string")).alias("src"), F.concat(F.lit(b), F.col(kb).cast("string")).alias("dst"), F.lit("contains").alias("kind"))
+
+    e = pair("nation", "r", "n_regionkey", "n", "n_nationkey").unionByName(pair("customer", "n", "c_nationkey", "c", "c_custkey")).unionByName(pair("supplier", "n", "s_nationkey", "s", "s_suppkey"))
+    return e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e
+
+
+@query(f"""WITH {EDGES}, x AS (SELECT src AS id, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e), g AS (SELECT id, sum(o) AS o, sum(i) AS i FROM x GROUP BY id)
+ SELECT (SELECT count(*) FROM v) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, CAST(max(o) AS BIGINT) AS max_fan_out, CAST(max(i) AS BIGINT) AS max_fan_in, (SELECT id FROM g ORDER BY o + i DESC, id LIMIT 1) AS hotspot FROM g""")
+def graph_stats(spark, d):
+    return graph.stats(*star_graph(spark, d))
+
+
+@query("""WITH RECURSIVE e AS (SELECT doc_id AS a, doc_id + 7 AS b FROM documents WHERE doc_id % 5 < 3 AND doc_id < 400), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+ r AS (SELECT a AS id, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.id) SELECT id, min(c) AS component FROM r GROUP BY id""")
+def graph_components(spark, d):
+    e = read(spark, d, "documents").filter("doc_id % 5 < 3 and doc_id < 400").select(F.col("doc_id").alias("src"), (F.col("doc_id") + 7).alias("dst"))
+    return graph.components(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e)
+
+
+RING = "e AS (SELECT n_nationkey AS src, (n_nationkey * 3 + 1) % 25 AS dst FROM nation UNION SELECT n_nationkey, n_regionkey FROM nation WHERE n_nationkey % 4 = 0)"
+
+
+def ring(spark, d):
+    n = read(spark, d, "nation")
+    return n.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 3 + 1) % 25).alias("dst")).union(n.filter("n_nationkey % 4 = 0").select("n_nationkey", "n_regionkey")).distinct()
+
+
+REACH = f"WITH RECURSIVE {RING}, r AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT r.src, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.dst WHERE r.depth < 6)"
+
+
+@query(f"{REACH} SELECT src, dst, min(depth) AS depth FROM r GROUP BY 1, 2")
+def graph_reach(spark, d):
+    return graph.reach(ring(spark, d), 6)
+
+
+@query(f"{REACH} SELECT src AS id, min(depth) AS length FROM r WHERE src = dst GROUP BY 1")
+def graph_cycles(spark, d):
+    return graph.on_cycle(ring(spark, d), 6)
+
+
+@query("""SELECT p_brand, arg_min(p_partkey, p_name || '/' || lpad(CAST(p_partkey AS VARCHAR), 12, '0')) AS p_partkey FROM part GROUP BY p_brand""")
+def resolve_first_match(spark, d):
+    return graph.first_match(read(spark, d, "part"), "p_brand", ["p_name", "p_partkey"], "p_partkey")
+
+
+@query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))
+ SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 5) AS score FROM embeddings, q ORDER BY 2 DESC, 1 LIMIT 20""")
+def vector_topk(spark, d):
+    e = read(spark, d, "embeddings")
+    q = e.orderBy("vec_id").limit(1).collect()[0]["embedding"]
+    return vectors.top_k(e, q, "vec_id", "embedding", 20)
+
+
+@query("""SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN -1 ELSE label END AS label FROM embeddings UNION ALL SELECT vec_id + 100000, -2 FROM embeddings WHERE vec_id % 50 = 0""")
+def vector_upsert(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id", "label")
+    new = e.filter("vec_id % 3 = 0").select("vec_id", F.lit(-1).alias("label")).unionByName(e.filter("vec_id % 50 = 0").select((F.col("vec_id") + 100000).alias("vec_id"), F.lit(-2).alias("label")))
+    return vectors.upsert(e, new, "vec_id")
+
+
+# ---- fixtures and text ----------------------------------------------------------------
+
+
+@query("""WITH f AS (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k FROM events)
+ SELECT event_id, CASE WHEN event_id % 10 = 1 THEN 'status' WHEN event_id % 10 = 2 THEN 'header' WHEN event_id % 10 = 3 THEN 'body' END AS reason FROM f""")
+def fixture_diff_reason(spark, d):
+    i = F.col("event_id") % 10
+    e = read(spark, d, "events").select(
+        "event_id",
+        F.lit(200).alias("expected_status"),
+        F.when(i == 1, 500).otherwise(200).alias("status"),
+        F.create_map(F.lit("Kind"), F.col("event_type"), F.lit("Date"), F.lit("x")).alias("expected_header"),
+        F.create_map(F.lit("kind"), F.when(i == 2, F.lit("?")).otherwise(F.col("event_type"))).alias("header"),
+        F.concat(F.lit('{"ts": 1, "k": '), F.get_json_object("props", "$.k"), F.lit(', "e": "a"}')).alias("expected_body"),
+        F.concat(F.lit('{"e": "a", "k": '), F.get_json_object("props", "$.k"), F.when(i == 3, "0").otherwise(""), F.lit(', "ts": 2}')).alias("body"),
+    )
+    return fixtures.compare(e, ["ts"], [" DATE "]).select("event_id", "reason")
+
+
+@query("""SELECT event_id, event_id % 4 <> 1 AS same FROM events""")
+def json_normalize_compare(spark, d):
+    k = F.get_json_object("props", "$.k")
+    a = F.concat(F.lit('{"k": '), k, F.lit(', "z": [1, 2]}'))
+    b = F.concat(F.lit('{"z": [1, 2], "k": '), k, F.when(F.col("event_id") % 4 == 1, "7").otherwise(""), F.lit("}"))
+    return read(spark, d, "events").select("event_id", fixtures.body_equal(a, b, []).alias("same"))
+
+
+@query("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)
+ SELECT doc_id, head, count(*) AS n_lines FROM (SELECT doc_id, last_value(CASE WHEN n % 5 = 1 THEN n END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n) AS head FROM l) GROUP BY 1, 2""")
+def paragraph_fold(spark, d):
+    rows = read(spark, d, "documents").filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).withColumn("n", (F.col("i") + 1).cast("long"))
+    head = F.last(F.when(F.col("n") % 5 == 1, F.col("n")), ignorenulls=True).over(W.partitionBy("doc_id").orderBy("n"))
+    return rows.select("doc_id", head.alias("head")).groupBy("doc_id", "head").agg(F.count("*").alias("n_lines"))
+
+
+@query("""SELECT conv_id, string_agg(role, ',' ORDER BY t) AS roles FROM (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY 1, 2) GROUP BY 1""")
+def order_preserving_distinct(spark, d):
+    first = read(spark, d, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("t"))
+    return first.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "role"))), lambda x: x["role"]), ",").alias("roles"))
+
+
+@query("""SELECT p_partkey, regexp_replace(p_name, '[^A-Za-z0-9_]', '_', 'g') AS safe, lower(array_to_string(list_filter(regexp_split_to_array(p_name, '[-_\\s.]+'), lambda x: x <> ''), '_')) AS snake,
+ lower(array_to_string(list_filter(regexp_split_to_array(p_name, '[-_\\s.]+'), lambda x: x <> ''), '-')) AS kebab FROM part""")
+def name_styles(spark, d):
+    n = F.col("p_name")
+    return read(spark, d, "part").select("p_partkey", S.sanitized(n).alias("safe"), S.snake_case(n).alias("snake"), S.kebab_case(n).alias("kebab"))
+
+
+@query()
+def line_diff(spark, d):
+    """Each document against the one before it of its source, where a line is shared."""
+    w = W.partitionBy("source").orderBy("doc_id")
+    p = read(spark, d, "documents").select("doc_id", F.lag("text").over(w).alias("old"), F.col("text").alias("new"))
+    p = p.filter(F.col("old").isNotNull() & F.arrays_overlap(F.filter(F.split("old", "\n"), lambda x: x != ""), F.split("new", "\n")))
+    return diff.line_diff(p, "doc_id")
+
+
+def _parsed(language):
+    def run(spark, d):
+        return parsers.parse(spark.createDataFrame(samples.FILES[language], "path string, content string"), language)
+
+    return run
+
+
+for _lang in ("cobol", "perl", "fortran"):
+    QUERIES[f"{_lang}_ir"] = _parsed(_lang)
+
+
+@query("""SELECT 'fn:A.main' AS src, 'fn:A.helper' AS dst, 'calls' AS kind UNION ALL SELECT 'fn:A.main', 'fn:B.shared', 'call' UNION ALL SELECT 'fn:A.main', 'fn:A.nowhere', 'goto'""")
+def callees_one_hop(spark, d):
+    f = spark.createDataFrame([("A", "main", ["helper", "CALL:shared", "GOTO:nowhere"]), ("A", "helper", []), ("B", "shared", ["helper"]), ("C", "shared", [])], "module string, name string, calls array<string>")
+    none = spark.createDataFrame([], "module string, name string")
+    return graph.build(f, none, none)[1].filter("src = 'fn:A.main' and kind <> 'contains'").select("src", "dst", "kind")
