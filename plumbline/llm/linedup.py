@@ -37,42 +37,36 @@ def _bounds(hashes: Column) -> Column:
 
 
 def chunks(text: Column) -> Column:
-    """array<struct<at, n, body>>: the chunks of a text, whose bodies joined by a newline
-    are the text."""
+    """array<struct<at, words, body>>: the chunks of a text, whose bodies joined by a newline
+    are the text; words counts the lines that hold a word."""
     lines = _lines(text)
-    return F.aggregate(
-        F.array(F.struct(lines.alias("ls"), _bounds(F.transform(lines, lambda x: F.xxhash64(x))).alias("es"))),
-        F.array().cast("array<struct<at:int,n:int,body:string>>"),
-        lambda _, s: F.transform(
-            s["es"],
-            lambda e, i: F.struct(
-                i.alias("at"),
-                (e - F.coalesce(F.get(s["es"], i - 1), F.lit(0))).alias("n"),
-                F.array_join(F.slice(s["ls"], F.coalesce(F.get(s["es"], i - 1), F.lit(0)) + 1, e - F.coalesce(F.get(s["es"], i - 1), F.lit(0))), "\n").alias("body"),
-            ),
-        ),
-    )
+    made = F.struct(lines.alias("ls"), _bounds(F.transform(lines, lambda x: F.xxhash64(x))).alias("es"))
 
+    def chunk(s: Column, end: Column, i: Column) -> Column:
+        start = F.when(i > 0, F.get(s["es"], i - 1)).otherwise(F.lit(0))
+        return F.struct(i.alias("at"), F.slice(s["ls"], start + 1, end - start).alias("ls"))
 
-def _keyed(c: Column) -> list[Column]:
-    return [F.xxhash64(c).alias("_h1"), F.xxhash64(F.lit("b"), c, F.length(c)).alias("_h2")]
+    def told(c: Column) -> Column:
+        return F.struct(c["at"].alias("at"), F.size(F.filter(c["ls"], lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).alias("words"), F.array_join(c["ls"], "\n").alias("body"))
+
+    return F.aggregate(F.array(made), F.array().cast("array<struct<at:int,words:int,body:string>>"), lambda _, s: F.transform(F.transform(s["es"], lambda e, i: chunk(s, e, i)), told))
 
 
-def _counted(body: Column) -> Column:
-    """Whether a chunk may be removed: enough lines that hold words."""
-    return F.regexp_count(body, F.lit(r"(?m)^.*[^\x20\x09-\x0D].*$")) >= MIN_LINES
+def _keyed(c: Column) -> list[Column]:
+    return [F.xxhash64(c).alias("_h1"), F.xxhash64(F.lit("b"), c, F.length(c)).alias("_h2")]
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """doc_id and place of every chunk to remove: (_doc, _at, _h1, _h2)."""
     lowest = F.lit(-(2**63)).cast("long")
-    rows = docs.filter(F.col("text").isNotNull()).select(F.coalesce("doc_id", lowest).alias("_doc"), F.explode(chunks(F.col("text"))).alias("c"))
-    rows = rows.filter((F.col("c.n") >= MIN_LINES) & _counted(F.col("c.body"))).select("_doc", F.col("c.at").alias("_at"), F.col("c.body").alias("_body"))
+    rows = docs.filter(F.col("text").isNotNull()).select(F.coalesce("doc_id", lowest).alias("_doc"), F.explode_outer(chunks(F.col("text"))).alias("c"))
+    rows = rows.filter(F.col("c.words") >= MIN_LINES).select("_doc", F.col("c.at").alias("_at"), F.col("c.body").alias("_body"))
     place = (F.col("_doc").cast("decimal(38,0)") * 4294967296 + F.col("_at")).cast("decimal(38,0)")
     by_text = rows.select("_body", place.alias("_place")).groupBy("_body").agg(F.min("_place").alias("_keep"), F.max("_place").alias("_last"))
     by_hash = by_text.select(*_keyed(F.col("_body")), "_keep", "_last").groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), F.min("_keep").alias("_keep"), F.max("_last").alias("_last"))
     repeated = stored(by_hash.filter((F.col("_n") == 1) & (F.col("_last") > F.col("_keep"))).select("_h1", "_h2", "_keep"))
-    found = rows.select("_doc", "_at", place.alias("_place"), *_keyed(F.col("_body"))).join(repeated, ["_h1", "_h2"]).filter(F.col("_place") > F.col("_keep"))
+    # neither join's smaller side has a proven bound: they are never broadcast
+    found = rows.select("_doc", "_at", place.alias("_place"), *_keyed(F.col("_body"))).join(repeated.hint("merge"), ["_h1", "_h2"]).filter(F.col("_place") > F.col("_keep"))
     return found.select("_doc", "_at", "_h1")
 
 
@@ -81,7 +75,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lowest = F.lit(-(2**63)).cast("long")
     gone = stored(repeated_chunks(docs).groupBy("_doc").agg(F.collect_set(F.struct("_at", "_h1")).alias("_gone")))
     names = [c for c in docs.columns if c not in ("n_chunks_removed", "_doc", "_gone")]
-    rows = docs.select(*names, F.coalesce("doc_id", lowest).alias("_doc")).join(gone, "_doc", "left")
+    rows = docs.select(*names, F.coalesce("doc_id", lowest).alias("_doc")).join(gone.hint("merge"), "_doc", "left")
     kept = F.filter(chunks(F.col("text")), lambda c: ~F.array_contains(F.col("_gone"), F.struct(c["at"].alias("_at"), F.xxhash64(c["body"]).alias("_h1"))))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["body"]), "\n"))
     out = [text.alias("text") if c == "text" else F.col(c) for c in names]

@@ -109,7 +109,7 @@ def test_line_dedup(spark, docs):
             continue
         left = []
         for c in r["c"]:
-            if c["n"] >= 2 and sum(bool(brute.SP.search(x)) for x in c["body"].split("\n")) >= 2:
+            if sum(bool(brute.SP.search(x)) for x in c["body"].split("\n")) >= 2:
                 if c["body"] in seen:
                     continue
                 seen.add(c["body"])
