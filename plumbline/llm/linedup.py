@@ -30,26 +30,39 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once; a column named in a lambda would be computed
+    again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _bounds(hashes: Column) -> Column:
     """The index after each chunk's last line."""
-    ends = F.filter(F.sequence(F.lit(1), F.size(hashes)), lambda i: (i == F.size(hashes)) | (F.pmod(F.xxhash64(*[F.get(hashes, i - 1 - k) for k in range(ROLL)]), F.lit(EVERY)) == 0))
-    return ends
+
+    def ends(hs: Column) -> Column:
+        n = F.size(hs)
+        rolled = lambda i: F.xxhash64(*[F.get(hs, i - 1 - k) for k in range(ROLL)])
+        return F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.pmod(rolled(i), F.lit(EVERY)) == 0))
+
+    return _let(hashes, ends)
 
 
 def chunks(text: Column) -> Column:
     """array<struct<at, words, body>>: the chunks of a text, whose bodies joined by a newline
     are the text; words counts the lines that hold a word."""
-    lines = _lines(text)
-    made = F.struct(lines.alias("ls"), _bounds(F.transform(lines, lambda x: F.xxhash64(x))).alias("es"))
 
-    def chunk(s: Column, end: Column, i: Column) -> Column:
-        start = F.when(i > 0, F.get(s["es"], i - 1)).otherwise(F.lit(0))
-        return F.struct(i.alias("at"), F.slice(s["ls"], start + 1, end - start).alias("ls"))
+    def cut(ls: Column, es: Column) -> Column:
+        def lines(end: Column, i: Column) -> Column:
+            start = F.when(i > 0, F.get(es, i - 1)).otherwise(F.lit(0))
+            return F.struct(i.alias("at"), F.slice(ls, start + 1, end - start).alias("ls"))
+
+        def told(c: Column) -> Column:
+            words = F.size(F.filter(c["ls"], lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+            return F.struct(c["at"].alias("at"), words.alias("words"), F.array_join(c["ls"], "\n").alias("body"))
 
-    def told(c: Column) -> Column:
-        return F.struct(c["at"].alias("at"), F.size(F.filter(c["ls"], lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).alias("words"), F.array_join(c["ls"], "\n").alias("body"))
+        return F.transform(F.transform(es, lines), told)
 
-    return F.aggregate(F.array(made), F.array().cast("array<struct<at:int,words:int,body:string>>"), lambda _, s: F.transform(F.transform(s["es"], lambda e, i: chunk(s, e, i)), told))
+    return _let(_lines(text), lambda ls: _let(_bounds(F.transform(ls, lambda x: F.xxhash64(x))), lambda es: cut(ls, es)))
 
 
 def _keyed(c: Column) -> list[Column]:
