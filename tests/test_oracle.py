@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-DIR = "/root/testdata/sf0.001"
+DIR = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
