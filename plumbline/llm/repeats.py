@@ -1,19 +1,20 @@
 """Operator 7: exact removal of byte strings that also start in an earlier document.
 
-The method asked for is external induced suffix sorting; this module finds the same strings
-by anchors and verified contexts instead (see the README for why).
+Anchors deal the texts out to shards; each shard's suffixes are sorted externally by
+induction (``suffixes``), with their common prefixes, and decide.
 
 A string of ``K`` bytes holds ``K - G + 1`` grams of ``G`` bytes. The places of the smallest
 gram hash of each such string are anchors: equal strings have equal anchors at equal offsets,
-so it is enough to look around anchors that occur more than once.
+so all places of a string meet in the shard that owns its anchor's gram.
 
 1. Rows are dealt to blocks by a hash. Each block sends every distinct anchor hash once to
-   the partition that owns it, which answers whether another document has it too.
+   the shard that owns it, which answers whether another document has it too.
 2. For shared anchors, each block sends the distinct contexts (all bytes of any string that
-   holds the anchor) with the smallest doc_id to the owner of the gram. The owner compares
-   bytes: for each start in a context it finds the smallest doc_id among all contexts with
-   the same ``K`` bytes there, and answers the block.
-3. Each block marks the starts whose smallest doc_id is below its own document's, and removes
+   holds the anchor) with the smallest doc_id to the shard that owns the gram.
+3. The shard's text is its distinct contexts, each ended by a separator. Its suffixes come in
+   order, with common prefixes up to ``K``; a run of ``K`` is one string, and its smallest
+   doc_id goes back to every start in it.
+4. Each block marks the starts whose smallest doc_id is below its own document's, and removes
    every byte they cover.
 
 A passage in a third of all documents is one context a block; nothing is capped or broadcast.
@@ -32,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stored
+from .suffixes import LIMIT, sorted_suffixes
 
 K, G = 50, 24
 SIDE = K - G  # bytes of context on either side of an anchor's gram
@@ -211,18 +213,34 @@ def _ask_contexts(parts: int):
     return run
 
 
-def least_of_starts(rows: np.ndarray, least: np.ndarray) -> np.ndarray:
+def least_of_starts(rows: np.ndarray, least: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """For each context and each start in it: the smallest doc_id of the contexts that have
-    the same K bytes around the same gram (LAST where no K bytes are)."""
+    the same K bytes (LAST where no K bytes are), from the sorted suffixes of all contexts."""
+    m, width = len(rows), G + 2 * SIDE
     left, size = rows[:, -2].astype(int), rows[:, -1].astype(int)
-    out = np.full((len(rows), SIDE + 1), LAST)
-    for j in range(SIDE + 1):
-        ok = np.flatnonzero((j >= SIDE - left) & (j + K <= SIDE - left + size))
-        if len(ok):
-            _, at = np.unique(_whole(rows[ok, j : j + K]), return_inverse=True)
-            low = np.full(at.max() + 1, LAST)
-            np.minimum.at(low, at, least[ok])
-            out[ok, j] = low[at]
+    chars = np.ones((m, width + 1), np.uint16)  # 0 ends the text, 1 a context
+    chars[:, :-1] = rows[:, :-2].astype(np.uint16) + 2
+    j = np.arange(width + 1)
+    inside = (j >= (SIDE - left)[:, None]) & (j < (SIDE - left + size)[:, None])
+    inside[:, -1] = True
+    place = np.append(np.flatnonzero(inside), -1)  # of each character, in the padded contexts
+    text = np.append(chars[inside], 0).astype(np.uint16)
+    begins = (j[: SIDE + 1] >= (SIDE - left)[:, None]) & (j[: SIDE + 1] + K <= (SIDE - left + size)[:, None])
+    run = np.full((m, SIDE + 1), -1, np.int64)
+    before = -1
+    for at, common in sorted_suffixes(text, K, limit):
+        of = before + np.cumsum(common < K)
+        before = int(of[-1])
+        p = place[at]
+        row, start = np.divmod(p, width + 1)
+        ok = (p >= 0) & (start <= SIDE)
+        ok[ok] = begins[row[ok], start[ok]]
+        run[row[ok], start[ok]] = of[ok]
+    seen, of = np.unique(run[begins], return_inverse=True)
+    low = np.full(len(seen), LAST)
+    np.minimum.at(low, of, np.repeat(least, begins.sum(1)))
+    out = np.full((m, SIDE + 1), LAST)
+    out[begins] = low[of]
     return out
 
 
@@ -239,14 +257,8 @@ def _answer_contexts(key: tuple, table: pa.Table) -> pa.Table:
     distinct = every[first]
     low = np.full(len(first), LAST)
     np.minimum.at(low, at, np.concatenate(least))
-    _, group, n = np.unique(_whole(distinct[:, SIDE : SIDE + G]), return_inverse=True, return_counts=True)
-    mixed = n[group] > 1  # contexts that differ around one gram; others need no comparison
-    where = np.cumsum(mixed) - 1
-    starts = least_of_starts(distinct[mixed], low[mixed])
-    blobs = []
-    for i in np.split(at, sizes):
-        m = mixed[i]
-        blobs.append(_pack(low[i], m, starts[where[i[m]]]))
+    starts = least_of_starts(distinct, low)
+    blobs = [_pack(starts[i]) for i in np.split(at, sizes)]
     return pa.table({"block": table.column("block"), "pid": table.column("pid"), "blob": pa.array(blobs, pa.binary())})
 
 
@@ -263,10 +275,7 @@ def _remove(parts: int):
         inside = (j >= (SIDE - left)[:, None]) & (j + K <= (SIDE - left + size)[:, None])
         least = np.full((len(c.rows), SIDE + 1), LAST)
         for p, blob in zip(told.column("pid").to_pylist(), told.column("blob").to_pylist()):
-            at, raw = c.order[c.cuts[p] : c.cuts[p + 1]], _unpack(blob)
-            least[at] = np.frombuffer(raw, np.int64, len(at))[:, None]
-            m = np.frombuffer(raw, np.uint8, len(at), 8 * len(at)).astype(bool)
-            least[at[m]] = np.frombuffer(raw[9 * len(at) :], np.int64).reshape(-1, SIDE + 1)
+            least[c.order[c.cuts[p] : c.cuts[p + 1]]] = np.frombuffer(_unpack(blob), np.int64).reshape(-1, SIDE + 1)
         for a in range(0, len(c.place), 100_000):
             s = slice(a, a + 100_000)
             hit = inside[c.of[s]] & (least[c.of[s]] < c.doc[s, None])
