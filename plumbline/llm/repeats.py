@@ -11,7 +11,8 @@ so all places of a string meet in the shard that owns its anchor's gram.
    the shard that owns it, which answers whether another document has it too.
 2. For shared anchors, each block sends the distinct contexts (all bytes of any string that
    holds the anchor) with the smallest doc_id to the shard that owns the gram.
-3. The shard's text is its distinct contexts, each ended by a separator. Its suffixes come in
+3. A context that is the only one around its gram repeats only as a whole, which its smallest
+   doc_id settles. The shard's text is its other distinct contexts, each ended by a separator. Its suffixes come in
    order, with common prefixes up to ``K``; a run of ``K`` is one string, and its smallest
    doc_id goes back to every start in it.
 4. Each block marks the starts whose smallest doc_id is below its own document's, and removes
@@ -257,8 +258,14 @@ def _answer_contexts(key: tuple, table: pa.Table) -> pa.Table:
     distinct = every[first]
     low = np.full(len(first), LAST)
     np.minimum.at(low, at, np.concatenate(least))
-    starts = least_of_starts(distinct, low)
-    blobs = [_pack(starts[i]) for i in np.split(at, sizes)]
+    _, group, n = np.unique(_whole(distinct[:, SIDE : SIDE + G]), return_inverse=True, return_counts=True)
+    mixed = n[group] > 1  # a context alone with its gram shares no string with another
+    where = np.cumsum(mixed) - 1
+    starts = least_of_starts(distinct[mixed], low[mixed])
+    blobs = []
+    for i in np.split(at, sizes):
+        m = mixed[i]
+        blobs.append(_pack(low[i], m, starts[where[i[m]]]))
     return pa.table({"block": table.column("block"), "pid": table.column("pid"), "blob": pa.array(blobs, pa.binary())})
 
 
@@ -275,7 +282,10 @@ def _remove(parts: int):
         inside = (j >= (SIDE - left)[:, None]) & (j + K <= (SIDE - left + size)[:, None])
         least = np.full((len(c.rows), SIDE + 1), LAST)
         for p, blob in zip(told.column("pid").to_pylist(), told.column("blob").to_pylist()):
-            least[c.order[c.cuts[p] : c.cuts[p + 1]]] = np.frombuffer(_unpack(blob), np.int64).reshape(-1, SIDE + 1)
+            at, raw = c.order[c.cuts[p] : c.cuts[p + 1]], _unpack(blob)
+            least[at] = np.frombuffer(raw, np.int64, len(at))[:, None]
+            m = np.frombuffer(raw, np.uint8, len(at), 8 * len(at)).astype(bool)
+            least[at[m]] = np.frombuffer(raw[9 * len(at) :], np.int64).reshape(-1, SIDE + 1)
         for a in range(0, len(c.place), 100_000):
             s = slice(a, a + 100_000)
             hit = inside[c.of[s]] & (least[c.of[s]] < c.doc[s, None])
