@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 # The patterns by type, in the order in which masking takes precedence. A word
 # boundary is written as look-arounds over ASCII word characters, so a letter beyond ASCII
@@ -62,3 +63,47 @@ def masked_value(value: Column, kind: Column, style: str) -> Column:
 def mask_table(df: DataFrame) -> DataFrame:
     """Masks every string column."""
     return df.select(*[mask_text(F.col(f.name)).alias(f.name) if f.dataType.typeName() == "string" else F.col(f.name) for f in df.schema.fields])
+
+
+def mask_nested(value: Column, kind: DataType, types: tuple[str, ...] = ()) -> Column:
+    """Masks every string inside structs, arrays and map values; the shape and nulls stay."""
+    if isinstance(kind, StringType):
+        return mask_text(value, types)
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[mask_nested(value.getField(f.name), f.dataType, types).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: mask_nested(x, kind.elementType, types))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: mask_nested(x, kind.valueType, types))
+    return value
+
+
+def nested_strings(value: Column, kind: DataType, path: Column) -> Column | None:
+    """array<struct<path, value>> of all strings inside, as ``a.b[0]``; None if there can be none."""
+    none = F.array().cast("array<struct<path:string,value:string>>")
+    if isinstance(kind, StringType):
+        return F.when(value.isNotNull(), F.array(F.struct(path.alias("path"), value.alias("value")))).otherwise(none)
+    if isinstance(kind, StructType):
+        parts = [nested_strings(value.getField(f.name), f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in kind.fields]
+        parts = [p for p in parts if p is not None]
+        return F.concat(*parts) if parts else None
+    if isinstance(kind, ArrayType):
+        if nested_strings(value, kind.elementType, path) is None:
+            return None
+        inside = F.transform(value, lambda x, i: nested_strings(x, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+        return F.coalesce(F.flatten(inside), none)
+    if isinstance(kind, MapType):
+        if nested_strings(value, kind.valueType, path) is None:
+            return None
+        inside = F.transform(F.map_entries(value), lambda e: nested_strings(e["value"], kind.valueType, F.concat(path, F.lit("."), e["key"].cast("string"))))
+        return F.coalesce(F.flatten(inside), none)
+    return None
+
+
+def detect_nested(df: DataFrame, keep: list[str], types: tuple[str, ...] = ()) -> DataFrame:
+    """One row per match in any column, however deep: keep, path, type, value."""
+    parts = [nested_strings(F.col(f.name), f.dataType, F.lit(f.name)) for f in df.schema.fields if f.name not in keep]
+    parts = [p for p in parts if p is not None]
+    strings = F.concat(*parts) if parts else F.array().cast("array<struct<path:string,value:string>>")
+    flat = df.select(*keep, F.explode(strings).alias("s")).select(*keep, F.col("s.path").alias("path"), F.col("s.value").alias("value"))
+    return detect(flat, "value", [*keep, "path"], types)

@@ -57,3 +57,16 @@ def test_scores(spark):
     assert one(lit(True), lit(90), lit(100), lit(0), 5, lit(1.0)) == 0.45
     assert one(lit(False), lit(90), lit(100), lit(0), 5, lit(1.0)) == 0
     assert one(lit(True), lit(85), lit(100), lit(2), 5, lit(1.8), 0.8) == 1.0
+
+
+def test_nested_pii(spark):
+    ssn = "123-45-6789"
+    kind = "id long, a struct<b:array<string>,n:int>, m map<string,struct<c:string>>"
+    df = spark.createDataFrame([(1, (["x", None, ssn], 5), {"k": (f"is {ssn}",)}), (2, None, None), (3, ([], None), {"k": None})], kind)
+    got = {(r["id"], r["path"], r["type"], r["value"]) for r in pii.detect_nested(df, ["id"]).collect()}
+    assert got == {(1, "a.b[2]", "ssn", ssn), (1, "m.k.c", "ssn", ssn)}
+    masked = df.select("id", *[pii.mask_nested(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields[1:]])
+    rows = {r["id"]: r for r in masked.collect()}
+    assert rows[1]["a"]["b"] == ["x", None, "[REDACTED:ssn]"] and rows[1]["a"]["n"] == 5 and rows[1]["m"]["k"]["c"] == "is [REDACTED:ssn]"
+    assert rows[2]["a"] is None and rows[2]["m"] is None and rows[3]["m"] == {"k": None}
+    assert pii.detect_nested(df.select("id"), ["id"]).count() == 0
