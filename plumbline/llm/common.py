@@ -49,8 +49,12 @@ def drop_stored(df: DataFrame) -> None:
     """Deletes a table of ``stored`` that no later result reads."""
     spark = df.sparkSession
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        drop_folder(spark, f)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def ascii_lower(c: Column) -> Column:

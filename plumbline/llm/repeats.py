@@ -28,13 +28,14 @@ others; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
-from .suffixes import LIMIT, sorted_suffixes
+from .common import drop_folder, shared_dir, stored
+from .suffixes import Spill, sorted_suffixes
 
 K, G = 50, 24
 SIDE = K - G  # bytes of context on either side of an anchor's gram
@@ -214,7 +215,7 @@ def _ask_contexts(parts: int):
     return run
 
 
-def least_of_starts(rows: np.ndarray, least: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+def least_of_starts(rows: np.ndarray, least: np.ndarray, spill: Spill | None = None) -> np.ndarray:
     """For each context and each start in it: the smallest doc_id of the contexts that have
     the same K bytes (LAST where no K bytes are), from the sorted suffixes of all contexts."""
     m, width = len(rows), G + 2 * SIDE
@@ -229,7 +230,7 @@ def least_of_starts(rows: np.ndarray, least: np.ndarray, limit: int = LIMIT) ->
     begins = (j[: SIDE + 1] >= (SIDE - left)[:, None]) & (j[: SIDE + 1] + K <= (SIDE - left + size)[:, None])
     run = np.full((m, SIDE + 1), -1, np.int64)
     before = -1
-    for at, common in sorted_suffixes(text, K, limit):
+    for at, common in sorted_suffixes(text, K, spill):
         of = before + np.cumsum(common < K)
         before = int(of[-1])
         p = place[at]
@@ -245,28 +246,31 @@ def least_of_starts(rows: np.ndarray, least: np.ndarray, limit: int = LIMIT) ->
     return out
 
 
-def _answer_contexts(key: tuple, table: pa.Table) -> pa.Table:
-    width = G + 2 * SIDE + 2
-    rows, least = [], []
-    for b in table.column("blob").to_pylist():
-        n, raw = int(np.frombuffer(b, np.uint32, 1)[0]), _unpack(b[4:])
-        rows.append(np.frombuffer(raw, np.uint8, n * width).reshape(n, width))
-        least.append(np.frombuffer(raw, np.int64, n, n * width))
-    sizes = np.cumsum([len(x) for x in least])[:-1]
-    every = np.concatenate(rows)
-    _, first, at = np.unique(_whole(every), return_index=True, return_inverse=True)
-    distinct = every[first]
-    low = np.full(len(first), LAST)
-    np.minimum.at(low, at, np.concatenate(least))
-    _, group, n = np.unique(_whole(distinct[:, SIDE : SIDE + G]), return_inverse=True, return_counts=True)
-    mixed = n[group] > 1  # a context alone with its gram shares no string with another
-    where = np.cumsum(mixed) - 1
-    starts = least_of_starts(distinct[mixed], low[mixed])
-    blobs = []
-    for i in np.split(at, sizes):
-        m = mixed[i]
-        blobs.append(_pack(low[i], m, starts[where[i[m]]]))
-    return pa.table({"block": table.column("block"), "pid": table.column("pid"), "blob": pa.array(blobs, pa.binary())})
+def _answer_contexts(scratch: str):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        width = G + 2 * SIDE + 2
+        rows, least = [], []
+        for b in table.column("blob").to_pylist():
+            n, raw = int(np.frombuffer(b, np.uint32, 1)[0]), _unpack(b[4:])
+            rows.append(np.frombuffer(raw, np.uint8, n * width).reshape(n, width))
+            least.append(np.frombuffer(raw, np.int64, n, n * width))
+        sizes = np.cumsum([len(x) for x in least])[:-1]
+        every = np.concatenate(rows)
+        _, first, at = np.unique(_whole(every), return_index=True, return_inverse=True)
+        distinct = every[first]
+        low = np.full(len(first), LAST)
+        np.minimum.at(low, at, np.concatenate(least))
+        _, group, n = np.unique(_whole(distinct[:, SIDE : SIDE + G]), return_inverse=True, return_counts=True)
+        mixed = n[group] > 1  # a context alone with its gram shares no string with another
+        where = np.cumsum(mixed) - 1
+        starts = least_of_starts(distinct[mixed], low[mixed], Spill(uri=scratch))
+        blobs = []
+        for i in np.split(at, sizes):
+            m = mixed[i]
+            blobs.append(_pack(low[i], m, starts[where[i[m]]]))
+        return pa.table({"block": table.column("block"), "pid": table.column("pid"), "blob": pa.array(blobs, pa.binary())})
+
+    return run
 
 
 def _remove(parts: int):
@@ -310,6 +314,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts = int(max(12, -(-total // BLOCK_BYTES)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("block"))
     shared = stored(rows.groupBy("block").applyInArrow(_ask_hashes(parts), _BLOBS).groupBy("pid").applyInArrow(_answer_hashes, _BLOBS))
-    least = stored(rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_ask_contexts(parts), _BLOBS).groupBy("pid").applyInArrow(_answer_contexts, _BLOBS))
+    scratch = f"{shared_dir(docs.sparkSession)}/plumbline-scratch-{uuid.uuid4().hex}"
+    least = stored(rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_ask_contexts(parts), _BLOBS).groupBy("pid").applyInArrow(_answer_contexts(scratch), _BLOBS))
+    drop_folder(docs.sparkSession, scratch)
     told = shared.withColumn("kind", F.lit(1)).unionByName(least.withColumn("kind", F.lit(2)))
     return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_remove(parts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

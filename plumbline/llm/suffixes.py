@@ -9,32 +9,55 @@ by recursion, or in memory once it fits ``limit``. A second induction, seeded wi
 S*, yields every suffix; the common prefix of two induced suffixes is one more than the
 smallest value met between their inducers.
 
-The scratch files belong to one call, have no name in any folder and vanish with it; a lost
-executor loses only a task that runs again.
+What exceeds memory lies in a folder that the cluster shares (``Spill``). The files belong to
+one call; a lost executor loses only a task that runs again, and the caller deletes the folder.
 """
 
 from __future__ import annotations
 
 import heapq
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+from pyarrow import fs
 
 LIMIT = 256_000_000
 BLOCK = 1 << 20
 TUPLE = np.dtype([("at", "<i8"), ("word", "<u8"), ("lcp", "u1")])
 
 
+class Spill:
+    """How many bytes each array and queue of a sort may hold in memory, and the folder that
+    takes the rest (none: memory does). Queues go to any file system that pyarrow opens;
+    arrays, which are read and written in any order, only to a mounted one."""
+
+    def __init__(self, limit: int = LIMIT, uri: str | None = None):
+        self.limit, self.uri = limit, uri
+        self.files, self.path, self.mounted = None, "", False
+        if uri:
+            self.files, self.path = fs.FileSystem.from_uri(uri)
+            self.mounted = isinstance(self.files, fs.LocalFileSystem)
+            self.files.create_dir(self.path, recursive=True)
+
+    def smaller(self, by: int) -> Spill:
+        return Spill(self.limit // by, self.uri)
+
+    def file(self):
+        """A file without a name that vanishes when it is closed."""
+        return tempfile.TemporaryFile(dir=self.path)
+
+
 class Text:
     """Characters read as aligned 64-bit words; the last one is 0 and occurs once."""
 
-    def __init__(self, chars: np.ndarray, limit: int):
+    def __init__(self, chars: np.ndarray, spill: Spill):
         self.n, self.bits = len(chars), chars.dtype.itemsize * 8
         self.per = 64 // self.bits
         padded = np.zeros(-(-self.n // self.per) * self.per, chars.dtype)
         padded[: self.n] = chars
-        self.chars = scratch(padded) if padded.nbytes > limit else padded
+        self.chars = scratch(padded, spill) if spill.mounted and padded.nbytes > spill.limit else padded
         self.words = self.chars.view(np.uint64)
 
     def word_before(self, at: np.ndarray) -> np.ndarray:
@@ -65,7 +88,7 @@ class Text:
             out[live] += 1
         return out
 
-    def leftmost_smaller(self, limit: int) -> np.ndarray:
+    def leftmost_smaller(self, spill: Spill) -> np.ndarray:
         """The places of S* suffixes in text order (the end included), found block by block
         from the right."""
         found, smaller, after = [], True, None
@@ -83,27 +106,27 @@ class Text:
             if after is None:
                 next_s[-1] = False
             star = np.flatnonzero(~s & next_s) + a + 1
-            found.append(gathered([star[star < self.n]], np.int64, limit // 64))
+            found.append(gathered([star[star < self.n]], np.int64, spill.smaller(64)))
             smaller, after = bool(s[0]), c
-        return gathered(found[::-1], np.int64, limit) if self.n > 1 else np.zeros(1, np.int64)
+        return gathered(found[::-1], np.int64, spill) if self.n > 1 else np.zeros(1, np.int64)
 
 
-def scratch(a: np.ndarray) -> np.ndarray:
-    with tempfile.TemporaryFile() as f:
+def scratch(a: np.ndarray, spill: Spill) -> np.ndarray:
+    with spill.file() as f:
         a.tofile(f)
         f.flush()
         return np.memmap(f, a.dtype, "r+", shape=a.shape)
 
 
-def gathered(parts: Iterable[np.ndarray], dtype, limit: int) -> np.ndarray:
-    """The parts one after the other; in a scratch file beyond ``limit`` bytes."""
+def gathered(parts: Iterable[np.ndarray], dtype, spill: Spill) -> np.ndarray:
+    """The parts one after the other; in a file beyond the limit."""
     held, size, file = [], 0, None
     for p in parts:
         p = np.asarray(p, dtype)
         size += p.nbytes
         held.append(p)
-        if size > limit and file is None:
-            file = tempfile.TemporaryFile()
+        if spill.mounted and size > spill.limit and file is None:
+            file = spill.file()
         if file is not None:
             for h in held:
                 h.tofile(file)
@@ -123,10 +146,12 @@ class Queue:
     """A disk-backed priority queue of tuple blocks: by character, then by arrival. Blocks
     stay readable after they were taken."""
 
-    def __init__(self, limit: int, sign: int = 1):
+    def __init__(self, spill: Spill, sign: int = 1):
         self.blocks: dict[int, list] = {}
         self.heap: list[int] = []
-        self.held, self.limit, self.sign, self.file = 0, limit, sign, None
+        self.held, self.spill, self.sign = 0, spill, sign
+        self.names: list[str] = []
+        self.opened: dict[str, object] = {}
 
     def push(self, key: int, block: np.ndarray) -> None:
         if key not in self.blocks:
@@ -135,25 +160,35 @@ class Queue:
             block["lcp"][0] = 0
         self.blocks[key].append(block)
         self.held += block.nbytes
-        if self.held > self.limit:
-            self._spill()
-
-    def _spill(self) -> None:
-        if self.file is None:
-            self.file = tempfile.TemporaryFile()
-        self.file.seek(0, 2)
-        for blocks in self.blocks.values():
-            for i, b in enumerate(blocks):
-                if isinstance(b, np.ndarray):
-                    blocks[i] = (self.file.tell(), len(b))
-                    b.tofile(self.file)
+        if self.spill.files and self.held > self.spill.limit:
+            self._write()
+
+    def _write(self) -> None:
+        """All blocks held, as one new file."""
+        name, at = f"{self.spill.path}/{uuid.uuid4().hex}", 0
+        self.names.append(name)
+        with self.spill.files.open_output_stream(name) as out:
+            for blocks in self.blocks.values():
+                for i, b in enumerate(blocks):
+                    if isinstance(b, np.ndarray):
+                        out.write(b.tobytes())
+                        blocks[i] = (name, at, b.nbytes)
+                        at += b.nbytes
         self.held = 0
 
     def _read(self, b) -> np.ndarray:
         if isinstance(b, np.ndarray):
             return b
-        self.file.seek(b[0])
-        return np.frombuffer(self.file.read(b[1] * TUPLE.itemsize), TUPLE)
+        name, at, size = b
+        if name not in self.opened:
+            self.opened[name] = self.spill.files.open_input_file(name)
+        return np.frombuffer(self.opened[name].read_at(size, at), TUPLE)
+
+    def close(self) -> None:
+        for f in self.opened.values():
+            f.close()
+        for name in self.names:
+            self.spill.files.delete_file(name)
 
     def take(self, key: int, backwards: bool = False) -> Iterator[np.ndarray]:
         """The blocks of a key, those pushed meanwhile included; small ones are joined."""
@@ -256,9 +291,17 @@ def _tuples(text: Text, at: np.ndarray, lcp) -> np.ndarray:
     return out
 
 
-def induce(text: Text, seeds: Iterator[np.ndarray], sigma: int, cap: int, limit: int) -> Iterator[tuple[int, bool, np.ndarray]]:
+def induce(text: Text, seeds: Iterator[np.ndarray], sigma: int, cap: int, spill: Spill) -> Iterator[tuple[int, bool, np.ndarray]]:
     """(character, whether of type S, tuples) in suffix order, from S* suffixes in order."""
-    star, larger, smaller = Queue(limit), Queue(limit), Queue(limit, -1)
+    queues = Queue(spill), Queue(spill), Queue(spill, -1)
+    try:
+        yield from _induce(text, seeds, sigma, cap, *queues)
+    finally:
+        for q in queues:
+            q.close()
+
+
+def _induce(text: Text, seeds: Iterator[np.ndarray], sigma: int, cap: int, star: Queue, larger: Queue, smaller: Queue) -> Iterator[tuple[int, bool, np.ndarray]]:
     for t in seeds:
         c = text.chars[t["at"]]
         cuts = np.append(np.flatnonzero(np.append(True, c[1:] != c[:-1])), len(c))
@@ -332,18 +375,18 @@ def _by_character(text: Text, star: np.ndarray) -> Iterator[np.ndarray]:
         yield _tuples(text, at[np.argsort(text.chars[at], kind="stable")], 0)
 
 
-def _starred(text: Text, sigma: int, limit: int) -> np.ndarray:
+def _starred(text: Text, sigma: int, spill: Spill) -> np.ndarray:
     """The S* places in suffix order."""
-    star = text.leftmost_smaller(limit)
+    star = text.leftmost_smaller(spill)
     n = len(star)
 
     def sorted_substrings() -> Iterator[np.ndarray]:
-        for key, small, t in induce(text, _by_character(text, star), sigma, 0, limit):
+        for key, small, t in induce(text, _by_character(text, star), sigma, 0, spill):
             if small:
                 yield t["at"][(t["at"] == text.n - 1) | ((text.before(t) > key) & (t["at"] > 0))]
 
-    ordered = gathered(sorted_substrings(), np.int64, limit)
-    reduced = gathered((np.zeros(s.stop - s.start, np.uint32) for s in cut(n)), np.uint32, limit)
+    ordered = gathered(sorted_substrings(), np.int64, spill)
+    reduced = gathered((np.zeros(s.stop - s.start, np.uint32) for s in cut(n)), np.uint32, spill)
     name, before, size_before = -1, None, 0
     for s in cut(n):
         at = np.array(ordered[s])
@@ -361,24 +404,25 @@ def _starred(text: Text, sigma: int, limit: int) -> np.ndarray:
         name, before, size_before = int(names[-1]), at[-1:], size[-1]
     if name == n - 1:
         return ordered
-    if reduced.nbytes * 8 <= limit:
+    if reduced.nbytes * 8 <= spill.limit:
         return star[_in_memory(reduced)]
-    order = _order(reduced, limit)
-    return gathered((star[order[s]] for s in cut(n)), np.int64, limit)
+    order = _order(reduced, spill)
+    return gathered((star[order[s]] for s in cut(n)), np.int64, spill)
 
 
-def _order(names: np.ndarray, limit: int) -> np.ndarray:
-    text, sigma = Text(names, limit), int(names.max()) + 1
-    star = _starred(text, sigma, limit)
+def _order(names: np.ndarray, spill: Spill) -> np.ndarray:
+    text, sigma = Text(names, spill), int(names.max()) + 1
+    star = _starred(text, sigma, spill)
     seeds = (_tuples(text, star[s], 0) for s in cut(len(star)))
-    return gathered((t["at"] for _, _, t in induce(text, seeds, sigma, 0, limit)), np.int64, limit)
+    return gathered((t["at"] for _, _, t in induce(text, seeds, sigma, 0, spill)), np.int64, spill)
 
 
-def sorted_suffixes(chars: np.ndarray, cap: int, limit: int = LIMIT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def sorted_suffixes(chars: np.ndarray, cap: int, spill: Spill | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, common prefix with the suffix before, at most ``cap`` < 255) in suffix order,
     block by block. ``chars``: uint16, ending in its only 0."""
-    text, sigma = Text(chars, limit), int(chars.max()) + 1
-    star = _starred(text, sigma, limit)
+    spill = spill or Spill()
+    text, sigma = Text(chars, spill), int(chars.max()) + 1
+    star = _starred(text, sigma, spill)
 
     def seeds() -> Iterator[np.ndarray]:
         before = star[:1]
@@ -387,5 +431,5 @@ def sorted_suffixes(chars: np.ndarray, cap: int, limit: int = LIMIT) -> Iterator
             yield _tuples(text, at, text.common(np.append(before, at[:-1]), at, cap))
             before = at[-1:]
 
-    for _, _, t in induce(text, seeds(), sigma, cap, limit):
+    for _, _, t in induce(text, seeds(), sigma, cap, spill):
         yield t["at"], t["lcp"]

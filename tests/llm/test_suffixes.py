@@ -20,7 +20,7 @@ def plain(text, cap):
 
 
 @pytest.mark.parametrize("block, limit", [(1 << 20, suffixes.LIMIT), (1 << 20, 0), (3, 200), (1, 0)])
-def test_suffixes(monkeypatch, block, limit):
+def test_suffixes(monkeypatch, tmp_path, block, limit):
     """Small blocks and limits send every queue to disk and every level into recursion."""
     monkeypatch.setattr(suffixes, "BLOCK", block)
     r = random.Random(block + limit)
@@ -29,17 +29,18 @@ def test_suffixes(monkeypatch, block, limit):
     for t in texts:
         chars = [c + 1 for c in t] + [0]
         for cap in (3, 50):
-            got = list(suffixes.sorted_suffixes(np.array(chars, np.uint16), cap, limit))
+            got = list(suffixes.sorted_suffixes(np.array(chars, np.uint16), cap, suffixes.Spill(limit, f"file://{tmp_path}/s")))
             assert (np.concatenate([g[0] for g in got]).tolist(), np.concatenate([g[1] for g in got]).tolist()) == plain(chars, cap)
+    assert not list((tmp_path / "s").iterdir())
 
 
-def test_spill(monkeypatch):
+def test_spill(monkeypatch, tmp_path):
     """A text beyond the limit gives what it gives in memory."""
     monkeypatch.setattr(suffixes, "BLOCK", 4096)
     r = np.random.default_rng(3)
     words = [r.integers(2, 28, r.integers(2, 9)) for _ in range(300)]
     chars = np.append(np.concatenate([np.append(words[i], 1) for i in r.integers(0, 300, 8000)]), 0).astype(np.uint16)
-    a, b = (list(suffixes.sorted_suffixes(chars, 50, n)) for n in (suffixes.LIMIT, 50_000))
+    a, b = (list(suffixes.sorted_suffixes(chars, 50, s)) for s in (None, suffixes.Spill(50_000, f"file://{tmp_path}/s")))
     for k in (0, 1):
         assert np.array_equal(np.concatenate([x[k] for x in a]), np.concatenate([x[k] for x in b]))
 
