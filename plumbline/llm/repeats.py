@@ -11,8 +11,8 @@ so all places of a string meet in the shard that owns its anchor's gram.
    the shard that owns it, which answers whether another document has it too.
 2. For shared anchors, each block sends the distinct contexts (all bytes of any string that
    holds the anchor) with the smallest doc_id to the shard that owns the gram.
-3. A context that is the only one around its gram repeats only as a whole, which its smallest
-   doc_id settles. The shard's text is its other distinct contexts, each ended by a separator. Its suffixes come in
+3. A context that agrees with no other on its gram and half of a side repeats only as a
+   whole, which its smallest doc_id settles. The shard's text is its other distinct contexts, each ended by a separator. Its suffixes come in
    order, with common prefixes up to ``K``; a run of ``K`` is one string, and its smallest
    doc_id goes back to every start in it.
 4. Each block marks the starts whose smallest doc_id is below its own document's, and removes
@@ -59,13 +59,14 @@ def gram_hashes(data: bytes) -> np.ndarray:
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     """pick over [i, i + width) for each i; the tail is cut short at the end."""
-    out, w = x.copy(), 1
-    while w < width:
+    n, w = len(x), 1
+    while w < min(width, n):
         step = min(w, width - w)
-        new = out.copy()
-        new[: len(out) - step] = pick(out[: len(out) - step], out[step:])
-        out, w = new, w + step
-    return out
+        new = np.empty_like(x)
+        pick(x[: n - step], x[step:], out=new[: n - step])
+        new[n - step :] = x[n - step :]
+        x, w = new, w + step
+    return x
 
 
 class Block:
@@ -76,20 +77,20 @@ class Block:
         self.data = b"".join(raw)
         self.ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
         self.starts = self.ends - np.array([len(r) for r in raw], np.int64)
-        self.row = np.repeat(np.arange(len(raw)), self.ends - self.starts)
-        n = len(self.data)
+        size = self.ends - self.starts
         h = gram_hashes(self.data)
-        whole = np.arange(n) + K <= self.ends[self.row] if n else np.zeros(0, bool)
-        low = np.where(whole, _sliding(h, K - G + 1, np.minimum), np.uint64(0))
+        rank = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)  # never 0; ties are all anchors
+        whole = np.repeat(np.tile([True, False], len(raw)), np.stack([np.maximum(size - K + 1, 0), np.minimum(size, K - 1)], 1).ravel())
+        low = _sliding(rank, K - G + 1, np.minimum) * whole
         most = _sliding(low[::-1], K - G + 1, np.maximum)[::-1]
-        self.anchors = np.flatnonzero((most == h) & (most > 0))
+        self.anchors = np.flatnonzero(most == rank)
+        self.row = np.searchsorted(self.ends, self.anchors, "right")
         self.hashes = h[self.anchors]
 
     def contexts(self, chosen: np.ndarray) -> np.ndarray:
         """A row for each chosen anchor: the bytes around it (its gram from SIDE on), zero
         beyond the document, then how many bytes there are before the gram and in all."""
-        p = self.anchors[chosen]
-        row = self.row[p]
+        p, row = self.anchors[chosen], self.row[chosen]
         left = np.minimum(SIDE, p - self.starts[row])
         right = np.minimum(SIDE, self.ends[row] - p - G)
         at = p[:, None] + np.arange(-SIDE, G + SIDE)
@@ -139,7 +140,7 @@ class _Seen:
 
     def several(self) -> np.ndarray:
         """Whether a key is in documents of more than one doc_id here."""
-        d = self.ids[self.block.row[self.block.anchors]]
+        d = self.ids[self.block.row]
         low, high = np.full(len(self.keys), LAST), np.full(len(self.keys), -LAST)
         np.minimum.at(low, self.of, d)
         np.maximum.at(high, self.of, d)
@@ -162,7 +163,7 @@ class _Contexts:
         _, first, self.of = np.unique(_whole(rows), return_index=True, return_inverse=True)
         self.rows = rows[first]
         self.place = seen.block.anchors[self.chosen]
-        self.doc = seen.ids[seen.block.row[self.place]]
+        self.doc = seen.ids[seen.block.row[self.chosen]]
         self.least = np.full(len(first), LAST)
         np.minimum.at(self.least, self.of, self.doc)
         self.order, self.cuts = _by_owner(seen.block.hashes[self.chosen][first], parts)
@@ -246,6 +247,27 @@ def least_of_starts(rows: np.ndarray, least: np.ndarray, spill: Spill | None = N
     return out
 
 
+def _row_hashes(rows: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of bytes; equal rows have equal hashes."""
+    padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    x = np.zeros(len(rows), np.uint64)
+    for w in padded.view(np.uint64).T:
+        x = (x ^ w) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+    return x
+
+
+def can_share(rows: np.ndarray) -> np.ndarray:
+    """Whether a context may have K bytes in common with another: those hold the gram and,
+    with it, half of the bytes on its left or half of those on its right."""
+    out = np.zeros(len(rows), bool)
+    for a, b in ((SIDE // 2, SIDE + G), (SIDE, SIDE + G + SIDE - SIDE // 2)):
+        _, of, n = np.unique(_row_hashes(rows[:, a:b]), return_inverse=True, return_counts=True)
+        out |= n[of] > 1
+    return out
+
+
 def _answer_contexts(scratch: str):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         width = G + 2 * SIDE + 2
@@ -260,8 +282,7 @@ def _answer_contexts(scratch: str):
         distinct = every[first]
         low = np.full(len(first), LAST)
         np.minimum.at(low, at, np.concatenate(least))
-        _, group, n = np.unique(_whole(distinct[:, SIDE : SIDE + G]), return_inverse=True, return_counts=True)
-        mixed = n[group] > 1  # a context alone with its gram shares no string with another
+        mixed = can_share(distinct)
         where = np.cumsum(mixed) - 1
         starts = least_of_starts(distinct[mixed], low[mixed], Spill(uri=scratch))
         blobs = []
@@ -290,8 +311,10 @@ def _remove(parts: int):
             least[at] = np.frombuffer(raw, np.int64, len(at))[:, None]
             m = np.frombuffer(raw, np.uint8, len(at), 8 * len(at)).astype(bool)
             least[at[m]] = np.frombuffer(raw[9 * len(at) :], np.int64).reshape(-1, SIDE + 1)
-        for a in range(0, len(c.place), 100_000):
-            s = slice(a, a + 100_000)
+        low = np.where(inside, least, LAST).min(1, initial=LAST)
+        late = np.flatnonzero(low[c.of] < c.doc)
+        for a in range(0, len(late), 100_000):
+            s = late[a : a + 100_000]
             hit = inside[c.of[s]] & (least[c.of[s]] < c.doc[s, None])
             begins[(c.place[s, None] - SIDE + j)[hit]] = True
         total = np.concatenate(([0], np.cumsum(begins[:-1])))

@@ -62,3 +62,14 @@ def test_least_of_starts():
         for j in range(repeats.SIDE + 1):
             ok = repeats.SIDE - x[-2] <= j <= repeats.SIDE - int(x[-2]) + int(x[-1]) - repeats.K
             assert g[j] == (strings[x[j : j + repeats.K].tobytes()] if ok else repeats.LAST)
+
+
+def test_can_share():
+    """Only contexts that hold no 50 bytes of another are left out of the sort."""
+    r = random.Random(8)
+    gram, alike, other = (bytes(r.randrange(97, 123) for _ in range(n)) for n in (repeats.G, repeats.SIDE, repeats.SIDE))
+    rows = []
+    for left, right in ((alike, other), (alike, other[:5] + alike[5:]), (other[::-1], other), (gram + b"zz", alike)):
+        rows.append(np.frombuffer(left + gram + right + bytes([repeats.SIDE, repeats.G + 2 * repeats.SIDE]), np.uint8))
+    assert repeats.can_share(np.array(rows)).tolist() == [True, True, True, False]
+    assert repeats.can_share(np.zeros((0, repeats.G + 2 * repeats.SIDE + 2), np.uint8)).tolist() == []
