@@ -108,6 +108,46 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def byte_cap(c: Column, n: int) -> Column:
+    """The text up to n bytes of UTF-8, without a character that they would cut."""
+    raw = c.cast("binary")
+    last = lambda k: F.conv(F.hex(F.substring(raw, n + 1 - k, 1)), 16, 10).cast("int")
+    cut = F.when(last(1) >= 0xC0, 1).when((last(1) >= 0x80) & (last(2) >= 0xE0), 2).when((last(1) >= 0x80) & (last(2) >= 0x80) & (last(2) < 0xC0) & (last(3) >= 0xF0), 3).otherwise(0)
+    next_byte = F.conv(F.hex(F.substring(raw, n + 1, 1)), 16, 10).cast("int")
+    split = next_byte.between(0x80, 0xBF)  # the byte after the cap goes on with a character
+    kept = F.when(split, n - cut).otherwise(n)
+    return F.when(F.octet_length(c) <= n, c).otherwise(F.substr(raw, F.lit(1), kept).cast("string"))
+
+
+#: What error texts say, in the order in which it counts.
+RETRY = [("429|Too Many Requests", None), ("50[0234]|Internal Server Error|Bad Gateway|Service Unavailable|Gateway Timeout", True), ("40[0134]", False)]
+DAILY_LIMIT = "tokens per day|TPD"
+
+
+def is_retryable(error: Column) -> Column:
+    """Whether a failed request is worth another try: rate limits but daily ones, server
+    errors and unknown ones are; client errors and no error are not."""
+    limited, server, client = (error.rlike(p) for p, _ in RETRY)
+    return F.when(error.isNull(), False).when(limited, ~error.rlike(DAILY_LIMIT)).when(server, True).otherwise(~client)
+
+
+def wait_ms(request_tokens: Column, per_minute: int, budget_left: Column, window_age_ms: Column) -> Column:
+    """How long to wait: for the next request token, else for the minute's end, else 100 ms."""
+    rest = 60_000 - window_age_ms
+    return F.when((request_tokens <= 0) & F.lit(per_minute > 0), F.lit(60_000 / max(per_minute, 1)).cast("long")).when((budget_left <= 0) & (rest > 0), rest.cast("long")).otherwise(F.lit(100).cast("long"))
+
+
+def config_warnings(provider: Column, api_key: Column, temperature: Column, max_tokens: Column) -> Column:
+    """What is odd about a configuration, as an array of texts."""
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    told = F.array(
+        F.when(~blank(provider) & (provider != "none") & blank(api_key), F.concat(F.lit("no api_key for provider "), provider)),
+        F.when(~temperature.between(0, 2), F.format_string("temperature %.2f is not within 0 and 2", temperature)),
+        F.when(max_tokens < 0, F.format_string("max_tokens %d is negative", max_tokens)),
+    )
+    return F.array_compact(told)
+
+
 def first_of(*cases: tuple[Column, str]) -> Column:
     """The label of the first condition that holds."""
     return F.coalesce(*[F.when(c, F.lit(s)) for c, s in cases])

@@ -2,19 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a table in the folder that the cluster shares."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/plumbline-graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .storage import kept
 
 
 def build(functions: DataFrame, data_types: DataFrame, io: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -57,13 +47,13 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
     labels spread over edges and jump along labels; each round is written to the shared
     folder."""
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    both = _kept(both.union(both.select("b", "a")).distinct())
-    label = _kept(nodes.select("id", F.col("id").alias("label")).distinct())
+    both = kept(both.union(both.select("b", "a")).distinct())
+    label = kept(nodes.select("id", F.col("id").alias("label")).distinct())
     for _ in range(max_rounds):
         near = both.join(label, both.b == label.id).groupBy("a").agg(F.min("label").alias("m"))
         step = label.join(near, label.id == near.a, "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("was"))
         jump = step.select(F.col("id").alias("_j"), F.col("label").alias("_l"))
-        new = _kept(step.join(jump, step.label == jump._j, "left").select("id", F.least("label", F.coalesce("_l", "label")).alias("label"), "was"))
+        new = kept(step.join(jump, step.label == jump._j, "left").select("id", F.least("label", F.coalesce("_l", "label")).alias("label"), "was"))
         done = new.filter("label <> was").isEmpty()
         label = new.select("id", "label")
         if done:
@@ -80,11 +70,11 @@ def reach(edges: DataFrame, max_depth: int) -> DataFrame:
     """(src, dst, depth): everything reachable within max_depth steps, shortest depth. Each
     step joins the frontier alone and drops pairs already known."""
     e = edges.select("src", "dst").distinct()
-    known = _kept(e.withColumn("depth", F.lit(1)))
+    known = kept(e.withColumn("depth", F.lit(1)))
     front = known
     for d in range(2, max_depth + 1):
         nxt = front.select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), F.col("dst").alias("to")), "mid").select("src", F.col("to").alias("dst")).distinct()
-        front = _kept(nxt.join(known, ["src", "dst"], "left_anti").withColumn("depth", F.lit(d)))
+        front = kept(nxt.join(known, ["src", "dst"], "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
             break
         known = known.unionByName(front)

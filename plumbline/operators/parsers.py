@@ -130,7 +130,22 @@ def fortran(path: str, content: str) -> Iterator[Row]:
                 yield "variable", name, top(), f"{re.sub(r'\s+', ' ', m[1].lower())} {array}"
 
 
-PARSERS: dict[str, Callable[[str, str], Iterator[Row]]] = {"cobol": cobol, "perl": perl, "fortran": fortran}
+def constructs(path: str, content: str) -> Iterator[Row]:
+    """COBOL constructs that tell how involved a paragraph is."""
+    kinds = {"exec_cics": r"(?i)\bEXEC\s+CICS\b", "exec_sql": r"(?i)\bEXEC\s+SQL\b", "evaluate": r"(?i)^\s*EVALUATE\b", "when": r"(?i)^\s*WHEN\b(?!\s+OTHER)", "goto": r"(?i)\bGO\s+TO\b"}
+    fn = ""
+    for raw in content.split("\n"):
+        if raw[6:7] in ("*", "/"):
+            continue
+        x = raw[6:] if re.match(r"^[ \d]{6}", raw) else raw
+        if (m := re.match(r"(?i)^\s{1,4}(\w[\w-]*)(\s+SECTION)?\.\s*$", x)) and m[1].upper() not in KEYWORDS:
+            fn = m[1]
+        for kind, pattern in kinds.items():
+            if fn and re.search(pattern, x):
+                yield "construct", kind, fn, ""
+
+
+PARSERS: dict[str, Callable[[str, str], Iterator[Row]]] = {"cobol": cobol, "perl": perl, "fortran": fortran, "cobol_constructs": constructs}
 
 
 def parse(files: DataFrame, language: str) -> DataFrame:
@@ -147,3 +162,17 @@ def parse(files: DataFrame, language: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "ord", "record", "name", "parent", "detail"])
 
     return files.select("path", F.col("content").cast("string").alias("content")).mapInPandas(run, "path string, ord long, record string, name string, parent string, detail string")
+
+
+def construct_counts(parsed: DataFrame) -> DataFrame:
+    """(path, function, a count of each construct) from records of ``cobol_constructs``."""
+    n = lambda k: F.count_if(F.col("name") == k).alias(k)
+    return parsed.filter("record = 'construct'").groupBy("path", F.col("parent").alias("function")).agg(n("exec_cics"), n("exec_sql"), n("evaluate"), n("when"), n("goto"))
+
+
+def imported(parsed: DataFrame) -> DataFrame:
+    """(path, unit, module, name): the variables that a Fortran unit gets from the modules it
+    uses, names compared in any case."""
+    uses = parsed.filter("record = 'dependency'").select("path", F.col("parent").alias("unit"), F.upper("name").alias("_m"))
+    own = parsed.filter("record = 'variable'").select(F.upper("parent").alias("_m"), F.col("parent").alias("module"), "name").distinct()
+    return uses.distinct().join(own, "_m").select("path", "unit", "module", "name")

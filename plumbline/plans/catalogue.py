@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.operators import diff, fingerprint, fixtures, gates, graph, parsers, pii, telemetry, vectors
+from plumbline.operators import copybooks, diff, fingerprint, fixtures, gates, graph, parsers, pii, review, telemetry, vectors, windows
 from plumbline.plans import samples
 from plumbline.streaming import run_state
 
@@ -177,10 +177,15 @@ def table_diff_summary(spark, d):
     return diff.diff_summary(diff.row_diff(b, orders_after(b), ["k"]).withColumn("part", F.col("k") % 7), ["part"])
 
 
-@query("""SELECT 'nation' AS tbl, count(*) AS n_rows, sha256(string_agg(h, '' ORDER BY h)) AS content_hash FROM (SELECT sha256(concat_ws('|', n_nationkey, n_name, n_regionkey)) AS h FROM nation)
- UNION ALL SELECT 'region', count(*), sha256(string_agg(h, '' ORDER BY h)) FROM (SELECT sha256(concat_ws('|', r_regionkey, r_name)) AS h FROM region)""")
+CONTENT = "sha256(concat_ws(',', " + ", ".join(f"CAST(sum(CAST('0x' || substr(h, {15 * i + 1}, 15) AS BIGINT)) AS VARCHAR)" for i in range(4)) + "))"
+
+
+@query(f"""SELECT 'nation' AS tbl, count(*) AS n_rows, {CONTENT} AS content_hash FROM (SELECT sha256(concat_ws('|', n_nationkey, n_name, n_regionkey)) AS h FROM nation)
+ UNION ALL SELECT 'region', count(*), {CONTENT} FROM (SELECT sha256(concat_ws('|', r_regionkey, r_name)) AS h FROM region)
+ UNION ALL SELECT 'orders', count(*), {CONTENT} FROM (SELECT sha256(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)) AS h FROM orders)""")
 def table_content_hash(spark, d):
-    return diff.all_tables([diff.table_hash(read(spark, d, t), t) for t in ("nation", "region")])
+    orders = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return diff.all_tables([diff.table_hash(read(spark, d, t), t) for t in ("nation", "region")] + [diff.table_hash(orders, "orders")])
 
 
 DOCS = """o AS (SELECT 'doc/' || doc_id AS path, sha256(coalesce(text, '')) AS hash, doc_id FROM documents),
@@ -225,9 +230,9 @@ def dedup_objects(spark, d):
 
 def docs_deps(df):
     """A document depends on the one before it of the same source."""
-    w = W.partitionBy("source").orderBy("doc_id")
-    path = lambda c: F.concat(F.lit("doc/"), c.cast("string"))
-    return df.select(path(F.col("doc_id")).alias("path"), path(F.lag("doc_id").over(w)).alias("dep_path")).filter("dep_path is not null")
+    path = lambda c: F.concat(F.lit("doc/"), F.col(c).cast("string")).alias
+    p = windows.previous(df.select("source", "doc_id"), "source", "doc_id", "before")
+    return p.filter("before is not null").select(path("doc_id")("path"), path("before")("dep_path"))
 
 
 PRINTS = """h AS (SELECT doc_id, 'doc/' || doc_id AS path, sha256(coalesce(text, '')) AS file_hash, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents),
@@ -411,11 +416,11 @@ def graph_stats(spark, d):
     return graph.stats(*star_graph(spark, d))
 
 
-@query("""WITH RECURSIVE e AS (SELECT doc_id AS a, doc_id + 7 AS b FROM documents WHERE doc_id % 5 < 3 AND doc_id < 400), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
- r AS (SELECT a AS id, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.id) SELECT id, min(c) AS component FROM r GROUP BY id""")
+@query("""WITH p AS (SELECT 'r' || n_regionkey AS c, 'r' || n_regionkey AS id FROM nation UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation
+ UNION SELECT 'r' || n_regionkey, 'c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT 'r' || n_regionkey, 's' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+ SELECT id, min(id) OVER (PARTITION BY c) AS component FROM p""")
 def graph_components(spark, d):
-    e = read(spark, d, "documents").filter("doc_id % 5 < 3 and doc_id < 400").select(F.col("doc_id").alias("src"), (F.col("doc_id") + 7).alias("dst"))
-    return graph.components(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e)
+    return graph.components(*star_graph(spark, d))
 
 
 RING = "e AS (SELECT n_nationkey AS src, (n_nationkey * 3 + 1) % 25 AS dst FROM nation UNION SELECT n_nationkey, n_regionkey FROM nation WHERE n_nationkey % 4 = 0)"
@@ -510,8 +515,9 @@ def name_styles(spark, d):
 @query()
 def line_diff(spark, d):
     """Each document against the one before it of its source, where a line is shared."""
-    w = W.partitionBy("source").orderBy("doc_id")
-    p = read(spark, d, "documents").select("doc_id", F.lag("text").over(w).alias("old"), F.col("text").alias("new"))
+    docs = read(spark, d, "documents")
+    p = windows.previous(docs.select("source", "doc_id"), "source", "doc_id", "before")
+    p = p.join(docs.select("doc_id", F.col("text").alias("new")), "doc_id").join(docs.select(F.col("doc_id").alias("before"), F.col("text").alias("old")), "before")
     p = p.filter(F.col("old").isNotNull() & F.arrays_overlap(F.filter(F.split("old", "\n"), lambda x: x != ""), F.split("new", "\n")))
     return diff.line_diff(p, "doc_id")
 
@@ -527,8 +533,122 @@ for _lang in ("cobol", "perl", "fortran"):
     QUERIES[f"{_lang}_ir"] = _parsed(_lang)
 
 
+def _files(spark, language):
+    return spark.createDataFrame(samples.FILES[language], "path string, content string")
+
+
+@query()
+def cobol_expanded(spark, d):
+    """Sources with their copybooks, parsed."""
+    files = _files(spark, "copy")
+    return parsers.parse(copybooks.expand(files.filter("path like '%.cbl'"), copybooks.library(files))[0], "cobol")
+
+
+@query()
+def copybook_warnings(spark, d):
+    files = _files(spark, "copy")
+    return copybooks.expand(files.filter("path like '%.cbl'"), copybooks.library(files))[1]
+
+
+@query()
+def cobol_constructs(spark, d):
+    return parsers.construct_counts(parsers.parse(_files(spark, "copy").filter("path like '%.cbl'"), "cobol_constructs"))
+
+
+@query()
+def fortran_imports(spark, d):
+    return parsers.imported(parsers.parse(_files(spark, "fortran"), "fortran"))
+
+
+@query()
+def source_metrics(spark, d):
+    one = lambda k: review.source_metrics(_files(spark, k), parsers.parse(_files(spark, k), k)).withColumn("language", F.lit(k))
+    return one("cobol").unionByName(one("perl")).unionByName(one("fortran"))
+
+
 @query("""SELECT 'fn:A.main' AS src, 'fn:A.helper' AS dst, 'calls' AS kind UNION ALL SELECT 'fn:A.main', 'fn:B.shared', 'call' UNION ALL SELECT 'fn:A.main', 'fn:A.nowhere', 'goto'""")
 def callees_one_hop(spark, d):
     f = spark.createDataFrame([("A", "main", ["helper", "CALL:shared", "GOTO:nowhere"]), ("A", "helper", []), ("B", "shared", ["helper"]), ("C", "shared", [])], "module string, name string, calls array<string>")
     none = spark.createDataFrame([], "module string, name string")
     return graph.build(f, none, none)[1].filter("src = 'fn:A.main' and kind <> 'contains'").select("src", "dst", "kind")
+
+
+# ---- reviews and reports --------------------------------------------------------------
+
+
+def _score(phrases):
+    return " + ".join(f"CAST(contains(lower(coalesce(text, '')), '{p}') AS INT)" for p in phrases)
+
+
+@query(f"""WITH s AS (SELECT doc_id, {_score(review.POSITIVE)} AS positive, {_score(review.NEGATIVE)} AS negative FROM documents)
+ SELECT *, CASE WHEN positive + negative > 0 THEN positive > negative END AS equivalent FROM s""")
+def verdict_scores(spark, d):
+    return review.verdict(read(spark, d, "documents").select("doc_id", "text"), "text").drop("text")
+
+
+ERROR = "event_type || CASE event_id % 9 WHEN 0 THEN ': 429 tokens per day' WHEN 1 THEN ': 429' WHEN 2 THEN ': Bad Gateway' WHEN 3 THEN ': 404' WHEN 4 THEN ': status 503' ELSE ': reset' END"
+
+
+@query(f"""WITH e AS (SELECT event_id, {ERROR} AS m FROM events)
+ SELECT event_id, CASE WHEN m LIKE '%429%' THEN m NOT LIKE '%tokens per day%' WHEN m LIKE '%Bad Gateway%' OR m LIKE '%503%' THEN true ELSE m NOT LIKE '%404%' END AS retry FROM e""")
+def retry_classes(spark, d):
+    return read(spark, d, "events").select("event_id", S.is_retryable(F.expr(ERROR)).alias("retry"))
+
+
+SCORED = "i AS (SELECT d.source, d.doc_id, coalesce(CAST(quality AS DOUBLE), CAST(0.5 AS DOUBLE)) AS score FROM documents d LEFT JOIN labels USING (doc_id)), r AS (SELECT *, CASE WHEN score >= 0.75 THEN 'approved' ELSE 'pending' END AS status FROM i)"
+
+
+def review_items(spark, d):
+    scores = read(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("score"))
+    return review.scored(read(spark, d, "documents").select("source", "doc_id"), scores, "doc_id", F.lit(0.5), 0.75)
+
+
+@query(f"WITH {SCORED} SELECT source, doc_id, score, status FROM r")
+def review_scores(spark, d):
+    return review_items(spark, d).select("source", "doc_id", "score", "status")
+
+
+@query(f"WITH {SCORED} SELECT source, count(*) AS total, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'regenerated') AS regenerated, count(*) FILTER (status = 'pending') AS pending FROM r GROUP BY source")
+def review_report(spark, d):
+    return review.summary(review_items(spark, d), ["source"])
+
+
+UPPER = "translate({}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+MENTIONS = f"""n AS (SELECT DISTINCT upper(regexp_extract(text, '^[^A-Za-z0-9_-]*([A-Za-z0-9_-]+)', 1)) AS name FROM benchmark WHERE text IS NOT NULL),
+ w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all({UPPER.format('text')}, '[A-Z0-9_-]+')) AS name FROM documents), f AS (SELECT doc_id, name FROM w JOIN n USING (name))"""
+
+
+def doc_mentions(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    names = read(spark, d, "benchmark").filter("text is not null").select(F.regexp_extract("text", "^[^A-Za-z0-9_-]*([A-Za-z0-9_-]+)", 1).alias("name"))
+    return docs, review.mentions(names, docs, "doc_id", "text")
+
+
+@query(f"WITH {MENTIONS} SELECT doc_id, name FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY name) AS r FROM f) WHERE r <= 8")
+def type_mentions(spark, d):
+    return review.first_mentions(doc_mentions(spark, d)[1], "doc_id", 8)
+
+
+@query(f"""WITH {MENTIONS}, o AS (SELECT name, min(doc_id) AS doc_id FROM f GROUP BY name), l AS (SELECT name, doc_id, string_split(text, chr(10)) AS lines FROM o JOIN documents USING (doc_id)),
+ p AS (SELECT *, list_position(list_transform(lines, lambda x: list_contains(regexp_extract_all({UPPER.format('x')}, '[A-Z0-9_-]+'), name)), true) AS i FROM l)
+ SELECT name, doc_id, sha256(array_to_string(lines[greatest(i - 5, 1):i + 19], chr(10))) AS snippet FROM p""")
+def name_snippets(spark, d):
+    docs, found = doc_mentions(spark, d)
+    return review.snippets(found, docs, "doc_id", "text").withColumn("snippet", S.sha256(F.col("snippet")))
+
+
+@query(f"{CLASSES} SELECT 0 AS part, class || ': ' || count(*) AS line FROM x GROUP BY class UNION ALL SELECT 1, class || ' ' || path FROM x WHERE class <> 'unchanged'")
+def incremental_report(spark, d):
+    return review.incremental_report(fingerprint.classify(*previous(spark, d)))
+
+
+@query(f"""WITH {DOCS}, j AS (SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.hash <> n.hash THEN 'modified' END AS change FROM o FULL JOIN n ON o.path = n.path),
+ k AS (SELECT * FROM j WHERE change IS NOT NULL) SELECT 0 AS part, change || ': ' || count(*) AS line FROM k GROUP BY change UNION ALL SELECT 1, CASE change WHEN 'added' THEN '+' WHEN 'removed' THEN '-' ELSE '~' END || ' ' || path FROM k""")
+def diff_report(spark, d):
+    b = docs_before(spark, d)
+    return review.diff_report(diff.file_diff(hashed(b), hashed(docs_after(b))))
+
+
+@query(f"{GATES} SELECT source, ord, rpad(upper(status), 8, ' ') || ' ' || gate || ' (' || severity || ')' AS line FROM s")
+def gates_report(spark, d):
+    return review.gates_report(gates.evaluate(doc_metrics(spark, d), "source", doc_gates()), "source")

@@ -77,4 +77,33 @@ contains
   end function norm
 end module linear
 """
-FILES = {"cobol": [("src/payroll.cbl", COBOL)], "perl": [("lib/Cart.pm", PERL)], "fortran": [("src/linear.f90", FORTRAN)]}
+COPYING = """\
+       IDENTIFICATION DIVISION.
+       PROGRAM-ID. BILLING.
+       DATA DIVISION.
+       WORKING-STORAGE SECTION.
+      * COPY NOTHING.
+           COPY RECORD REPLACING LEADING ==PRE== BY ==BILL==
+               ==SIZE-N== BY ==12==.
+           COPY DFHAID.
+       PROCEDURE DIVISION.
+       MAIN-PARA.
+           EVALUATE TRUE
+             WHEN BILL-OPEN GO TO FINISH
+             WHEN OTHER CONTINUE
+           END-EVALUATE.
+           EXEC SQL SELECT 1 END-EXEC.
+       FINISH.
+           STOP RUN.
+"""
+RECORD = """\
+       01 PRE-RECORD.
+          05 PRE-NAME PIC X(SIZE-N).
+           COPY money.
+"""
+MONEY = """\
+          05 PAID PIC 9(5)V99."""
+FILES = {
+    "copy": [("src/billing.cbl", COPYING), ("src/copybooks/record.cpy", RECORD), ("src/copybooks/MONEY.cpy", MONEY)],
+    "cobol": [("src/payroll.cbl", COBOL)], "perl": [("lib/Cart.pm", PERL)], "fortran": [("src/linear.f90", FORTRAN)],
+}

@@ -47,6 +47,25 @@ def save_state(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+PACK = "pass boolean, fixture_count long, pass_count long, fail_count long, started_at timestamp, ended_at timestamp, results array<struct<name:string,kind:string,correlation_id:string,diff:struct<pass:boolean,kind:string,reason:string>>>, _bad string"
+
+
+def proof_packs(spark: SparkSession, *roots: str) -> DataFrame:
+    """Every summary.json below the roots, a row each, newest first by ``started_at`` when
+    sorted; bad ones are left out. The id is the start of the hash of the pack's folder."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "summary.json").text(list(roots), wholetext=True)
+    folder = F.regexp_replace(F.url_decode(F.regexp_replace("_metadata.file_path", r"^file:/*", "/")), "/[^/]*$", "")
+    rows = raw.select(folder.alias("dir"), F.from_json("value", PACK, {"columnNameOfCorruptRecord": "_bad"}).alias("p")).filter("p is not null and p._bad is null")
+    millis = (F.unix_millis("p.ended_at") - F.unix_millis("p.started_at")).alias("millis")
+    return rows.select(F.substring(F.sha2(F.col("dir").cast("binary"), 256), 1, 16).alias("id"), "dir", "p.pass", "p.fixture_count", "p.pass_count", "p.fail_count", "p.started_at", "p.ended_at", millis, "p.results")
+
+
+def pack_fixtures(packs: DataFrame) -> DataFrame:
+    """A row for each result of each pack."""
+    r = packs.select("id", F.explode("results").alias("r"))
+    return r.select("id", "r.name", "r.kind", "r.correlation_id", F.col("r.diff.pass").alias("pass"), F.col("r.diff.kind").alias("diff_kind"), F.col("r.diff.reason").alias("diff_reason"))
+
+
 def put_objects(objects: DataFrame, path: str) -> None:
     """Appends content-addressed objects, a folder for each prefix."""
     objects.write.mode("append").partitionBy("prefix").parquet(path)

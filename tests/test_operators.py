@@ -1,8 +1,9 @@
 """Operators on small hand-made rows."""
 
 from plumbline.functions import scalars as S
-from plumbline.operators import diff, fixtures, graph, parsers, pii
+from plumbline.operators import copybooks, diff, fixtures, graph, parsers, pii, review, windows
 from plumbline.plans import samples
+from plumbline.sources import io
 from pyspark.sql import functions as F
 
 
@@ -70,3 +71,57 @@ def test_nested_pii(spark):
     assert rows[1]["a"]["b"] == ["x", None, "[REDACTED:ssn]"] and rows[1]["a"]["n"] == 5 and rows[1]["m"]["k"]["c"] == "is [REDACTED:ssn]"
     assert rows[2]["a"] is None and rows[2]["m"] is None and rows[3]["m"] == {"k": None}
     assert pii.detect_nested(df.select("id"), ["id"]).count() == 0
+
+
+def test_copy_expansion(spark):
+    files = spark.createDataFrame(samples.FILES["copy"] + [("src/loop.cpy", "X ==A== COPY LOOP."), ("src/self.cbl", "COPY LOOP.\nEND"), ("src/empty.cbl", None)], "path string, content string")
+    out, told = copybooks.expand(files.filter("path like '%.cbl'"), copybooks.library(files))
+    text = {r["path"]: r["content"] for r in out.collect()}
+    lines = text["src/billing.cbl"].split("\n")
+    assert lines[4:9] == ["      * COPY NOTHING.", "       01 BILL-RECORD.", "          05 BILL-NAME PIC X(12).", "          05 PAID PIC 9(5)V99.", ""]
+    assert lines[9] == "      *    COPY DFHAID." and text["src/empty.cbl"] == ""
+    assert text["src/self.cbl"] == "X ==A== COPY LOOP.\nEND"
+    assert {(r["path"], r["book"]) for r in told.collect()} == {("src/billing.cbl", "DFHAID"), ("src/self.cbl", "LOOP")}
+    assert copybooks.replace_words("  A-PRE PRE-A. pre-b X-PRE.", [["TRAILING", "-PRE", "-Z"], ["LEADING", "PRE-", "Q-"], ["", "", "!"]]) == "  A-Z Q-A. Q-b X-Z."
+    got = parsers.construct_counts(parsers.parse(files.filter("path = 'src/billing.cbl'"), "cobol_constructs")).collect()
+    assert [tuple(r)[1:] for r in got] == [("MAIN-PARA", 0, 1, 1, 1, 1)]
+
+
+def test_previous(spark):
+    rows = [(k, i) for k in ("a", "b", None) for i in range(0, 60, 1 if k == "a" else 7)] + [("a", 1000), ("c", 5)]
+    got = windows.previous(spark.createDataFrame(rows, "k string, i long"), "k", "i", "p", width=10).collect()
+    want = {(k, i): max([j for q, j in rows if q == k and j < i], default=None) for k, i in rows}
+    assert len(got) == len(rows) and {(r["k"], r["i"]): r["p"] for r in got} == want
+
+
+def test_byte_cap(spark):
+    texts = ["a" * 12, "aé" * 6, "日本語テキスト", "😀😀😀😀", "ab😀é日", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in range(4, 14):
+        got = [r[0] for r in df.select(S.byte_cap(F.col("t"), n)).collect()]
+        assert got == [t if t is None else t.encode()[:n].decode(errors="ignore") for t in texts]
+
+
+def test_requests(spark):
+    df = spark.createDataFrame([("429 TPD", 0), ("Too Many Requests", 1), ("502", 1), ("x 403", 1), ("odd", 1), (None, 1)], "e string, n int")
+    assert [r[0] for r in df.select(S.is_retryable(F.col("e"))).collect()] == [False, True, True, False, True, False]
+    assert [r[0] for r in df.select(S.wait_ms(F.col("n"), 25, F.lit(0), F.lit(50_000))).collect()][:2] == [2400, 10_000]
+    told = df.limit(1).select(S.config_warnings(F.lit("p"), F.lit(""), F.lit(2.5), F.lit(-1)).alias("a"), S.config_warnings(F.lit("none"), F.lit(None), F.lit(0.0), F.lit(5)).alias("b")).first()
+    assert len(told["a"]) == 3 and told["b"] == []
+
+
+def test_proof_packs(spark, tmp_path):
+    for name, body in (("a b", '{"pass": true, "fixture_count": 1, "started_at": "2024-01-01T00:00:00Z", "ended_at": "2024-01-01T00:00:02Z", "results": [{"name": "n", "kind": "http", "diff": {"pass": true}}]}'), ("bad", "{oops")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "summary.json").write_text(body)
+    packs = io.proof_packs(spark, str(tmp_path))
+    got = packs.collect()
+    assert [(r["dir"], r["pass"], r["millis"]) for r in got] == [(str(tmp_path / "a b"), True, 2000)] and len(got[0]["id"]) == 16
+    assert [r["name"] for r in io.pack_fixtures(packs).collect()] == ["n"]
+
+
+def test_imports(spark):
+    src = "module consts\n  real :: pi\nend module consts\nsubroutine area(r)\n  use CONSTS\nend subroutine area\n"
+    got = parsers.imported(parsers.parse(spark.createDataFrame([("a.f90", src)], "path string, content string"), "fortran")).collect()
+    assert [tuple(r) for r in got] == [("a.f90", "area", "consts", "pi")]
+    assert review.source_metrics(spark.createDataFrame([], "path string, content string"), spark.createDataFrame([], "record string")).first()["files"] == 0
