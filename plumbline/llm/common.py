@@ -57,6 +57,21 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def packed(docs: DataFrame, *used: str, **made: Column) -> DataFrame:
+    """The columns ``used`` (those that are there) and ``made``; all others as one struct, so
+    that no name among them can clash with an inner column. Without others there is none."""
+    top = [c for c in used if c in docs.columns]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in top]
+    held = [F.struct(*rest).alias("_rest")] if rest else []
+    return docs.select(*top, *held, *[c.alias(n) for n, c in made.items()])
+
+
+def unpacked(df: DataFrame, names: list[str], *made: Column | str) -> DataFrame:
+    """``names`` out of a frame that came from ``packed``, then ``made``."""
+    inner = set(df.schema["_rest"].dataType.names) if "_rest" in df.columns else set()
+    return df.select(*[F.col("_rest")[c].alias(c) if c in inner else F.col(c) for c in names], *made)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only; ``lower`` would also change other letters."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

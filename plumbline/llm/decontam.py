@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import stored
+from .common import packed, stored, unpacked
 
 WINDOW = 10
 NEAR = 8
@@ -142,14 +142,15 @@ def matches(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def judged(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The columns of ``docs`` but text, n_words, n_hit, items, n_near, contaminated."""
-    rows, found = matches(docs, items)
+    made = ("n_words", "n_hit", "items", "n_near", "contaminated")
+    names = [c for c in docs.columns if c not in made and c != "text"]
+    rows, found = matches(packed(docs.drop(*made), "doc_id", "text"), items)
     span = F.when(F.col("exact"), F.struct("start", "end"))
     by_row = found.groupBy("_row").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_distinct(F.flatten(F.collect_set(F.when(F.col("exact"), F.col("items"))))).alias("items"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("near"))
     hit = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["to"]))).alias("n"), F.greatest(a["to"], s["end"]).alias("to")), lambda a: a["n"])
     out = rows.join(by_row, "_row", "left")
     none = F.array().cast("array<string>")
-    names = [c for c in rows.columns if c not in ("_row", "n_words", "n_hit", "items", "n_near", "contaminated")]
-    return out.select(*names, "n_words", F.coalesce(hit, F.lit(0)).cast("long").alias("n_hit"), F.array_sort(F.coalesce("items", none)).alias("items"), (F.size(F.coalesce("near", none)) - F.size(F.coalesce("items", none))).cast("long").alias("n_near")).withColumn("contaminated", F.col("n_hit") > 0)
+    return unpacked(out, names, "n_words", F.coalesce(hit, F.lit(0)).cast("long").alias("n_hit"), F.array_sort(F.coalesce("items", none)).alias("items"), (F.size(F.coalesce("near", none)) - F.size(F.coalesce("items", none))).cast("long").alias("n_near")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def digests(found: DataFrame) -> DataFrame:

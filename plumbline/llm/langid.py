@@ -124,11 +124,11 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Network | None:
 
 
 def predict(docs: DataFrame, net: Network | None, keep: list[str], batch: int = 192) -> DataFrame:
-    """``keep``, lang_pred and score for every row."""
+    """``keep``, lang_pred and score for every row; kept columns of these names are replaced."""
     spark = docs.sparkSession
     said = spark.sparkContext.broadcast(net)
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    source = docs.select(*keep, F.col("text").alias("_text"))
+    source = docs.select(F.struct(*keep).alias("kept"), "text")
+    schema = T.StructType([source.schema["kept"]] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = said.value
@@ -136,7 +136,7 @@ def predict(docs: DataFrame, net: Network | None, keep: list[str], batch: int =
         for whole in batches:
             for first in range(0, whole.num_rows, 512):
                 b = whole.slice(first, 512)
-                texts = b.column(len(keep)).to_pylist()
+                texts = b.column(1).to_pylist()
                 ok = [i for i, t in enumerate(texts) if model and has_letter(t)]
                 lang, score = [UND] * len(texts), [0.0] * len(texts)
                 if ok:
@@ -152,9 +152,10 @@ def predict(docs: DataFrame, net: Network | None, keep: list[str], batch: int =
                     total /= total.sum(1, keepdims=True)
                     for i, q in zip(ok, total):
                         lang[i], score[i] = model.langs[int(q.argmax())], float(min(1.0, q.max()))
-                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(lang), pa.array(score)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang), pa.array(score)], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    names = [c for c in keep if c not in ("lang_pred", "score")]
+    return source.mapInArrow(run, schema).select(*[F.col("kept")[c].alias(c) for c in names], "lang_pred", "score")
 
 
 def held_out(doc_id: Column) -> Column:

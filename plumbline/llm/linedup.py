@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored
+from .common import packed, stored, unpacked
 
 ROLL = 2
 EVERY = 3
@@ -87,9 +87,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated chunks taken out of ``text``; adds ``n_chunks_removed``."""
     lowest = F.lit(-(2**63)).cast("long")
     gone = stored(repeated_chunks(docs).groupBy("_doc").agg(F.collect_set(F.struct("_at", "_h1")).alias("_gone")))
-    names = [c for c in docs.columns if c not in ("n_chunks_removed", "_doc", "_gone")]
-    rows = docs.select(*names, F.coalesce("doc_id", lowest).alias("_doc")).join(gone.hint("merge"), "_doc", "left")
+    names = [c for c in docs.columns if c != "n_chunks_removed"]
+    rows = packed(docs.drop("n_chunks_removed"), "doc_id", "text", _doc=F.coalesce("doc_id", lowest)).join(gone.hint("merge"), "_doc", "left")
     kept = F.filter(chunks(F.col("text")), lambda c: ~F.array_contains(F.col("_gone"), F.struct(c["at"].alias("_at"), F.xxhash64(c["body"]).alias("_h1"))))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["body"]), "\n"))
-    out = [text.alias("text") if c == "text" else F.col(c) for c in names]
-    return rows.select(*out, F.when(F.col("text").isNull() | F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long").alias("n_chunks_removed"))
+    removed = F.when(F.col("text").isNull() | F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long")
+    return unpacked(rows.select(*[c for c in rows.columns if c not in ("text", "_doc", "_gone")], text.alias("text"), removed.alias("n_chunks_removed")), names, "n_chunks_removed")

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import stored
+from .common import packed, stored, unpacked
 
 MU = 40.0
 BLOCK_BYTES = 8_000_000
@@ -175,16 +175,18 @@ def _score(parts: int, n: int, v: int, names: list[str], schema: pa.Schema):
 def score(docs: DataFrame, learn: Column) -> DataFrame:
     """The columns of ``docs`` but text; n_tokens, n_known, train_tokens, base_score, score."""
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    names = [c for c in docs.columns if c not in (*made, "text", "block", "train")]
+    own = [c for c in docs.columns if c not in (*made, "text")]
+    docs = packed(docs.drop(*made), "doc_id", "text", train=F.coalesce(learn, F.lit(False)))
+    names = [c for c in docs.columns if c not in ("text", "train")]
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(12, -(-total // BLOCK_BYTES))
     block = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(2)) if not names else F.xxhash64("text", *[docs[c] for c in names[:1]]), F.lit(parts)).cast("int")
-    rows = docs.select(*names, "text", F.coalesce(learn, F.lit(False)).alias("train"), block.alias("block"))
+    rows = docs.select(*names, "text", "train", block.alias("block"))
     asked = rows.select("block", "text", "train").groupBy("block").applyInArrow(_ask(parts), "block int, pid int, keys binary, counts binary, n_words int, start long")
     answers = stored(asked.groupBy("pid").applyInArrow(_answer, "block int, pid int, words binary, arcs binary, n long, v long"))
     n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     types = T.StructType([docs.schema[c] for c in names] + [T.StructField(c, t) for c, t in zip(made, [T.LongType()] * 3 + [T.DoubleType()] * 2)])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(parts, n, v, names, to_arrow_schema(types)), types)
-    return out
+    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(parts, n, v, names, to_arrow_schema(types)), types)
+    return unpacked(scored, own, *made)

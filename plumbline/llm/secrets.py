@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .common import packed, unpacked
+
 SCOPE = 400
 #: The patterns of the strong kinds. A run of 24 or 20 and more characters is
 #: matched as such; this finds the same spans as matching any run and dropping short ones.
@@ -56,7 +58,9 @@ def _candidates(text: Column, kind: str) -> Column:
 
 def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     """Adds ``spans``: array<struct<start, end, kind>> by start, then kind as listed."""
-    keep = [c for c in docs.columns if c not in ("spans", "_row") and c != text]
+    names = [c for c in docs.columns if c not in ("spans", text)]
+    docs = packed(docs.drop("spans"), "doc_id", text)
+    keep = [c for c in docs.columns if c != text]
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), F.concat(*[_candidates(body, k) for k in KINDS]).alias("_c"))
     rows = rows.select(*keep, "_row", F.explode_outer("_c").alias("_c")).repartition("_row")
@@ -73,7 +77,7 @@ def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     told = kind.isin(*STRONG) | (kind == "user") & F.col("_secret") | (kind == "key") & F.col("_id") | (kind == "endpoint") & F.col("_id") & F.col("_secret")
     span = F.when(told, F.struct(F.col("_start").alias("start"), F.col("_order").alias("ord"), F.col("_end").alias("end"), kind.alias("kind")))
     out = rows.groupBy("_row").agg(*[F.first(c).alias(c) for c in keep], F.array_sort(F.collect_list(span)).alias("spans"))
-    return out.select(*keep, F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("spans"))
+    return unpacked(out, names, F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("spans"))
 
 
 def digests(scanned: DataFrame) -> DataFrame:
