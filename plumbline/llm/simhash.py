@@ -15,7 +15,8 @@ forest a partition, and joined into components by distributed star contraction.
 Defined cases: null, empty and wordless texts have fingerprint 0, linked like any other; a
 text of fewer words than a shingle has one shingle; repeated rows share a fingerprint; null
 doc_ids take part but are never a component's id (a component of null ids alone has a null
-id); other columns are ignored by ``near_duplicates`` and kept by ``deduplicate``.
+id); other columns are ignored by ``near_duplicates``. ``deduplicate``, the pipeline's stage,
+takes its candidates from ``minhash`` instead: 3 bits reach a similarity of about 0.97 only.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import stored
+from . import minhash
+from .common import packed, stored, unpacked
 from .graph import star_components
 
 BITS, RADIUS = 64, 3
@@ -166,8 +168,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``docs`` with one row for each group of near copies: that of the smallest doc_id.
+    """``docs`` with one row for each group of near copies, that of the smallest doc_id: texts
+    are near copies where their sets of shingles have a Jaccard similarity of 0.8 or more.
     Rows without a doc_id and repeated rows: only rows of a kept doc_id stay."""
-    found = near_duplicates(docs, shingle)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows = stored(minhash.marked(packed(docs, "doc_id", "text", _row=F.monotonically_increasing_id()), shingle))
+    roots = minhash.components(rows, shingle).hint("merge")
+    rooted = rows.select("doc_id", "_set").join(roots, "_set", "left").select("doc_id", F.coalesce("root", "_set").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    return unpacked(rows.join(kept.hint("merge"), "doc_id", "left_semi"), docs.columns)
