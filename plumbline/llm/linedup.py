@@ -13,6 +13,13 @@ text in the join; a pair shared by different texts is never used.
 Defined cases: a null text stays null; an empty text stays empty; rows with one doc_id are
 versions of one document, so repeated rows keep and lose the same chunks; null doc_ids are
 one document, ordered first; other columns pass through.
+
+A chunk rarely starts and ends with a passage, so ``dedup_passages``, which op9_line_dedup and
+the pipeline use, compares two lines at every line instead of chunks: each line with words and
+the next such line, with the blank lines between, is a run, and of every run but its first
+occurrence all lines go. A repeated passage of two or more lines with words so goes whole, to
+its last line, wherever it stands. Runs are told apart by SHA-256. The first occurrence of a
+line in the corpus always stays; a text that has no word left is empty.
 """
 
 from __future__ import annotations
@@ -93,3 +100,62 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["body"]), "\n"))
     removed = F.when(F.col("text").isNull() | F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long")
     return unpacked(rows.select(*[c for c in rows.columns if c not in ("text", "_doc", "_gone")], text.alias("text"), removed.alias("n_chunks_removed")), names, "n_chunks_removed")
+
+
+def _runs(ls: Column) -> Column:
+    """array<struct<at, to>>: the lines that each run starts and ends with; the last has no end."""
+    wordy = F.filter(F.transform(ls, lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
+    return _let(wordy, lambda at: F.transform(at, lambda i, k: F.struct(i.alias("at"), F.get(at, k + 1).alias("to"))))
+
+
+def _sha(ls: Column, run: Column) -> Column:
+    return F.unhex(F.sha2(F.array_join(F.slice(ls, run["at"] + 1, run["to"] - run["at"] + 1), "\n").cast("binary"), 256))
+
+
+def _mark(at: Column, sha: Column) -> Column:
+    return F.xxhash64(at, sha)
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """(_doc, _mark): the place and text, as one hash, of every run to remove."""
+    lowest = F.lit(-(2**63)).cast("long")
+    made = _let(_lines(F.col("text")), lambda ls: F.transform(F.filter(_runs(ls), lambda r: r["to"].isNotNull()), lambda r: F.struct(r["at"].alias("at"), _sha(ls, r).alias("sha"))))
+    rows = docs.filter(F.col("text").isNotNull()).select(F.coalesce("doc_id", lowest).alias("_doc"), F.explode(made).alias("r")).select("_doc", F.col("r.at").alias("_at"), F.col("r.sha").alias("_sha"))
+    place = F.struct("_doc", "_at")
+    firsts = rows.groupBy("_sha").agg(F.min(place).alias("_keep"), F.max(place).alias("_last"))
+    repeated = stored(firsts.filter("_last > _keep").select("_sha", "_keep"))
+    # neither join's smaller side has a proven bound: they are never broadcast
+    return rows.join(repeated.hint("merge"), "_sha").filter(place > F.col("_keep")).select("_doc", _mark(F.col("_at"), F.col("_sha")).alias("_mark"))
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """``docs`` with every repeated run of lines taken out of ``text``; adds
+    ``n_chunks_removed``, the number of stretches taken out."""
+    lowest = F.lit(-(2**63)).cast("long")
+    gone = stored(repeated_runs(docs).groupBy("_doc").agg(F.collect_set("_mark").alias("_gone")))
+    names = [c for c in docs.columns if c != "n_chunks_removed"]
+    rows = packed(docs.drop("n_chunks_removed"), "doc_id", "text", _doc=F.coalesce("doc_id", lowest)).join(gone.hint("merge"), "_doc", "left")
+
+    def cut(ls: Column, runs: Column) -> Column:
+        out = F.transform(runs, lambda r: F.coalesce(r["to"].isNotNull() & F.array_contains(F.col("_gone"), _mark(r["at"], _sha(ls, r))), F.lit(False)))
+
+        def left(flags: Column) -> Column:
+            flag = lambda k: F.coalesce(F.get(flags, k), F.lit(False))
+
+            def part(r: Column, k: Column) -> Column:
+                """What stays of a line with words and the blank lines after it."""
+                line = F.when(flag(k) | flag(k - 1), F.array().cast("array<string>")).otherwise(F.array(F.get(ls, r["at"])))
+                blank = F.when(flag(k), F.array().cast("array<string>")).otherwise(F.slice(ls, r["at"] + 2, F.coalesce(r["to"], F.size(ls)) - r["at"] - 1))
+                return F.concat(line, blank)
+
+            kept = F.concat(F.slice(ls, F.lit(1), F.get(runs, F.lit(0))["at"]), F.flatten(F.transform(runs, part)))
+            stretches = F.size(F.filter(flags, lambda f, k: f & ~flag(k - 1)))
+            return F.struct(F.array_join(kept, "\n").alias("text"), stretches.alias("n"))
+
+        return _let(out, left)
+
+    made = F.when(F.col("_gone").isNotNull() & F.col("text").isNotNull(), _let(_lines(F.col("text")), lambda ls: _let(_runs(ls), lambda runs: cut(ls, runs))))
+    rows = rows.withColumn("_cut", made)
+    n = F.coalesce(F.col("_cut.n"), F.lit(0)).cast("long")
+    text = F.when(n == 0, F.col("text")).when(F.col("_cut.text").rlike(r"[^\x20\x09-\x0D]"), F.col("_cut.text")).otherwise(F.lit(""))
+    return unpacked(rows.select(*[c for c in rows.columns if c not in ("text", "_doc", "_gone", "_cut")], text.alias("text"), n.alias("n_chunks_removed")), names, "n_chunks_removed")

@@ -36,7 +36,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linedup.dedup_lines(docs).select("doc_id", "n_chunks_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    return linedup.dedup_passages(docs).select("doc_id", "n_chunks_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
