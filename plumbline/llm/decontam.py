@@ -1,10 +1,10 @@
 """Operator 8: benchmark decontamination by a positional inverted index.
 
 Items become windows of ``WINDOW`` words (a shorter item is one window). The corpus counts of
-the items' terms give each window its rarest term. The stored index has one posting for each
-occurrence of such a term: document row, position, and the term ids at the offsets around it
+the items' terms give each window its rarest terms, one more than a near match may lack, so that
+each match holds one of them. The stored index has one posting for each occurrence of such a term: document row, position, and the term ids at the offsets around it
 (``WINDOW`` - 1 on either side), so a posting carries its own offset-adjusted neighbours. A
-window matches where all its terms stand at their offsets from the rarest one (exact phrase);
+window matches where all its terms stand at their offsets from a rarest one (exact phrase);
 ``near`` counts windows of which at least ``NEAR`` of the terms lie around it in any order.
 
 Terms are ids from a block of items of at most ``BLOCK_WORDS`` words, which bounds what goes
@@ -82,25 +82,41 @@ def term_counts(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
     return out
 
 
-def index(docs: DataFrame, vocabulary: dict[bytes, int], pivots: set[int], keep: list[str]) -> DataFrame:
-    """``keep``, n_words and postings array<struct<term, pos, around>> of every row."""
-    said = docs.sparkSession.sparkContext.broadcast((vocabulary, sorted(pivots)))
+def _partners(rows: list[tuple], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each pivot the least number of terms a match of any of its windows has around it
+    (0: no pivot), and the sorted pairs pivot x size + term of the terms of its windows."""
+    need, pairs = np.zeros(size + 1, np.int64), set()
+    for term, _, _, win, _ in rows:
+        own = set(win)
+        least = -(-len(own) * NEAR // WINDOW)
+        need[term] = min(need[term] or least, least)
+        pairs.update(term * size + u for u in own)
+    return need, np.array(sorted(pairs), np.int64)
+
+
+def index(docs: DataFrame, vocabulary: dict[bytes, int], rows: list[tuple], keep: list[str]) -> DataFrame:
+    """``keep``, n_words and postings array<struct<term, pos, around>> of every row. A posting
+    with too few terms of its windows around it to match any of them is left out."""
+    said = docs.sparkSession.sparkContext.broadcast((vocabulary, *_partners(rows, len(vocabulary))))
     posting = T.ArrayType(T.StructType([T.StructField("term", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("around", T.ArrayType(T.IntegerType()))]))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_words", T.LongType()), T.StructField("postings", posting)])
     arrow = pa.list_(pa.struct([("term", pa.int32()), ("pos", pa.int32()), ("around", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, p = said.value
-        pivot = np.zeros(len(v) + 1, bool)
-        pivot[np.array(p, np.int64) + 1] = True
+        v, need, pairs = said.value
         pad = np.full(WINDOW - 1, -1, np.int32)
         for b in batches:
             n, out = [], []
             for t in b.column(b.schema.get_field_index("text")):
                 ids = _ids(v, t.as_py())
                 n.append(len(ids))
-                at = np.flatnonzero(pivot[ids + 1])
+                at = np.flatnonzero(need[ids])  # need[-1], of a word that is no term, is 0
                 padded = np.concatenate((pad, ids, pad))
+                if len(at):
+                    around = np.lib.stride_tricks.sliding_window_view(padded, 2 * WINDOW - 1)[at]
+                    key = ids[at].astype(np.int64)[:, None] * len(v) + around
+                    held = (pairs[np.searchsorted(pairs, key).clip(max=len(pairs) - 1)] == key) & (around >= 0)
+                    at = at[held.sum(1) >= need[ids[at]]]
                 out.append([{"term": int(ids[i]), "pos": int(i), "around": padded[i : i + 2 * WINDOW - 1].tolist()} for i in at])
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in keep], pa.array(n, pa.int64()), pa.array(out, arrow)], names=[*keep, "n_words", "postings"])
 
@@ -114,10 +130,13 @@ def _block_matches(docs: DataFrame, block: list, keep: list[str]) -> tuple[DataF
     n = term_counts(docs, vocabulary) if vocabulary else np.zeros(0, np.int64)
     rows = []
     for w, items in windows.items():
-        off = min(range(len(w)), key=lambda i: (n[w[i]], w[i]))
-        if n[w[off]]:
-            rows.append((int(w[off]), off, len(w), list(w), sorted(str(x) for x in items if x is not None)))
-    rows_index = stored(index(docs, vocabulary, {r[0] for r in rows}, keep))
+        # a near match lacks at most ``lacks`` of the terms, so it holds one of the rarest lacks + 1
+        rarest = sorted(set(w), key=lambda t: (n[t], t))
+        lacks = len(rarest) * (WINDOW - NEAR) // WINDOW
+        for t in rarest[: lacks + 1]:
+            if n[t]:
+                rows.append((int(t), w.index(t), len(w), list(w), sorted(str(x) for x in items if x is not None)))
+    rows_index = stored(index(docs, vocabulary, rows, keep))
     wins = spark.createDataFrame(rows, "term int, off int, len int, win array<int>, items array<string>")
     by_term = wins.groupBy("term").agg(F.collect_list(F.struct("off", "len", "win", "items")).alias("wins"))
     posted = rows_index.select("_row", F.explode("postings").alias("p")).select("_row", "p.term", "p.pos", "p.around")
@@ -153,5 +172,5 @@ def judged(docs: DataFrame, items: DataFrame) -> DataFrame:
     return unpacked(out, names, "n_words", F.coalesce(hit, F.lit(0)).cast("long").alias("n_hit"), F.array_sort(F.coalesce("items", none)).alias("items"), (F.size(F.coalesce("near", none)) - F.size(F.coalesce("items", none))).cast("long").alias("n_near")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def digests(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+def digests(found: DataFrame, *more: str) -> DataFrame:
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", *more)

@@ -55,7 +55,7 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontam.digests(decontam.judged(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")))
+    return decontam.digests(decontam.judged(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")), "n_near")
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
