@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -57,19 +58,23 @@ def line_counts(text: Column) -> Column:
 
 def edit_script(old: list[str], new: list[str]) -> list[tuple[str, str]]:
     """Lines as kept, removed or added, by the longest common subsequence; of equally long
-    ones that which adds later lines first when read backwards."""
+    ones that which adds later lines first when read backwards. The table holds only lines that
+    both sides have, since no other line is ever in the subsequence."""
     m, n = len(old), len(new)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i, x in enumerate(old):
+    both = set(old) & set(new)
+    a, b = [x for x in old if x in both], [y for y in new if y in both]
+    p, q = ([0, *accumulate(x in both for x in side)] for side in (old, new))
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
         row, prev = best[i + 1], best[i]
-        for j, y in enumerate(new):
+        for j, y in enumerate(b):
             row[j + 1] = prev[j] + 1 if x == y else max(prev[j + 1], row[j])
     out, i, j = [], m, n
     while i or j:
         if i and j and old[i - 1] == new[j - 1]:
             i, j = i - 1, j - 1
             out.append((" ", old[i]))
-        elif j and (not i or best[i][j - 1] >= best[i - 1][j]):
+        elif j and (not i or best[p[i]][q[j - 1]] >= best[p[i - 1]][q[j]]):
             j -= 1
             out.append(("+", new[j]))
         else:

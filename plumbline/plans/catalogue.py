@@ -514,11 +514,10 @@ def name_styles(spark, d):
 
 @query()
 def line_diff(spark, d):
-    """Each document against the one before it of its source, where a line is shared."""
+    """Each document against the one before it of its source; a null text has no lines but one empty."""
     docs = read(spark, d, "documents")
     p = windows.previous(docs.select("source", "doc_id"), "source", "doc_id", "before")
     p = p.join(docs.select("doc_id", F.col("text").alias("new")), "doc_id").join(docs.select(F.col("doc_id").alias("before"), F.col("text").alias("old")), "before")
-    p = p.filter(F.col("old").isNotNull() & F.arrays_overlap(F.filter(F.split("old", "\n"), lambda x: x != ""), F.split("new", "\n")))
     return diff.line_diff(p, "doc_id")
 
 
