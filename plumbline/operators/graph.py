@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .storage import kept
@@ -66,13 +68,13 @@ def module_edges(edges: DataFrame) -> DataFrame:
     return edges.select(m("src").alias("src"), m("dst").alias("dst")).filter("src <> dst").distinct()
 
 
-def reach(edges: DataFrame, max_depth: int) -> DataFrame:
-    """(src, dst, depth): everything reachable within max_depth steps, shortest depth. Each
-    step joins the frontier alone and drops pairs already known."""
+def reach(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(src, dst, depth): everything reachable within max_depth steps (None: any number of
+    steps, until no new pair is found), shortest depth. Each step joins the frontier alone and drops pairs already known."""
     e = edges.select("src", "dst").distinct()
     known = kept(e.withColumn("depth", F.lit(1)))
     front = known
-    for d in range(2, max_depth + 1):
+    for d in count(2) if max_depth is None else range(2, max_depth + 1):
         nxt = front.select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), F.col("dst").alias("to")), "mid").select("src", F.col("to").alias("dst")).distinct()
         front = kept(nxt.join(known, ["src", "dst"], "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
@@ -81,8 +83,8 @@ def reach(edges: DataFrame, max_depth: int) -> DataFrame:
     return known
 
 
-def on_cycle(edges: DataFrame, max_depth: int) -> DataFrame:
-    """Nodes that lie on a cycle of at most max_depth edges."""
+def on_cycle(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Nodes that lie on a cycle of at most max_depth edges (None: on any cycle)."""
     return reach(edges, max_depth).filter("src = dst").select(F.col("src").alias("id"), F.col("depth").alias("length"))
 
 
