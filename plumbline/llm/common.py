@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # The word separators of most operators: ASCII space and the controls 9 to 13.
@@ -20,11 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where
-    that is unset (local mode, tests) a temporary folder of this process."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is
+    unset a temporary folder of this process, which only a local master may use."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="plumbline-"))
     return f"file://{_own_dir[0]}"
@@ -79,3 +85,34 @@ def ascii_lower(c: Column) -> Column:
 
 def crc_mod(c: Column, m: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % m
+
+
+def blocks(docs: DataFrame, size: int, text: str, make: Callable[[int, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Cuts each partition's rows into blocks of about ``size`` bytes of ``text`` (a longer text
+    is a block of its own) and gives what ``make`` returns for (number, rows). A block's number
+    is its partition's and its place there; store the result before using the number twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, held, n = TaskContext.get().partitionId() << 32, [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal number, held, n
+            if held:
+                yield from make(number, pa.Table.from_batches(held)).to_batches()
+                number, held, n = number + 1, [], 0
+
+        for b in batches:
+            column, first = b.column(b.schema.get_field_index(text)), 0
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+            for i, k in enumerate(sizes):
+                if n and n + k > size:
+                    held.append(b.slice(first, i - first))
+                    first = i
+                    yield from done()
+                n += k
+            held.append(b.slice(first))
+        yield from done()
+
+    return docs.mapInArrow(run, schema)

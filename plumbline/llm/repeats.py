@@ -7,54 +7,67 @@ A string of ``K`` bytes holds ``K - G + 1`` grams of ``G`` bytes. The places of
 gram hash of each such string are anchors: equal strings have equal anchors at equal offsets,
 so all places of a string meet in the shard that owns its anchor's gram.
 
-1. Rows are dealt to blocks by a hash. Each block sends every distinct anchor hash once to
-   the shard that owns it, which answers whether another document has it too.
+0. Rows are cut into blocks, stored once with the places of their anchors; every later step
+   reads these and only hashes the anchors' own grams again.
+1. Each block sends every distinct anchor hash once to the shard that owns it, which answers
+   whether another document has it too.
 2. For shared anchors, each block sends the distinct contexts (all bytes of any string that
    holds the anchor) with the smallest doc_id to the shard that owns the gram.
-3. A context that agrees with no other on its gram and half of a side repeats only as a
-   whole, which its smallest doc_id settles. The shard's text is its other distinct contexts, each ended by a separator. Its suffixes come in
-   order, with common prefixes up to ``K``; a run of ``K`` is one string, and its smallest
-   doc_id goes back to every start in it.
+3. A context that agrees with no other on its gram and enough of its sides repeats only as a
+   whole, which its smallest doc_id settles. The shard's text is its other distinct contexts,
+   each ended by a separator. Its suffixes come in order, with common prefixes up to ``K``; a
+   run of ``K`` is one string, and its smallest doc_id goes back to every start in it.
 4. Each block marks the starts whose smallest doc_id is below its own document's, and removes
    every byte they cover.
 
 A passage in a third of all documents is one context a block; nothing is capped or broadcast.
+A block looks only at the shards that it sends to, so the work follows the input's size.
 
 Defined cases: null text counts as empty; texts under ``K`` bytes lose nothing; rows with one
 doc_id are one document and never remove each other's bytes; null doc_ids come after all
-others; other columns are ignored.
+others; doc_id is of an integer type or casts to long; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import drop_folder, shared_dir, stored
+from .common import blocks, drop_folder, shared_dir, stored
 from .suffixes import Spill, sorted_suffixes
 
 K, G = 50, 24
 SIDE = K - G  # bytes of context on either side of an anchor's gram
-BLOCK_BYTES = 5_000_000
+BLOCK_BYTES = 8_000_000
+SHARD_BYTES = 16_000_000  # of text a shard's anchors come from
+QUEUE_BYTES, NAME_BYTES = 16_000_000, 256_000_000  # of a sort in memory (see Spill)
+ANCHOR_BYTES = 16  # of text a byte of packed anchors stands for, about
+STEP = 1 << 16  # places hashed at a time, so that the arrays stay in the processor's cache
 LAST = np.iinfo(np.int64).max
 
 
+def _mixed(words: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each G bytes, given as three 64-bit words."""
+    x = words[0] * np.uint64(0x9E3779B97F4A7C15)
+    for w, c in zip(words[1:], (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)):
+        x = (x ^ (x >> np.uint64(31))) + w * np.uint64(c)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(29))
+
+
 def gram_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of the G bytes from every place (beyond the end: of zero bytes)."""
+    """The hash of the G bytes from every place (beyond the end: of zero bytes)."""
     n = len(data)
     raw = data + b"\0" * (G + 16)
     word = np.empty(n + G, np.uint64)
     for k in range(8):
         word[k::8] = np.frombuffer(raw, "<u8", len(word[k::8]), k)
-    x = word[:n] * np.uint64(0x9E3779B97F4A7C15)
-    for i, c in ((8, 0xC2B2AE3D27D4EB4F), (16, 0x165667B19E3779F9)):
-        x = (x ^ (x >> np.uint64(31))) + word[i : i + n] * np.uint64(c)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return x ^ (x >> np.uint64(29))
+    return _mixed([word[i : i + n] for i in (0, 8, 16)])
 
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -69,58 +82,100 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return x
 
 
+def anchors(data: bytes, sizes: np.ndarray) -> np.ndarray:
+    """The places of the smallest gram hash of each K bytes inside one text (all of equals);
+    ``data`` holds texts of ``sizes`` one after the other."""
+    whole = np.repeat(np.tile([True, False], len(sizes)), np.stack([np.maximum(sizes - K + 1, 0), np.minimum(sizes, K - 1)], 1).ravel())
+    found, wide = [np.zeros(0, np.int64)], K - G
+    for a in range(0, len(data), STEP):
+        first, last = max(0, a - wide), min(len(data), a + STEP + wide)
+        h = gram_hashes(data[first : last + G])[: last - first]
+        rank = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)  # never 0
+        low = _sliding(rank, wide + 1, np.minimum) * whole[first:last]
+        most = _sliding(low[::-1], wide + 1, np.maximum)[::-1]
+        at = np.flatnonzero(most == rank) + first
+        found.append(at[(at >= a) & (at < a + STEP)])
+    return np.concatenate(found)
+
+
+_CUT = "block long, ids array<long>, sizes binary, texts binary, places binary"
+
+
+def _cut(number: int, rows: pa.Table) -> pa.Table:
+    """A block's row: its doc_ids, the sizes and bytes of its texts and their anchors."""
+    raw = [(t or "").encode() for t in rows.column("text").to_pylist()]
+    sizes = np.array([len(r) for r in raw], np.int64)
+    data = b"".join(raw)
+    places = np.diff(anchors(data, sizes), prepend=0).astype(np.uint32)
+    made = {"block": [number], "ids": [rows.column("doc_id").to_pylist()], "sizes": [sizes.tobytes()], "texts": [_packed(data)], "places": [_packed(places.tobytes())]}
+    return pa.table(made, pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("texts", pa.binary()), ("places", pa.binary())]))
+
+
 class Block:
-    """The bytes of a block's texts, their bounds and anchors."""
-
-    def __init__(self, texts: list[str | None]):
-        raw = [(t or "").encode() for t in texts]
-        self.data = b"".join(raw)
-        self.ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
-        self.starts = self.ends - np.array([len(r) for r in raw], np.int64)
-        size = self.ends - self.starts
-        h = gram_hashes(self.data)
-        rank = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)  # never 0; ties are all anchors
-        whole = np.repeat(np.tile([True, False], len(raw)), np.stack([np.maximum(size - K + 1, 0), np.minimum(size, K - 1)], 1).ravel())
-        low = _sliding(rank, K - G + 1, np.minimum) * whole
-        most = _sliding(low[::-1], K - G + 1, np.maximum)[::-1]
-        self.anchors = np.flatnonzero(most == rank)
+    """The bytes of a block's texts, their bounds, doc_ids and anchors."""
+
+    def __init__(self, row: dict):
+        self.number, self.ids = row["block"], row["ids"]
+        self.docs = np.array([LAST if x is None else x for x in self.ids], np.int64)
+        self.sizes = np.frombuffer(row["sizes"], np.int64)
+        self.data = np.frombuffer(_unpack(row["texts"]), np.uint8)
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+        self.anchors = np.cumsum(np.frombuffer(_unpack(row["places"]), np.uint32), dtype=np.int64)
         self.row = np.searchsorted(self.ends, self.anchors, "right")
-        self.hashes = h[self.anchors]
+        self.hashes = np.empty(len(self.anchors), np.uint64)
+        for a in range(0, len(self.anchors), STEP // 4):
+            grams = self.data[self.anchors[a : a + STEP // 4, None] + np.arange(G)].view("<u8")
+            self.hashes[a : a + STEP // 4] = _mixed([grams[:, i] for i in range(3)])
 
     def contexts(self, chosen: np.ndarray) -> np.ndarray:
         """A row for each chosen anchor: the bytes around it (its gram from SIDE on), zero
         beyond the document, then how many bytes there are before the gram and in all."""
-        p, row = self.anchors[chosen], self.row[chosen]
-        left = np.minimum(SIDE, p - self.starts[row])
-        right = np.minimum(SIDE, self.ends[row] - p - G)
-        at = p[:, None] + np.arange(-SIDE, G + SIDE)
-        ok = (at >= (p - left)[:, None]) & (at < (p + G + right)[:, None])
-        data = np.frombuffer(self.data, np.uint8)
-        out = np.zeros((len(p), G + 2 * SIDE + 2), np.uint8)
-        out[:, :-2] = np.where(ok, data[np.where(ok, at, 0)], 0)
-        out[:, -2], out[:, -1] = left, left + G + right
+        places, rows = self.anchors[chosen], self.row[chosen]
+        out = np.zeros((len(places), G + 2 * SIDE + 2), np.uint8)
+        for a in range(0, len(places), STEP // 8):
+            p, row = places[a : a + STEP // 8], rows[a : a + STEP // 8]
+            left = np.minimum(SIDE, p - self.starts[row])
+            right = np.minimum(SIDE, self.ends[row] - p - G)
+            at = p[:, None] + np.arange(-SIDE, G + SIDE)
+            ok = (at >= (p - left)[:, None]) & (at < (p + G + right)[:, None])
+            part = out[a : a + STEP // 8]
+            part[:, :-2] = np.where(ok, self.data[np.where(ok, at, 0)], 0)
+            part[:, -2], part[:, -1] = left, left + G + right
         return out
 
 
-def _whole(rows: np.ndarray) -> np.ndarray:
-    rows = np.ascontiguousarray(rows)
-    return rows.view(np.dtype((np.void, rows.shape[1]))).ravel()
+def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct row, and which of these each row equals. Rows are
+    grouped by a hash; were two different ones ever to share it, whole rows are sorted."""
+    _, first, of = np.unique(_row_hashes(rows), return_index=True, return_inverse=True)
+    if (rows[first[of]] != rows).any():
+        whole = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1]))).ravel()
+        _, first, of = np.unique(whole, return_index=True, return_inverse=True)
+    return first, of
 
 
-def _by_owner(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    of = ((hashes >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(of, kind="stable")
-    return order, np.searchsorted(of[order], np.arange(parts + 1))
+class Owners:
+    """Keys dealt to the shards that own them: their order, and each shard's stretch of it."""
 
+    def __init__(self, hashes: np.ndarray, parts: int):
+        of = ((hashes >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
+        self.order = np.argsort(of, kind="stable")
+        self.pids, starts = np.unique(of[self.order], return_index=True)
+        self.bounds = dict(zip(self.pids.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(of)])))
 
-def _ids(column: pa.ChunkedArray) -> np.ndarray:
-    return np.array([LAST if x is None else x for x in column.to_pylist()], np.int64)
+    def of(self, pid: int) -> np.ndarray:
+        a, b = self.bounds[pid]
+        return self.order[a:b]
 
+    def __iter__(self):
+        return ((p, self.order[a:b]) for p, (a, b) in self.bounds.items())
 
-def _pack(*arrays: np.ndarray) -> bytes:
+
+def _packed(data: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(1).compress(b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(1).compress(data)
 
 
 def _unpack(blob: bytes) -> bytes:
@@ -129,27 +184,31 @@ def _unpack(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    return _packed(b"".join(a.tobytes() for a in arrays))
+
+
 class _Seen:
     """A block's distinct anchor hashes, in the order in which it asks about them."""
 
-    def __init__(self, table: pa.Table, parts: int):
-        self.ids = _ids(table.column("doc_id"))
-        self.block = Block(table.column("text").to_pylist())
+    def __init__(self, row: dict, parts: int):
+        self.block = Block(row)
         self.keys, self.of = np.unique(self.block.hashes, return_inverse=True)
-        self.order, self.cuts = _by_owner(self.keys, parts)
+        self.owners = Owners(self.keys, parts)
 
     def several(self) -> np.ndarray:
         """Whether a key is in documents of more than one doc_id here."""
-        d = self.ids[self.block.row]
-        low, high = np.full(len(self.keys), LAST), np.full(len(self.keys), -LAST)
-        np.minimum.at(low, self.of, d)
-        np.maximum.at(high, self.of, d)
-        return low != high
+        d = self.block.docs[self.block.row]
+        first = np.zeros(len(self.keys), np.int64)
+        first[self.of] = d
+        out = np.zeros(len(self.keys), bool)
+        out[self.of[first[self.of] != d]] = True
+        return out
 
     def shared(self, answers: pa.Table) -> np.ndarray:
         out = np.zeros(len(self.keys), bool)
         for p, blob in zip(answers.column("pid").to_pylist(), answers.column("blob").to_pylist()):
-            at = self.order[self.cuts[p] : self.cuts[p + 1]]
+            at = self.owners.of(p)
             out[at] = np.unpackbits(np.frombuffer(blob, np.uint8), count=len(at)).astype(bool)
         return out
 
@@ -158,33 +217,31 @@ class _Contexts:
     """A block's distinct contexts around shared anchors, in the order it asks about them."""
 
     def __init__(self, seen: _Seen, answers: pa.Table, parts: int):
-        self.chosen = seen.shared(answers)[seen.of]
-        rows = seen.block.contexts(self.chosen)
-        _, first, self.of = np.unique(_whole(rows), return_index=True, return_inverse=True)
+        chosen = np.flatnonzero(seen.shared(answers)[seen.of])
+        rows = seen.block.contexts(chosen)
+        first, self.of = distinct_rows(rows)
         self.rows = rows[first]
-        self.place = seen.block.anchors[self.chosen]
-        self.doc = seen.ids[seen.block.row[self.chosen]]
+        self.place = seen.block.anchors[chosen]
+        self.doc = seen.block.docs[seen.block.row[chosen]]
         self.least = np.full(len(first), LAST)
         np.minimum.at(self.least, self.of, self.doc)
-        self.order, self.cuts = _by_owner(seen.block.hashes[self.chosen][first], parts)
+        self.owners = Owners(seen.block.hashes[chosen][first], parts)
 
 
-_BLOBS = "block int, pid int, blob binary"
+_BLOBS = "block long, pid long, blob binary"
 
 
 def _rows(block: int, made: dict[int, bytes]) -> pa.Table:
-    return pa.table({"block": pa.array([block] * len(made), pa.int32()), "pid": pa.array(list(made), pa.int32()), "blob": pa.array(list(made.values()), pa.binary())})
+    return pa.table({"block": pa.array([block] * len(made), pa.int64()), "pid": pa.array(list(made), pa.int64()), "blob": pa.array(list(made.values()), pa.binary())})
 
 
 def _ask_hashes(parts: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        s = _Seen(table, parts)
-        several, made = s.several(), {}
-        for p in range(parts):
-            at = s.order[s.cuts[p] : s.cuts[p + 1]]
-            if len(at):
-                made[p] = s.keys[at].tobytes() + np.packbits(several[at]).tobytes()
-        return _rows(key[0].as_py(), made)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                s = _Seen(b.slice(i, 1).to_pylist()[0], parts)
+                several = s.several()
+                yield from _rows(s.block.number, {p: s.keys[at].tobytes() + np.packbits(several[at]).tobytes() for p, at in s.owners}).to_batches()
 
     return run
 
@@ -205,13 +262,8 @@ def _ask_contexts(parts: int):
     def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _rows(0, {})
-        c = _Contexts(_Seen(table, parts), answers, parts)
-        made = {}
-        for p in range(parts):
-            at = c.order[c.cuts[p] : c.cuts[p + 1]]
-            if len(at):
-                made[p] = np.uint32(len(at)).tobytes() + _pack(c.rows[at], c.least[at])
-        return _rows(key[0].as_py(), made)
+        c = _Contexts(_Seen(table.to_pylist()[0], parts), answers, parts)
+        return _rows(key[0].as_py(), {p: np.uint32(len(at)).tobytes() + _pack(c.rows[at], c.least[at]) for p, at in c.owners})
 
     return run
 
@@ -258,12 +310,17 @@ def _row_hashes(rows: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Of the SIDE bytes that a string of K has beside the gram, so many at least on the left and so
+#: many on the right: whatever the split, one of these pairs holds.
+SPLITS = [(20, 0), (13, 7), (7, 14), (0, 20)]
+
+
 def can_share(rows: np.ndarray) -> np.ndarray:
-    """Whether a context may have K bytes in common with another: those hold the gram and,
-    with it, half of the bytes on its left or half of those on its right."""
+    """Whether a context may have K bytes in common with another: those hold the gram and SIDE
+    bytes around it, and so one of ``SPLITS``."""
     out = np.zeros(len(rows), bool)
-    for a, b in ((SIDE // 2, SIDE + G), (SIDE, SIDE + G + SIDE - SIDE // 2)):
-        _, of, n = np.unique(_row_hashes(rows[:, a:b]), return_inverse=True, return_counts=True)
+    for left, right in SPLITS:
+        _, of, n = np.unique(_row_hashes(rows[:, SIDE - left : SIDE + G + right]), return_inverse=True, return_counts=True)
         out |= n[of] > 1
     return out
 
@@ -278,13 +335,13 @@ def _answer_contexts(scratch: str):
             least.append(np.frombuffer(raw, np.int64, n, n * width))
         sizes = np.cumsum([len(x) for x in least])[:-1]
         every = np.concatenate(rows)
-        _, first, at = np.unique(_whole(every), return_index=True, return_inverse=True)
+        first, at = distinct_rows(every)
         distinct = every[first]
         low = np.full(len(first), LAST)
         np.minimum.at(low, at, np.concatenate(least))
         mixed = can_share(distinct)
         where = np.cumsum(mixed) - 1
-        starts = least_of_starts(distinct[mixed], low[mixed], Spill(uri=scratch))
+        starts = least_of_starts(distinct[mixed], low[mixed], Spill(QUEUE_BYTES, scratch, NAME_BYTES))
         blobs = []
         for i in np.split(at, sizes):
             m = mixed[i]
@@ -296,49 +353,64 @@ def _answer_contexts(scratch: str):
 
 def _remove(parts: int):
     def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        seen = _Seen(table, parts)
+        if not table.num_rows:
+            return _result([], np.zeros(0, np.int64), [], [], [])
+        seen = _Seen(table.to_pylist()[0], parts)
         kind = answers.column("kind").to_pylist()
-        c = _Contexts(seen, answers.filter(pa.array([k == 1 for k in kind])), parts)
-        told = answers.filter(pa.array([k == 2 for k in kind]))
-        data = np.frombuffer(seen.block.data, np.uint8)
-        begins = np.zeros(len(data) + 1, bool)
+        c = _Contexts(seen, answers.filter(pa.array([k == 1 for k in kind], pa.bool_())), parts)
+        told = answers.filter(pa.array([k == 2 for k in kind], pa.bool_()))
         left, size = c.rows[:, -2].astype(int), c.rows[:, -1].astype(int)
         j = np.arange(SIDE + 1)
         inside = (j >= (SIDE - left)[:, None]) & (j + K <= (SIDE - left + size)[:, None])
         least = np.full((len(c.rows), SIDE + 1), LAST)
         for p, blob in zip(told.column("pid").to_pylist(), told.column("blob").to_pylist()):
-            at, raw = c.order[c.cuts[p] : c.cuts[p + 1]], _unpack(blob)
+            at, raw = c.owners.of(p), _unpack(blob)
             least[at] = np.frombuffer(raw, np.int64, len(at))[:, None]
             m = np.frombuffer(raw, np.uint8, len(at), 8 * len(at)).astype(bool)
             least[at[m]] = np.frombuffer(raw[9 * len(at) :], np.int64).reshape(-1, SIDE + 1)
         low = np.where(inside, least, LAST).min(1, initial=LAST)
-        late = np.flatnonzero(low[c.of] < c.doc)
-        for a in range(0, len(late), 100_000):
-            s = late[a : a + 100_000]
+        late, begins = np.flatnonzero(low[c.of] < c.doc), [np.zeros(0, np.int64)]
+        for a in range(0, len(late), STEP // 4):
+            s = late[a : a + STEP // 4]
             hit = inside[c.of[s]] & (least[c.of[s]] < c.doc[s, None])
-            begins[(c.place[s, None] - SIDE + j)[hit]] = True
-        total = np.concatenate(([0], np.cumsum(begins[:-1])))
-        i = np.arange(len(data))
-        gone = total[i + 1] > total[np.maximum(i - K + 1, 0)]
-        out = {"n_removed": [], "n_spans": [], "kept_sha256": []}
-        for a, b in zip(seen.block.starts, seen.block.ends):
-            g = gone[a:b]
-            out["n_removed"].append(int(g.sum()))
-            out["n_spans"].append(int((g[1:] & ~g[:-1]).sum() + g[:1].sum()))
-            out["kept_sha256"].append(hashlib.sha256(data[a:b][~g].tobytes() if g.any() else data[a:b].tobytes()).hexdigest())
-        return pa.table({"doc_id": table.column("doc_id"), "n_bytes": pa.array(seen.block.ends - seen.block.starts), "n_removed": pa.array(out["n_removed"], pa.int64()), "n_spans": pa.array(out["n_spans"], pa.int64()), "kept_sha256": out["kept_sha256"]})
+            begins.append((c.place[s, None] - SIDE + j)[hit])
+        begins = np.unique(np.concatenate(begins))
+        b = seen.block
+        row = np.searchsorted(b.ends, begins, "right")
+        new = np.flatnonzero((np.diff(begins, prepend=-K - 1) > K) | (np.diff(row, prepend=-1) > 0))
+        first, last = begins[new], begins[np.append(new, len(begins))[1:] - 1] + K
+        of, n = row[new], len(b.docs)
+        removed = np.bincount(of, last - first, minlength=n).astype(np.int64)
+        spans = np.bincount(of, minlength=n)
+        shas, k = [], 0
+        for i, (x, y) in enumerate(zip(b.starts.tolist(), b.ends.tolist())):
+            sha = hashlib.sha256()
+            for _ in range(spans[i]):
+                sha.update(b.data[x : first[k]])
+                x, k = last[k], k + 1
+            sha.update(b.data[x:y])
+            shas.append(sha.hexdigest())
+        return _result(b.ids, b.sizes, removed, spans, shas)
 
     return run
 
 
+def _result(ids, sizes, removed, spans, shas) -> pa.Table:
+    longs = lambda x: pa.array(x, pa.int64())
+    return pa.table({"doc_id": longs(ids), "n_bytes": longs(sizes), "n_removed": longs(removed), "n_spans": longs(spans), "kept_sha256": pa.array(shas, pa.string())})
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(max(12, -(-total // BLOCK_BYTES)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("block"))
-    shared = stored(rows.groupBy("block").applyInArrow(_ask_hashes(parts), _BLOBS).groupBy("pid").applyInArrow(_answer_hashes, _BLOBS))
-    scratch = f"{shared_dir(docs.sparkSession)}/plumbline-scratch-{uuid.uuid4().hex}"
-    least = stored(rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_ask_contexts(parts), _BLOBS).groupBy("pid").applyInArrow(_answer_contexts(scratch), _BLOBS))
-    drop_folder(docs.sparkSession, scratch)
+    spark = docs.sparkSession
+    cut = stored(blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), BLOCK_BYTES, "text", _cut, _CUT))
+    total = cut.agg(F.sum(F.octet_length("places"))).first()[0] or 0
+    parts = int(max(12, -(-total * ANCHOR_BYTES // SHARD_BYTES)))
+    shared = stored(cut.mapInArrow(_ask_hashes(parts), _BLOBS).groupBy("pid").applyInArrow(_answer_hashes, _BLOBS))
+    scratch = f"{shared_dir(spark)}/plumbline-scratch-{uuid.uuid4().hex}"
+    try:
+        least = stored(cut.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_ask_contexts(parts), _BLOBS).groupBy("pid").applyInArrow(_answer_contexts(scratch), _BLOBS))
+    finally:
+        drop_folder(spark, scratch)
     told = shared.withColumn("kind", F.lit(1)).unionByName(least.withColumn("kind", F.lit(2)))
-    return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_remove(parts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return cut.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_remove(parts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -29,12 +29,12 @@ TUPLE = np.dtype([("at", "<i8"), ("word", "<u8"), ("lcp", "u1")])
 
 
 class Spill:
-    """How many bytes each array and queue of a sort may hold in memory, and the folder that
-    takes the rest (none: memory does). Queues go to any file system that pyarrow opens;
+    """How many bytes each array and queue of a sort may hold in memory, how many the names of
+    substrings may take to be sorted there, and the folder that takes the rest (none: memory does). Queues go to any file system that pyarrow opens;
     arrays, which are read and written in any order, only to a mounted one."""
 
-    def __init__(self, limit: int = LIMIT, uri: str | None = None):
-        self.limit, self.uri = limit, uri
+    def __init__(self, limit: int = LIMIT, uri: str | None = None, names: int | None = None):
+        self.limit, self.uri, self.names = limit, uri, limit if names is None else names
         self.files, self.path, self.mounted = None, "", False
         if uri:
             self.files, self.path = fs.FileSystem.from_uri(uri)
@@ -42,7 +42,7 @@ class Spill:
             self.files.create_dir(self.path, recursive=True)
 
     def smaller(self, by: int) -> Spill:
-        return Spill(self.limit // by, self.uri)
+        return Spill(self.limit // by, self.uri, self.names)
 
     def file(self):
         """A file without a name that vanishes when it is closed."""
@@ -404,7 +404,7 @@ def _starred(text: Text, sigma: int, spill: Spill) -> np.ndarray:
         name, before, size_before = int(names[-1]), at[-1:], size[-1]
     if name == n - 1:
         return ordered
-    if reduced.nbytes * 8 <= spill.limit:
+    if reduced.nbytes * 8 <= spill.names:
         return star[_in_memory(reduced)]
     order = _order(reduced, spill)
     return gathered((star[order[s]] for s in cut(n)), np.int64, spill)

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import pyarrow as pa
 from plumbline.llm import repeats, suffixes
 
 
@@ -49,8 +50,9 @@ def test_least_of_starts():
     """Starts of all contexts with the same K bytes get the smallest doc_id of them."""
     r = random.Random(4)
     seed = bytes(r.randrange(3) for _ in range(200))
-    block = repeats.Block([seed.decode(), (seed[20:150] + b"zz" + seed[60:]).decode(), "", "a" * 90])
-    rows = block.contexts(np.ones(len(block.anchors), bool))
+    texts = [seed.decode(), (seed[20:150] + b"zz" + seed[60:]).decode(), "", "a" * 90]
+    block = repeats.Block(repeats._cut(0, pa.table({"doc_id": [0, 1, 2, 3], "text": texts})).to_pylist()[0])
+    rows = block.contexts(np.arange(len(block.anchors)))
     least = np.array([r.randrange(50) for _ in rows], np.int64)
     strings = {}
     for x, d in zip(rows, least):
