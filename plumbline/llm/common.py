@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # The word separators of most operators: ASCII space and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -78,6 +78,18 @@ def unpacked(df: DataFrame, names: list[str], *made: Column | str) -> DataFrame:
     return df.select(*[F.col("_rest")[c].alias(c) if c in inner else F.col(c) for c in names], *made)
 
 
+def squeezed(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(1).compress(data)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only; ``lower`` would also change other letters."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -87,7 +99,7 @@ def crc_mod(c: Column, m: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % m
 
 
-def blocks(docs: DataFrame, size: int, text: str, make: Callable[[int, pa.Table], pa.Table], schema: str) -> DataFrame:
+def blocks(docs: DataFrame, size: int, text: str, make: Callable[[int, pa.Table], pa.Table], schema: T.StructType | str) -> DataFrame:
     """Cuts each partition's rows into blocks of about ``size`` bytes of ``text`` (a longer text
     is a block of its own) and gives what ``make`` returns for (number, rows). A block's number
     is its partition's and its place there; store the result before using the number twice."""

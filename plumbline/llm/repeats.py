@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks, drop_folder, shared_dir, stored
+from .common import blocks, drop_folder, shared_dir, squeezed, stored, unsqueezed
 from .suffixes import Spill, sorted_suffixes
 
 K, G = 50, 24
@@ -107,7 +107,7 @@ def _cut(number: int, rows: pa.Table) -> pa.Table:
     sizes = np.array([len(r) for r in raw], np.int64)
     data = b"".join(raw)
     places = np.diff(anchors(data, sizes), prepend=0).astype(np.uint32)
-    made = {"block": [number], "ids": [rows.column("doc_id").to_pylist()], "sizes": [sizes.tobytes()], "texts": [_packed(data)], "places": [_packed(places.tobytes())]}
+    made = {"block": [number], "ids": [rows.column("doc_id").to_pylist()], "sizes": [sizes.tobytes()], "texts": [squeezed(data)], "places": [squeezed(places.tobytes())]}
     return pa.table(made, pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("texts", pa.binary()), ("places", pa.binary())]))
 
 
@@ -118,10 +118,10 @@ class Block:
         self.number, self.ids = row["block"], row["ids"]
         self.docs = np.array([LAST if x is None else x for x in self.ids], np.int64)
         self.sizes = np.frombuffer(row["sizes"], np.int64)
-        self.data = np.frombuffer(_unpack(row["texts"]), np.uint8)
+        self.data = np.frombuffer(unsqueezed(row["texts"]), np.uint8)
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
-        self.anchors = np.cumsum(np.frombuffer(_unpack(row["places"]), np.uint32), dtype=np.int64)
+        self.anchors = np.cumsum(np.frombuffer(unsqueezed(row["places"]), np.uint32), dtype=np.int64)
         self.row = np.searchsorted(self.ends, self.anchors, "right")
         self.hashes = np.empty(len(self.anchors), np.uint64)
         for a in range(0, len(self.anchors), STEP // 4):
@@ -172,20 +172,8 @@ class Owners:
         return ((p, self.order[a:b]) for p, (a, b) in self.bounds.items())
 
 
-def _packed(data: bytes) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(1).compress(data)
-
-
-def _unpack(blob: bytes) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdDecompressor().decompress(blob)
-
-
 def _pack(*arrays: np.ndarray) -> bytes:
-    return _packed(b"".join(a.tobytes() for a in arrays))
+    return squeezed(b"".join(a.tobytes() for a in arrays))
 
 
 class _Seen:
@@ -330,7 +318,7 @@ def _answer_contexts(scratch: str):
         width = G + 2 * SIDE + 2
         rows, least = [], []
         for b in table.column("blob").to_pylist():
-            n, raw = int(np.frombuffer(b, np.uint32, 1)[0]), _unpack(b[4:])
+            n, raw = int(np.frombuffer(b, np.uint32, 1)[0]), unsqueezed(b[4:])
             rows.append(np.frombuffer(raw, np.uint8, n * width).reshape(n, width))
             least.append(np.frombuffer(raw, np.int64, n, n * width))
         sizes = np.cumsum([len(x) for x in least])[:-1]
@@ -364,7 +352,7 @@ def _remove(parts: int):
         inside = (j >= (SIDE - left)[:, None]) & (j + K <= (SIDE - left + size)[:, None])
         least = np.full((len(c.rows), SIDE + 1), LAST)
         for p, blob in zip(told.column("pid").to_pylist(), told.column("blob").to_pylist()):
-            at, raw = c.owners.of(p), _unpack(blob)
+            at, raw = c.owners.of(p), unsqueezed(blob)
             least[at] = np.frombuffer(raw, np.int64, len(at))[:, None]
             m = np.frombuffer(raw, np.uint8, len(at), 8 * len(at)).astype(bool)
             least[at[m]] = np.frombuffer(raw[9 * len(at) :], np.int64).reshape(-1, SIDE + 1)
