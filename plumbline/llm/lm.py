@@ -1,17 +1,25 @@
 """Operator 10: language-model scoring by a weighted backoff automaton.
 
-Words and an end token; a bigram model smoothed by its unigrams:
-``P(w | v) = (c(v, w) + MU * P(w)) / (c(v) + MU)``, ``P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))``.
-As an automaton: a state for each history v, an arc for each seen (v, w) with its log
-probability, and a failure arc of weight ``MU / (c(v) + MU)`` to the state without history,
-whose arcs are the unigrams. One traversal from left to right carries the state and adds up.
-
-The corpus counts are distributed and complete. Rows are dealt to blocks by a hash; a block
-sends each distinct word and bigram once (a 64-bit hash and its count in training rows) to
-the partition that owns the key, which sums them and answers the block in the block's own
-order. So a word in every document is one entry a block, the counts of no more than a block
-are in one task, and nothing is broadcast but two totals. Words are told apart by a 64-bit
-hash, bigrams by a mix of two.
+Words and an end token; a trigram model, each order smoothed by the one below:
+
+``P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))``,
+``P(w | v) = (c(v, w) + MU[0] P(w)) / (c(v) + MU[0])``,
+``P(w | u, v) = (c(u, v, w) + MU[1] P(w | v)) / (c(u, v) + MU[1])``, or ``P(w | v)`` if (u, v) is new.
+
+As an automaton: a state for each history that training has seen (of two words, of one, and the
+empty one), an arc with its log probability for each word seen after it, which leads to the
+longest history that the arc ends in, and a failure arc of weight ``MU / (c + MU)`` to the
+state of the history without its first word. The empty history has an arc for every word.
+``Automaton.traverse`` goes from left to right: at each token it follows failure arcs until
+the state has an arc for the token, adds up the weights, and carries on in the arc's target.
+
+The corpus counts are distributed and complete. Rows are cut into blocks, stored once. A block
+sends each distinct word, bigram and trigram once, with its count in training rows, to the
+partition that owns the word or the bigram (a trigram goes with its first two words), which
+sums them and answers in the block's own order. So a word in every document is one entry a
+block, the automaton of no more than a block is in one task, and nothing is broadcast but two
+totals. Words are told apart by a 64-bit hash, bigrams by a mix of two, and the words that
+follow one bigram by 32 bits of theirs. Counts are of 64 bits.
 
 Defined cases: a null text counts as empty and scores its end token alone; repeated rows are
 learned from and scored one by one; without training rows N and V are 0; a null doc_id hashes
@@ -21,19 +29,28 @@ as the empty string; other columns are kept by ``score``.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import packed, stored, unpacked
+from .common import blocks, packed, squeezed, stored, unpacked, unsqueezed
 
-MU = 40.0
+MU = (40.0, 10.0)
 BLOCK_BYTES = 8_000_000
+OWNER_BYTES = 10_000_000  # of text whose n-grams one partition owns
+LANE = 256  # tokens that a lane of the traversal goes through
 _START, _END = b"  ", b" "  # no word holds a space
 
 
+def word_hash(word: bytes) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(word, 1)
+
+
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A 64-bit key of a pair of 64-bit keys."""
     x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + (a >> np.uint64(29)))
@@ -42,132 +59,234 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The texts of a block as word numbers, and its distinct keys."""
-
-    def __init__(self, texts: list[str | None]):
-        from xxhash import xxh64_intdigest
+    """The texts of a block as word numbers, and its distinct n-grams in order of their keys:
+    ``bigrams`` (keys) with their words, ``trigrams`` (number of the first two words' bigram
+    times 2^32, plus 32 bits of the third word's hash)."""
 
+    def __init__(self, texts: list[bytes]):
         number: dict[bytes, int] = defaultdict(count().__next__)
-        start, end = number[_START], number[_END]
+        self.start, end = number[_START], number[_END]
         seqs = []
         for t in texts:
-            w = (t or "").encode().lower().split()
+            w = t.lower().split()  # bytes: A-Z only, ASCII spaces only
             seqs.append(np.fromiter(map(number.__getitem__, w), np.int32, len(w)))
         self.sizes = np.array([len(s) + 1 for s in seqs], np.int64)
         self.last = np.cumsum(self.sizes)
-        self.tokens = np.concatenate([x for s in seqs for x in (s, [end])]).astype(np.int32) if seqs else np.zeros(0, np.int32)
-        self.before = np.concatenate(([start], self.tokens[:-1])).astype(np.int32)[: len(self.tokens)]
-        if seqs:
-            self.before[np.concatenate(([0], self.last[:-1]))] = start
-        self.start = start
-        self.hash = np.fromiter((xxh64_intdigest(w, 1) for w in number), np.uint64, len(number))
-        key = mixed(self.hash[self.before], self.hash[self.tokens])
-        self.bigrams, self.arc = np.unique(key, return_inverse=True)
+        self.tokens = np.concatenate([np.zeros(0, np.int32), *[x for s in seqs for x in (s, [end])]]).astype(np.int32)
+        self.first = np.zeros(len(self.tokens), bool)
+        self.first[self.last - self.sizes] = True
+        before = np.append(self.start, self.tokens[:-1])[: len(self.tokens)]
+        self.before = np.where(self.first, self.start, before)
+        self.hash = np.fromiter(map(word_hash, number), np.uint64, len(number))
+        self.bigrams, at, self.arc = np.unique(mixed(self.hash[self.before], self.hash[self.tokens]), return_index=True, return_inverse=True)
+        self.bigram_of = self.before[at], self.tokens[at]
+        self.inner = np.flatnonzero(~self.first)  # tokens with two words before, the start included
+        tag = self.hash[self.tokens[self.inner]] & np.uint64(0xFFFFFFFF)
+        self.trigrams, at, self.third = np.unique(self.arc[self.inner - 1].astype(np.uint64) << np.uint64(32) | tag, return_index=True, return_inverse=True)
+        self.trigram_of = self.arc[self.inner[at] - 1], self.tokens[self.inner[at]], self.arc[self.inner[at]]
 
     def per_row(self, x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(x, np.concatenate(([0], self.last[:-1]))) if len(self.last) else np.zeros(0)
+        return np.add.reduceat(x, self.last - self.sizes) if len(self.last) else np.zeros(0)
 
-    def counts(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def counts(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ok = np.repeat(train, self.sizes)
         words = np.bincount(self.tokens[ok], minlength=len(self.hash))
         words[self.start] = train.sum()
-        return words, np.bincount(self.arc[ok], minlength=len(self.bigrams))
+        return words, np.bincount(self.arc[ok], minlength=len(self.bigrams)), np.bincount(self.third[ok[self.inner]], minlength=len(self.trigrams))
+
+
+class Dealt:
+    """A block's n-grams by the partition that owns them: words and bigrams by the upper bits
+    of their keys, so that a partition's keys lie close together; trigrams with their bigram."""
+
+    def __init__(self, b: Block, parts: int):
+        of = lambda keys: ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        self.words = np.argsort(b.hash)
+        w, a = of(b.hash[self.words]), of(b.bigrams)
+        t = a[b.trigram_of[0]]
+        self.pids = np.unique(np.concatenate((w, a)))
+        self.bounds = [np.stack([np.searchsorted(x, self.pids, side) for side in ("left", "right")], 1) for x in (w, a, t)]
+
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray, slice, slice]]:
+        """(partition, its words, its stretch of bigrams, its stretch of trigrams)."""
+        for p, (wa, wb), (aa, ab), (ta, tb) in zip(self.pids.tolist(), *[x.tolist() for x in self.bounds]):
+            yield p, self.words[wa:wb], slice(aa, ab), slice(ta, tb)
 
 
-def _owner(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+def _planes(x: np.ndarray) -> bytes:
+    """Integers as bytes of equal weight side by side, which packs well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
 
 
-def _split(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the keys by owner, and each owner's first place."""
-    of = _owner(keys, parts)
-    order = np.argsort(of, kind="stable")
-    return order, np.searchsorted(of[order], np.arange(parts + 1))
+def _unplanes(raw: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    sizes = np.array([[len(a), a.dtype.itemsize] for a in arrays], np.int64)
+    return squeezed(sizes.tobytes() + b"".join(map(_planes, arrays)))
+
+
+def _unpack(blob: bytes, *dtypes) -> list[np.ndarray]:
+    raw, out = unsqueezed(blob), []
+    at = 16 * len(dtypes)
+    for (n, size), dtype in zip(np.frombuffer(raw, np.int64, 2 * len(dtypes)).reshape(-1, 2).tolist(), dtypes):
+        out.append(_unplanes(raw[at : at + n * size], dtype))
+        at += n * size
+    return out
+
+
+_CUT = [T.StructField("block", T.LongType()), T.StructField("sizes", T.BinaryType()), T.StructField("texts", T.BinaryType()), T.StructField("train", T.ArrayType(T.BooleanType())), T.StructField("bytes", T.LongType())]
+
+
+def _cut(keep: list[str]):
+    def make(number: int, rows: pa.Table) -> pa.Table:
+        raw = [(t or "").encode() for t in rows.column("text").to_pylist()]
+        made = {
+            "block": pa.array([number], pa.int64()),
+            "sizes": pa.array([np.array(list(map(len, raw)), np.int64).tobytes()], pa.binary()),
+            "texts": pa.array([squeezed(b"".join(raw))], pa.binary()),
+            "train": pa.array([rows.column("train").to_pylist()], pa.list_(pa.bool_())),
+            "bytes": pa.array([sum(map(len, raw))], pa.int64()),
+        }
+        if keep:
+            held = pa.StructArray.from_arrays([pa.concat_arrays(rows.column(c).chunks) for c in keep], names=keep)
+            made["keep"] = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)
+        return pa.table(made)
+
+    return make
+
+
+def _texts(row) -> list[bytes]:
+    raw, ends = unsqueezed(row["texts"]), np.cumsum(np.frombuffer(row["sizes"], np.int64)).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+
+_BLOBS = "block long, pid long, blob binary, n long, v long"
+
+
+def _rows(block, pid, blob, n, v) -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+    return pa.table([pa.array(x, k) for x, k in zip((block, pid, blob, n, v), kinds)], names=["block", "pid", "blob", "n", "v"])
 
 
 def _ask(parts: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        b = Block(table.column("text").to_pylist())
-        words, arcs = b.counts(np.array(table.column("train").to_pylist(), bool))
-        wo, wc = _split(b.hash, parts)
-        ao, ac = _split(b.bigrams, parts)
-        special = b.hash[b.start]
-        out = {"block": [], "pid": [], "keys": [], "counts": [], "n_words": [], "start": []}
-        for p in range(parts):
-            w, a = wo[wc[p] : wc[p + 1]], ao[ac[p] : ac[p + 1]]
-            if len(w) or len(a):
-                out["block"].append(key[0].as_py())
-                out["pid"].append(p)
-                out["keys"].append(b.hash[w].tobytes() + b.bigrams[a].tobytes())
-                out["counts"].append(np.concatenate((words[w], arcs[a])).astype(np.int32).tobytes())
-                out["n_words"].append(len(w))
-                out["start"].append(int(special.view(np.int64)))
-        return pa.table(out, schema=pa.schema([("block", pa.int32()), ("pid", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("n_words", pa.int32()), ("start", pa.int64())]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                b = Block(_texts(row))
+                words, arcs, thirds = b.counts(np.array(row["train"], bool))
+                pids, blobs = [], []
+                for p, w, a, t in Dealt(b, parts):
+                    near = lambda keys: np.diff(keys, prepend=np.uint64(0))
+                    follow = np.bincount(b.trigram_of[0][t] - a.start, minlength=a.stop - a.start).astype(np.uint32)
+                    pids.append(p)
+                    blobs.append(_pack(near(b.hash[w]), words[w], near(b.bigrams[a]), arcs[a], follow, b.trigrams[t].astype(np.uint32), thirds[t]))
+                yield from _rows([row["block"]] * len(pids), pids, blobs, [0] * len(pids), [0] * len(pids)).to_batches()
 
     return run
 
 
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Each list's totals in its own order; the distinct keys, which each is, and their totals."""
+    u, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(len(u), np.int64)
+    np.add.at(total, at, np.concatenate(counts))
+    return np.split(total[at], np.cumsum([len(k) for k in keys])[:-1]), u, at, total
+
+
 def _answer(key: tuple, table: pa.Table) -> pa.Table:
-    n_words = table.column("n_words").to_pylist()
-    keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
-    counts = [np.frombuffer(x.as_buffer(), np.int32) for x in table.column("counts")]
-
-    def summed(take) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        ks, cs = [take(k, n) for k, n in zip(keys, n_words)], [take(c, n) for c, n in zip(counts, n_words)]
-        u, at = np.unique(np.concatenate(ks), return_inverse=True)
-        total = np.bincount(at, np.concatenate(cs), minlength=len(u)).astype(np.int64)
-        return np.split(total[at], np.cumsum([len(k) for k in ks])[:-1]), u, total
-
-    words, u, total = summed(lambda x, n: x[:n])
-    arcs, _, _ = summed(lambda x, n: x[n:])
-    real = u != np.array(table.column("start").to_pylist()[:1], np.int64).view(np.uint64)[0]
-    first = [i == 0 for i in range(len(n_words))]
-    return pa.table(
-        {
-            "block": table.column("block"),
-            "pid": table.column("pid"),
-            "words": pa.array([x.tobytes() for x in words], pa.binary()),
-            "arcs": pa.array([x.astype(np.int32).tobytes() for x in arcs], pa.binary()),
-            "n": pa.array([int(total[real].sum()) if f else 0 for f in first], pa.int64()),
-            "v": pa.array([int((total[real] > 0).sum()) if f else 0 for f in first], pa.int64()),
-        }
-    )
+    u64, i64, u32 = np.uint64, np.int64, np.uint32
+    asked = [_unpack(x.as_py(), u64, i64, u64, i64, u32, u32, i64) for x in table.column("blob")]
+    words, u, _, total = _summed([np.cumsum(x[0], dtype=u64) for x in asked], [x[1] for x in asked])
+    arcs, _, at, _ = _summed([np.cumsum(x[2], dtype=u64) for x in asked], [x[3] for x in asked])
+    first = np.split(at, np.cumsum([len(x[2]) for x in asked])[:-1])
+    thirds, _, _, _ = _summed([np.repeat(f, x[4]).astype(u64) << u64(32) | x[5] for f, x in zip(first, asked)], [x[6] for x in asked])
+    real = u != u64(word_hash(_START))
+    n, v = [0] * len(asked), [0] * len(asked)
+    n[0], v[0] = int(total[real].sum()), int((total[real] > 0).sum())
+    return _rows(table.column("block").to_pylist(), table.column("pid").to_pylist(), [_pack(*x) for x in zip(words, arcs, thirds)], n, v)
 
 
 class Automaton:
-    """States are histories; ``arc`` and ``fail`` are log10 weights by arc and by state."""
+    """Over one block's n-grams. State 0 is the empty history, 1 + v the history of word v,
+    then come those of two words. ``keys`` lists the arcs of all states but 0 as state and
+    word; ``weight`` and ``target`` are theirs, ``fail`` and ``falls`` the failure arcs."""
 
-    def __init__(self, b: Block, words: np.ndarray, arcs: np.ndarray, n: int, v: int, mu: float = MU):
+    def __init__(self, b: Block, words: np.ndarray, arcs: np.ndarray, thirds: np.ndarray, n: int, v: int, mu: tuple = MU):
         unigram = words.astype(float)
         unigram[b.start] = 0
         self.base = np.log10((unigram + 0.1) / (n + 0.1 * (v + 1)))
-        self.fail = np.log10(mu / (words + mu))
-        of = np.zeros(len(b.bigrams), np.int64)
-        of[b.arc] = np.arange(len(b.tokens))
-        history, word = b.before[of], b.tokens[of]
-        self.seen = arcs > 0
-        self.arc = np.log10((arcs + mu * 10.0 ** self.base[word]) / (words[history] + mu))
+        history, word = b.bigram_of
+        pair = (arcs + mu[0] * 10.0 ** self.base[word]) / (words[history] + mu[0])
+        before, third, after = b.trigram_of
+        seen = arcs > 0
+        state = np.where(seen, 1 + len(words) + np.arange(len(arcs)), 0)  # of each bigram
+        self.one = np.where(words > 0, 1 + np.arange(len(words)), 0)  # of each word
+        self.begin = self.one[b.start]
+        two, three = np.flatnonzero(seen), np.flatnonzero(thirds > 0)
+        keys = np.concatenate(((1 + history[two].astype(np.int64)) << 32 | word[two], state[before[three]] << 32 | third[three]))
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.weight = np.log10(np.concatenate((pair[two], (thirds[three] + mu[1] * pair[after[three]]) / (arcs[before[three]] + mu[1]))))[order]
+        self.target = np.concatenate((state[two], state[after[three]]))[order]
+        self.fail = np.log10(np.concatenate(([1.0], mu[0] / (words + mu[0]), mu[1] / (arcs + mu[1]))))
+        self.falls = np.concatenate(([0], np.zeros(len(words), np.int64), self.one[word]))
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 weight, next state) of each lane's token."""
+        weight, out = np.zeros(len(word)), np.zeros(len(word), np.int64)
+        live, at = np.arange(len(word)), state
+        while len(live):
+            key = at << 32 | word[live]
+            i = np.searchsorted(self.keys, key)
+            hit = (i < len(self.keys)) & (at > 0)
+            hit[hit] = self.keys[i[hit]] == key[hit]
+            weight[live[hit]] += self.weight[i[hit]]
+            out[live[hit]] = self.target[i[hit]]
+            empty = at == 0
+            weight[live[empty]] += self.base[word[live[empty]]]
+            out[live[empty]] = self.one[word[live[empty]]]
+            down = ~hit & ~empty
+            weight[live[down]] += self.fail[at[down]]
+            live, at = live[down], self.falls[at[down]]
+        return weight, out
 
     def traverse(self, b: Block) -> np.ndarray:
-        """Each token's log10 probability: its arc where the state has one, else the failure
-        arc and then the arc of the state without history."""
-        return np.where(self.seen[b.arc], self.arc[b.arc], self.fail[b.before] + self.base[b.tokens])
-
-
-def _score(parts: int, n: int, v: int, names: list[str], schema: pa.Schema):
+        """Each token's log10 probability. The tokens are cut into lanes that advance together;
+        a lane starts two tokens early from the empty history, after which its state is the one
+        that a single pass would carry, since no history is longer."""
+        n = len(b.tokens)
+        out = np.zeros(n)
+        starts = np.arange(0, n, LANE)
+        state = np.zeros(len(starts), np.int64)
+        for k in range(-2, LANE):
+            at = starts + k
+            ok = (at >= 0) & (at < n)
+            lane = np.flatnonzero(ok)
+            at = at[lane]
+            weight, state[lane] = self.step(np.where(b.first[at], self.begin, state[lane]), b.tokens[at].astype(np.int64))
+            if k >= 0:
+                out[at] = weight
+        return out
+
+
+def _score(parts: int, n: int, v: int, schema: pa.Schema):
     def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        b = Block(rows.column("text").to_pylist())
-        words, arcs = np.zeros(len(b.hash), np.int64), np.zeros(len(b.bigrams), np.int64)
-        wo, wc = _split(b.hash, parts)
-        ao, ac = _split(b.bigrams, parts)
-        for p, w, a in zip(answers.column("pid").to_pylist(), answers.column("words"), answers.column("arcs")):
-            words[wo[wc[p] : wc[p + 1]]] = np.frombuffer(w.as_buffer(), np.int64)
-            arcs[ao[ac[p] : ac[p + 1]]] = np.frombuffer(a.as_buffer(), np.int32)
-        auto = Automaton(b, words, arcs, n, v)
+        if not rows.num_rows:
+            return schema.empty_table()
+        row = {c: rows.column(c)[0].as_py() for c in ("texts", "sizes")}
+        b = Block(_texts(row))
+        said = dict(zip(answers.column("pid").to_pylist(), answers.column("blob")))
+        words, arcs, thirds = (np.zeros(len(x), np.int64) for x in (b.hash, b.bigrams, b.trigrams))
+        for p, w, a, t in Dealt(b, parts):
+            words[w], arcs[a], thirds[t] = _unpack(said[p].as_py(), np.int64, np.int64, np.int64)
+        auto = Automaton(b, words, arcs, thirds, n, v)
         known = (words > 0)[b.tokens]
         made = [b.sizes, b.per_row(known.astype(np.int64)), np.full(len(b.sizes), n), b.per_row(auto.base[b.tokens]), b.per_row(auto.traverse(b))]
-        arrays = [rows.column(c).combine_chunks() for c in names] + [pa.array(x) for x in made]
-        return pa.table(dict(zip(schema.names, arrays))).cast(schema)
+        held = rows.column("keep").combine_chunks().flatten().flatten() if "keep" in rows.column_names else []
+        return pa.table(dict(zip(schema.names, [*held, *map(pa.array, made)]))).cast(schema)
 
     return run
 
@@ -178,15 +297,14 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     own = [c for c in docs.columns if c not in (*made, "text")]
     docs = packed(docs.drop(*made), "doc_id", "text", train=F.coalesce(learn, F.lit(False)))
     names = [c for c in docs.columns if c not in ("text", "train")]
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(12, -(-total // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(2)) if not names else F.xxhash64("text", *[docs[c] for c in names[:1]]), F.lit(parts)).cast("int")
-    rows = docs.select(*names, "text", "train", block.alias("block"))
-    asked = rows.select("block", "text", "train").groupBy("block").applyInArrow(_ask(parts), "block int, pid int, keys binary, counts binary, n_words int, start long")
-    answers = stored(asked.groupBy("pid").applyInArrow(_answer, "block int, pid int, words binary, arcs binary, n long, v long"))
+    keep = T.StructType([docs.schema[c] for c in names])
+    cut = stored(blocks(docs, BLOCK_BYTES, "text", _cut(names), T.StructType([*_CUT, T.StructField("keep", T.ArrayType(keep))] if names else _CUT)))
+    total = cut.agg(F.sum("bytes")).first()[0] or 0
+    parts = int(max(12, -(-total // OWNER_BYTES)))
+    answers = stored(cut.select("block", "sizes", "texts", "train").mapInArrow(_ask(parts), _BLOBS).groupBy("pid").applyInArrow(_answer, _BLOBS))
     n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    types = T.StructType([docs.schema[c] for c in names] + [T.StructField(c, t) for c, t in zip(made, [T.LongType()] * 3 + [T.DoubleType()] * 2)])
+    types = T.StructType([*keep.fields, *[T.StructField(c, t) for c, t in zip(made, [T.LongType()] * 3 + [T.DoubleType()] * 2)]])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(parts, n, v, names, to_arrow_schema(types)), types)
+    scored = cut.drop("train", "bytes").groupBy("block").cogroup(answers.select("block", "pid", "blob").groupBy("block")).applyInArrow(_score(parts, n, v, to_arrow_schema(types)), types)
     return unpacked(scored, own, *made)

@@ -126,20 +126,24 @@ def test_lm(spark, docs):
     got = lm.score(docs, ~out).collect()
     toks = lambda t: [*brute.words(brute.low(t)), None]
     held = [zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 10 == 0 for r in rows]
-    uni, bi, his = Counter(), Counter(), Counter()
+    uni, bi, tri, one, two = (Counter() for _ in range(5))
+    grams = lambda t: list(zip([None, "<s>", *t], ["<s>", *t], t))
     for r, h in zip(rows, held):
         if not h:
             t = toks(r[1])
             uni.update(t)
-            pairs = list(zip(["<s>", *t], t))
-            bi.update(pairs)
-            his.update(a for a, _ in pairs)
+            bi.update((b, c) for _, b, c in grams(t))
+            one.update(b for _, b, _ in grams(t))
+            tri.update(grams(t)[1:])
+            two.update((b, c) for _, b, c in grams(t))
     n, v = sum(uni.values()), len(uni)
     p = lambda w: (uni[w] + 0.1) / (n + 0.1 * (v + 1))
+    p2 = lambda b, c: (bi[b, c] + lm.MU[0] * p(c)) / (one[b] + lm.MU[0])
+    p3 = lambda a, b, c: (tri[a, b, c] + lm.MU[1] * p2(b, c)) / (two[a, b] + lm.MU[1]) if a and two[a, b] else p2(b, c)
     want = []
     for r in rows:
         t = toks(r[1])
-        s = sum(math.log10((bi[a, b] + lm.MU * p(b)) / (his[a] + lm.MU)) for a, b in zip(["<s>", *t], t))
+        s = sum(math.log10(p3(*g)) for g in grams(t))
         want.append((r[0], len(t), sum(uni[w] > 0 for w in t), n, round(sum(math.log10(p(w)) for w in t), 5), round(s, 5)))
     same([(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 5)) for r in got], want)
     assert lm.score(docs.limit(0), ~out).count() == 0
