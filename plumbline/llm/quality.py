@@ -1,10 +1,15 @@
 """Operator 2: document quality rules as a short-circuit cascade, DataFrame functions only.
 
-Every rule is a predicate that rejects a document. ``plan`` measures each rule on a sample
-of at most ``SAMPLE_ROWS`` rows: its cost (seconds of the aggregate that evaluates it) and
-its selectivity (share of rows rejected), and orders the rules by rejection per cost.
-``cascade`` evaluates them in that order inside one CASE, so a row stops at its first
-rejection. The order never changes a verdict: a row is kept when no rule rejects it.
+Every rule is a predicate over a text's features that rejects a document. A feature is an
+expression over the raw text (``FEATURES``), so a rule costs what its features cost. ``plan``
+times each rule on the raw texts of a sample (of at most ``SAMPLE_ROWS`` rows, none longer than
+``SAMPLE_CHARS``), less the time of a job that evaluates nothing, counts what it rejects there,
+and orders the rules by rejection per cost. ``cascade`` evaluates them in that order inside one
+CASE, so for a row that a rule rejects no feature of a later rule is computed. The order never
+changes whether a row is kept: it is when no rule rejects it.
+
+A feature that the frame already has as a column (``measured`` adds those of the base counts)
+is read from there; ``screen`` computes none beforehand.
 
 Defined cases: a null text has no words and fails; an empty text likewise; repeated rows
 are judged one by one; a column named like an output is replaced; an empty table gives an
@@ -14,27 +19,33 @@ empty result and the rules keep their declared order.
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from statistics import median
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import SPACE
 
-SAMPLE_ROWS = 2_000
+SAMPLE_ROWS = 1_000
+SAMPLE_CHARS = 20_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_SYMBOLS_PER_WORD = 0.25
 MAX_DUP_LINE_SHARE = 0.5
 MEAN_WORD_CHARS = (2.0, 25.0)
-MIN_SENTENCE_END_LINES = 0.02
 MAX_MARK_RUN_SHARE = 0.3
 
 
+Given = Callable[[str], Column]
+
+
 @dataclass(frozen=True)
 class Rule:
+    """``rejects`` makes the predicate from a lookup of features by name."""
+
     name: str
-    rejects: Column
+    rejects: Callable[[Given], Column]
 
 
 def words(text: Column) -> Column:
@@ -68,47 +79,69 @@ def _covered(windows: Column) -> Column:
     return F.aggregate(F.array(F.array_sort(windows)), F.lit(0), lambda _, s: total(places(s)))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """The base counts, each from the whole text."""
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
+
+
+#: Each feature from the whole text (which is not null).
+FEATURES: dict[str, Callable[[Column], Column]] = {
+    "n_words": lambda t: F.size(words(t)).cast("long"),
+    "word_chars": lambda t: (F.length(t) - F.length(F.regexp_replace(t, r"[^\x20\x09-\x0D]+", ""))).cast("long"),
+    "n_symbols": lambda t: F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
+    "n_dup_lines": lambda t: F.aggregate(F.array(_lines(t)), F.lit(0), lambda _, x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+    "n_lines": lambda t: F.size(_lines(t)).cast("long"),
+    "n_repeat_words": lambda t: F.aggregate(F.array(words(t)), F.lit(0), lambda _, w: repeated_words(w)).cast("long"),
+    "n_mark_runs": lambda t: F.regexp_count(t, F.lit(r"[!?]{2,}")).cast("long"),
+}
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def measured(docs: DataFrame, names: Sequence[str] = BASE) -> DataFrame:
+    """``docs`` with the named features as columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-    base = docs.select(*[c for c in docs.columns if c not in ("_words", "_lines")], words(text).alias("_words"), lines.alias("_lines"))
-    out = {
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": (F.length(text) - F.length(F.regexp_replace(text, r"[^\x20\x09-\x0D]+", ""))).cast("long"),
-        "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_repeat_words": repeated_words(F.col("_words")).cast("long"),
-    }
-    return base.withColumns(out).drop("_words", "_lines")
+    return docs.withColumns({n: FEATURES[n](text) for n in names})
 
 
-def default_rules() -> list[Rule]:
-    n = F.greatest(F.col("n_words"), F.lit(1))
+def _given(df: DataFrame) -> Given:
     text = F.coalesce(F.col("text"), F.lit(""))
+    return lambda n: F.col(n) if n in df.columns else FEATURES[n](text)
+
+
+def default_rules() -> list[Rule]:
+    n = lambda f: F.greatest(f("n_words"), F.lit(1))
     return [
-        Rule("few_words", F.col("n_words") < MIN_WORDS),
-        Rule("repetition", 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-        Rule("symbols", F.col("n_symbols") > MAX_SYMBOLS_PER_WORD * n),
-        Rule("dup_lines", F.col("n_dup_lines") > MAX_DUP_LINE_SHARE * F.greatest(F.col("n_lines"), F.lit(1))),
-        Rule("word_length", (F.col("word_chars") < MEAN_WORD_CHARS[0] * n) | (F.col("word_chars") > MEAN_WORD_CHARS[1] * n)),
-        Rule("mark_runs", F.regexp_count(text, F.lit(r"[!?]{2,}")) > MAX_MARK_RUN_SHARE * n),
+        Rule("few_words", lambda f: f("n_words") < MIN_WORDS),
+        Rule("repetition", lambda f: 100 * f("n_repeat_words") > MAX_REPEAT_PERCENT * f("n_words")),
+        Rule("symbols", lambda f: f("n_symbols") > MAX_SYMBOLS_PER_WORD * n(f)),
+        Rule("dup_lines", lambda f: f("n_dup_lines") > MAX_DUP_LINE_SHARE * F.greatest(f("n_lines"), F.lit(1))),
+        Rule("word_length", lambda f: ~f("word_chars").between(MEAN_WORD_CHARS[0] * n(f), MEAN_WORD_CHARS[1] * n(f))),
+        Rule("mark_runs", lambda f: f("n_mark_runs") > MAX_MARK_RUN_SHARE * n(f)),
     ]
 
 
-def plan(sample: DataFrame, rules: Sequence[Rule], rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by falling rejection per cost. The sample only sets the order."""
-    sample = sample.limit(rows).cache()
+def plan(docs: DataFrame, rules: Sequence[Rule], rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules by falling rejection per cost, both measured on raw texts. The sample (the
+    first ``rows`` texts that are short enough) sets the order and nothing else."""
+    texts = docs.select("text").filter(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).limit(rows).collect()
+    if not texts:
+        return list(rules)
+    sample = docs.sparkSession.createDataFrame(texts, "text string").coalesce(1).cache()
     try:
-        n = sample.count()
-        if not n:
-            return list(rules)
+        sample.count()
+
+        def timed(rejects: Column) -> tuple[float, int]:
+            took, job = [], sample.agg(F.count_if(rejects).alias("n"))
+            for _ in range(3):
+                began = time.perf_counter()
+                hit = job.first()["n"]
+                took.append(time.perf_counter() - began)
+            return median(took), hit
+
+        none, _ = timed(F.col("text") == "\n")
         found = []
         for r in rules:
-            began = time.perf_counter()
-            hit = sample.agg(F.count_if(r.rejects).alias("n")).first()["n"]
-            found.append((hit / n / max(time.perf_counter() - began, 1e-6), r))
+            cost, hit = timed(r.rejects(_given(sample)))
+            found.append((hit / max(cost - none, 1e-4), r))
         return [r for _, r in sorted(found, key=lambda x: -x[0])]
     finally:
         sample.unpersist()
@@ -116,17 +149,27 @@ def plan(sample: DataFrame, rules: Sequence[Rule], rows: int = SAMPLE_ROWS) -> l
 
 def cascade(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Adds ``rejected_by``, the first rule in order that rejects the row, or null."""
-    verdict = None
+    given, verdict = _given(df), None
     for r in rules:
-        hit = F.coalesce(r.rejects, F.lit(False))
+        hit = F.coalesce(r.rejects(given), F.lit(False))
         verdict = F.when(hit, F.lit(r.name)) if verdict is None else verdict.when(hit, F.lit(r.name))
     return df.withColumn("rejected_by", verdict if verdict is not None else F.lit(None).cast("string"))
 
 
+def screen(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The columns of ``docs`` with ``rejected_by`` and ``kept``: the cascade alone, for which no
+    feature is computed that a row's verdict doesn't need."""
+    given = docs.drop(*FEATURES, "rejected_by", "kept")
+    rules = list(default_rules() if rules is None else rules)
+    return cascade(given, plan(given, rules, sample_rows)).withColumn("kept", F.col("rejected_by").isNull())
+
+
 def quality(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The columns of ``docs``, the base counts, ``base_failed``, ``rejected_by``, ``kept``."""
-    made = measured(docs)
-    rules = list(rules or default_rules())
-    ordered = plan(measured(docs.limit(sample_rows)), rules, sample_rows)
+    """The columns of ``docs``, the base counts, ``base_failed``, ``rejected_by``, ``kept``. The
+    base counts are wanted of every row, so the cascade reads these and computes the rest."""
+    given = docs.drop(*FEATURES, "base_failed", "rejected_by", "kept")
+    rules = list(default_rules() if rules is None else rules)
+    ordered = plan(given, rules, sample_rows)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return cascade(made, ordered).withColumn("base_failed", failed).withColumn("kept", ~failed & F.col("rejected_by").isNull())
+    out = cascade(measured(given), ordered).withColumn("base_failed", failed)
+    return out.withColumn("kept", ~failed & F.col("rejected_by").isNull())
