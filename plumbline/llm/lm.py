@@ -39,16 +39,16 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .common import blocks, packed, squeezed, stored, unpacked, unsqueezed
 
 MU = (40.0, 10.0)
-BLOCK_BYTES = 8_000_000
-OWNER_BYTES = 10_000_000  # of text whose n-grams one partition owns
+BLOCK_BYTES = 4_000_000
+OWNER_TOKENS = 1_000_000  # whose n-grams one partition owns
 LANE = 256  # tokens that a lane of the traversal goes through
 _START, _END = b"  ", b" "  # no word holds a space
 
 
-def word_hash(word: bytes) -> int:
+def word_hash(words) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    return xxh64_intdigest(word, 1)
+    return np.fromiter((xxh64_intdigest(w, 1) for w in words), np.uint64)
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -58,26 +58,32 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def numbered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the words, by number: the start is 0, the end 1; tokens as word numbers, each
+    text's end included; tokens of each text)."""
+    number: dict[bytes, int] = defaultdict(count().__next__)
+    start, end = number[_START], number[_END]
+    seqs = []
+    for t in texts:
+        w = (t or "").encode().lower().split()  # bytes: A-Z only, ASCII spaces only
+        seqs.append(np.fromiter(map(number.__getitem__, w), np.int32, len(w)))
+    tokens = np.concatenate([np.zeros(0, np.int32), *[x for s in seqs for x in (s, np.int32([end]))]])
+    return word_hash(number), tokens, np.array([len(s) + 1 for s in seqs], np.int64)
+
+
 class Block:
     """The texts of a block as word numbers, and its distinct n-grams in order of their keys:
     ``bigrams`` (keys) with their words, ``trigrams`` (number of the first two words' bigram
     times 2^32, plus 32 bits of the third word's hash)."""
 
-    def __init__(self, texts: list[bytes]):
-        number: dict[bytes, int] = defaultdict(count().__next__)
-        self.start, end = number[_START], number[_END]
-        seqs = []
-        for t in texts:
-            w = t.lower().split()  # bytes: A-Z only, ASCII spaces only
-            seqs.append(np.fromiter(map(number.__getitem__, w), np.int32, len(w)))
-        self.sizes = np.array([len(s) + 1 for s in seqs], np.int64)
-        self.last = np.cumsum(self.sizes)
-        self.tokens = np.concatenate([np.zeros(0, np.int32), *[x for s in seqs for x in (s, [end])]]).astype(np.int32)
-        self.first = np.zeros(len(self.tokens), bool)
-        self.first[self.last - self.sizes] = True
-        before = np.append(self.start, self.tokens[:-1])[: len(self.tokens)]
-        self.before = np.where(self.first, self.start, before)
-        self.hash = np.fromiter(map(word_hash, number), np.uint64, len(number))
+    start = 0
+
+    def __init__(self, hashes: np.ndarray, tokens: np.ndarray, sizes: np.ndarray):
+        self.hash, self.tokens, self.sizes = hashes, tokens, sizes
+        self.last = np.cumsum(sizes)
+        self.first = np.zeros(len(tokens), bool)
+        self.first[self.last - sizes] = True
+        self.before = np.where(self.first, np.int32(self.start), np.append(np.int32([self.start]), tokens[:-1])[: len(tokens)])
         self.bigrams, at, self.arc = np.unique(mixed(self.hash[self.before], self.hash[self.tokens]), return_index=True, return_inverse=True)
         self.bigram_of = self.before[at], self.tokens[at]
         self.inner = np.flatnonzero(~self.first)  # tokens with two words before, the start included
@@ -137,18 +143,17 @@ def _unpack(blob: bytes, *dtypes) -> list[np.ndarray]:
     return out
 
 
-_CUT = [T.StructField("block", T.LongType()), T.StructField("sizes", T.BinaryType()), T.StructField("texts", T.BinaryType()), T.StructField("train", T.ArrayType(T.BooleanType())), T.StructField("bytes", T.LongType())]
+_CUT = [T.StructField("block", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("train", T.ArrayType(T.BooleanType())), T.StructField("tokens", T.LongType())]
 
 
 def _cut(keep: list[str]):
     def make(number: int, rows: pa.Table) -> pa.Table:
-        raw = [(t or "").encode() for t in rows.column("text").to_pylist()]
+        hashes, tokens, sizes = numbered(rows.column("text").to_pylist())
         made = {
             "block": pa.array([number], pa.int64()),
-            "sizes": pa.array([np.array(list(map(len, raw)), np.int64).tobytes()], pa.binary()),
-            "texts": pa.array([squeezed(b"".join(raw))], pa.binary()),
+            "words": pa.array([_pack(hashes, tokens, sizes)], pa.binary()),
             "train": pa.array([rows.column("train").to_pylist()], pa.list_(pa.bool_())),
-            "bytes": pa.array([sum(map(len, raw))], pa.int64()),
+            "tokens": pa.array([len(tokens)], pa.int64()),
         }
         if keep:
             held = pa.StructArray.from_arrays([pa.concat_arrays(rows.column(c).chunks) for c in keep], names=keep)
@@ -158,9 +163,8 @@ def _cut(keep: list[str]):
     return make
 
 
-def _texts(row) -> list[bytes]:
-    raw, ends = unsqueezed(row["texts"]), np.cumsum(np.frombuffer(row["sizes"], np.int64)).tolist()
-    return [raw[a:b] for a, b in zip([0, *ends], ends)]
+def _block(words: bytes) -> Block:
+    return Block(*_unpack(words, np.uint64, np.int32, np.int64))
 
 
 _BLOBS = "block long, pid long, blob binary, n long, v long"
@@ -175,7 +179,7 @@ def _ask(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                b = Block(_texts(row))
+                b = _block(row["words"])
                 words, arcs, thirds = b.counts(np.array(row["train"], bool))
                 pids, blobs = [], []
                 for p, w, a, t in Dealt(b, parts):
@@ -203,7 +207,7 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
     arcs, _, at, _ = _summed([np.cumsum(x[2], dtype=u64) for x in asked], [x[3] for x in asked])
     first = np.split(at, np.cumsum([len(x[2]) for x in asked])[:-1])
     thirds, _, _, _ = _summed([np.repeat(f, x[4]).astype(u64) << u64(32) | x[5] for f, x in zip(first, asked)], [x[6] for x in asked])
-    real = u != u64(word_hash(_START))
+    real = u != word_hash([_START])[0]
     n, v = [0] * len(asked), [0] * len(asked)
     n[0], v[0] = int(total[real].sum()), int((total[real] > 0).sum())
     return _rows(table.column("block").to_pylist(), table.column("pid").to_pylist(), [_pack(*x) for x in zip(words, arcs, thirds)], n, v)
@@ -276,8 +280,7 @@ def _score(parts: int, n: int, v: int, schema: pa.Schema):
     def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return schema.empty_table()
-        row = {c: rows.column(c)[0].as_py() for c in ("texts", "sizes")}
-        b = Block(_texts(row))
+        b = _block(rows.column("words")[0].as_py())
         said = dict(zip(answers.column("pid").to_pylist(), answers.column("blob")))
         words, arcs, thirds = (np.zeros(len(x), np.int64) for x in (b.hash, b.bigrams, b.trigrams))
         for p, w, a, t in Dealt(b, parts):
@@ -299,12 +302,12 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     names = [c for c in docs.columns if c not in ("text", "train")]
     keep = T.StructType([docs.schema[c] for c in names])
     cut = stored(blocks(docs, BLOCK_BYTES, "text", _cut(names), T.StructType([*_CUT, T.StructField("keep", T.ArrayType(keep))] if names else _CUT)))
-    total = cut.agg(F.sum("bytes")).first()[0] or 0
-    parts = int(max(12, -(-total // OWNER_BYTES)))
-    answers = stored(cut.select("block", "sizes", "texts", "train").mapInArrow(_ask(parts), _BLOBS).groupBy("pid").applyInArrow(_answer, _BLOBS))
+    total = cut.agg(F.sum("tokens")).first()[0] or 0
+    parts = int(max(12, -(-total // OWNER_TOKENS)))
+    answers = stored(cut.select("block", "words", "train").mapInArrow(_ask(parts), _BLOBS).groupBy("pid").applyInArrow(_answer, _BLOBS))
     n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     types = T.StructType([*keep.fields, *[T.StructField(c, t) for c, t in zip(made, [T.LongType()] * 3 + [T.DoubleType()] * 2)]])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    scored = cut.drop("train", "bytes").groupBy("block").cogroup(answers.select("block", "pid", "blob").groupBy("block")).applyInArrow(_score(parts, n, v, to_arrow_schema(types)), types)
+    scored = cut.drop("train", "tokens").groupBy("block").cogroup(answers.select("block", "pid", "blob").groupBy("block")).applyInArrow(_score(parts, n, v, to_arrow_schema(types)), types)
     return unpacked(scored, own, *made)
