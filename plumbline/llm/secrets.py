@@ -3,9 +3,13 @@
 Strong kinds (``assign``, ``access``, ``hex``) are always reported. Weak kinds are an
 account name (``user``), a long mixed token (``key``) and an address (``endpoint``); such
 a candidate is reported only when the complementary parts of a credential co-occur within
-its scope of ``SCOPE`` code points on either side: a user needs a secret, a key needs an
-identifier, an endpoint needs both. The interval join of parts and scopes is a range
-window over each text's candidates in order of their start, so no pairs are built.
+its scope, ``SCOPE`` code points before its start or after its end: a user needs a secret, a
+key needs an identifier, an endpoint needs both. A part that overlaps the candidate is no
+complement of it, and a key inside another candidate is that one's value, no part of its own.
+
+The interval join of parts and scopes runs over each text's candidates in order of place: the
+last end of a part at or before a start, and the first start of one at or after an end, are
+running values, so no pairs are built.
 
 Positions come from splitting a text by the pattern: a match starts after all earlier
 parts and matches, which a running sum over the exploded matches gives in code points.
@@ -30,7 +34,7 @@ PATTERNS = {
     "access": r"AKIA[A-Z0-9]{16,}",
     "hex": r"[0-9a-f]{24,}",
     "user": r"""(?i:user(?:_?name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}""",
-    "key": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,88}(?![A-Za-z0-9+/_=-])",
+    "key": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}(?![A-Za-z0-9+/_=-])",
     "endpoint": r"https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?[A-Za-z0-9/_.?=&%-]*",
 }
 KINDS = list(PATTERNS)
@@ -68,12 +72,25 @@ def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     running = W.partitionBy("_row", "_c.kind").orderBy("_c.i").rowsBetween(W.unboundedPreceding, W.currentRow)
     end = F.sum(F.col("_c.before") + F.col("_c.len")).over(running)
     rows = rows.withColumn("_end", end.cast("long")).withColumn("_start", F.col("_end") - F.col("_c.len")).withColumn("_order", order)
-    rows = rows.filter(F.col("_c").isNull() | F.col("_c.ok"))
-    near = W.partitionBy("_row").orderBy("_start").rangeBetween(-scope, scope)
-    has_id = F.coalesce(F.max(F.col("_c.kind").isin(*IDENTIFIERS)).over(near), F.lit(False))
-    has_secret = F.coalesce(F.max(F.col("_c.kind").isin(*SECRETS)).over(near), F.lit(False))
-    rows = rows.withColumn("_id", has_id).withColumn("_secret", has_secret)
-    kind = F.col("_c.kind")
+    # rows of matches that fail stay, without a kind, so that no text loses its last row
+    rows = rows.withColumn("_kind", F.when(F.col("_c.ok"), F.col("_c.kind")))
+    upto = W.partitionBy("_row").orderBy("_start").rangeBetween(W.unboundedPreceding, W.currentRow)
+    covered = (F.col("_kind") == "key") & (F.max(F.when(F.col("_kind") != "key", F.col("_end"))).over(upto) >= F.col("_end"))
+    rows = rows.withColumn("_covered", F.coalesce(covered, F.lit(False))).withColumn("_kind", F.when(~F.col("_covered"), F.col("_kind")))
+    kind = F.col("_kind")
+    ends = F.array(F.struct(F.lit(True).alias("opens"), F.col("_start").alias("pos")), F.struct(F.lit(False).alias("opens"), F.col("_end").alias("pos")))
+    rows = rows.select(*keep, "_row", "_kind", "_order", "_start", "_end", F.explode(ends).alias("_e"))
+    pos, opens = F.col("_e.pos"), F.col("_e.opens")
+    rising = W.partitionBy("_row").orderBy(pos).rangeBetween(W.unboundedPreceding, W.currentRow)
+    falling = W.partitionBy("_row").orderBy(pos.desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
+
+    def beside(kinds: tuple) -> Column:
+        before = pos - F.max(F.when(~opens & kind.isin(*kinds), pos)).over(rising) <= scope
+        after = F.min(F.when(opens & kind.isin(*kinds), pos)).over(falling) - pos <= scope
+        return F.coalesce(F.when(opens, before).otherwise(after), F.lit(False))
+
+    rows = rows.withColumns({"_id": beside(IDENTIFIERS), "_secret": beside(SECRETS)})
+    rows = rows.groupBy("_row", "_order", "_start").agg(*[F.first(c).alias(c) for c in (*keep, "_end")], F.first("_kind").alias("_kind"), F.max("_id").alias("_id"), F.max("_secret").alias("_secret"))
     told = kind.isin(*STRONG) | (kind == "user") & F.col("_secret") | (kind == "key") & F.col("_id") | (kind == "endpoint") & F.col("_id") & F.col("_secret")
     span = F.when(told, F.struct(F.col("_start").alias("start"), F.col("_order").alias("ord"), F.col("_end").alias("end"), kind.alias("kind")))
     out = rows.groupBy("_row").agg(*[F.first(c).alias(c) for c in keep], F.array_sort(F.collect_list(span)).alias("spans"))

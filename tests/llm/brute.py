@@ -57,6 +57,30 @@ def secrets(t):
     return len(a), len(b), len(c), sha(",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(a + b + c)))
 
 
+WEAK = {
+    "user": re.compile(r"""(?:[Uu][Ss][Ee][Rr](?:_?[Nn][Aa][Mm][Ee])?|[Ll][Oo][Gg][Ii][Nn]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt]|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd])["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}"""),
+    "key": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}(?![A-Za-z0-9+/_=-])"),
+    "endpoint": re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?[A-Za-z0-9/_.?=&%-]*"),
+}
+
+
+def all_spans(t, scope=400):
+    """Every span that a secret scan reports: (start, order of kind, end, kind)."""
+    t = t or ""
+    found = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(t) if len(m[1]) >= 6]
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+    for o, (kind, p) in enumerate(WEAK.items(), 3):
+        found += [(m.start(), o, m.end(), kind) for m in p.finditer(t) if kind != "key" or all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
+    found = [c for c in found if c[3] != "key" or not any(x[3] != "key" and x[0] <= c[0] and c[2] <= x[2] for x in found)]
+
+    def beside(c, kinds):
+        return any(x[3] in kinds and (0 <= c[0] - x[2] <= scope or 0 <= x[0] - c[2] <= scope) for x in found)
+
+    needs = {"user": [("assign", "hex", "key")], "key": [("access", "user")], "endpoint": [("access", "user"), ("assign", "hex", "key")]}
+    return sorted(c for c in found if all(beside(c, k) for k in needs.get(c[3], [])))
+
+
 def shingle_hashes(t):
     w = low(t).encode().split()
     g = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
