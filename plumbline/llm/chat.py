@@ -1,9 +1,11 @@
 """Operator 6: chat formatting by schema fingerprints, DataFrame functions only.
 
-A layout is known by the fingerprint of its nested field paths: the sorted paths that any
-mapping names, hashed. Each fingerprint selects a declarative mapping to canonical turns
-(conv_id, turn, role, text). Tables with a column per field are fingerprinted once from
-their schema; JSON records row by row from ``schema_of_variant``.
+Records of any layout come as VARIANT values, from JSON text or from the columns of a table.
+The nested field paths of a record (``messages[].role``) are read off its variant's schema. Each
+declarative mapping names the paths that it needs; in order (those with most paths first) the
+record's paths among a mapping's are hashed, and the first mapping whose own fingerprint that is
+makes the turns (conv_id, turn, role, text). So keys, extra and deeper fields do no harm, and
+rows of one table may follow different mappings.
 
 Template of a turn: ``<s>[INST] role [/INST] text </s>``. Inside roles and texts a control
 string gets one backslash in front of it (and of the backslashes it already has), so ``read``
@@ -14,7 +16,9 @@ A conversation is made as parts of ``PART`` turn numbers; their concatenation in
 formatted conversation, so no task holds an unbounded conversation's turns, and a long
 conversation is formatted by many tasks.
 
-Defined cases: null text and null role count as empty; rows with a null conv_id form one
+Defined cases: a record of no known layout, of no JSON, or null has one row with a null layout
+and no turn, which the formatter leaves out; a record may have 128 MB, Spark's bound for VARIANT;
+null text and null role count as empty; rows with a null conv_id form one
 conversation; equal turn numbers are ordered by role, then text; repeated rows are turns of
 their own; an empty table gives an empty result; other columns are ignored.
 """
@@ -33,18 +37,18 @@ OPEN, MID, CLOSE = "<s>[INST] ", " [/INST] ", " </s>"
 
 @dataclass(frozen=True)
 class Mapping:
-    """How one layout gives turns. ``paths`` are its field paths; ``turns`` is None for
-    rows that each are a turn, else (role expression, text expression, condition) per turn
-    or ("[]", list, role field, text field) for a list of messages."""
+    """How one layout gives turns. ``paths`` are the field paths that it needs. ``turns``:
+    (turn, role, text) fields of a record that is one turn; ("[]", list, role field, text field)
+    for a list of messages, after (role, field) pairs if any; else (role, field) pairs."""
 
     name: str
     paths: tuple[str, ...]
-    turns: tuple | None
-    key: str = "conv_id"
+    turns: tuple
 
 
 MAPPINGS = [
-    Mapping("turn_rows", ("conv_id", "turn", "role", "text"), None),
+    Mapping("turn_rows", ("role", "text", "turn"), ("turn", "role", "text")),
+    Mapping("system_messages", ("messages[].content", "messages[].role", "system"), ("[]", "messages", "role", "content", ("system", "system"))),
     Mapping("messages", ("messages[].content", "messages[].role"), ("[]", "messages", "role", "content")),
     Mapping("sharegpt", ("conversations[].from", "conversations[].value"), ("[]", "conversations", "from", "value")),
     Mapping("prompt", ("completion", "prompt"), (("user", "prompt"), ("assistant", "completion"))),
@@ -53,16 +57,16 @@ MAPPINGS = [
     Mapping("system_prompt", ("prompt", "response", "system"), (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Mapping("question", ("answer", "question"), (("user", "question"), ("assistant", "answer"))),
 ]
-KNOWN = sorted({p for m in MAPPINGS for p in m.paths})
 #: Role names of other layouts and their canonical ones.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 def fingerprint(paths) -> str:
-    return hashlib.sha256("\n".join(sorted(set(paths) & set(KNOWN))).encode()).hexdigest()
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
 
 
-REGISTRY = {fingerprint(m.paths): m for m in MAPPINGS}
+#: Fingerprints and their mappings, in the order in which they are tried.
+REGISTRY = {fingerprint(m.paths): m for m in sorted(MAPPINGS, key=lambda m: -len(m.paths))}
 
 
 def schema_paths(schema, prefix: str = "") -> list[str]:
@@ -76,15 +80,39 @@ def schema_paths(schema, prefix: str = "") -> list[str]:
     return out
 
 
-def canonical_turns(df: DataFrame) -> DataFrame:
-    """Turns of a table whose columns are the fields of a known layout."""
-    found = REGISTRY.get(fingerprint(schema_paths(df.schema)))
-    if found is None:
-        raise ValueError(f"no mapping for the layout {sorted(schema_paths(df.schema))}")
-    if found.turns is None:
-        return df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    key = F.col(found.key).cast("long") if found.key in df.columns else F.monotonically_increasing_id()
-    return df.select(key.alias("conv_id"), F.posexplode(_turns(found, F.col)).alias("turn", "t")).select("conv_id", F.col("turn").cast("long"), "t.role", "t.text")
+def field_paths(record: Column) -> Column:
+    """The sorted nested paths of a variant's leaves, from its schema's text: a fold over names,
+    types and brackets that keeps the path of each open bracket."""
+    tokens = F.regexp_extract_all(F.schema_of_variant(record), F.lit(r"(`(?:[^`]|``)*`: |[^\s<>,`]+: |[A-Z]+<|>|[A-Z_]+)"))
+    start = F.struct(F.array(F.lit("")).alias("open"), F.lit("").alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, t: Column) -> Column:
+        top, at = F.element_at(acc["open"], -1), acc["at"]
+        name = F.regexp_replace(F.regexp_replace(t, "^`|`?: $", ""), "``", "`")
+        new = lambda open_, at_, out: F.struct(open_.alias("open"), at_.alias("at"), out.alias("out"))
+        return (
+            F.when(t.endswith(": "), new(acc["open"], F.concat(top, name), acc["out"]))
+            .when(t == "OBJECT<", new(F.concat(acc["open"], F.array(F.when(at == "", F.lit("")).otherwise(F.concat(at, F.lit("."))))), at, acc["out"]))
+            .when(t == "ARRAY<", new(F.concat(acc["open"], F.array(top)), F.concat(at, F.lit("[]")), acc["out"]))
+            .when(t == ">", new(F.slice(acc["open"], F.lit(1), F.greatest(F.size(acc["open"]) - 1, F.lit(1))), at, acc["out"]))
+            .otherwise(new(acc["open"], at, F.concat(acc["out"], F.array(at))))
+        )
+
+    return F.array_sort(F.array_distinct(F.aggregate(tokens, start, step, lambda acc: acc["out"])))
+
+
+def _hash(paths: Column) -> Column:
+    return F.sha2(F.array_join(paths, "\n").cast("binary"), 256)
+
+
+def chosen(paths: Column) -> Column:
+    """The name of the first mapping whose fingerprint the record's paths among its own have."""
+    out = None
+    for f, m in REGISTRY.items():
+        own = F.array(*map(F.lit, sorted(m.paths)))
+        hit = _hash(F.array_intersect(own, paths)) == f
+        out = F.when(hit, F.lit(m.name)) if out is None else out.when(hit, F.lit(m.name))
+    return out
 
 
 def _role(c: Column) -> Column:
@@ -94,36 +122,59 @@ def _role(c: Column) -> Column:
     return out
 
 
-def _turns(m: Mapping, field) -> Column:
+def _field(record: Column, name: str, kind: str = "string") -> Column:
+    return F.try_variant_get(record, f"$.{name}", kind)
+
+
+def _turn(role: Column, text: Column, turn: Column | None = None) -> Column:
+    at = F.lit(None).cast("long") if turn is None else turn
+    return F.struct(at.alias("turn"), role.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+
+
+def _turns(m: Mapping, record: Column) -> Column:
     if m.turns[0] == "[]":
-        _, name, role, text = m.turns
-        return F.transform(field(name), lambda x: F.struct(_role(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
-    made = F.array(*[F.struct(F.lit(r).alias("role"), F.coalesce(field(f), F.lit("")).alias("text")) for r, f in m.turns])
+        _, name, role, text, *before = m.turns
+        said = F.transform(_field(record, name, "array<variant>"), lambda x: _turn(_role(_field(x, role)), _field(x, text)))
+        first = [F.array(_turn(F.lit(r), _field(record, f))) for r, f in before]
+        return F.concat(*first, said) if first else said
+    if isinstance(m.turns[0], str):
+        turn, role, text = m.turns
+        return F.array(_turn(F.coalesce(_field(record, role), F.lit("")), _field(record, text), _field(record, turn, "long")))
+    made = F.array(*[_turn(F.lit(r), _field(record, f)) for r, f in m.turns])
     return F.filter(made, lambda x: (x["role"] != "user") | (x["text"] != ""))
 
 
-def json_fingerprint(record: Column) -> Column:
-    """Of a JSON record: its variant's schema, scalar types left out, as sorted known paths."""
-    schema = F.schema_of_variant(F.try_parse_json(record))
-    said = []
-    for p in KNOWN:
-        head, _, tail = p.partition("[].")
-        inside = rf"^OBJECT<(?:[^<>]*, )?{head}: ARRAY<OBJECT<(?:[^<>]*, )?{tail}: [^<>]*>>" if tail else rf"^OBJECT<(?:(?:[^<>]|<[^<>]*(?:<[^<>]*>)*[^<>]*>)*, )?{head}: [A-Z]"
-        said.append(F.when(schema.rlike(inside), F.lit(p)))
-    return F.sha2(F.concat_ws("\n", *said).cast("binary"), 256)
+def variant_turns(df: DataFrame, record: str, key: Column) -> DataFrame:
+    """(conv_id, layout, turn, role, text) of VARIANT records of mixed layouts. conv_id is the
+    record's own where it has one, else ``key``."""
+    rec = F.col(record)
+    rows = df.select(key.cast("long").alias("_key"), rec.alias("_v"), field_paths(rec).alias("_paths")).withColumn("layout", chosen(F.col("_paths")))
+    turns = None
+    for m in REGISTRY.values():
+        made = (F.col("layout") == m.name, _turns(m, F.col("_v")))
+        turns = F.when(*made) if turns is None else turns.when(*made)
+    own = F.when(F.array_contains("_paths", "conv_id"), _field(F.col("_v"), "conv_id", "long")).otherwise(F.col("_key"))
+    rows = rows.select(own.alias("conv_id"), "layout", F.posexplode_outer(turns).alias("_at", "t"))
+    turn = F.when(F.col("layout") == "turn_rows", F.col("t.turn")).otherwise(F.col("_at").cast("long"))
+    return rows.select("conv_id", "layout", turn.alias("turn"), "t.role", "t.text")
+
+
+def table_records(df: DataFrame) -> DataFrame:
+    """A table's rows as VARIANT records (``record``), each field a column."""
+    return df.select(F.to_variant_object(F.struct(*df.columns)).alias("record"))
 
 
 def json_turns(df: DataFrame, record: str, key: str) -> DataFrame:
-    """(conv_id, layout, turn, role, text) of JSON records of mixed layouts; a record of no
-    known layout keeps one row with a null layout and no turn."""
-    shape = F.from_json(F.col(record), "struct<messages:array<struct<role:string,content:string>>,conversations:array<struct<`from`:string,value:string>>,prompt:string,completion:string,instruction:string,input:string,output:string,system:string,response:string,question:string,answer:string>")
-    rows = df.select(F.col(key).alias("conv_id"), json_fingerprint(F.col(record)).alias("_f"), shape.alias("_r"))
-    turns, layout = F.lit(None).cast("array<struct<role:string,text:string>>"), F.lit(None).cast("string")
-    for f, m in REGISTRY.items():
-        if m.turns is not None:
-            turns = F.when(F.col("_f") == f, _turns(m, lambda n: F.col("_r")[n])).otherwise(turns)
-            layout = F.when(F.col("_f") == f, F.lit(m.name)).otherwise(layout)
-    return rows.select("conv_id", layout.alias("layout"), F.posexplode_outer(turns).alias("turn", "t")).select("conv_id", "layout", F.col("turn").cast("long"), "t.role", "t.text")
+    """The turns of JSON texts."""
+    return variant_turns(df.select(F.try_parse_json(F.col(record)).alias("_r"), F.col(key).alias("_k")), "_r", F.col("_k"))
+
+
+def canonical_turns(df: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text) of a table whose columns are the fields of a known layout."""
+    paths = set(schema_paths(df.schema))
+    if not any(set(m.paths) <= paths for m in MAPPINGS):
+        raise ValueError(f"no mapping for the layout {sorted(paths)}")
+    return variant_turns(table_records(df), "record", F.monotonically_increasing_id()).drop("layout")
 
 
 def escaped(c: Column) -> Column:

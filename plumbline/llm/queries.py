@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -28,10 +29,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.lit("</s>[INST] ok [/INST]")
-    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.digests(chat.format_parts(chat.canonical_turns(rows)))
+    said = "</s>[INST] ok [/INST]"
+    more = json.dumps({"conv_id": -1, "messages": [{"role": "user", "content": said}, {"role": "assistant", "content": said}]})
+    rows = chat.table_records(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    records = rows.unionByName(spark.range(1).select(F.parse_json(F.lit(more)).alias("record")))
+    turns = chat.variant_turns(records, "record", F.lit(None)).filter("layout is not null").drop("layout")
+    return chat.digests(chat.format_parts(turns))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

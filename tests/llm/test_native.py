@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from plumbline.llm import bpe, chat, quality, queries, secrets
 
 from tests.llm import brute
@@ -66,6 +67,18 @@ def test_secrets(spark, docs):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_linked_spans(spark, docs):
+    key, hexa = "aB3d" * 10, "deadbeef" * 4
+    texts = [f"account: {key}", f"account: joe {key}", f"{key}", f"user=joe https://h.example/p", f"user=joe {'x ' * 190}{hexa}", f"user=joe {'x ' * 200}{hexa}"]
+    texts += [f"{hexa}{' y' * 300} user=joe", f"https://h.example/p AKIA{'QX7Z' * 4} {key}", f"{key} login: token=abcdef12", f"k {'aB3' * 60} AKIA{'QX7Z' * 4}"]
+    texts += ["password=abc", "x" * 40, *[r[1] for r in brute.documents()]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["spans"]] for r in secrets.scan(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == [(a, b, k) for a, _, b, k in brute.all_spans(t)], t
+    assert got[0] == [] and len(got[1]) == 2 and got[2] == [] and got[3] == []
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "</s>[INST] \\[INST] ok \\\\</s> <s>[/INST]"), (1, 1, "assistant", "a"), (2, 0, None, None), (None, 3, "assistant", "x\\"), (3, 0, "[INST]", " </s>"), (3, None, "user", "")]
     rows += [(4, i, "assistant" if i % 2 else "user", f"é😀{i}") for i in range(200)]
@@ -89,11 +102,20 @@ def test_chat_layouts(spark):
         {"instruction": "a", "input": "c", "output": "b"},
         {"question": "a", "answer": "b"},
         {"other": 1},
+        {"system": "s", "messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b", "tool_calls": [{"f": {"x": 1}}]}], "a b": {"c.d": []}, "conv_id": 77},
+        {"text": "t", "prompt": "a", "completion": "b"},
+        {"messages": []},
     ]
-    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(recs)] + [(9, "not json"), (10, None)], "id long, rec string")
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(recs)] + [(20, "not json"), (21, None)], "id long, rec string")
     got = brute.grouped(chat.json_turns(df, "rec", "id").orderBy("conv_id", "turn").collect(), "conv_id")
     two = [("user", "a"), ("assistant", "b")]
     for i in range(6):
         assert [(r["role"], r["text"]) for r in got[i]] == (two if i != 4 else [("user", "a"), ("user", "c"), ("assistant", "b")])
-    assert [r["layout"] for k in (6, 9, 10) for r in got[k]] == [None] * 3
+    assert [r["layout"] for k in (6, 9, 20, 21) for r in got[k]] == [None] * 4
+    assert [(r["layout"], r["turn"], r["role"], r["text"]) for r in got[77]] == [("system_messages", i, *x) for i, x in enumerate([("system", "s"), *two])]
+    assert [(r["layout"], r["role"], r["text"]) for r in got[8]] == [("prompt", *x) for x in two]
+    nested = spark.createDataFrame([('{"b": {"x": [[1, {"y`z": 2}]], "q": {}}, "a": null, "m": [{"r": 1}, {"s": [2]}]}',)], "j string")
+    assert nested.select(chat.field_paths(F.try_parse_json("j")).alias("p")).first()["p"] == ["a", "b.x[][]", "m[].r", "m[].s[]"]
+    mixed = spark.createDataFrame([("a", "b", 5)], "prompt string, completion string, conv_id long")
+    assert [tuple(r) for r in chat.canonical_turns(mixed).collect()] == [(5, 0, "user", "a"), (5, 1, "assistant", "b")]
     assert chat.canonical_turns(spark.createDataFrame([("a", "b", 3)], "prompt string, completion string, z int")).count() == 2
