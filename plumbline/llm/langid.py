@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .common import crc_mod
 
 SAMPLE = 6_000
+SHARES = 10**15  # steps in which a share of the labelled rows is taken; never none
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -104,11 +105,11 @@ def has_letter(text: str | None) -> bool:
 
 
 def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Network | None:
-    """A network from at most ``sample`` labelled documents, chosen by a hash of doc_id."""
+    """A network from at most ``sample`` labelled documents, chosen by a hash of the row."""
     labelled = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = labelled.count()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    part = labelled.filter(share < int(1_000_000 * min(1.0, sample / max(n, 1)))) if n > sample else labelled
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARES))
+    part = labelled.filter(share < -(-SHARES * sample // n)) if n > sample else labelled
     at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int") + 1
     rows = part.select("lang", F.substr("text", at, F.lit(WINDOW)).alias("w")).limit(sample).collect()
     rows = [(r["lang"], r["w"]) for r in rows if has_letter(r["w"])]
@@ -121,8 +122,6 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Network | None:
     return net
 
 
-
-
 def predict(docs: DataFrame, net: Network | None, keep: list[str], batch: int = 192) -> DataFrame:
     """``keep``, lang_pred and score for every row; kept columns of these names are replaced."""
     spark = docs.sparkSession
