@@ -11,8 +11,9 @@ Where a pair of hashes stands for exactly one repeated text, the hashes then sta
 text in the join; a pair shared by different texts is never used.
 
 Defined cases: a null text stays null; an empty text stays empty; rows with one doc_id are
-versions of one document, so repeated rows keep and lose the same chunks; null doc_ids are
-one document, ordered first; other columns pass through.
+versions of one document, so repeated rows keep and lose the same chunks; of rows without a
+doc_id those with equal texts are one document, and they come first, in order of a hash of the
+text; doc_id may be of any type that has an order; other columns pass through.
 
 A chunk rarely starts and ends with a passage, so ``dedup_passages``, which op9_line_dedup and
 the pipeline use, compares two lines at every line instead of chunks: each line with words and
@@ -72,16 +73,20 @@ def chunks(text: Column) -> Column:
     return _let(_lines(text), lambda ls: _let(_bounds(F.transform(ls, lambda x: F.xxhash64(x))), lambda es: cut(ls, es)))
 
 
+def _document() -> Column:
+    """What tells documents apart and orders them."""
+    return F.struct(F.col("doc_id").alias("id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("hash"))
+
+
 def _keyed(c: Column) -> list[Column]:
     return [F.xxhash64(c).alias("_h1"), F.xxhash64(F.lit("b"), c, F.length(c)).alias("_h2")]
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """doc_id and place of every chunk to remove: (_doc, _at, _h1, _h2)."""
-    lowest = F.lit(-(2**63)).cast("long")
-    rows = docs.filter(F.col("text").isNotNull()).select(F.coalesce("doc_id", lowest).alias("_doc"), F.explode_outer(chunks(F.col("text"))).alias("c"))
+    rows = docs.filter(F.col("text").isNotNull()).select(_document().alias("_doc"), F.explode_outer(chunks(F.col("text"))).alias("c"))
     rows = rows.filter(F.col("c.words") >= MIN_LINES).select("_doc", F.col("c.at").alias("_at"), F.col("c.body").alias("_body"))
-    place = (F.col("_doc").cast("decimal(38,0)") * 4294967296 + F.col("_at")).cast("decimal(38,0)")
+    place = F.struct("_doc", "_at")
     by_text = rows.select("_body", place.alias("_place")).groupBy("_body").agg(F.min("_place").alias("_keep"), F.max("_place").alias("_last"))
     by_hash = by_text.select(*_keyed(F.col("_body")), "_keep", "_last").groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), F.min("_keep").alias("_keep"), F.max("_last").alias("_last"))
     repeated = stored(by_hash.filter((F.col("_n") == 1) & (F.col("_last") > F.col("_keep"))).select("_h1", "_h2", "_keep"))
@@ -92,10 +97,9 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated chunks taken out of ``text``; adds ``n_chunks_removed``."""
-    lowest = F.lit(-(2**63)).cast("long")
     gone = stored(repeated_chunks(docs).groupBy("_doc").agg(F.collect_set(F.struct("_at", "_h1")).alias("_gone")))
     names = [c for c in docs.columns if c != "n_chunks_removed"]
-    rows = packed(docs.drop("n_chunks_removed"), "doc_id", "text", _doc=F.coalesce("doc_id", lowest)).join(gone.hint("merge"), "_doc", "left")
+    rows = packed(docs.drop("n_chunks_removed"), "doc_id", "text", _doc=_document()).join(gone.hint("merge"), "_doc", "left")
     kept = F.filter(chunks(F.col("text")), lambda c: ~F.array_contains(F.col("_gone"), F.struct(c["at"].alias("_at"), F.xxhash64(c["body"]).alias("_h1"))))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["body"]), "\n"))
     removed = F.when(F.col("text").isNull() | F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long")
@@ -118,9 +122,8 @@ def _mark(at: Column, sha: Column) -> Column:
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(_doc, _mark): the place and text, as one hash, of every run to remove."""
-    lowest = F.lit(-(2**63)).cast("long")
     made = _let(_lines(F.col("text")), lambda ls: F.transform(F.filter(_runs(ls), lambda r: r["to"].isNotNull()), lambda r: F.struct(r["at"].alias("at"), _sha(ls, r).alias("sha"))))
-    rows = docs.filter(F.col("text").isNotNull()).select(F.coalesce("doc_id", lowest).alias("_doc"), F.explode(made).alias("r")).select("_doc", F.col("r.at").alias("_at"), F.col("r.sha").alias("_sha"))
+    rows = docs.filter(F.col("text").isNotNull()).select(_document().alias("_doc"), F.explode(made).alias("r")).select("_doc", F.col("r.at").alias("_at"), F.col("r.sha").alias("_sha"))
     place = F.struct("_doc", "_at")
     firsts = rows.groupBy("_sha").agg(F.min(place).alias("_keep"), F.max(place).alias("_last"))
     repeated = stored(firsts.filter("_last > _keep").select("_sha", "_keep"))
@@ -131,10 +134,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 def dedup_passages(docs: DataFrame) -> DataFrame:
     """``docs`` with every repeated run of lines taken out of ``text``; adds
     ``n_chunks_removed``, the number of stretches taken out."""
-    lowest = F.lit(-(2**63)).cast("long")
     gone = stored(repeated_runs(docs).groupBy("_doc").agg(F.collect_set("_mark").alias("_gone")))
     names = [c for c in docs.columns if c != "n_chunks_removed"]
-    rows = packed(docs.drop("n_chunks_removed"), "doc_id", "text", _doc=F.coalesce("doc_id", lowest)).join(gone.hint("merge"), "_doc", "left")
+    rows = packed(docs.drop("n_chunks_removed"), "doc_id", "text", _doc=_document()).join(gone.hint("merge"), "_doc", "left")
 
     def cut(ls: Column, runs: Column) -> Column:
         out = F.transform(runs, lambda r: F.coalesce(r["to"].isNotNull() & F.array_contains(F.col("_gone"), _mark(r["at"], _sha(ls, r))), F.lit(False)))
