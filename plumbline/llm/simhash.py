@@ -35,6 +35,7 @@ from .graph import star_components
 BITS, RADIUS = 64, 3
 ENTRIES = 2_000_000  # variants a reduce partition holds, so memory stays the same at any size
 BATCH = 8_192
+SPREAD = 16_384  # fingerprints a task makes variants of
 
 _ONE = [1 << i for i in range(64)]
 #: No flip, one flip, then two flips within a half.
@@ -153,7 +154,8 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
     """Links (a, b) whose components are those of all pairs within reach; ``distinct`` has
     one row for each fingerprint, ``n`` of them."""
     parts = max(16, math.ceil(n * (len(MASKS) + 65) / 2 / ENTRIES))
-    return distinct.select("fp").mapInArrow(_deal(parts), "pid int, blob binary").groupBy("pid").applyInArrow(_meet, "a long, b long").distinct()
+    spread = distinct.select("fp").repartition(max(16, math.ceil(n / SPREAD)))  # few bytes now, hundreds of times as many below
+    return spread.mapInArrow(_deal(parts), "pid int, blob binary").groupBy("pid").applyInArrow(_meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -168,11 +170,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``docs`` with one row for each group of near copies, that of the smallest doc_id: texts
-    are near copies where their sets of shingles have a Jaccard similarity of 0.8 or more.
-    Rows without a doc_id and repeated rows: only rows of a kept doc_id stay."""
+    """``docs`` with exactly one row for each group of near copies, that of the smallest doc_id
+    (a null one comes last): texts are near copies where their sets of shingles have a Jaccard
+    similarity of 0.8 or more. Repeated rows and rows without a doc_id are rows like others."""
     rows = stored(minhash.marked(packed(docs, "doc_id", "text", _row=F.monotonically_increasing_id()), shingle))
     roots = minhash.components(rows, shingle).hint("merge")
-    rooted = rows.select("doc_id", "_set").join(roots, "_set", "left").select("doc_id", F.coalesce("root", "_set").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    return unpacked(rows.join(kept.hint("merge"), "doc_id", "left_semi"), docs.columns)
+    rooted = rows.select("doc_id", "_row", "_set").join(roots, "_set", "left").withColumn("root", F.coalesce("root", "_set"))
+    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row").alias("_row"))
+    kept = rooted.groupBy("root").agg(F.min(first).alias("k")).select("k._row")
+    return unpacked(rows.join(kept.hint("merge"), "_row", "left_semi"), docs.columns)
