@@ -18,8 +18,8 @@ sends each distinct word, bigram and trigram once, with its count in training ro
 partition that owns the word or the bigram (a trigram goes with its first two words), which
 sums them and answers in the block's own order. So a word in every document is one entry a
 block, the automaton of no more than a block is in one task, and nothing is broadcast but two
-totals. Words are told apart by a 64-bit hash, bigrams by a mix of two, and the words that
-follow one bigram by 32 bits of theirs. Counts are of 64 bits.
+totals. Words are told apart by a 64-bit hash, bigrams by 56 bits of a mix of two, and the words
+that follow one bigram by 32 bits of theirs. Counts are of 64 bits.
 
 Defined cases: a null text counts as empty and scores its end token alone; repeated rows are
 learned from and scored one by one; without training rows N and V are 0; a null doc_id hashes
@@ -41,6 +41,7 @@ from .common import blocks, packed, squeezed, stored, unpacked, unsqueezed
 MU = (40.0, 10.0)
 BLOCK_BYTES = 4_000_000
 OWNER_TOKENS = 1_000_000  # whose n-grams one partition owns
+BIGRAM_BITS = 56
 LANE = 256  # tokens that a lane of the traversal goes through
 _START, _END = b"  ", b" "  # no word holds a space
 
@@ -58,9 +59,9 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def numbered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of the words, by number: the start is 0, the end 1; tokens as word numbers, each
-    text's end included; tokens of each text)."""
+def numbered(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(words by number: the start is 0, the end 1; tokens as word numbers, each text's end
+    included; tokens of each text)."""
     number: dict[bytes, int] = defaultdict(count().__next__)
     start, end = number[_START], number[_END]
     seqs = []
@@ -68,7 +69,7 @@ def numbered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         w = (t or "").encode().lower().split()  # bytes: A-Z only, ASCII spaces only
         seqs.append(np.fromiter(map(number.__getitem__, w), np.int32, len(w)))
     tokens = np.concatenate([np.zeros(0, np.int32), *[x for s in seqs for x in (s, np.int32([end]))]])
-    return word_hash(number), tokens, np.array([len(s) + 1 for s in seqs], np.int64)
+    return list(number), tokens, np.array([len(s) + 1 for s in seqs], np.int64)
 
 
 class Block:
@@ -84,7 +85,7 @@ class Block:
         self.first = np.zeros(len(tokens), bool)
         self.first[self.last - sizes] = True
         self.before = np.where(self.first, np.int32(self.start), np.append(np.int32([self.start]), tokens[:-1])[: len(tokens)])
-        self.bigrams, at, self.arc = np.unique(mixed(self.hash[self.before], self.hash[self.tokens]), return_index=True, return_inverse=True)
+        self.bigrams, at, self.arc = np.unique(mixed(self.hash[self.before], self.hash[self.tokens]) >> np.uint64(64 - BIGRAM_BITS), return_index=True, return_inverse=True)
         self.bigram_of = self.before[at], self.tokens[at]
         self.inner = np.flatnonzero(~self.first)  # tokens with two words before, the start included
         tag = self.hash[self.tokens[self.inner]] & np.uint64(0xFFFFFFFF)
@@ -106,9 +107,9 @@ class Dealt:
     of their keys, so that a partition's keys lie close together; trigrams with their bigram."""
 
     def __init__(self, b: Block, parts: int):
-        of = lambda keys: ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        of = lambda keys, bits: ((keys >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         self.words = np.argsort(b.hash)
-        w, a = of(b.hash[self.words]), of(b.bigrams)
+        w, a = of(b.hash[self.words], 64), of(b.bigrams, BIGRAM_BITS)
         t = a[b.trigram_of[0]]
         self.pids = np.unique(np.concatenate((w, a)))
         self.bounds = [np.stack([np.searchsorted(x, self.pids, side) for side in ("left", "right")], 1) for x in (w, a, t)]
@@ -143,15 +144,16 @@ def _unpack(blob: bytes, *dtypes) -> list[np.ndarray]:
     return out
 
 
-_CUT = [T.StructField("block", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("train", T.ArrayType(T.BooleanType())), T.StructField("tokens", T.LongType())]
+_CUT = [T.StructField("block", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("texts", T.BinaryType()), T.StructField("train", T.ArrayType(T.BooleanType())), T.StructField("tokens", T.LongType())]
 
 
 def _cut(keep: list[str]):
     def make(number: int, rows: pa.Table) -> pa.Table:
-        hashes, tokens, sizes = numbered(rows.column("text").to_pylist())
+        words, tokens, sizes = numbered(rows.column("text").to_pylist())
         made = {
             "block": pa.array([number], pa.int64()),
-            "words": pa.array([_pack(hashes, tokens, sizes)], pa.binary()),
+            "words": pa.array([squeezed(b" ".join(words[2:]))], pa.binary()),
+            "texts": pa.array([_pack(tokens, sizes)], pa.binary()),
             "train": pa.array([rows.column("train").to_pylist()], pa.list_(pa.bool_())),
             "tokens": pa.array([len(tokens)], pa.int64()),
         }
@@ -163,8 +165,9 @@ def _cut(keep: list[str]):
     return make
 
 
-def _block(words: bytes) -> Block:
-    return Block(*_unpack(words, np.uint64, np.int32, np.int64))
+def _block(words: bytes, texts: bytes) -> Block:
+    known = unsqueezed(words)
+    return Block(word_hash([_START, _END, *(known.split(b" ") if known else [])]), *_unpack(texts, np.int32, np.int64))
 
 
 _BLOBS = "block long, pid long, blob binary, n long, v long"
@@ -179,7 +182,7 @@ def _ask(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                b = _block(row["words"])
+                b = _block(row["words"], row["texts"])
                 words, arcs, thirds = b.counts(np.array(row["train"], bool))
                 pids, blobs = [], []
                 for p, w, a, t in Dealt(b, parts):
@@ -280,7 +283,7 @@ def _score(parts: int, n: int, v: int, schema: pa.Schema):
     def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return schema.empty_table()
-        b = _block(rows.column("words")[0].as_py())
+        b = _block(rows.column("words")[0].as_py(), rows.column("texts")[0].as_py())
         said = dict(zip(answers.column("pid").to_pylist(), answers.column("blob")))
         words, arcs, thirds = (np.zeros(len(x), np.int64) for x in (b.hash, b.bigrams, b.trigrams))
         for p, w, a, t in Dealt(b, parts):
@@ -304,7 +307,7 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     cut = stored(blocks(docs, BLOCK_BYTES, "text", _cut(names), T.StructType([*_CUT, T.StructField("keep", T.ArrayType(keep))] if names else _CUT)))
     total = cut.agg(F.sum("tokens")).first()[0] or 0
     parts = int(max(12, -(-total // OWNER_TOKENS)))
-    answers = stored(cut.select("block", "words", "train").mapInArrow(_ask(parts), _BLOBS).groupBy("pid").applyInArrow(_answer, _BLOBS))
+    answers = stored(cut.select("block", "words", "texts", "train").mapInArrow(_ask(parts), _BLOBS).groupBy("pid").applyInArrow(_answer, _BLOBS))
     n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     types = T.StructType([*keep.fields, *[T.StructField(c, t) for c, t in zip(made, [T.LongType()] * 3 + [T.DoubleType()] * 2)]])
     from pyspark.sql.pandas.types import to_arrow_schema
