@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from plumbline.functions.scalars import cosine
 
@@ -16,3 +18,54 @@ def top_k(store: DataFrame, query: list[float], key: str, vector: str, k: int) -
     q = F.array(*[F.lit(float(x)) for x in query])
     scored = store.select(key, F.round(cosine(F.col(vector), q), 5).alias("score"))
     return scored.orderBy(F.desc("score"), key).limit(k)
+
+
+BLOCK = 1_024  # queries that go to the workers together
+
+
+def search(store: DataFrame, queries: DataFrame, query: str, key: str, vector: str, k: int) -> DataFrame:
+    """(query, key, score): the k most similar rows of each query by cosine similarity (rounded to
+    five digits, ties by key). Queries go out in blocks of ``BLOCK``; each task keeps the k best of
+    its rows for each query, and only these meet. A row or query of no length matches nothing."""
+    spark, out = store.sparkSession, None
+    n = queries.count()
+    parts = max(1, -(-n // BLOCK))
+    id_type, key_type = queries.schema[query].dataType.simpleString(), store.schema[key].dataType.simpleString()
+    for p in range(parts):
+        block = queries.filter(F.pmod(F.xxhash64(query), F.lit(parts)) == p).select(query, vector).collect()
+        said = spark.sparkContext.broadcast([(r[0], r[1]) for r in block if r[1] is not None])
+
+        def run(batches: Iterator, said=said) -> Iterator:
+            import numpy as np
+            import pyarrow as pa
+
+            ids = [i for i, _ in said.value]
+            if not ids:
+                return
+            q = np.array([v for _, v in said.value], np.float64)
+            size = np.sqrt((q * q).sum(1))
+            best: list[list] = [[] for _ in ids]
+            for b in batches:
+                rows = [(x, v) for x, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if v is not None]
+                if not rows:
+                    continue
+                m = np.array([v for _, v in rows], np.float64)
+                with np.errstate(all="ignore"):
+                    s = np.round((m @ q.T) / np.sqrt((m * m).sum(1))[:, None] / size, 5)
+                for j, own in enumerate(best):
+                    ok = np.flatnonzero(np.isfinite(s[:, j]))
+                    if len(ok) > k:
+                        least = np.partition(s[ok, j], -k)[-k]
+                        ok = ok[s[ok, j] >= least]
+                    own += [(-s[i, j], rows[i][0]) for i in ok]
+                    own.sort()
+                    del own[k:]
+            flat = [(i, x, -s) for i, own in zip(ids, best) for s, x in own]
+            if flat:
+                a, c, s = zip(*flat)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(s, pa.float64())], names=[query, key, "score"])
+
+        found = store.select(key, vector).mapInArrow(run, f"{query} {id_type}, {key} {key_type}, score double")
+        out = found if out is None else out.unionByName(found)
+    rank = F.row_number().over(W.partitionBy(query).orderBy(F.desc("score"), key))
+    return out.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
