@@ -81,6 +81,51 @@ def canonical_map(m: Column) -> Column:
     return F.array_sort(F.map_entries(m))
 
 
+def canonical_json(json: Column, without: list[str] = (), more: Column | None = None) -> Column:
+    """A JSON value's text with keys in order, without spaces, and numbers by value; without the
+    given top-level keys of an object (``more`` is an array column of such). Null if it is no JSON."""
+    v = F.try_parse_json(json)
+    drop = F.array(*[F.lit(k) for k in without]).cast("array<string>")
+    drop = drop if more is None else F.concat(drop, more)
+    held = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~F.array_contains(drop, k))
+    fields = F.transform(F.array_sort(F.map_keys(held)), lambda k: F.concat(F.to_json(F.struct(k.alias("k"))), F.lit(":"), F.to_json(F.element_at(held, k))))
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}"))).otherwise(F.to_json(v))
+
+
+def deterministic_id(*parts: Column) -> Column:
+    """An id of UUID form that follows from its parts."""
+    h = sha256(F.to_json(F.struct(*[p.cast("string").alias(f"p{i}") for i, p in enumerate(parts)]), {"ignoreNullFields": "false"}))
+    piece = lambda a, n: F.substr(h, F.lit(a), F.lit(n))
+    return F.concat_ws("-", piece(1, 8), piece(9, 4), F.concat(F.lit("4"), piece(14, 3)), F.concat(F.lit("8"), piece(18, 3)), piece(21, 12))
+
+
+def strip_prose(c: Column) -> Column:
+    """Code out of a reply: import and require lines go, ``export`` goes from its line, and from
+    the first line of prose on all goes; blank lines at both ends go, and one wrapper (a
+    function or class of which the last line is the closing brace) unless an export went."""
+    lines = F.split(F.coalesce(c, F.lit("")), "\n", -1)
+    trimmed = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    imports = lambda x: trimmed(x).rlike(r"^import[ {]") | trimmed(x).rlike(r"^(?:const|let|var) .*require\(")
+    prose = lambda x: trimmed(x).rlike(r"^(?:This |Note:|The above|Here )")
+    kept = F.filter(lines, lambda x: ~imports(x))
+    stop = F.array_position(F.transform(kept, prose), F.lit(True))
+    kept = F.when(stop > 0, F.slice(kept, F.lit(1), (stop - 1).cast("int"))).otherwise(kept)
+    exported = F.exists(kept, lambda x: trimmed(x).startswith("export "))
+    kept = F.transform(kept, lambda x: F.when(trimmed(x).startswith("export "), F.regexp_replace(x, r"^(.*?)export ", "$1")).otherwise(x))
+    ends = lambda t: F.regexp_replace(F.regexp_replace(t, r"^(?:[ \t\r]*\n)+", ""), r"(?:\n[ \t\r]*)+$", "")
+    text = ends(F.array_join(kept, "\n"))
+    body = F.split(text, "\n", -1)
+    first, last = trimmed(F.get(body, F.lit(0))), trimmed(F.element_at(body, -1))
+    wrapped = ~exported & (F.size(body) >= 3) & first.rlike(r"^(?:async function |function |class ).*\{$") & (last == "}")
+    inner = F.transform(F.slice(body, F.lit(2), F.greatest(F.size(body) - 2, F.lit(0))), lambda x: F.regexp_replace(x, r"^(?:\t|  )", ""))
+    return F.when(wrapped, ends(F.array_join(inner, "\n"))).otherwise(text)
+
+
+def jittered(ms: Column, seed: Column, share: float = 0.25) -> Column:
+    """A delay with up to ``share`` of it added, the same for equal seeds."""
+    return (ms + ms * share * (F.pmod(F.xxhash64(seed), F.lit(1_000_000)) / 1_000_000)).cast("long")
+
+
 def byte_units(n: Column) -> Column:
     return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1048576, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / 1048576))
 
@@ -126,9 +171,11 @@ DAILY_LIMIT = "tokens per day|TPD"
 
 def is_retryable(error: Column) -> Column:
     """Whether a failed request is worth another try: rate limits but daily ones, server
-    errors and unknown ones are; client errors and no error are not."""
+    errors, an exceeded deadline and unknown ones are; client errors, a cancelled context and no
+    error are not."""
+    ended, late = error.contains("context canceled"), error.contains("context deadline exceeded")
     limited, server, client = (error.rlike(p) for p, _ in RETRY)
-    return F.when(error.isNull(), False).when(limited, ~error.rlike(DAILY_LIMIT)).when(server, True).otherwise(~client)
+    return F.when(error.isNull() | ended, False).when(late, True).when(limited, ~error.rlike(DAILY_LIMIT)).when(server, True).otherwise(~client)
 
 
 def wait_ms(request_tokens: Column, per_minute: int, budget_left: Column, window_age_ms: Column) -> Column:

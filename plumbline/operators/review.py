@@ -27,10 +27,21 @@ def _upper(c: Column) -> Column:
 
 
 def verdict(df: DataFrame, text: str) -> DataFrame:
-    """Adds positive, negative and equivalent: more phrases for than against; null where
-    there are neither."""
+    """Adds positive, negative, equivalent and reason. A JSON answer, or else the JSON object
+    between its first { and last }, says ``equivalent`` and ``reason`` itself (false and empty
+    where it says nothing); any other is equivalent with more phrases for than against, and not
+    with neither."""
+    shape = "equivalent boolean, reason string, _bad string"
+    parsed = lambda c: F.from_json(c, shape, {"columnNameOfCorruptRecord": "_bad"})
+    told, inner = parsed(F.col(text)), parsed(F.regexp_extract(F.col(text), r"(?s)\{.*\}", 0))
+    good = lambda v, c: F.when(v["_bad"].isNull() & F.trim(c).startswith("{"), v)
     out = df.withColumn("positive", _hits(F.col(text), POSITIVE)).withColumn("negative", _hits(F.col(text), NEGATIVE))
-    return out.withColumn("equivalent", F.when(F.col("positive") + F.col("negative") > 0, F.col("positive") > F.col("negative")))
+    out = out.withColumn("_v", F.when(F.col(text).contains("{"), F.coalesce(good(told, F.col(text)), good(inner, F.lit("{")))))
+    said = F.col("_v").isNotNull()
+    equivalent = F.when(said, F.coalesce("_v.equivalent", F.lit(False))).otherwise(F.col("positive") > F.col("negative"))
+    heard = F.col("positive") + F.col("negative") > 0
+    reason = F.when(said, F.coalesce("_v.reason", F.lit(""))).when(heard, F.left(F.col(text), F.lit(150))).otherwise(F.concat(F.lit("could not parse verdict: "), F.left(F.coalesce(text, F.lit("")), F.lit(100))))
+    return out.withColumn("equivalent", equivalent).withColumn("reason", reason).drop("_v")
 
 
 def scored(items: DataFrame, scores: DataFrame, key: str, overall: Column, approve_at: float | None = None) -> DataFrame:
