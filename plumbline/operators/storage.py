@@ -5,14 +5,36 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own: list[str] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster shares (spark.checkpoint.dir). Where that is
+    unset, a temporary folder of this process serves a local master; any other one fails, since
+    its executors would each write to their own disk."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="plumbline-kept-"))
+        base = "file://" + _own[0]
+    return f"{base.rstrip('/')}/plumbline-kept-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Writes ``df`` once to the folder that the cluster shares (spark.checkpoint.dir; a
-    temporary one where it is unset) and reads it back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/plumbline-kept-{uuid.uuid4().hex}"
+    """Writes ``df`` once to the shared folder and reads it back."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table of ``kept`` that no later result reads."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
