@@ -1,8 +1,8 @@
 """Source text to records: COBOL, Perl and Fortran.
 
-A file is one row (path, content); its lines are folded in a Python UDTF-like pass in
-``mapInPandas``, because levels, braces and nesting are stacks. Each parser is a generator
-of (path, record, name, parent, detail) rows.
+A file is one row (path, content); its lines are folded in ``mapInPandas``, because levels, braces
+and nesting are stacks. Each parser is a generator of (record, name, parent, detail) rows; what
+needs other files (copybook types, imported variables, parameter types) is a join on the records.
 """
 
 from __future__ import annotations
@@ -10,11 +10,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 Row = tuple[str, str, str, str]
-#: Words that are no paragraph names.
+#: Words that are no paragraph names, Perl's own functions and modules.
 KEYWORDS = set("IF ELSE END-IF PERFORM MOVE ADD SUBTRACT MULTIPLY DIVIDE COMPUTE DISPLAY ACCEPT READ WRITE OPEN CLOSE EVALUATE END-EVALUATE WHEN SEARCH SET GO STOP EXIT INITIALIZE STRING UNSTRING INSPECT CALL EXEC END-EXEC COPY REPLACING WORKING-STORAGE FILE LINKAGE LOCAL-STORAGE".split())
+BUILTINS = set("print printf say warn die open close read write seek chomp chop split join substr length defined exists delete push pop shift unshift keys values each grep map sort reverse sprintf localtime gmtime time sleep eval require use package if unless while until for foreach do return next last redo goto sub my our local new bless ref isa".split())
+CORE_MODULES = set("strict warnings vars Carp Exporter base parent constant lib utf8 Data::Dumper Storable Scalar::Util List::Util File::Spec File::Path IO::File IO::Handle".split())
+FRAMEWORKS = ("Moose::Role", "Moo::Role", "Moose", "Moo", "Mouse")
 
 
 def picture(pic: str) -> tuple[str, int, int]:
@@ -27,50 +30,166 @@ def picture(pic: str) -> tuple[str, int, int]:
     return ("decimal", n + scale, scale) if "V" in flat else ("integer", n, 0)
 
 
+# ---- COBOL ----------------------------------------------------------------------------
+
+
+def is_fixed(lines: list[str]) -> bool:
+    """Whether at least half of the lines that are not blank have a fixed format's column 7: a
+    comment or continuation mark, or a blank before more text."""
+    seen = [x for x in lines if x.strip()]
+    marked = sum(x[6:7] in ("*", "/", "-") and x[6:7] != "" or (x[6:7] == " " and len(x) > 7) for x in seen)
+    return bool(seen) and 2 * marked >= len(seen)
+
+
+def logical_lines(content: str) -> list[str]:
+    """Lines without comments, continuations joined. Of fixed lines columns 1 to 6 go and the
+    mark becomes a blank; of free ones what follows ``*>``."""
+    raw, out = content.split("\n"), []
+    fixed = is_fixed(raw)
+    for x in raw:
+        if not fixed:
+            out.append(" " + x.split("*>")[0])
+        elif x[6:7] == "-":
+            if out:
+                out[-1] += x[11:72].lstrip()
+        elif x[6:7] not in ("*", "/"):
+            out.append(" " + x[7:])
+    return [x for x in out if x.strip()]
+
+
+_PARAGRAPH = re.compile(r"(?i)^\s{1,4}(\w[\w-]*)(\s+SECTION)?\.\s*$")
+_CALLS = [("perform", re.compile(r"(?i)\bPERFORM\s+([\w-]+)")), ("call", re.compile(r"(?i)\bCALL\s+['\"]?([\w-]+)")), ("goto", re.compile(r"(?i)\bGO\s+TO\s+([\w-]+)"))]
+_IO = [
+    ("display", "write", re.compile(r"(?i)\bDISPLAY\b()")),
+    ("read", "read", re.compile(r"(?i)\bREAD\s+([\w-]+)")),
+    ("write", "write", re.compile(r"(?i)\bWRITE\s+([\w-]+)")),
+    ("open", "read", re.compile(r"(?i)\bOPEN\s+INPUT\s+([\w-]+)")),
+    ("open", "write", re.compile(r"(?i)\bOPEN\s+(?:OUTPUT|EXTEND)\s+([\w-]+)")),
+    ("open", "readwrite", re.compile(r"(?i)\bOPEN\s+I-O\s+([\w-]+)")),
+    ("close", "readwrite", re.compile(r"(?i)\bCLOSE\s+([\w-]+)")),
+]
+
+
+def _exec_block(text: str) -> Iterator[tuple[str, str]]:
+    """(name, kind:direction) of a whole EXEC block, whatever lines its words are on."""
+    words = re.sub(r"(?i)^.*?\bEXEC\s+|\bEND-EXEC\b.*$", "", " ".join(text.split())).upper().split()
+    if words[:1] == ["SQL"]:
+        yield (words[1] if len(words) > 1 else ""), "sql:" + ("write" if {"INSERT", "UPDATE", "DELETE"} & set(words) else "read")
+    elif words[:1] == ["CICS"]:
+        verb = words[1] if len(words) > 1 else ""
+        yield verb, "cics:" + {"SEND": "write", "RECEIVE": "read"}.get(verb, "readwrite")
+
+
+def _level(line: str, stack: list) -> Row | None:
+    """The data item of a line, under the items that are open."""
+    m = re.match(r"\s*(\d{1,2})\s+([\w-]+)(.*)", line)
+    if not m:
+        return None
+    level, name, rest = int(m[1]), m[2], m[3]
+    if level in (1, 77, 66):
+        stack.clear()
+    while stack and stack[-1][0] >= level:
+        stack.pop()
+    pic = re.search(r"(?i)\bPIC(?:TURE)?\s+(?:IS\s+)?([SV9AX0-9()\-.]+)", rest)
+    if pic:
+        kind, size, scale = picture(pic[1])
+    else:
+        binary = re.search(r"(?i)\b(COMP(-[1-5])?|BINARY)\b", rest)
+        kind, size, scale = ({88: "boolean", 66: "unknown"}.get(level) or ("integer" if binary else "struct")), 0, 0
+    if (o := re.search(r"(?i)\bOCCURS\s+(\d+)", rest)) and kind != "struct":
+        kind = f"array<{kind}>x{o[1]}"
+    made = ("data_type", name, stack[-1][1] if stack else "", f"{kind}({size},{scale})")
+    if level not in (66, 88):
+        stack.append((level, name))
+    return made
+
+
 def cobol(path: str, content: str) -> Iterator[Row]:
-    lines = []
-    for raw in content.split("\n"):
-        if len(raw) > 6 and raw[6] in "*/":
-            continue
-        body = raw[6:].split("*>")[0] if re.match(r"^[ \d]{6}", raw) else raw.split("*>")[0]
-        if len(raw) > 6 and raw[6] == "-" and lines:
-            lines[-1] += body[1:].lstrip()
-        elif body.strip():
-            lines.append(body)
-    program = next((m[1].strip(".") for x in lines if (m := re.search(r"(?i)\bPROGRAM-ID\.?\s+([\w-]+)", x))), path.rsplit("/", 1)[-1].split(".")[0])
-    yield "module", program, "", "cobol"
-    part, fn, stack = "", "", []
+    """A program, or a copybook: a file without a division is data from its first line."""
+    lines = logical_lines(content)
+    base = path.rsplit("/", 1)[-1].split(".")[0]
+    program = next((m[1].strip(".") for x in lines if (m := re.search(r"(?i)\bPROGRAM-ID\.?\s+([\w-]+)", x))), base)
+    divided = any(re.search(r"(?i)^\s*[\w-]+\s+DIVISION", x) for x in lines)
+    yield "module", program, "", "cobol" if divided or not path.lower().endswith(".cpy") else "copybook"
+    part, fn, stack, block = ("" if divided else "DATA"), "", [], []
     for x in lines:
         if m := re.search(r"(?i)^\s*([\w-]+)\s+DIVISION", x):
             part = m[1].upper()
-        elif part == "DATA" and (m := re.match(r"\s*(\d{2})\s+([\w-]+)(.*)", x)):
-            level, name, rest = int(m[1]), m[2], m[3]
-            if level in (1, 77, 66):
-                stack = []
-            while stack and stack[-1][0] >= level:
-                stack.pop()
-            pic = re.search(r"(?i)\bPIC(?:TURE)?\s+(?:IS\s+)?([SV9AX0-9()\-.]+)", rest)
-            kind, size, scale = picture(pic[1]) if pic else ("boolean", 0, 0) if level == 88 else ("unknown", 0, 0) if level == 66 else ("integer", 0, 0) if re.search(r"(?i)\b(COMP(-[1-5])?|BINARY)\b", rest) else ("struct", 0, 0)
-            if (o := re.search(r"(?i)\bOCCURS\s+(\d+)", rest)) and kind != "struct":
-                kind = f"array<{kind}>x{o[1]}"
-            yield "data_type", name, stack[-1][1] if stack else "", f"{kind}({size},{scale})"
-            if level not in (66, 88):
-                stack.append((level, name))
+        elif part == "DATA":
+            if (m := re.search(r"(?i)\bCOPY\s+['\"]?([\w-]+)", x)) and not re.match(r"\s*\d", x):
+                yield "dependency", m[1].upper(), program, "copy"
+            elif row := _level(x, stack):
+                yield row
         elif part == "PROCEDURE":
-            if (m := re.match(r"(?i)^\s{1,4}(\w[\w-]*)(\s+SECTION)?\.\s*$", x)) and m[1].upper() not in KEYWORDS:
+            if (m := _PARAGRAPH.match(x)) and m[1].upper() not in KEYWORDS:
                 fn = m[1]
                 yield "function", fn, program, "section" if m[2] else "paragraph"
                 continue
-            for m in re.finditer(r"(?i)\bPERFORM\s+([\w-]+)(?:\s+THRU\s+([\w-]+))?", x):
-                if m[1].upper() not in {"UNTIL", "VARYING"}:
-                    yield "call", m[1], fn, "perform"
-            for m in re.finditer(r"(?i)\bCALL\s+['\"]?([\w-]+)", x):
-                yield "call", m[1], fn, "call"
-            for m in re.finditer(r"(?i)\bGO\s+TO\s+([\w-]+)", x):
-                yield "call", m[1], fn, "goto"
-            for kind, pattern in (("display", r"(?i)\bDISPLAY\b()"), ("read", r"(?i)\bREAD\s+([\w-]+)"), ("write", r"(?i)\bWRITE\s+([\w-]+)"), ("open", r"(?i)\bOPEN\s+(?:INPUT|OUTPUT|I-O|EXTEND)\s+([\w-]+)"), ("close", r"(?i)\bCLOSE\s+([\w-]+)"), ("cics", r"(?i)\bEXEC\s+CICS\s+(\w+)"), ("sql", r"(?i)\bEXEC\s+SQL\s+(\w+)")):
-                if m := re.search(pattern, x):
-                    yield "io", m[1], fn, kind
+            for kind, pattern in _CALLS:
+                for m in pattern.finditer(x):
+                    if kind != "perform" or m[1].upper() not in {"UNTIL", "VARYING"}:
+                        yield "call", m[1], fn, kind
+            if block or re.search(r"(?i)\bEXEC\s+(CICS|SQL)\b|\bEXEC\s*$", x):
+                block.append(x)
+                if re.search(r"(?i)\bEND-EXEC\b", x):
+                    for name, detail in _exec_block(" ".join(block)):
+                        yield "io", name, fn, detail
+                    block = []
+                continue
+            for kind, way, pattern in _IO:
+                if m := pattern.search(x):
+                    yield "io", m[1], fn, f"{kind}:{way}"
+
+
+def constructs(path: str, content: str) -> Iterator[Row]:
+    """COBOL constructs that tell how involved a paragraph is."""
+    kinds = {"exec_cics": r"(?i)\bEXEC\s+CICS\b", "exec_sql": r"(?i)\bEXEC\s+SQL\b", "evaluate": r"(?i)^\s*EVALUATE\b", "when": r"(?i)^\s*WHEN\b(?!\s+OTHER)", "goto": r"(?i)\bGO\s+TO\b"}
+    fn = ""
+    for x in logical_lines(content):
+        if (m := _PARAGRAPH.match(x)) and m[1].upper() not in KEYWORDS:
+            fn = m[1]
+        for kind, pattern in kinds.items():
+            if fn and re.search(pattern, x):
+                yield "construct", kind, fn, ""
+
+
+# ---- Perl -----------------------------------------------------------------------------
+
+
+def perl_parameters(signature: str | None, body: list[str]) -> Iterator[tuple[str, str]]:
+    """(name, kind) of a sub's parameters: those of its signature; else of the first list taken
+    from @_; else an array that is all of @_; else of its first run of shifts."""
+    named = lambda s: [(p.strip().lstrip("$@%"), "unknown") for p in s.split(",") if re.search(r"\w", p)]
+    if signature and re.search(r"\w", signature):
+        yield from named(signature.strip("()"))
+        return
+    text = "\n".join(body)
+    if m := re.search(r"my\s*\(([^)]+)\)\s*=\s*@_", text):
+        yield from named(m[1])
+    elif m := re.search(r"my\s+@(\w+)\s*=\s*@_", text):
+        yield m[1], "array"
+    else:
+        taken = [re.match(r"\s*my\s+\$(\w+)\s*=\s*shift(?:\s+@_|\(@_\))?\s*;", x) for x in body if x.strip()]
+        first = next((i for i, m in enumerate(taken) if m), len(taken))
+        for m in taken[first:]:
+            if not m:
+                break
+            yield m[1], "unknown"
+
+
+def _perl_subs(lines: list[str]) -> dict[int, tuple[str, str | None, list[str]]]:
+    """By line: the subs that begin there, with their signature and body."""
+    out, open_, depth = {}, None, 0
+    for i, x in enumerate(lines):
+        if open_ is None and (m := re.match(r"\s*sub\s+(\w+)\s*(\([^)]*\))?\s*\{", x)):
+            open_ = (i, depth, m)
+            out[i] = (m[1], m[2], [x[m.end() :]])
+        elif open_ is not None:
+            out[open_[0]][2].append(x)
+        depth += x.count("{") - x.count("}")
+        if open_ is not None and depth <= open_[1]:
+            open_ = None
+    return out
 
 
 def perl(path: str, content: str) -> Iterator[Row]:
@@ -78,71 +197,109 @@ def perl(path: str, content: str) -> Iterator[Row]:
     lines = [re.sub(r"(^|\s)#.*$", "", x) if x.count('"') % 2 == 0 else x for x in text.split("\n")]
     package = next((m[1] for x in lines if (m := re.match(r"\s*package\s+([\w:]+)", x))), path.rsplit("/", 1)[-1].split(".")[0])
     yield "module", package, "", "perl"
+    subs = _perl_subs(lines)
     fn, depth, open_at = "", 0, -1
-    for x in lines:
-        if m := re.match(r"\s*(?:use|require)\s+([\w:]+)", x):
-            yield "dependency", m[1], package, "oop" if m[1] in ("Moose::Role", "Moose", "Moo::Role", "Moo") else "use"
+    for i, x in enumerate(lines):
+        if (m := re.match(r"\s*(?:use|require)\s+([\w:]+)", x)) and m[1] not in CORE_MODULES and not re.match(r"v?\d", m[1]):
+            yield "dependency", m[1], package, "oop" if m[1] in FRAMEWORKS else "use"
+        if m := re.match(r"\s*(with|extends)\s+['\"]?([\w:]+)", x):
+            yield "dependency", m[2], package, m[1]
         if m := re.match(r"\s*has\s+['\"]?(\w+)['\"]?\s*=>", x):
             yield "data_type", m[1], package, "attribute"
-        if m := re.match(r"\s*sub\s+(\w+)\s*(\([^)]*\))?\s*\{", x):
-            fn, open_at = m[1], depth
+        elif m := re.match(r"\s*has\s+['\"](\w+)['\"]", x):
+            yield "data_type", m[1], package, "attribute"
+        if i in subs:
+            fn, open_at = subs[i][0], depth
             yield "function", fn, package, "sub"
+            for name, kind in perl_parameters(*subs[i][1:]):
+                yield "parameter", name, fn, kind
         elif m := re.match(r"\s*my\s+\$(\w+)\s*=\s*sub\s*\{", x):
             yield "function", m[1], fn, "closure"
         for m in re.finditer(r"\b(my|our|local)\s+([$@%])(\w+)", x):
             yield "variable", m[3], fn, {"$": "string", "@": "array", "%": "struct"}[m[2]]
-        for m in re.finditer(r"->(\w+)\s*\(|\b([\w:]+)\s*\(", x):
-            if not re.match(r"\s*sub\b", x) and (m[1] or m[2]) not in {"my", "if", "while", "for", "foreach", "unless", "open", "close", "shift", "print"}:
+        bare = "" if re.match(r"\s*(?:use|require|sub)\b", x) else re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", "''", x)
+        for m in re.finditer(r"->(\w+)\s*\(|(?<![$@%\w>:])([A-Za-z_][\w:]*)\s*\(", bare):
+            if m[1] or m[2] not in BUILTINS:
                 yield "call", m[1] or m[2], fn, "method" if m[1] else "function"
-        for kind, pattern in (("open", r"\bopen\s*\(\s*(?:my\s+)?(\$?\w+)"), ("close", r"\bclose\s*\(\s*(\$?\w+)"), ("dbi", r"(?:DBI->|->)(connect|prepare|do|execute|fetchrow|fetch)\b")):
-            if m := re.search(pattern, x):
-                yield "io", m[1], fn, kind
+        if m := re.search(r"\bopen\s*\(\s*(?:my\s+)?(\$?\w+)\s*(?:,\s*['\"]?([<>+|]+))?", x):
+            way = "read" if m[2] in (None, "<") else "readwrite" if "+" in m[2] else "write"
+            yield "io", m[1], fn, f"open:{way}"
+        if m := re.search(r"\bclose\s*\(\s*(\$?\w+)", x):
+            yield "io", m[1], fn, "close:readwrite"
+        if m := re.search(r"(?:DBI->|->)(connect|prepare|do|selectall_arrayref|selectrow_array|execute|fetchrow|fetch)\b", x):
+            yield "io", m[1], fn, "dbi:" + ("read" if m[1].startswith(("fetch", "select")) else "readwrite")
         depth += x.count("{") - x.count("}")
         if fn and depth <= open_at:
             fn, open_at = "", -1
 
 
+# ---- Fortran --------------------------------------------------------------------------
+
+_TYPE = r"(integer|real|double\s+precision|complex|logical|character|type\s*\(\s*\w+\s*\))"
+_UNIT = re.compile(r"(?i)^\s*(?:(?:pure|elemental|recursive|impure|" + _TYPE[1:-1] + r")(?:\s*\*\s*\d+|\s*\((?:[^()]*)\))?\s+)*(program|module|subroutine|function)\s+(?!procedure\b)(\w+)(?:\s*\((.*?)\))?")
+_END = re.compile(r"(?i)^\s*end\s*(?:(?:program|module|subroutine|function)\b.*)?$")
+_DECLARED = re.compile(r"(?i)^\s*" + _TYPE + r"(?![a-z0-9_])(\s*\*\s*(?:\d+|\(\s*\*\s*\))|\s*\([^)]*\))?\s*((?:,\s*\w+(?:\s*\([^)]*\))?\s*)*)(::)?\s*([a-z]\w*.*)$")
+_FORTRAN_IO = re.compile(r"(?i)^\s*(?:if\s*\(.*?\)\s*)?(open|close|inquire|rewind|backspace|read|write)\s*\(|^\s*(print)\s+")
+
+
+def fortran_lines(path: str, content: str) -> list[str]:
+    """Statements without comments, continuations joined: after a trailing & in free form, at a
+    mark in column 6 in fixed form (files named .f, .for or .f77)."""
+    fixed, out, more = bool(re.search(r"(?i)\.(f|for|f77)$", path)), [], False
+    for x in content.split("\n"):
+        if re.match(r"^\s*!", x) or re.match(r"^[Cc*](?![A-Za-z])" if not fixed else r"^[Cc*]", x):
+            continue
+        x = x.split("!")[0].rstrip()
+        if fixed and out and re.match(r"^ {5}[^ 0]", x):
+            out[-1] += " " + x[6:].strip()
+        elif more and out:
+            out[-1] = out[-1] + " " + x.strip().lstrip("&")
+        elif x.strip():
+            out.append(x)
+        more = not fixed and bool(out) and out[-1].endswith("&")
+        if more:
+            out[-1] = out[-1][:-1].rstrip()
+    return out
+
+
+def _split_names(text: str) -> list[tuple[str, bool]]:
+    """(name, whether it has dimensions of its own) of a declaration's list."""
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(text + ","):
+        depth += (c == "(") - (c == ")")
+        if c == "," and depth == 0:
+            if m := re.match(r"\s*(\w+)\s*(\()?", text[start:i]):
+                out.append((m[1], bool(m[2])))
+            start = i + 1
+    return out
+
+
 def fortran(path: str, content: str) -> Iterator[Row]:
     stack: list[tuple[str, str]] = []
     top = lambda: stack[-1][1] if stack else ""
-    unit = r"(?i)^\s*(?:(?:pure|elemental|recursive|integer|real|double\s+precision|complex|logical|character(?:\s*\*\s*\d+)?|type\s*\(\w+\))\s+)*(program|module|subroutine|function)\s+(\w+)(?:\s*\((.*?)\))?"
-    for x in content.split("\n"):
-        if re.match(r"^\s*!|^[Cc*](?![A-Za-z])", x):
-            continue
-        x = x.split("!")[0]
-        if re.match(r"(?i)^\s*end\s*(program|module|subroutine|function)?(\s+\w+)?\s*$", x) and not re.match(r"(?i)^\s*end\s*(if|do|select|where|type|interface)\b", x):
+    for x in fortran_lines(path, content):
+        if _END.match(x):
             if stack:
                 stack.pop()
-        elif m := re.match(unit, x):
-            yield ("module" if m[1].lower() in ("program", "module") else "function"), m[2], top(), m[1].lower()
+        elif (m := _UNIT.match(x)) and not re.match(r"(?i)^\s*end", x):
+            kind, name = m[1].lower(), m[2]
+            yield ("module" if kind in ("program", "module") else "function"), name, top(), kind
             for p in filter(None, re.split(r"[\s,]+", m[3] or "")):
-                yield "parameter", p, m[2], "unknown"
-            stack.append((m[1].lower(), m[2]))
-        elif m := re.match(r"(?i)^\s*use\s+(\w+)", x):
+                yield "parameter", p, name, "unknown"
+            stack.append((kind, name))
+        elif m := re.match(r"(?i)^\s*use\s*(?:,\s*\w+\s*::\s*)?\s*(\w+)", x):
             yield "dependency", m[1], top(), "use"
-        elif m := re.match(r"(?i)^\s*call\s+(\w+)", x):
+        elif m := re.match(r"(?i)^\s*(?:if\s*\(.*\)\s*)?call\s+(\w+)", x):
             yield "call", m[1], top(), "call"
-        elif m := re.match(r"(?i)^\s*(open|read|write)\s*\(|^\s*(print)\s+", x):
-            yield "io", (m[1] or m[2]).lower(), top(), "io"
-        elif m := re.match(r"(?i)^\s*(integer|real|double\s+precision|complex|logical|character|type\s*\(\s*\w+\s*\))[^:]*::\s*(.*)", x):
-            array = "array" if re.search(r"(?i)dimension\s*\(", x) else "scalar"
-            for name in re.findall(r"(\w+)\s*(?:\([^)]*\))?\s*(?:=[^,]*)?(?:,|$)", m[2]):
-                yield "variable", name, top(), f"{re.sub(r'\s+', ' ', m[1].lower())} {array}"
-
-
-def constructs(path: str, content: str) -> Iterator[Row]:
-    """COBOL constructs that tell how involved a paragraph is."""
-    kinds = {"exec_cics": r"(?i)\bEXEC\s+CICS\b", "exec_sql": r"(?i)\bEXEC\s+SQL\b", "evaluate": r"(?i)^\s*EVALUATE\b", "when": r"(?i)^\s*WHEN\b(?!\s+OTHER)", "goto": r"(?i)\bGO\s+TO\b"}
-    fn = ""
-    for raw in content.split("\n"):
-        if raw[6:7] in ("*", "/"):
-            continue
-        x = raw[6:] if re.match(r"^[ \d]{6}", raw) else raw
-        if (m := re.match(r"(?i)^\s{1,4}(\w[\w-]*)(\s+SECTION)?\.\s*$", x)) and m[1].upper() not in KEYWORDS:
-            fn = m[1]
-        for kind, pattern in kinds.items():
-            if fn and re.search(pattern, x):
-                yield "construct", kind, fn, ""
+        elif m := _FORTRAN_IO.match(x):
+            verb = (m[1] or m[2]).lower()
+            yield "io", verb, top(), "io"
+        elif (m := _DECLARED.match(x)) and (m[4] or not re.match(r"\s*\w+\s*=", m[5]) and not m[3].strip()):
+            wide = re.search(r"(?i)\bdimension\s*\(", m[3])
+            intent = re.search(r"(?i)\bintent\s*\(\s*(in\s*out|in|out)\s*\)", m[3])
+            for name, own in _split_names(m[5]):
+                shape = "array" if wide or own else "scalar"
+                yield "variable", name, top(), " ".join(filter(None, [re.sub(r"\s+", " ", m[1].lower()), shape, intent and intent[1].lower().replace(" ", "")]))
 
 
 PARSERS: dict[str, Callable[[str, str], Iterator[Row]]] = {"cobol": cobol, "perl": perl, "fortran": fortran, "cobol_constructs": constructs}
@@ -164,6 +321,9 @@ def parse(files: DataFrame, language: str) -> DataFrame:
     return files.select("path", F.col("content").cast("string").alias("content")).mapInPandas(run, "path string, ord long, record string, name string, parent string, detail string")
 
 
+# ---- joins on records -----------------------------------------------------------------
+
+
 def construct_counts(parsed: DataFrame) -> DataFrame:
     """(path, function, a count of each construct) from records of ``cobol_constructs``."""
     n = lambda k: F.count_if(F.col("name") == k).alias(k)
@@ -176,3 +336,73 @@ def imported(parsed: DataFrame) -> DataFrame:
     uses = parsed.filter("record = 'dependency'").select("path", F.col("parent").alias("unit"), F.upper("name").alias("_m"))
     own = parsed.filter("record = 'variable'").select(F.upper("parent").alias("_m"), F.col("parent").alias("module"), "name").distinct()
     return uses.distinct().join(own, "_m").select("path", "unit", "module", "name")
+
+
+def typed_parameters(parsed: DataFrame) -> DataFrame:
+    """(path, function, ord, name, type): parameters with the type of the first declaration of
+    their name in their function, in any case; unknown without one."""
+    p = parsed.filter("record = 'parameter'").select("path", F.col("parent").alias("function"), "ord", "name", F.upper("name").alias("_n"))
+    d = parsed.filter("record = 'variable'").groupBy("path", F.col("parent").alias("function"), F.upper("name").alias("_n")).agg(F.min_by("detail", "ord").alias("type"))
+    return p.join(d, ["path", "function", "_n"], "left").select("path", "function", "ord", "name", F.coalesce("type", F.lit("unknown")).alias("type"))
+
+
+def resolved_types(parsed: DataFrame, books: DataFrame) -> DataFrame:
+    """Records of which data items of unknown kind take the detail of the copybook item of their
+    name (the first by path and place), in any case."""
+    known = books.filter("record = 'data_type'").groupBy(F.upper("name").alias("_n")).agg(F.min_by("detail", F.struct("path", "ord")).alias("_d"))
+    unknown = (F.col("record") == "data_type") & F.col("detail").startswith("unknown")
+    j = parsed.withColumn("_n", F.when(unknown, F.upper("name"))).join(known, "_n", "left")
+    return j.select("path", "ord", "record", "name", "parent", F.coalesce("_d", "detail").alias("detail"))
+
+
+def book_dependencies(parsed: DataFrame) -> DataFrame:
+    """(path, book): the copybooks that each file names, once each."""
+    return parsed.filter("record = 'dependency' and detail = 'copy'").select("path", F.concat("name", F.lit(".cpy")).alias("book")).distinct()
+
+
+def function_snippets(code: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """Adds ``snippet``: the definition of the function ``name`` in a text, from the comment lines
+    right above it (six at most) to its closing brace (within 100 lines); without a definition
+    the first 2,000 characters, marked as cut where there are more."""
+    split, found = F.split(text, "\n", -1), F.col(name)
+    trim = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    starts = lambda x: trim(x).startswith(F.concat(found, F.lit("("))) | trim(x).startswith(F.concat(F.lit("async "), found, F.lit("(")))
+    at = F.array_position(F.transform("_ls", starts), F.lit(True)).cast("int")
+    df = code.withColumn("_ls", split).withColumn("_at", at)
+    above = F.reverse(F.slice("_ls", F.greatest(F.col("_at") - 6, F.lit(1)), F.least(F.col("_at") - 1, F.lit(6))))
+    comment = lambda x: (trim(x) == "") | trim(x).startswith("*") | trim(x).startswith("/**")
+    run = F.array_position(F.transform(above, lambda x: ~comment(x)), F.lit(True)).cast("int")
+    n_above = F.when(F.col("_at") <= 1, 0).when(run > 0, run - 1).otherwise(F.size(above))
+    body = F.slice("_ls", F.col("_at"), F.lit(100))
+    braces = lambda x: F.length(x) - F.length(F.replace(x, F.lit("{"))) - F.length(x) + F.length(F.replace(x, F.lit("}")))
+    depth = F.aggregate(body, F.struct(F.lit(0).alias("d"), F.lit(0).alias("i"), F.lit(0).alias("end")), lambda a, x: F.struct((a["d"] + braces(x)).alias("d"), (a["i"] + 1).alias("i"), F.when((a["end"] == 0) & (a["i"] > 0) & (a["d"] + braces(x) <= 0), a["i"] + 1).otherwise(a["end"]).alias("end")), lambda a: F.greatest(a["end"], F.lit(1)))
+    cut = F.array_join(F.slice("_ls", F.col("_at") - n_above, n_above + depth), "\n")
+    rest = F.when(F.length(text) > 2000, F.concat(F.left(F.col(text), F.lit(2000)), F.lit("\n...(truncated)..."))).otherwise(F.col(text))
+    return df.withColumn("snippet", F.when(F.col("_at") > 0, cut).otherwise(rest)).drop("_ls", "_at")
+
+
+def rule_functions(rules: DataFrame, functions: DataFrame) -> DataFrame:
+    """(module, function, rule): rules whose reference is ``module.function``."""
+    f = functions.select("module", "function", F.concat_ws(".", "module", "function").alias("ref"))
+    return rules.select("rule", "ref").join(f, "ref").select("module", "function", "rule")
+
+
+def rule_modules(rules: DataFrame, modules: DataFrame) -> DataFrame:
+    """(module, rule): rules whose reference is the module or begins with it and a dot. A
+    reference's prefixes are made first, so that an equi join finds them."""
+    parts = F.split("ref", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
+    return rules.select("rule", F.explode(F.array_distinct(prefixes)).alias("module")).join(modules.select("module").distinct(), "module").select("module", "rule")
+
+
+def paragraphs(lines: DataFrame, key: str, order: str, header, stretch) -> DataFrame:
+    """Adds ``head``: the last header line (``header`` gives its text, null for others) at or
+    before each line of a file. Lines are dealt to stretches, so a long file is not one task's."""
+    at = lines.withColumns({"_s": stretch, "_h": header})
+    ends = at.groupBy(key, "_s").agg(F.max_by(F.col("_h"), F.when(F.col("_h").isNotNull(), F.col(order))).alias("_e"))
+    past = W.partitionBy(key).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    carry = ends.select(F.col(key).alias("_k"), F.col("_s").alias("_t"), F.last("_e", ignorenulls=True).over(past).alias("_carry"))
+    inside = W.partitionBy(key, "_s").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    near = at.withColumn("_n", F.last("_h", ignorenulls=True).over(inside))
+    j = near.join(carry, near[key].eqNullSafe(carry["_k"]) & (near["_s"] == carry["_t"]), "left")
+    return j.select(*lines.columns, F.coalesce("_n", "_carry").alias("head"))
