@@ -6,31 +6,13 @@ later one is derived by arithmetic on keys, so that SQL can repeat it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Window as W, functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.operators import copybooks, diff, fingerprint, fixtures, gates, graph, parsers, pii, review, telemetry, vectors, windows
-from plumbline.plans import samples
+from plumbline.operators import diff, fingerprint, fixtures, gates, graph, parsers, pii, review, telemetry, vectors, windows
 from plumbline.streaming import run_state
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+from .registry import query, read
 
 
 def cents(c: str):
@@ -177,12 +159,16 @@ def table_diff_summary(spark, d):
     return diff.diff_summary(diff.row_diff(b, orders_after(b), ["k"]).withColumn("part", F.col("k") % 7), ["part"])
 
 
+def _row(*cols):
+    return " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END" for c in cols)
+
+
 CONTENT = "sha256(concat_ws(',', " + ", ".join(f"CAST(sum(CAST('0x' || substr(h, {15 * i + 1}, 15) AS BIGINT)) AS VARCHAR)" for i in range(4)) + "))"
 
 
-@query(f"""SELECT 'nation' AS tbl, count(*) AS n_rows, {CONTENT} AS content_hash FROM (SELECT sha256(concat_ws('|', n_nationkey, n_name, n_regionkey)) AS h FROM nation)
- UNION ALL SELECT 'region', count(*), {CONTENT} FROM (SELECT sha256(concat_ws('|', r_regionkey, r_name)) AS h FROM region)
- UNION ALL SELECT 'orders', count(*), {CONTENT} FROM (SELECT sha256(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)) AS h FROM orders)""")
+@query(f"""SELECT 'nation' AS tbl, count(*) AS n_rows, {CONTENT} AS content_hash FROM (SELECT sha256({_row('n_nationkey', 'n_name', 'n_regionkey')}) AS h FROM nation)
+ UNION ALL SELECT 'region', count(*), {CONTENT} FROM (SELECT sha256({_row('r_regionkey', 'r_name')}) AS h FROM region)
+ UNION ALL SELECT 'orders', count(*), {CONTENT} FROM (SELECT sha256({_row('o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderpriority')}) AS h FROM orders)""")
 def table_content_hash(spark, d):
     orders = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     return diff.all_tables([diff.table_hash(read(spark, d, t), t) for t in ("nation", "region")] + [diff.table_hash(orders, "orders")])
@@ -329,7 +315,7 @@ def quality_gates(spark, d):
     return gates.evaluate(doc_metrics(spark, d), "source", doc_gates())
 
 
-@query(f"{GATES} SELECT source, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'failed' AND severity <> 'advisory') = 0 AS overall FROM s GROUP BY source")
+@query(f"{GATES} SELECT source, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'failed' AND severity = 'advisory') AS warnings, count(*) FILTER (status = 'failed' AND severity <> 'advisory') = 0 AS overall FROM s GROUP BY source")
 def quality_gates_overall(spark, d):
     return gates.overall(gates.evaluate(doc_metrics(spark, d), "source", doc_gates()), "source")
 
@@ -411,7 +397,7 @@ def star_graph(spark, d):
 
 
 @query(f"""WITH {EDGES}, x AS (SELECT src AS id, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e), g AS (SELECT id, sum(o) AS o, sum(i) AS i FROM x GROUP BY id)
- SELECT (SELECT count(*) FROM v) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, CAST(max(o) AS BIGINT) AS max_fan_out, CAST(max(i) AS BIGINT) AS max_fan_in, (SELECT id FROM g ORDER BY o + i DESC, id LIMIT 1) AS hotspot FROM g""")
+ SELECT (SELECT count(*) FROM v) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, CAST(max(o) AS BIGINT) AS max_fan_out, CAST(max(i) AS BIGINT) AS max_fan_in, (SELECT id FROM g ORDER BY o DESC, id LIMIT 1) AS hotspot FROM g""")
 def graph_stats(spark, d):
     return graph.stats(*star_graph(spark, d))
 
@@ -449,12 +435,12 @@ def resolve_first_match(spark, d):
     return graph.first_match(read(spark, d, "part"), "p_brand", ["p_name", "p_partkey"], "p_partkey")
 
 
-@query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))
- SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 5) AS score FROM embeddings, q ORDER BY 2 DESC, 1 LIMIT 20""")
+@query("""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 100 = 0),
+ s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 5) AS score FROM embeddings, q)
+ SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 20""")
 def vector_topk(spark, d):
     e = read(spark, d, "embeddings")
-    q = e.orderBy("vec_id").limit(1).collect()[0]["embedding"]
-    return vectors.top_k(e, q, "vec_id", "embedding", 20)
+    return vectors.search(e, e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "vec_id", "embedding", 20)
 
 
 @query("""SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN -1 ELSE label END AS label FROM embeddings UNION ALL SELECT vec_id + 100000, -2 FROM embeddings WHERE vec_id % 50 = 0""")
@@ -483,20 +469,25 @@ def fixture_diff_reason(spark, d):
     return fixtures.compare(e, ["ts"], [" DATE "]).select("event_id", "reason")
 
 
-@query("""SELECT event_id, event_id % 4 <> 1 AS same FROM events""")
+@query("""SELECT event_id, event_id % 6 NOT IN (1, 3, 5) AS same FROM events""")
 def json_normalize_compare(spark, d):
-    k = F.get_json_object("props", "$.k")
-    a = F.concat(F.lit('{"k": '), k, F.lit(', "z": [1, 2]}'))
-    b = F.concat(F.lit('{"z": [1, 2], "k": '), k, F.when(F.col("event_id") % 4 == 1, "7").otherwise(""), F.lit("}"))
-    return read(spark, d, "events").select("event_id", fixtures.body_equal(a, b, []).alias("same"))
+    """0: other order of keys, also nested, and spaces; 1: another number; 2: 1 and 1.0; 3: another
+    order of an array; 4: equal text that is no JSON; 5: text against JSON."""
+    k, i = F.get_json_object("props", "$.k"), F.col("event_id") % 6
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    a = F.when(i == 4, text("plain ", k)).otherwise(text('{"k": ', k, ', "n": 1, "z": {"x": [1, 2], "y": {"b": null, "a": "s"}}}'))
+    b = F.when(i == 4, text("plain ", k)).when(i == 5, text("plain ", k))
+    z = F.when(i == 3, '[2, 1]').otherwise("[1,2]")
+    b = b.otherwise(text('{"z": {"y": {"a": "s", "b": null}, "x": ', z, '}, "n": ', F.when(i == 2, "1.0").otherwise("1"), ', "k":', k, F.when(i == 1, "7").otherwise(""), "}"))
+    return read(spark, d, "events").select("event_id", fixtures.body_equal(a, b).alias("same"))
 
 
 @query("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)
  SELECT doc_id, head, count(*) AS n_lines FROM (SELECT doc_id, last_value(CASE WHEN n % 5 = 1 THEN n END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n) AS head FROM l) GROUP BY 1, 2""")
 def paragraph_fold(spark, d):
     rows = read(spark, d, "documents").filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).withColumn("n", (F.col("i") + 1).cast("long"))
-    head = F.last(F.when(F.col("n") % 5 == 1, F.col("n")), ignorenulls=True).over(W.partitionBy("doc_id").orderBy("n"))
-    return rows.select("doc_id", head.alias("head")).groupBy("doc_id", "head").agg(F.count("*").alias("n_lines"))
+    rows = parsers.paragraphs(rows.select("doc_id", "n"), "doc_id", "n", F.when(F.col("n") % 5 == 1, F.col("n")), F.floor(F.col("n") / 10_000).cast("long"))
+    return rows.groupBy("doc_id", "head").agg(F.count("*").alias("n_lines"))
 
 
 @query("""SELECT conv_id, string_agg(role, ',' ORDER BY t) AS roles FROM (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY 1, 2) GROUP BY 1""")
@@ -521,57 +512,6 @@ def line_diff(spark, d):
     return diff.line_diff(p, "doc_id")
 
 
-def _parsed(language):
-    def run(spark, d):
-        return parsers.parse(spark.createDataFrame(samples.FILES[language], "path string, content string"), language)
-
-    return run
-
-
-for _lang in ("cobol", "perl", "fortran"):
-    QUERIES[f"{_lang}_ir"] = _parsed(_lang)
-
-
-def _files(spark, language):
-    return spark.createDataFrame(samples.FILES[language], "path string, content string")
-
-
-@query()
-def cobol_expanded(spark, d):
-    """Sources with their copybooks, parsed."""
-    files = _files(spark, "copy")
-    return parsers.parse(copybooks.expand(files.filter("path like '%.cbl'"), copybooks.library(files))[0], "cobol")
-
-
-@query()
-def copybook_warnings(spark, d):
-    files = _files(spark, "copy")
-    return copybooks.expand(files.filter("path like '%.cbl'"), copybooks.library(files))[1]
-
-
-@query()
-def cobol_constructs(spark, d):
-    return parsers.construct_counts(parsers.parse(_files(spark, "copy").filter("path like '%.cbl'"), "cobol_constructs"))
-
-
-@query()
-def fortran_imports(spark, d):
-    return parsers.imported(parsers.parse(_files(spark, "fortran"), "fortran"))
-
-
-@query()
-def source_metrics(spark, d):
-    one = lambda k: review.source_metrics(_files(spark, k), parsers.parse(_files(spark, k), k)).withColumn("language", F.lit(k))
-    return one("cobol").unionByName(one("perl")).unionByName(one("fortran"))
-
-
-@query("""SELECT 'fn:A.main' AS src, 'fn:A.helper' AS dst, 'calls' AS kind UNION ALL SELECT 'fn:A.main', 'fn:B.shared', 'call' UNION ALL SELECT 'fn:A.main', 'fn:A.nowhere', 'goto'""")
-def callees_one_hop(spark, d):
-    f = spark.createDataFrame([("A", "main", ["helper", "CALL:shared", "GOTO:nowhere"]), ("A", "helper", []), ("B", "shared", ["helper"]), ("C", "shared", [])], "module string, name string, calls array<string>")
-    none = spark.createDataFrame([], "module string, name string")
-    return graph.build(f, none, none)[1].filter("src = 'fn:A.main' and kind <> 'contains'").select("src", "dst", "kind")
-
-
 # ---- reviews and reports --------------------------------------------------------------
 
 
@@ -580,9 +520,9 @@ def _score(phrases):
 
 
 @query(f"""WITH s AS (SELECT doc_id, {_score(review.POSITIVE)} AS positive, {_score(review.NEGATIVE)} AS negative FROM documents)
- SELECT *, CASE WHEN positive + negative > 0 THEN positive > negative END AS equivalent FROM s""")
+ SELECT *, positive > negative AS equivalent FROM s""")
 def verdict_scores(spark, d):
-    return review.verdict(read(spark, d, "documents").select("doc_id", "text"), "text").drop("text")
+    return review.verdict(read(spark, d, "documents").select("doc_id", "text"), "text").drop("text", "reason")
 
 
 ERROR = "event_type || CASE event_id % 9 WHEN 0 THEN ': 429 tokens per day' WHEN 1 THEN ': 429' WHEN 2 THEN ': Bad Gateway' WHEN 3 THEN ': 404' WHEN 4 THEN ': status 503' ELSE ': reset' END"

@@ -77,6 +77,25 @@ contains
   end function norm
 end module linear
 """
+CONSTANTS = """\
+module CONSTANTS
+  real, parameter :: pi = 3.14159, tiny = 1.0e-6
+  integer limit
+end module CONSTANTS
+"""
+FIXED = """\
+C     an old routine
+      SUBROUTINE SCALE(X, N,
+     &                 FACTOR)
+      INTEGER N
+      REAL X(N), FACTOR
+      CHARACTER*20 NAME
+      ASSOCIATE (Y => X)
+      END ASSOCIATE
+      CALL CHECK(N)
+      CLOSE(7)
+      END
+"""
 COPYING = """\
        IDENTIFICATION DIVISION.
        PROGRAM-ID. BILLING.
@@ -92,7 +111,11 @@ COPYING = """\
              WHEN BILL-OPEN GO TO FINISH
              WHEN OTHER CONTINUE
            END-EVALUATE.
-           EXEC SQL SELECT 1 END-EXEC.
+           EXEC SQL
+             INSERT INTO BILLS
+             VALUES (:BILL-NAME)
+           END-EXEC.
+           EXEC CICS SEND MAP('BILL') END-EXEC.
        FINISH.
            STOP RUN.
 """
@@ -105,5 +128,5 @@ MONEY = """\
           05 PAID PIC 9(5)V99."""
 FILES = {
     "copy": [("src/billing.cbl", COPYING), ("src/copybooks/record.cpy", RECORD), ("src/copybooks/MONEY.cpy", MONEY)],
-    "cobol": [("src/payroll.cbl", COBOL)], "perl": [("lib/Cart.pm", PERL)], "fortran": [("src/linear.f90", FORTRAN)],
+    "cobol": [("src/payroll.cbl", COBOL)], "perl": [("lib/Cart.pm", PERL)], "fortran": [("src/linear.f90", FORTRAN), ("src/constants.f90", CONSTANTS), ("src/scale.f", FIXED)],
 }

@@ -84,7 +84,7 @@ def test_copy_expansion(spark):
     assert {(r["path"], r["book"]) for r in told.collect()} == {("src/billing.cbl", "DFHAID"), ("src/self.cbl", "LOOP")}
     assert copybooks.replace_words("  A-PRE PRE-A. pre-b X-PRE.", [["TRAILING", "-PRE", "-Z"], ["LEADING", "PRE-", "Q-"], ["", "", "!"]]) == "  A-Z Q-A. Q-b X-Z."
     got = parsers.construct_counts(parsers.parse(files.filter("path = 'src/billing.cbl'"), "cobol_constructs")).collect()
-    assert [tuple(r)[1:] for r in got] == [("MAIN-PARA", 0, 1, 1, 1, 1)]
+    assert [tuple(r)[1:] for r in got] == [("MAIN-PARA", 1, 1, 1, 1, 1)]
 
 
 def test_previous(spark):
