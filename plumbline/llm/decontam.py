@@ -130,7 +130,7 @@ class Windows:
     def __init__(self, items: list):
         self.vocabulary: dict[bytes, int] = {}
         found: dict[tuple, set] = {}
-        for item, text in items:
+        for item, text in sorted(items, key=lambda x: (str(x[0]), x[1] or "")):  # ids, and so ties, are the same in any order of rows
             w = [self.vocabulary.setdefault(x, len(self.vocabulary)) for x in words(text)]
             n = min(WINDOW, len(w))
             for i in range(len(w) - n + 1 if n else 0):
