@@ -10,7 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import bpe, chat, decontam, langid, linedup, lm, quality, repeats, secrets, simhash
 from .common import crc_mod, table
 
-TOKENIZER = os.path.join("/opt/tokenizers", "byte_bpe_50k.json")
+try:
+    import public_tokenizers
+
+    TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+except ModuleNotFoundError:
+    TOKENIZER = os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.json")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,4 +92,23 @@ e AS (SELECT *, length(regexp_replace(role, '(</?s>|\[/?INST\])', '\\\1', 'g'))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
+    "op7_repeats": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+g AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)),
+f AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS first FROM g) WHERE first < doc_id),
+i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM f)),
+s AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY doc_id, k),
+c AS (SELECT s.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(piece, '' ORDER BY k) || substr(any_value(h), 2 * max(b) + 1) AS kept
+ FROM (SELECT s.*, h, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0))) AS piece FROM s JOIN d USING (doc_id)) s GROUP BY s.doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)""",
+    "op9_line_dedup": r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM d WHERE text IS NOT NULL),
+w AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+f AS (SELECT doc_id, i, j, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) > 1 AS gone FROM (SELECT w.doc_id, i, j, array_to_string(ls[i:j], chr(10)) AS body FROM w JOIN d USING (doc_id) WHERE j IS NOT NULL)),
+o AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM f WHERE gone),
+n AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, gone, lag(gone) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM f) WHERE gone AND NOT coalesce(before, false) GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS kept FROM l ANTI JOIN o USING (doc_id, i) GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(n, 0) AS n_chunks_removed, CASE WHEN n IS NULL THEN text WHEN regexp_matches(kept, '[^\x20\x09-\x0D]') THEN kept ELSE '' END AS t FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id))
+SELECT doc_id, n_chunks_removed, length(t) AS n_chars_left, sha256(t) AS text_sha256 FROM t""",
 }
