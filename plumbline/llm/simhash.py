@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import minhash
-from .common import packed, stored, unpacked
+from .common import drop_stored, packed, stored, unpacked
 from .graph import star_components
 
 BITS, RADIUS = 64, 3
@@ -166,6 +166,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = stored(rooted.join(least, "root").select("fp", "component_id"))
+    drop_stored(distinct)
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
