@@ -202,3 +202,13 @@ def first_of(*cases: tuple[Column, str]) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def inherited(override: Column, base: Column) -> Column:
+    """A setting of its own, or where that is null or blank the one it inherits."""
+    return F.coalesce(F.when(F.trim(override.cast("string")) != "", override), base)
+
+
+def sampled(trace: Column, ratio: float) -> Column:
+    """Whether a trace is among the given share of all; the same for all its spans."""
+    return F.pmod(F.xxhash64(trace), F.lit(1_000_000)) < int(ratio * 1_000_000)

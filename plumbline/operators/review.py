@@ -61,6 +61,15 @@ def report_items(items: DataFrame) -> DataFrame:
     return items.select(F.to_json(F.struct("module", "function", "score", "status", F.lit("").alias("feedback"))).alias("line"))
 
 
+def report_document(items: DataFrame, project: str) -> DataFrame:
+    """One JSON document of a review: counts by status and the items by module and function. A
+    document is one text, so its items meet in one task; ``report_items`` gives them as rows."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    item = F.struct("module", "function", "score", "status")
+    got = items.agg(F.count("module").alias("total"), *[n(s).alias(s) for s in ("approved", "rejected", "regenerated", "pending")], F.array_sort(F.collect_list(item)).alias("items"))
+    return got.select(F.to_json(F.struct(F.lit(project).alias("project"), "*")).alias("report"))
+
+
 def mentions(names: DataFrame, bodies: DataFrame, key: str, body: str) -> DataFrame:
     """(key, name): names that a body holds as a word, in any case. Words are made distinct
     within a body before they are joined."""
@@ -68,6 +77,20 @@ def mentions(names: DataFrame, bodies: DataFrame, key: str, body: str) -> DataFr
     return words.join(names.select(_upper(F.col("name")).alias("name")).distinct(), "name").select(key, "name")
 
 
+def contained(names: DataFrame, bodies: DataFrame, key: str, body: str, kind: str | None = "struct") -> DataFrame:
+    """(key, name): names (name[, kind]) that a body holds anywhere, also inside a longer word, in
+    any case; with ``kind`` only names of that kind. Names consist of NAME's characters, so one
+    lies within one word: each distinct word's parts of the names' lengths are made, and an equi
+    join finds them."""
+    wanted = names.filter(F.col("kind") == kind) if kind and "kind" in names.columns else names
+    wanted = wanted.select(_upper(F.col("name")).alias("name")).filter(F.col("name").rlike(f"^{NAME}$")).distinct()
+    words = bodies.select(key, F.explode(F.array_distinct(F.regexp_extract_all(_upper(F.col(body)), F.lit(f"({NAME})")))).alias("_w"))
+    sizes = wanted.agg(F.coalesce(F.collect_set(F.length("name")), F.array().cast("array<int>"))).first()[0]  # one number a length
+    every = F.flatten(F.transform(F.array(*[F.lit(n) for n in sorted(sizes)]).cast("array<int>"), lambda n: F.when(F.length("_w") >= n, F.transform(F.sequence(F.lit(1), F.length("_w") - n + 1), lambda i: F.substr("_w", i, n))).otherwise(F.array().cast("array<string>"))))
+    parts = words.select("_w").distinct().select("_w", F.explode(F.array_distinct(every)).alias("name")).join(wanted, "name")
+    return words.join(parts, "_w").select(key, "name").distinct()
+
+
 def first_mentions(found: DataFrame, key: str, n: int) -> DataFrame:
     """The first n names of each body, by name: the feature of a prompt with bounded context."""
     return found.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy("name"))).filter(F.col("_n") <= n).drop("_n")
@@ -91,6 +114,23 @@ def incremental_report(classes: DataFrame) -> DataFrame:
     return count.unionByName(classes.filter("class <> 'unchanged'").select(F.lit(1).alias("part"), F.concat_ws(" ", "class", "path").alias("line")))
 
 
+def class_lists(classes: DataFrame) -> DataFrame:
+    """(class, path), each class's paths in order."""
+    return classes.select("class", "path").orderBy("class", "path")
+
+
+def metrics_report(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Lines of a run's figures from one row of ``source_metrics`` and target files (path,
+    content): what was read, what was written, and how much of it a file."""
+    from plumbline.functions.scalars import byte_units
+
+    one = F.lit(1).alias("_k")
+    t = target.agg(F.count("*").alias("out_files"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("out_bytes")).select("*", one)
+    j = source.withColumn("_k", F.lit(1)).join(t, "_k")
+    said = [("source files", F.col("files").cast("string")), ("source size", byte_units(F.col("bytes"))), ("modules", F.col("modules").cast("string")), ("functions", F.col("functions").cast("string")), ("generated files", F.col("out_files").cast("string")), ("generated size", byte_units(F.col("out_bytes"))), ("bytes a generated file", F.coalesce(F.try_divide(F.col("out_bytes"), F.col("out_files")).cast("long"), F.lit(0).cast("long")).cast("string"))]
+    return j.select(F.posexplode(F.array(*[F.concat(F.lit(f"{n}: "), v) for n, v in said])).alias("ord", "line"))
+
+
 def diff_report(changes: DataFrame) -> DataFrame:
     """Lines of a comparison from (path, change): + added, - removed, ~ modified."""
     mark = F.when(F.col("change") == "added", "+").when(F.col("change") == "removed", "-").otherwise("~")

@@ -568,6 +568,14 @@ def type_mentions(spark, d):
     return review.first_mentions(doc_mentions(spark, d)[1], "doc_id", 8)
 
 
+@query(f"""WITH n AS (SELECT DISTINCT upper(regexp_extract(text, '^[^A-Za-z0-9_-]*([A-Za-z0-9_-]+)', 1)) AS name FROM benchmark WHERE text IS NOT NULL AND item_id % 2 = 0)
+ SELECT doc_id, name FROM documents JOIN n ON contains({UPPER.format('text')}, name) WHERE regexp_matches(name, '^[A-Z0-9_-]+$')""")
+def type_contained(spark, d):
+    names = read(spark, d, "benchmark").filter("text is not null").select(F.regexp_extract("text", "^[^A-Za-z0-9_-]*([A-Za-z0-9_-]+)", 1).alias("name"), F.when(F.col("item_id") % 2 == 0, "struct").otherwise("string").alias("kind"))
+    names = names.withColumn("name", F.upper("name"))
+    return review.contained(names, read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
 @query(f"""WITH {MENTIONS}, o AS (SELECT name, min(doc_id) AS doc_id FROM f GROUP BY name), l AS (SELECT name, doc_id, string_split(text, chr(10)) AS lines FROM o JOIN documents USING (doc_id)),
  p AS (SELECT *, list_position(list_transform(lines, lambda x: list_contains(regexp_extract_all({UPPER.format('x')}, '[A-Z0-9_-]+'), name)), true) AS i FROM l)
  SELECT name, doc_id, sha256(array_to_string(lines[greatest(i - 5, 1):i + 19], chr(10))) AS snippet FROM p""")

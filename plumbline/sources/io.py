@@ -47,6 +47,19 @@ def sibling_books(spark: SparkSession, path: str, folders: tuple[str, ...] = BOO
     return out.dropDuplicates(["path"])
 
 
+def jdbc_table(spark: SparkSession, url: str, table: str, properties: dict[str, str] | None = None, order: list[str] | None = None, cap: int | None = None) -> DataFrame:
+    """A database's table by its (checked) name; a cap needs an order, so that it is the same
+    rows each time."""
+    import re
+
+    if not re.fullmatch(r"[a-zA-Z_][a-zA-Z0-9_]*", table):
+        raise ValueError(f"{table!r} is no identifier")
+    if cap is not None and not order:
+        raise ValueError("a cap needs an order")
+    df = spark.read.jdbc(url, f'"{table}"', properties=properties or {})
+    return df if cap is None else df.orderBy(*order).limit(cap)
+
+
 def file_count(spark: SparkSession, path: str) -> int:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").count()
 

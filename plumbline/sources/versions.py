@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 
 def _fs(spark: SparkSession, path: str):
@@ -31,7 +31,7 @@ def _at(path: str, version: int) -> str:
     return f"{path.rstrip('/')}/v={version:08d}"
 
 
-def latest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def latest(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """The table's newest version, an empty one where there is none. A version that cannot be
     read fails; only absence is no error."""
     there = _versions(spark, path)
