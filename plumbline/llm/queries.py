@@ -111,4 +111,41 @@ n AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, gone, lag(gone) OVER (PA
 k AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS kept FROM l ANTI JOIN o USING (doc_id, i) GROUP BY doc_id),
 t AS (SELECT doc_id, coalesce(n, 0) AS n_chunks_removed, CASE WHEN n IS NULL THEN text WHEN regexp_matches(kept, '[^\x20\x09-\x0D]') THEN kept ELSE '' END AS t FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id))
 SELECT doc_id, n_chunks_removed, length(t) AS n_chars_left, sha256(t) AS text_sha256 FROM t""",
+    "op4_secrets": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT * FROM (VALUES ('assign', 0, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+ ('access', 1, 'AKIA[A-Z0-9]+'), ('hex', 2, '[0-9a-f]+'),
+ ('user', 3, '(?:[Uu][Ss][Ee][Rr](?:_?[Nn][Aa][Mm][Ee])?|[Ll][Oo][Gg][Ii][Nn]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt]|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9_.@+-]{3,}'),
+ ('key', 4, '[A-Za-z0-9+/_=-]+'), ('endpoint', 5, 'https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?[A-Za-z0-9/_.?=&%-]*')) AS v(kind, o, re)),
+h AS (SELECT r, kind, o, regexp_extract_all(t, re) AS hits, regexp_split_to_array(t, re) AS parts, CASE WHEN kind = 'assign' THEN regexp_extract_all(t, re, 2) ELSE regexp_extract_all(t, re) END AS body FROM d, p WHERE regexp_matches(t, re)),
+u AS (SELECT r, kind, o, i, hits[i] AS hit, body[i] AS body, length(parts[i]) + length(hits[i]) AS step FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM h)),
+e AS (SELECT *, sum(step) OVER (PARTITION BY r, o ORDER BY i ROWS UNBOUNDED PRECEDING) AS b FROM u),
+c AS (SELECT r, kind, o, b - length(hit) AS a, b FROM e WHERE CASE kind WHEN 'assign' THEN length(body) >= 6 WHEN 'access' THEN length(hit) >= 20 WHEN 'hex' THEN length(hit) >= 24
+ WHEN 'key' THEN length(hit) >= 32 AND NOT contains(hit, '=') AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]') ELSE true END),
+k AS (SELECT * FROM c WHERE NOT (kind = 'key' AND EXISTS (SELECT 1 FROM c x WHERE x.r = c.r AND x.kind <> 'key' AND x.a <= c.a AND x.b >= c.b))),
+s AS (SELECT k.*, EXISTS (SELECT 1 FROM k x WHERE x.r = k.r AND x.kind IN ('access', 'user') AND (k.a - x.b BETWEEN 0 AND 400 OR x.a - k.b BETWEEN 0 AND 400)) AS id,
+ EXISTS (SELECT 1 FROM k x WHERE x.r = k.r AND x.kind IN ('assign', 'hex', 'key') AND (k.a - x.b BETWEEN 0 AND 400 OR x.a - k.b BETWEEN 0 AND 400)) AS secret FROM k),
+g AS (SELECT r, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex, string_agg(CASE WHEN o < 3 THEN kind || ':' || a || ':' || b END, ',' ORDER BY a, o) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, o) AS spans
+ FROM s WHERE o < 3 OR (kind = 'user' AND secret) OR (kind = 'key' AND id) OR (kind = 'endpoint' AND id AND secret) GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)""",
+    "op8_decontam": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, row_number() OVER (ORDER BY CAST(item_id AS VARCHAR), text) AS n, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+x AS (SELECT DISTINCT item, w[p:p + least(10, len(w)) - 1] AS win FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+g AS (SELECT r, p, s AS n, w[p:p + s - 1] AS win FROM (SELECT r, w, s, unnest(range(1, len(w) - s + 2)) AS p FROM d, (SELECT DISTINCT len(win) AS s FROM x) WHERE len(w) >= s)),
+m AS (SELECT DISTINCT r, p, n, win FROM g WHERE win IN (SELECT win FROM x)),
+hit AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM m) GROUP BY r),
+e AS (SELECT DISTINCT r, item FROM m JOIN x USING (win)),
+t AS (SELECT r, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM d),
+f AS (SELECT term, count(*) AS f FROM t GROUP BY term),
+v AS (SELECT term, min(n * 1000000 + p) AS id FROM (SELECT n, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM i) GROUP BY term),
+y AS (SELECT win, list_distinct(win) AS own FROM (SELECT DISTINCT win FROM x)),
+z AS (SELECT win, term, len(own) AS size, row_number() OVER (PARTITION BY win ORDER BY coalesce(f, 0), id) AS rank FROM (SELECT win, own, unnest(own) AS term FROM y) JOIN v USING (term) LEFT JOIN f USING (term)),
+b AS (SELECT t.r, t.p, z.win, z.size FROM z JOIN t USING (term) WHERE rank <= size * 2 // 10 + 1),
+o AS (SELECT b.r, b.win FROM b JOIN t ON t.r = b.r AND t.p BETWEEN b.p - 9 AND b.p + 9 JOIN z ON z.win = b.win AND z.term = t.term GROUP BY b.r, b.p, b.win, b.size HAVING count(DISTINCT t.term) * 10 >= b.size * 8),
+a AS (SELECT DISTINCT r, item FROM (SELECT r, win FROM o UNION SELECT r, win FROM m) JOIN x USING (win)),
+j AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM e GROUP BY r),
+l AS (SELECT r, count(*) AS n_any FROM a GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_any, 0) - coalesce(n_items, 0) AS n_near
+ FROM d LEFT JOIN hit USING (r) LEFT JOIN j USING (r) LEFT JOIN l USING (r)""",
 }
