@@ -82,6 +82,11 @@ def file_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("path", kind.alias("change")).filter(F.col("change").isNotNull())
 
 
+def in_order(changes: DataFrame) -> DataFrame:
+    """File changes by path."""
+    return changes.orderBy("path")
+
+
 def stage_delta(old: DataFrame, new: DataFrame, key: str, values: list[str], status: str | None = None) -> DataFrame:
     """New stages against old ones; an absent old stage counts as 0 (removed ones are not told).
     With ``status`` also old_status, new_status and whether they differ; a new stage's does."""

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from plumbline.functions.scalars import sha256
 from plumbline.sources import versions
 
+from . import diff
 from .fingerprint import new_objects
 
 SNAPSHOT = "id string, parent_id string, tag string, description string, created_at timestamp, source_lang string, target_lang string, input_path string, content_hash string, score double, status string, file_count long, calls long, tokens long, duration_ms long"
@@ -164,6 +165,28 @@ class Store:
         if objects:
             versions.replace(self.objects().join(orphans(self.objects(), self.table("manifests")).select("hash"), "hash", "left_anti"), f"{self.root}/objects", "prefix")
 
+    def diff(self, old: str, new: str) -> dict[str, DataFrame]:
+        """What changed between two snapshots: ``files`` (path, change, renamed_from, lines_added,
+        lines_removed) in order of path, ``stages`` (deltas, old and new status), and ``summary``
+        (one row: score_delta, files by change, sums of lines). Whole files that were added or
+        removed count all their lines; renamed ones none."""
+        m, s, i = self.table("manifests"), self.table("stages"), self.table("index")
+        of = lambda df, k: df.filter(F.col("snapshot_id") == k)
+        changes = compared(of(m, old), of(m, new))
+        text = lambda k, name: self.files(k).select("path", F.col("content").alias(name))
+        pairs = changes.filter("change = 'modified'").join(text(old, "old"), "path").join(text(new, "new"), "path")
+        lines = diff.line_diff(pairs, "path").select("path", F.col("added").alias("lines_added"), F.col("removed").alias("lines_removed"))
+        zero = F.lit(0).cast("long")
+        came = changes.filter("change = 'added'").join(text(new, "t"), "path").select("path", diff.line_counts(F.col("t")).cast("long").alias("lines_added"), zero.alias("lines_removed"))
+        gone = changes.filter("change = 'removed'").join(text(old, "t"), "path").select("path", zero.alias("lines_added"), diff.line_counts(F.col("t")).cast("long").alias("lines_removed"))
+        lines = lines.unionByName(came).unionByName(gone)
+        files = changes.join(lines, "path", "left").select("path", "change", "renamed_from", F.coalesce("lines_added", zero).alias("lines_added"), F.coalesce("lines_removed", zero).alias("lines_removed"))
+        score = lambda k: i.filter(F.col("id") == k).select(F.lit(1).alias("_k"), F.col("score").alias(f"_{k}"))
+        delta = score(old).join(score(new), "_k").select("_k", (F.col(f"_{new}") - F.col(f"_{old}")).alias("score_delta"))
+        total = diff.files_summary(changes, lines).withColumn("_k", F.lit(1))
+        stages = diff.stage_delta(of(s, old), of(s, new), "name", ["score", "calls", "duration_ms"], "status")
+        return {"files": diff.in_order(files), "stages": stages, "summary": delta.join(total, "_k").drop("_k")}
+
     def restore(self, snapshot: str, folder: str) -> None:
         """Writes the snapshot's files below a folder that the executors share."""
         versions.write_files(self.files(snapshot), folder)

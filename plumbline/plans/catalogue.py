@@ -333,7 +333,7 @@ def harness_score(spark, d):
     b = orders_before(spark, d)
     c = diff.row_diff(b, orders_after(b), ["k"]).agg(F.count_if(F.col("change") == "modified").alias("m"), F.count_if(F.col("change") == "deleted").alias("x")).withColumn("_k", F.lit(1))
     n = b.agg(F.count("*").alias("n")).withColumn("_k", F.lit(1))
-    return c.join(n, "_k").select(F.round(0.3 + 0.4 * (1 - F.col("m") / F.col("n")) + 0.3 * (1 - F.col("x") / F.col("n")), 6).alias("score"))
+    return c.join(n, "_k").select(F.round(gates.harness_score(F.lit(True), F.col("m"), F.col("x"), F.col("n")), 6).alias("score"))
 
 
 @query("""SELECT quality, toxic, CASE WHEN quality = 1 AND toxic = 0 THEN 'approved' ELSE 'review' END AS status, count(*) AS n FROM labels GROUP BY 1, 2, 3""")

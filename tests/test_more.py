@@ -189,6 +189,9 @@ def test_snapshot_store(spark, tmp_path):
     m = store.table("manifests")
     changes = snapshots.compared(m.filter(F.col("snapshot_id") == a), m.filter(F.col("snapshot_id") == b)).collect()
     assert {(r["path"], r["change"]) for r in changes} == {("b.txt", "removed"), ("c.txt", "added")}
+    d = store.diff(a, b)
+    assert [tuple(r) for r in d["files"].collect()] == [("b.txt", "removed", None, 0, 1), ("c.txt", "added", None, 1, 0)]
+    assert tuple(d["summary"].first()) == (0.0, 1, 1, 0, 1, 1) and d["stages"].filter("status_changed or is_new").isEmpty()
     store.delete(a, objects=True)
     assert store.objects().count() == 2
     for call in (lambda: store.load(a), lambda: store.tag("no", "t")):
