@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 LEAF = 16_384  # bytes of a leaf of the tree, and characters between two plain cuts
+THREADS = 2  # of a worker for long pre-tokens
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Fixed value: the pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -54,6 +55,7 @@ class Codec:
         self._pre = tokenizers.Tokenizer.from_file(path).pre_tokenizer
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.leaf = leaf
+        self._pool: ThreadPoolExecutor | None = None  # made for the first long pre-token of the worker
 
     def encode(self, text: str) -> list[int]:
         if self._special is None or not any(s in text for s in self.special):
@@ -88,10 +90,10 @@ class Codec:
         """The ids of one pre-token, from the ids of its halves."""
         n = max(1, 1 << (-(-len(piece) // self.leaf) - 1).bit_length())
         cuts = [len(piece) * i // n for i in range(n + 1)]
-        with ThreadPoolExecutor(2) as pool:
-            level = list(pool.map(lambda i: self._bpe._encode_single_piece(piece[cuts[i] : cuts[i + 1]]), range(n)))
-            while len(level) > 1:
-                level = list(pool.map(self.join, level[::2], level[1::2]))
+        self._pool = self._pool or ThreadPoolExecutor(THREADS)
+        level = list(self._pool.map(lambda i: self._bpe._encode_single_piece(piece[cuts[i] : cuts[i + 1]]), range(n)))
+        while len(level) > 1:
+            level = list(self._pool.map(self.join, level[::2], level[1::2]))
         return level[0]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
