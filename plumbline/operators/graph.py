@@ -143,13 +143,10 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
 
 
 def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds a number to each of distinct values that follows their order: ranges of values are
-    sorted on their own and their numbers begin after those of the ranges before."""
-    held = kept(df.repartitionByRange(column).sortWithinPartitions(column).withColumn("_p", F.monotonically_increasing_id()))
-    part = F.shiftright("_p", 33)
-    sizes = held.groupBy(part.alias("_s")).agg(F.count("*").alias("c"))
-    start = sizes.select("_s", (F.sum("c").over(W.orderBy("_s")) - F.col("c")).alias("_start"))  # a row a partition
-    return held.withColumn("_s", part).join(F.broadcast(start), "_s").select(*df.columns, (F.col("_start") + F.col("_p").bitwiseAND((1 << 33) - 1)).alias(name))
+    """Adds a number to each of distinct values that rises in their order: ranges of values are
+    sorted each on its own, and a range's numbers are above those of the ranges before. To be
+    stored before it is used twice."""
+    return df.repartitionByRange(column).sortWithinPartitions(column).withColumn(name, F.monotonically_increasing_id())
 
 
 def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:

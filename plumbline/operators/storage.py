@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_made: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
@@ -22,7 +23,8 @@ def scratch(spark: SparkSession) -> str:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="plumbline-kept-"))
         base = "file://" + _own[0]
-    return f"{base.rstrip('/')}/plumbline-kept-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/plumbline-kept-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -38,3 +40,11 @@ def dropped(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         p = spark._jvm.org.apache.hadoop.fs.Path(folder)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all folders that this process made. Results that read them are gone then: write
+    these first."""
+    while _made:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
