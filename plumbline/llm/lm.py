@@ -13,7 +13,8 @@ state of the history without its first word. The empty history has an arc for ev
 ``Automaton.traverse`` goes from left to right: at each token it follows failure arcs until
 the state has an arc for the token, adds up the weights, and carries on in the arc's target.
 
-The corpus counts are distributed and complete. Rows are cut into blocks, stored once. A block
+The corpus counts are distributed and complete. Rows are cut into blocks, whose word numbers are
+written once to the shared folder, where later steps read them. A block
 sends each distinct word, bigram and trigram once, with its count in training rows, to the
 partition that owns the word or the bigram (a trigram goes with its first two words), which
 sums them and answers in the block's own order. So a word in every document is one entry a
@@ -36,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import blocks, packed, squeezed, stored, unpacked, unsqueezed
+from .common import BlockFiles, packed, squeezed, stored, unpacked, unsqueezed
 
 MU = (40.0, 10.0)
 BLOCK_BYTES = 4_000_000
@@ -144,30 +145,25 @@ def _unpack(blob: bytes, *dtypes) -> list[np.ndarray]:
     return out
 
 
-_CUT = [T.StructField("block", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("texts", T.BinaryType()), T.StructField("train", T.ArrayType(T.BooleanType())), T.StructField("tokens", T.LongType())]
-
-
 def _cut(keep: list[str]):
-    def make(number: int, rows: pa.Table) -> pa.Table:
+    def make(_: int, rows: pa.Table) -> tuple[pa.Table, int]:
         words, tokens, sizes = numbered(rows.column("text").to_pylist())
         made = {
-            "block": pa.array([number], pa.int64()),
             "words": pa.array([squeezed(b" ".join(words[2:]))], pa.binary()),
             "texts": pa.array([_pack(tokens, sizes)], pa.binary()),
             "train": pa.array([rows.column("train").to_pylist()], pa.list_(pa.bool_())),
-            "tokens": pa.array([len(tokens)], pa.int64()),
         }
         if keep:
             held = pa.StructArray.from_arrays([pa.concat_arrays(rows.column(c).chunks) for c in keep], names=keep)
             made["keep"] = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)
-        return pa.table(made)
+        return pa.table(made), len(tokens)
 
     return make
 
 
-def _block(words: bytes, texts: bytes) -> Block:
-    known = unsqueezed(words)
-    return Block(word_hash([_START, _END, *(known.split(b" ") if known else [])]), *_unpack(texts, np.int32, np.int64))
+def _block(row: dict) -> Block:
+    known = unsqueezed(row["words"][0].as_py())
+    return Block(word_hash([_START, _END, *(known.split(b" ") if known else [])]), *_unpack(row["texts"][0].as_py(), np.int32, np.int64))
 
 
 _BLOBS = "block long, pid long, blob binary, n long, v long"
@@ -178,19 +174,19 @@ def _rows(block, pid, blob, n, v) -> pa.Table:
     return pa.table([pa.array(x, k) for x, k in zip((block, pid, blob, n, v), kinds)], names=["block", "pid", "blob", "n", "v"])
 
 
-def _ask(parts: int):
+def _ask(parts: int, read):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                b = _block(row["words"], row["texts"])
-                words, arcs, thirds = b.counts(np.array(row["train"], bool))
-                pids, blobs = [], []
-                for p, w, a, t in Dealt(b, parts):
-                    near = lambda keys: np.diff(keys, prepend=np.uint64(0))
-                    follow = np.bincount(b.trigram_of[0][t] - a.start, minlength=a.stop - a.start).astype(np.uint32)
-                    pids.append(p)
-                    blobs.append(_pack(near(b.hash[w]), words[w], near(b.bigrams[a]), arcs[a], follow, b.trigrams[t].astype(np.uint32), thirds[t]))
-                yield from _rows([row["block"]] * len(pids), pids, blobs, [0] * len(pids), [0] * len(pids)).to_batches()
+        for number in (n for batch in batches for n in batch.column(0).to_pylist()):
+            row = read(number)
+            b = _block(row)
+            words, arcs, thirds = b.counts(np.array(row["train"][0].as_py(), bool))
+            pids, blobs = [], []
+            for p, w, a, t in Dealt(b, parts):
+                near = lambda keys: np.diff(keys, prepend=np.uint64(0))
+                follow = np.bincount(b.trigram_of[0][t] - a.start, minlength=a.stop - a.start).astype(np.uint32)
+                pids.append(p)
+                blobs.append(_pack(near(b.hash[w]), words[w], near(b.bigrams[a]), arcs[a], follow, b.trigrams[t].astype(np.uint32), thirds[t]))
+            yield from _rows([number] * len(pids), pids, blobs, [0] * len(pids), [0] * len(pids)).to_batches()
 
     return run
 
@@ -279,11 +275,10 @@ class Automaton:
         return out
 
 
-def _score(parts: int, n: int, v: int, schema: pa.Schema):
-    def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return schema.empty_table()
-        b = _block(rows.column("words")[0].as_py(), rows.column("texts")[0].as_py())
+def _score(parts: int, n: int, v: int, read, schema: pa.Schema):
+    def run(key: tuple, answers: pa.Table) -> pa.Table:
+        row = read(key[0].as_py())
+        b = _block(row)
         said = dict(zip(answers.column("pid").to_pylist(), answers.column("blob")))
         words, arcs, thirds = (np.zeros(len(x), np.int64) for x in (b.hash, b.bigrams, b.trigrams))
         for p, w, a, t in Dealt(b, parts):
@@ -291,7 +286,7 @@ def _score(parts: int, n: int, v: int, schema: pa.Schema):
         auto = Automaton(b, words, arcs, thirds, n, v)
         known = (words > 0)[b.tokens]
         made = [b.sizes, b.per_row(known.astype(np.int64)), np.full(len(b.sizes), n), b.per_row(auto.base[b.tokens]), b.per_row(auto.traverse(b))]
-        held = rows.column("keep").combine_chunks().flatten().flatten() if "keep" in rows.column_names else []
+        held = row["keep"].flatten().flatten() if "keep" in row else []
         return pa.table(dict(zip(schema.names, [*held, *map(pa.array, made)]))).cast(schema)
 
     return run
@@ -299,18 +294,16 @@ def _score(parts: int, n: int, v: int, schema: pa.Schema):
 
 def score(docs: DataFrame, learn: Column) -> DataFrame:
     """The columns of ``docs`` but text; n_tokens, n_known, train_tokens, base_score, score."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     own = [c for c in docs.columns if c not in (*made, "text")]
     docs = packed(docs.drop(*made), "doc_id", "text", train=F.coalesce(learn, F.lit(False)))
     names = [c for c in docs.columns if c not in ("text", "train")]
-    keep = T.StructType([docs.schema[c] for c in names])
-    cut = stored(blocks(docs, BLOCK_BYTES, "text", _cut(names), T.StructType([*_CUT, T.StructField("keep", T.ArrayType(keep))] if names else _CUT)))
-    total = cut.agg(F.sum("tokens")).first()[0] or 0
-    parts = int(max(12, -(-total // OWNER_TOKENS)))
-    answers = stored(cut.select("block", "words", "texts", "train").mapInArrow(_ask(parts), _BLOBS).groupBy("pid").applyInArrow(_answer, _BLOBS))
+    cut = BlockFiles(docs, BLOCK_BYTES, "text", _cut(names))
+    parts = int(max(12, -(-cut.size // OWNER_TOKENS)))
+    answers = stored(cut.numbers().mapInArrow(_ask(parts, cut.reader()), _BLOBS).groupBy("pid").applyInArrow(_answer, _BLOBS))
     n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    types = T.StructType([*keep.fields, *[T.StructField(c, t) for c, t in zip(made, [T.LongType()] * 3 + [T.DoubleType()] * 2)]])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    scored = cut.drop("train", "tokens").groupBy("block").cogroup(answers.select("block", "pid", "blob").groupBy("block")).applyInArrow(_score(parts, n, v, to_arrow_schema(types)), types)
+    types = T.StructType([*[docs.schema[c] for c in names], *[T.StructField(c, t) for c, t in zip(made, [T.LongType()] * 3 + [T.DoubleType()] * 2)]])
+    scored = cut.dealt(answers.select("block", "pid", "blob")).groupBy("block").applyInArrow(_score(parts, n, v, cut.reader(), to_arrow_schema(types)), types)
     return unpacked(scored, own, *made)

@@ -7,8 +7,8 @@ A string of ``K`` bytes holds ``K - G + 1`` grams of ``G`` bytes. The places of
 gram hash of each such string are anchors: equal strings have equal anchors at equal offsets,
 so all places of a string meet in the shard that owns its anchor's gram.
 
-0. Rows are cut into blocks, stored once with the places of their anchors; every later step
-   reads these and only hashes the anchors' own grams again.
+0. Rows are cut into blocks, written once to the shared folder with the places of their anchors;
+   every later step reads these there and only hashes the anchors' own grams again.
 1. Each block sends every distinct anchor hash once to the shard that owns it, which answers
    whether another document has it too.
 2. For shared anchors, each block sends the distinct contexts (all bytes of any string that
@@ -38,15 +38,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks, drop_folder, shared_dir, squeezed, stored, unsqueezed
+from .common import BlockFiles, drop_folder, shared_dir, squeezed, stored, unsqueezed
 from .suffixes import Spill, sorted_suffixes
 
 K, G = 50, 24
 SIDE = K - G  # bytes of context on either side of an anchor's gram
 BLOCK_BYTES = 8_000_000
-SHARD_BYTES = 16_000_000  # of text a shard's anchors come from
+SHARD_ANCHORS = 1_100_000  # that a shard owns: those of about 16 MB of text
 QUEUE_BYTES, NAME_BYTES = 16_000_000, 256_000_000  # of a sort in memory (see Spill)
-ANCHOR_BYTES = 16  # of text a byte of packed anchors stands for, about
 STEP = 1 << 16  # places hashed at a time, so that the arrays stay in the processor's cache
 LAST = np.iinfo(np.int64).max
 
@@ -98,24 +97,23 @@ def anchors(data: bytes, sizes: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
-_CUT = "block long, ids array<long>, sizes binary, texts binary, places binary"
-
-
-def _cut(number: int, rows: pa.Table) -> pa.Table:
-    """A block's row: its doc_ids, the sizes and bytes of its texts and their anchors."""
+def _cut(_: int, rows: pa.Table) -> tuple[pa.Table, int]:
+    """A block's row: its doc_ids, the sizes and bytes of its texts and their anchors; and how many
+    anchors there are."""
     raw = [(t or "").encode() for t in rows.column("text").to_pylist()]
     sizes = np.array([len(r) for r in raw], np.int64)
     data = b"".join(raw)
     places = np.diff(anchors(data, sizes), prepend=0).astype(np.uint32)
-    made = {"block": [number], "ids": [rows.column("doc_id").to_pylist()], "sizes": [sizes.tobytes()], "texts": [squeezed(data)], "places": [squeezed(places.tobytes())]}
-    return pa.table(made, pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("texts", pa.binary()), ("places", pa.binary())]))
+    made = {"ids": [rows.column("doc_id").to_pylist()], "sizes": [sizes.tobytes()], "texts": [squeezed(data)], "places": [squeezed(places.tobytes())]}
+    return pa.table(made, pa.schema([("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("texts", pa.binary()), ("places", pa.binary())])), len(places)
 
 
 class Block:
     """The bytes of a block's texts, their bounds, doc_ids and anchors."""
 
     def __init__(self, row: dict):
-        self.number, self.ids = row["block"], row["ids"]
+        row = {n: x[0].as_py() for n, x in row.items()}
+        self.ids = row["ids"]
         self.docs = np.array([LAST if x is None else x for x in self.ids], np.int64)
         self.sizes = np.frombuffer(row["sizes"], np.int64)
         self.data = np.frombuffer(unsqueezed(row["texts"]), np.uint8)
@@ -223,13 +221,12 @@ def _rows(block: int, made: dict[int, bytes]) -> pa.Table:
     return pa.table({"block": pa.array([block] * len(made), pa.int64()), "pid": pa.array(list(made), pa.int64()), "blob": pa.array(list(made.values()), pa.binary())})
 
 
-def _ask_hashes(parts: int):
+def _ask_hashes(parts: int, read):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                s = _Seen(b.slice(i, 1).to_pylist()[0], parts)
-                several = s.several()
-                yield from _rows(s.block.number, {p: s.keys[at].tobytes() + np.packbits(several[at]).tobytes() for p, at in s.owners}).to_batches()
+        for number in (n for b in batches for n in b.column(0).to_pylist()):
+            s = _Seen(read(number), parts)
+            several = s.several()
+            yield from _rows(number, {p: s.keys[at].tobytes() + np.packbits(several[at]).tobytes() for p, at in s.owners}).to_batches()
 
     return run
 
@@ -246,11 +243,9 @@ def _answer_hashes(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block"), "pid": table.column("pid"), "blob": pa.array([np.packbits(x).tobytes() for x in parts], pa.binary())})
 
 
-def _ask_contexts(parts: int):
-    def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _rows(0, {})
-        c = _Contexts(_Seen(table.to_pylist()[0], parts), answers, parts)
+def _ask_contexts(parts: int, read):
+    def run(key: tuple, answers: pa.Table) -> pa.Table:
+        c = _Contexts(_Seen(read(key[0].as_py()), parts), answers, parts)
         return _rows(key[0].as_py(), {p: np.uint32(len(at)).tobytes() + _pack(c.rows[at], c.least[at]) for p, at in c.owners})
 
     return run
@@ -339,11 +334,9 @@ def _answer_contexts(scratch: str):
     return run
 
 
-def _remove(parts: int):
-    def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _result([], np.zeros(0, np.int64), [], [], [])
-        seen = _Seen(table.to_pylist()[0], parts)
+def _remove(parts: int, read):
+    def run(key: tuple, answers: pa.Table) -> pa.Table:
+        seen = _Seen(read(key[0].as_py()), parts)
         kind = answers.column("kind").to_pylist()
         c = _Contexts(seen, answers.filter(pa.array([k == 1 for k in kind], pa.bool_())), parts)
         told = answers.filter(pa.array([k == 2 for k in kind], pa.bool_()))
@@ -391,14 +384,14 @@ def _result(ids, sizes, removed, spans, shas) -> pa.Table:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     spark = docs.sparkSession
-    cut = stored(blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), BLOCK_BYTES, "text", _cut, _CUT))
-    total = cut.agg(F.sum(F.octet_length("places"))).first()[0] or 0
-    parts = int(max(12, -(-total * ANCHOR_BYTES // SHARD_BYTES)))
-    shared = stored(cut.mapInArrow(_ask_hashes(parts), _BLOBS).groupBy("pid").applyInArrow(_answer_hashes, _BLOBS))
+    cut = BlockFiles(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), BLOCK_BYTES, "text", _cut)
+    parts, read = int(max(12, -(-cut.size // SHARD_ANCHORS))), cut.reader()
+    shared = stored(cut.numbers().mapInArrow(_ask_hashes(parts, read), _BLOBS).groupBy("pid").applyInArrow(_answer_hashes, _BLOBS))
     scratch = f"{shared_dir(spark)}/plumbline-scratch-{uuid.uuid4().hex}"
     try:
-        least = stored(cut.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_ask_contexts(parts), _BLOBS).groupBy("pid").applyInArrow(_answer_contexts(scratch), _BLOBS))
+        least = stored(cut.dealt(shared).groupBy("block").applyInArrow(_ask_contexts(parts, read), _BLOBS).groupBy("pid").applyInArrow(_answer_contexts(scratch), _BLOBS))
     finally:
         drop_folder(spark, scratch)
-    told = shared.withColumn("kind", F.lit(1)).unionByName(least.withColumn("kind", F.lit(2)))
-    return cut.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_remove(parts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    every = cut.told.select("block", F.lit(-1).cast("long").alias("pid"), F.lit(None).cast("binary").alias("blob"), F.lit(0).alias("kind"))  # also blocks without anchors
+    told = shared.withColumn("kind", F.lit(1)).unionByName(least.withColumn("kind", F.lit(2))).unionByName(every)
+    return cut.dealt(told).groupBy("block").applyInArrow(_remove(parts, read), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

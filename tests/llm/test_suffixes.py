@@ -51,7 +51,8 @@ def test_least_of_starts():
     r = random.Random(4)
     seed = bytes(r.randrange(3) for _ in range(200))
     texts = [seed.decode(), (seed[20:150] + b"zz" + seed[60:]).decode(), "", "a" * 90]
-    block = repeats.Block(repeats._cut(0, pa.table({"doc_id": [0, 1, 2, 3], "text": texts})).to_pylist()[0])
+    row, _ = repeats._cut(0, pa.table({"doc_id": [0, 1, 2, 3], "text": texts}))
+    block = repeats.Block({n: row.column(n) for n in row.column_names})
     rows = block.contexts(np.arange(len(block.anchors)))
     least = np.array([r.randrange(50) for _ in rows], np.int64)
     strings = {}
