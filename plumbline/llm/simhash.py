@@ -16,7 +16,8 @@ Defined cases: null, empty and wordless texts have fingerprint 0, linked like an
 text of fewer words than a shingle has one shingle; repeated rows share a fingerprint; null
 doc_ids take part but are never a component's id (a component of null ids alone has a null
 id); other columns are ignored by ``near_duplicates``. ``deduplicate``, the pipeline's stage,
-takes its candidates from ``minhash`` instead: 3 bits reach a similarity of about 0.97 only.
+checks what meets by its texts and adds candidates from ``minhash``: 3 bits reach a similarity of
+about 0.97 only.
 """
 
 from __future__ import annotations
@@ -170,12 +171,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_copies(rows: DataFrame, shingle: int = 5) -> DataFrame:
+    """Links (a, b) between sets of shingles whose SimHashes meet in the ball of ``RADIUS`` bits and
+    whose texts have a Jaccard similarity of 0.8 or more; ``rows`` are those of ``minhash.marked``,
+    stored. Sets of one fingerprint link to its smallest, that to its neighbours'."""
+    sets = stored(rows.groupBy("_set").agg(F.min("_row").alias("_row"), F.min("_fp").alias("fp")))
+    reps = stored(sets.groupBy("fp").agg(F.min("_set").alias("rep")))
+    at = lambda n: reps.select(F.col("fp").alias(n), F.col("rep").alias(f"_{n}")).hint("merge")
+    met = links(reps, reps.count()).join(at("a"), "a").join(at("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    same = sets.join(reps.hint("merge"), "fp").filter("_set <> rep").select(F.col("rep").alias("a"), F.col("_set").alias("b"))
+    pairs = stored(met.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    held = pairs.select(F.explode(F.array("a", "b")).alias("_set")).distinct()
+    chosen = sets.join(held.hint("merge"), "_set", "left_semi").select("_row")
+    texts = stored(rows.select("_row", "_set", "text").join(chosen.hint("merge"), "_row", "left_semi").select("_set", "text"))
+    out = stored(minhash.linked(pairs, texts, shingle))
+    for done in (sets, reps, pairs, texts):
+        drop_stored(done)
+    return out
+
+
 def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """``docs`` with exactly one row for each group of near copies, that of the smallest doc_id
     (a null one comes last): texts are near copies where their sets of shingles have a Jaccard
-    similarity of 0.8 or more. Repeated rows and rows without a doc_id are rows like others."""
+    similarity of 0.8 or more. The ball hashing finds those whose fingerprints are within ``RADIUS``
+    bits (from about 0.97), the bands of ``minhash`` all others. Repeated rows and rows without a
+    doc_id are rows like others."""
     rows = stored(minhash.marked(packed(docs, "doc_id", "text", _row=F.monotonically_increasing_id()), shingle))
-    roots = minhash.components(rows, shingle).hint("merge")
+    roots = minhash.components(rows, shingle, near_copies(rows, shingle)).hint("merge")
     rooted = rows.select("doc_id", "_row", "_set").join(roots, "_set", "left").withColumn("root", F.coalesce("root", "_set"))
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row").alias("_row"))
     kept = rooted.groupBy("root").agg(F.min(first).alias("k")).select("k._row")
