@@ -64,10 +64,16 @@ def file_count(spark: SparkSession, path: str) -> int:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").count()
 
 
-def fixtures(spark: SparkSession, path: str) -> DataFrame:
+def fixtures(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
     """JSONL fixtures; expectations at the top level or under http; a bad line, or one without
-    kind or name, fails with its file and the place of its line (bytes before it)."""
-    lines = spark.read.text(path).select("value", F.concat_ws(":", "_metadata.file_path", F.col("_metadata.file_block_start").cast("string")).alias("_at")).filter(F.trim("value") != "")
+    kind or name, fails with its file and split (the byte where that begins), or where they are
+    to be ``numbered`` with its line; then each file is read whole by one task."""
+    if numbered:
+        whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("f"), F.posexplode(F.split("value", "\n")).alias("i", "value"))
+        lines = whole.select("value", F.concat_ws(":", "f", (F.col("i") + 1).cast("string")).alias("_at"))
+    else:
+        lines = spark.read.text(path).select("value", F.concat_ws(":", "_metadata.file_path", F.col("_metadata.file_block_start").cast("string")).alias("_at"))
+    lines = lines.filter(F.trim("value") != "")
     rows = lines.select(F.from_json("value", FIXTURE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("f"), "value", "_at")
     why = F.when(F.col("f._bad").isNotNull() | F.col("f").isNull(), "is no JSON").when(F.coalesce("f.kind", F.lit("")) == "", "has no kind").when(F.coalesce("f.name", F.lit("")) == "", "has no name")
     checked = F.when(why.isNull(), F.col("f")).otherwise(F.raise_error(F.concat(F.lit("fixture line "), why, F.lit(" in "), F.coalesce("_at", F.lit("?")), F.lit(": "), F.left("value", F.lit(80)))))

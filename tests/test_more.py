@@ -216,6 +216,10 @@ def test_readers(spark, tmp_path):
         bad.write_text(line + "\n")
         with pytest.raises(Exception, match=why):
             io.fixtures(spark, str(bad)).collect()
+    bad.write_text('{"kind": "http", "name": "n"}\n\n{"kind": "http"}\n')
+    with pytest.raises(Exception, match=r"has no name in .*bad.jsonl:3:"):
+        io.fixtures(spark, str(bad), numbered=True).collect()
+    assert io.fixtures(spark, str(good), numbered=True).count() == 2
     doc = {"modules": [{"name": "M", "path": "m.cbl", "metadata": {"copy_refs": " A , ,B", "copybooks_resolved": "C"}, "functions": [{"name": "f", "calls": ["g"]}, {"name": "g"}]}], "call_graph": {"edges": [{"caller": "f", "callee": "g"}]}}
     (tmp_path / "ir.json").write_text(json.dumps(doc, indent=1))
     t = io.ir_tables(io.ir_documents(spark, str(tmp_path / "ir.json")))
