@@ -12,7 +12,8 @@ def body_equal(expected: Column, actual: Column, ignore: list[str] = (), ignored
     top-level keys (``ignored`` is an array column of more); where either is no JSON, equal
     strings. Numbers are equal by value, the order of arrays counts."""
     e, a = (canonical_json(c, list(ignore), ignored) for c in (expected, actual))
-    return F.when(e.isNotNull() & a.isNotNull(), e == a).otherwise(expected.eqNullSafe(actual))
+    same = expected.eqNullSafe(actual)
+    return F.when(same, F.lit(True)).when(e.isNotNull() & a.isNotNull(), e == a).otherwise(F.lit(False))
 
 
 def flat_headers(header: Column) -> Column:
