@@ -3,13 +3,13 @@
 import random
 
 from plumbline.operators import diff
-from plumbline.plans import catalogue
+from plumbline import plans
 
 
 def test_query_keeps_rewritten_documents(spark, tmp_path):
     rows = [(1, "s", "a\nb"), (2, "s", "c\nd\ne"), (3, "s", None), (4, "s", "f"), (5, "t", "a"), (6, "t", "a\ng")]
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: (r["added"], r["removed"], r["hunks"]) for r in catalogue.QUERIES["line_diff"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: (r["added"], r["removed"], r["hunks"]) for r in plans.QUERIES["line_diff"](spark, str(tmp_path)).collect()}
     assert got == {2: (3, 2, 1), 3: (1, 3, 1), 4: (1, 1, 1), 6: (1, 0, 1)}
 
 
