@@ -2,14 +2,14 @@
 
 import corpus_pipeline as P
 import pytest
-from plumbline.llm import bpe, chat, decontam, langid, linedup, lm, quality, queries, repeats, secrets, simhash
+from plumbline.llm import bpe, chat, decontam, fim, langid, linedup, lm, quality, queries, repeats, secrets, simhash
 from pyspark.sql import functions as F
 
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 NAMES = """_at _body _c _doc _end _gone _h1 _id _keep _last _lines _order _place _row _secret _start _text _words a at b base_failed base_score block blob c component_id contaminated
- decoded end exact fp g ids items kept kind lang_pred least len n n_chunks_removed n_hit n_near n_tokens n_words near off p pid pos postings rejected_by root score spans start term train train_tokens w wins words""".split()
+ decoded end exact fp g ids items kept kind lang_pred least len n n_chunks_removed n_hit n_near n_tokens n_words near off p pid pos postings prefix_chars middle_chars output form _key _hot _parts _part _null rejected_by root score spans start term train train_tokens w wins words""".split()
 ITEMS = [("i", "b c")]
 
 
@@ -38,6 +38,7 @@ USES = {
     "repeats": lambda d: repeats.remove_repeats(d),
     "decontam": lambda d: decontam.digests(decontam.judged(d, items(d))),
     "linedup": lambda d: linedup.dedup_lines(d).select("doc_id", "text", "n_chunks_removed"),
+    "fim": lambda d: fim.digests(fim.transform(d)),
     "lm": lambda d: lm.score(d, F.col("doc_id") > 3).select("doc_id", "n_tokens", "n_known", F.round("score", 6).alias("score")),
 }
 
