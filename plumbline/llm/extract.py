@@ -22,7 +22,8 @@ weights are a table as long as HTML's names, whatever the number of pages.
 Defined cases: null or empty html, and pages without a word of main text, give an empty text; pages
 of any length are read whole, in time that grows with their length alone; repeated rows each give
 a row; an empty table gives none; other columns pass through; the sample is of the ``SAMPLE`` pages
-with the smallest hashes among those of at most ``SAMPLE_CHARS`` characters.
+with the smallest hashes (of a share of the hashes that holds four times as many pages), those of at
+most ``SAMPLE_CHARS`` characters.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ from .common import packed, unpacked
 from .markup import BLOCK, CLOSE, HEADING, OPEN, SPACED, Page
 
 SAMPLE, SAMPLE_CHARS = 512, 100_000
+OVERSAMPLED = 4
 #: What a tag costs at least and at most, in words, and how much its log odds count.
 LEAST, MOST, ODDS = 0.01, 6.0, 1.5
 #: What an element that is no part of an article costs as one tag.
@@ -257,7 +259,10 @@ def fit(pages: DataFrame) -> Weights:
     seen = Counter()
     for html in LABELLED:
         seen.update(counts(html, True))
-    sample = pages.filter(F.length("html") <= SAMPLE_CHARS).select(F.xxhash64("html").alias("_h"), "html").orderBy("_h", "html").limit(SAMPLE)
+    # so few hashes lie below the bound that the sample is chosen among a few thousand pages at any size
+    share = min(1.0, OVERSAMPLED * SAMPLE / max(pages.count(), 1))
+    below = pages.select("html", F.xxhash64("html").alias("_h")).filter(F.col("_h") <= int((share - 0.5) * (1 << 64) * (1 - 1e-9)))
+    sample = below.filter(F.length("html") <= SAMPLE_CHARS).select("_h", "html").orderBy("_h", "html").limit(SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Counter()
