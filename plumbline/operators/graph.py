@@ -6,7 +6,8 @@ from itertools import count
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .storage import dropped, kept
+from .cycles import strong_components
+from .storage import dropped, kept, numbered
 
 KINDS = ("module", "function", "data_type", "io")
 
@@ -142,61 +143,6 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     return of.join(names, "r").select("id", "component")
 
 
-def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds a number to each of distinct values that rises in their order: ranges of values are
-    sorted each on its own, and a range's numbers are above those of the ranges before. To be
-    stored before it is used twice."""
-    return df.repartitionByRange(column).sortWithinPartitions(column).withColumn(name, F.monotonically_increasing_id())
-
-
-def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(id, component) of every node on a cycle; the component, its strongly connected one, is
-    named by its smallest id. Nodes without a way in or out go; then each node takes the
-    smallest id that reaches it, and what reaches that id backwards among nodes of its colour is
-    its component. Edges alone are kept, never the pairs of a closure."""
-    e = kept(edges.select("src", "dst").distinct())
-    done = kept(e.filter("src = dst").select(F.col("src").alias("id"), F.col("src").alias("component")))
-    found = [done]
-    e = kept(e.filter("src <> dst"))
-    for _ in range(max_rounds):
-        while True:  # trim
-            inner = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            less = kept(inner.select("src", "dst"))
-            same = less.count() == e.count()
-            dropped(e)
-            e = less
-            if same:
-                break
-        if e.isEmpty():
-            break
-        colour = kept(e.select(F.col("src").alias("id"), F.col("src").alias("c")).distinct())
-        while True:
-            came = e.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
-            new = kept(colour.join(came, "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") < F.col("c")).alias("moved")))
-            dropped(colour)
-            colour = new.select("id", "c")
-            if new.filter("moved").isEmpty():
-                break
-        own = kept(e.join(colour.withColumnRenamed("id", "src"), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("d")), "dst").filter("c = d").select("src", "dst", "c"))
-        back = kept(colour.filter("id = c"))
-        while True:
-            more = kept(own.join(back.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"), "c").distinct().join(back, "id", "left_anti"))
-            if more.isEmpty():
-                break
-            back = kept(back.unionByName(more))
-        group = back.groupBy("c").agg(F.count("*").alias("_m")).filter("_m > 1")
-        found.append(kept(back.join(group, "c").select("id", F.col("c").alias("component"))))
-        less = kept(e.join(back.select(F.col("id").alias("src")), "src", "left_anti").join(back.select(F.col("id").alias("dst")), "dst", "left_anti"))
-        dropped(e)
-        e = less
-    else:
-        raise RuntimeError("strong components did not settle")
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    return every.groupBy("id").agg(F.min("component").alias("component"))
-
-
 def module_edges(edges: DataFrame) -> DataFrame:
     m = lambda c: F.regexp_extract(c, r"^(?:fn|dt|io|mod):([^.]*)", 1)
     return edges.select(m("src").alias("src"), m("dst").alias("dst")).filter("src <> dst").distinct()
@@ -219,8 +165,8 @@ def reach(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
 
 def on_cycle(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, length) of nodes that lie on a cycle of at most max_depth edges, with their shortest
-    one; all pairs in reach are made, so give a depth on large graphs. ``strong_components``
-    tells which nodes lie on any cycle without them."""
+    one; all pairs in reach are made, so give a depth on large graphs. ``cycles.strong_components``
+    tells which nodes lie on any cycle without them, ``cycles.cycle_paths`` a cycle of each."""
     return reach(edges, max_depth).filter("src = dst").select(F.col("src").alias("id"), F.col("depth").alias("length"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.operators import codegen, graph, parsers, snapshots, storage
+from plumbline.operators import codegen, cycles, graph, parsers, snapshots, storage
 
 from .registry import query, read
 
@@ -175,7 +175,38 @@ def graph_kind_stats(spark, d):
 @query(f"""WITH RECURSIVE {CALLS}, e AS (SELECT DISTINCT src, dst FROM calls), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)
  SELECT a.src AS id, min(a.dst) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src""")
 def graph_strong_components(spark, d):
-    return graph.strong_components(call_graph(spark, d)[2].filter("kind = 'calls'"))
+    return cycles.strong_components(call_graph(spark, d)[2].filter("kind = 'calls'"))
+
+
+@query(f"""WITH RECURSIVE {CALLS}, e AS (SELECT DISTINCT src, dst FROM calls), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
+ sc AS (SELECT a.src AS id, min(a.dst) AS k FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src),
+ i AS (SELECT e.src, e.dst, a.k FROM e JOIN sc a ON a.id = e.src JOIN sc b ON b.id = e.dst WHERE a.k = b.k),
+ l AS (SELECT k FROM i WHERE src = k AND dst = k), g AS (SELECT * FROM i WHERE src <> dst AND k NOT IN (SELECT k FROM l)), z AS (SELECT k, count(DISTINCT src) AS n FROM g GROUP BY k),
+ w AS (SELECT DISTINCT k, k AS id, 0 AS d FROM g UNION SELECT w.k, g.dst, w.d + 1 FROM w JOIN g ON g.src = w.id JOIN z ON z.k = w.k WHERE w.d < z.n),
+ m AS (SELECT k, id, min(d) AS d FROM w GROUP BY k, id),
+ p AS (SELECT g.dst AS id, min(g.src) AS prev FROM g JOIN m a ON a.id = g.src JOIN m b ON b.id = g.dst WHERE b.d = a.d + 1 GROUP BY g.dst),
+ t AS (SELECT g.k, min(struct_pack(d := m.d, src := g.src)) AS s FROM g JOIN m ON m.id = g.src WHERE g.dst = g.k GROUP BY g.k),
+ y AS (SELECT k, s.d AS ord, s.src AS src, k AS dst FROM t UNION ALL SELECT y.k, y.ord - 1, p.prev, y.src FROM y JOIN p ON p.id = y.src WHERE y.src <> y.k)
+ SELECT k AS component, CAST(ord AS BIGINT) AS ord, src, dst FROM y UNION ALL SELECT k, 0, k, k FROM l""")
+def graph_cycle_paths(spark, d):
+    """One shortest cycle through the smallest node of each strong component."""
+    return cycles.cycle_paths(call_graph(spark, d)[2].filter("kind = 'calls'"))
+
+
+@query(f"""WITH RECURSIVE {CALLS}, e AS (SELECT DISTINCT src, dst FROM calls), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
+ s AS (SELECT a.src AS id, min(a.dst) AS k FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src),
+ o AS (SELECT v.id, sha256(reverse(v.id)) AS hash, coalesce(k, v.id) AS k FROM v LEFT JOIN s USING (id)), h AS (SELECT k, sha256(id || ':' || hash) AS x FROM o),
+ b AS (SELECT k, sum(CAST('0x' || x[1:15] AS BIGINT)) || '-' || sum(CAST('0x' || x[16:30] AS BIGINT)) || '-' || count(*) AS own FROM h GROUP BY k),
+ u AS (SELECT DISTINCT x.k AS a, y.k AS b FROM e JOIN o x ON x.id = e.src JOIN o y ON y.id = e.dst WHERE x.k <> y.k), n AS (SELECT k, own, count(u.a) AS n FROM b LEFT JOIN u ON u.a = b.k GROUP BY k, own),
+ tf(k, f, level) USING KEY (k) AS (SELECT k, sha256(own || '|0-0-0'), 0 FROM n WHERE n = 0
+  UNION SELECT n.k, sha256(any_value(own) || '|' || sum(CAST('0x' || q.f[1:15] AS BIGINT)) || '-' || sum(CAST('0x' || q.f[16:30] AS BIGINT)) || '-' || count(*)), max(q.level) + 1
+   FROM n JOIN u ON u.a = n.k JOIN recurring.tf q ON q.k = u.b WHERE n.k NOT IN (SELECT k FROM recurring.tf) GROUP BY n.k, n.n HAVING count(*) = n.n)
+ SELECT id, sha256(id || ':' || hash || '|' || f) AS fingerprint, level FROM o JOIN tf USING (k)""")
+def graph_fingerprints(spark, d):
+    """Fingerprints of functions that change with anything they call, at any distance."""
+    calls = call_graph(spark, d)[2].filter("kind = 'calls'")
+    ids = calls.select(F.col("src").alias("id")).union(calls.select("dst")).distinct()
+    return cycles.transitive_fingerprints(ids.withColumn("hash", F.sha2(F.reverse("id").cast("binary"), 256)), calls)
 
 
 @query(f"""WITH {CALLS}, s AS (SELECT DISTINCT name, 'old' AS module FROM fn WHERE length(name) % 2 = 0), u AS (SELECT name, max(module) AS module FROM fn WHERE length(name) % 3 = 0 GROUP BY name)
