@@ -89,14 +89,10 @@ def _chains(edges: DataFrame, fixed: DataFrame | None = None) -> tuple[DataFrame
     on = state.filter("not moved").select("v", F.col("b").alias("first"), (F.col("steps") + 1).alias("at"))
     on = on.join(passed, "v")
     ends = on.groupBy("first").agg(F.max("at").alias("len"), F.max_by("next", "at").alias("tail"), F.min_by("prev", "at").alias("head"))
-    members = kept(on.join(ends, "first").select("v", "first", "at", "head", "tail"))
-    rings = kept(rings)
+    members = on.join(ends, "first").select("v", "first", "at", "head", "tail")
     plain = one().join(_renamed(passed, v="src"), "src", "left_anti").join(_renamed(passed, v="dst"), "dst", "left_anti").select("src", "dst", "len", "first")
     short = members.filter("v = first").join(_renamed(ends, first="first", len="len"), "first").select(F.col("head").alias("src"), F.col("tail").alias("dst"), (F.col("len") + 1).alias("len"), "first")
-    made = kept(plain.unionByName(short))
-    for t in (state, passed):
-        dropped(t)
-    return made, members, rings
+    return kept(plain.unionByName(short)), members, rings
 
 
 def _least(edges: DataFrame, max_rounds: int) -> DataFrame:
@@ -140,15 +136,13 @@ def strong_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         while n:
             less = kept(_trimmed(_trimmed(e)))
             made, members, rings = _chains(less)
-            dropped(e)
             if members is None:
                 e = less
             else:
                 levels.append(members)
                 found.append(rings.select("v", F.col("ring").alias("c")))
-                loops.append(made.filter("src = dst").select(F.col("src").alias("v")).distinct())
-                e = kept(made.filter("src <> dst").select("src", "dst").distinct())
-                dropped(less)
+                loops.append(made.filter("src = dst").select(F.col("src").alias("v")))
+                e = made.filter("src <> dst").select("src", "dst").distinct()
             before, n = n, e.count()
             if n > (1 - SHRINKS) * before:
                 break
@@ -160,7 +154,6 @@ def strong_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         rest = told.filter("c <> d")
         side = lambda end: _renamed(rest, v=end, c=f"_c_{end}", d=f"_d_{end}")
         new = kept(e.join(side("src"), "src").join(side("dst"), "dst").filter("_c_src = _c_dst and _d_src = _d_dst").select("src", "dst"))
-        dropped(e)
         e, n = new, new.count()
     else:
         raise RuntimeError("strong components did not settle")

@@ -12,6 +12,9 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .perl_code import Line, code_lines
+from .statements import VERBS, Statement, is_fixed, statements, verbs  # noqa: F401
+
 Row = tuple[str, str, str, str]
 #: Words that are no paragraph names, Perl's own functions and modules.
 KEYWORDS = set("IF ELSE END-IF PERFORM MOVE ADD SUBTRACT MULTIPLY DIVIDE COMPUTE DISPLAY ACCEPT READ WRITE OPEN CLOSE EVALUATE END-EVALUATE WHEN SEARCH SET GO STOP EXIT INITIALIZE STRING UNSTRING INSPECT CALL EXEC END-EXEC COPY REPLACING WORKING-STORAGE FILE LINKAGE LOCAL-STORAGE".split())
@@ -33,59 +36,24 @@ def picture(pic: str) -> tuple[str, int, int]:
 # ---- COBOL ----------------------------------------------------------------------------
 
 
-def is_fixed(lines: list[str]) -> bool:
-    """Whether at least half of the lines that are not blank have a fixed format's column 7: a
-    comment or continuation mark, or a blank before more text."""
-    seen = [x for x in lines if x.strip()]
-    marked = sum(x[6:7] in ("*", "/", "-") and x[6:7] != "" or (x[6:7] == " " and len(x) > 7) for x in seen)
-    return bool(seen) and 2 * marked >= len(seen)
-
-
-def logical_lines(content: str) -> list[str]:
-    """Lines without comments, continuations joined. Of fixed lines columns 1 to 6 go and the
-    mark becomes a blank; of free ones what follows ``*>``."""
-    raw, out = content.split("\n"), []
-    fixed = is_fixed(raw)
-    for x in raw:
-        if not fixed:
-            out.append(" " + x.split("*>")[0])
-        elif x[6:7] == "-":
-            if out:
-                out[-1] += x[11:72].lstrip()
-        elif x[6:7] not in ("*", "/"):
-            out.append(" " + x[7:])
-    return [x for x in out if x.strip()]
-
-
-_PARAGRAPH = re.compile(r"(?i)^\s{1,4}(\w[\w-]*)(\s+SECTION)?\.\s*$")
-_CALLS = [("perform", re.compile(r"(?i)\bPERFORM\s+([\w-]+)")), ("call", re.compile(r"(?i)\bCALL\s+['\"]?([\w-]+)")), ("goto", re.compile(r"(?i)\bGO\s+TO\s+([\w-]+)"))]
-_IO = [
-    ("display", "write", re.compile(r"(?i)\bDISPLAY\b()")),
-    ("read", "read", re.compile(r"(?i)\bREAD\s+([\w-]+)")),
-    ("write", "write", re.compile(r"(?i)\bWRITE\s+([\w-]+)")),
-    ("open", "read", re.compile(r"(?i)\bOPEN\s+INPUT\s+([\w-]+)")),
-    ("open", "write", re.compile(r"(?i)\bOPEN\s+(?:OUTPUT|EXTEND)\s+([\w-]+)")),
-    ("open", "readwrite", re.compile(r"(?i)\bOPEN\s+I-O\s+([\w-]+)")),
-    ("close", "readwrite", re.compile(r"(?i)\bCLOSE\s+([\w-]+)")),
-]
-
-
-def _exec_block(text: str) -> Iterator[tuple[str, str]]:
-    """(name, kind:direction) of a whole EXEC block, whatever lines its words are on."""
-    words = re.sub(r"(?i)^.*?\bEXEC\s+|\bEND-EXEC\b.*$", "", " ".join(text.split())).upper().split()
-    if words[:1] == ["SQL"]:
-        yield (words[1] if len(words) > 1 else ""), "sql:" + ("write" if {"INSERT", "UPDATE", "DELETE"} & set(words) else "read")
-    elif words[:1] == ["CICS"]:
-        verb = words[1] if len(words) > 1 else ""
+def _exec_block(said: list[str]) -> Iterator[tuple[str, str]]:
+    """(name, kind:direction) of the words of an EXEC block."""
+    block = [w.upper() for w in said]
+    if block[:1] == ["SQL"]:
+        yield (block[1] if len(block) > 1 else ""), "sql:" + ("write" if {"INSERT", "UPDATE", "DELETE"} & set(block) else "read")
+    elif block[:1] == ["CICS"]:
+        verb = re.split(r"\(", block[1])[0] if len(block) > 1 else ""
         yield verb, "cics:" + {"SEND": "write", "RECEIVE": "read"}.get(verb, "readwrite")
 
 
-def _level(line: str, stack: list) -> Row | None:
-    """The data item of a line, under the items that are open."""
-    m = re.match(r"\s*(\d{1,2})\s+([\w-]+)(.*)", line)
+def _level(text: str, stack: list) -> Row | None:
+    """The data item of a statement, under the items that are open."""
+    m = re.match(r"(\d{1,2})(?:\s+([\w-]+))?(.*)", re.sub(r"'[^']*'?|\"[^\"]*\"?", "''", text))
     if not m:
         return None
-    level, name, rest = int(m[1]), m[2], m[3]
+    level, name, rest = int(m[1]), m[2] or "FILLER", m[3]
+    if name.upper() in _CLAUSES:
+        name, rest = "FILLER", f" {name}{rest}"
     if level in (1, 77, 66):
         stack.clear()
     while stack and stack[-1][0] >= level:
@@ -104,52 +72,98 @@ def _level(line: str, stack: list) -> Row | None:
     return made
 
 
+#: Clauses that may stand in a name's place; what opens files in which way, and words beside them.
+_CLAUSES = frozenset("PIC PICTURE REDEFINES OCCURS VALUE USAGE COMP BINARY".split())
+_MODES = {"INPUT": "read", "OUTPUT": "write", "EXTEND": "write", "I-O": "readwrite"}
+_BESIDE = frozenset("WITH NO REWIND LOCK REVERSED FOR REMOVAL REEL UNIT SHARING ALL OTHER".split())
+_INLINE = frozenset("UNTIL VARYING WITH TEST FOREVER".split())
+
+
+def _acts(verb: str, said: list[str]) -> Iterator[tuple[str, str, str]]:
+    """(record, name, detail) of a statement."""
+    bare = [w.strip("'\"").rstrip(",") for w in said]
+    upper = [w.upper() for w in bare]
+    if verb == "PERFORM" and bare and upper[0] not in _INLINE and not bare[0].isdigit() and upper[1:2] != ["TIMES"]:
+        yield "call", bare[0], "perform"
+    elif verb == "CALL" and bare:
+        yield "call", bare[0], "call"
+    elif verb == "GO":
+        names = bare[1:] if upper[:1] == ["TO"] else bare
+        for i, name in enumerate(names):
+            if name.upper() in ("DEPENDING", "ON"):
+                break
+            if i == 0 or "DEPENDING" in upper:
+                yield "call", name, "goto"
+    elif verb == "DISPLAY":
+        yield "io", "", "display:write"
+    elif verb in ("READ", "WRITE") and bare:
+        yield "io", bare[0], f"{verb.lower()}:{verb.lower()}"
+    elif verb == "OPEN":
+        way = "read"
+        for name in bare:
+            if name.upper() in _MODES:
+                way = _MODES[name.upper()]
+            elif name.upper() not in _BESIDE:
+                yield "io", name, f"open:{way}"
+    elif verb == "CLOSE":
+        for name in bare:
+            if name.upper() not in _BESIDE:
+                yield "io", name, "close:readwrite"
+    elif verb == "EXEC":
+        for name, detail in _exec_block(said):
+            yield "io", name, detail
+
+
+def _header(s: Statement) -> tuple[str, str] | None:
+    """(name, paragraph or section) of a statement that is a header: one word in area A."""
+    said = s.text.split()
+    kind = "section" if len(said) in (2, 3) and said[1].upper() == "SECTION" else "paragraph" if len(said) == 1 else ""
+    name = said[0].upper() if said else ""
+    known = name in KEYWORDS or name in VERBS or name.startswith("END-") or name == "DECLARATIVES"
+    return (said[0], kind) if kind and s.area_a and not known and re.fullmatch(r"[\w-]+", name) else None
+
+
 def cobol(path: str, content: str) -> Iterator[Row]:
     """A program, or a copybook: a file without a division is data from its first line."""
-    lines = logical_lines(content)
+    found = statements(content)
     base = path.rsplit("/", 1)[-1].split(".")[0]
-    program = next((m[1].strip(".") for x in lines if (m := re.search(r"(?i)\bPROGRAM-ID\.?\s+([\w-]+)", x))), base)
-    divided = any(re.search(r"(?i)^\s*[\w-]+\s+DIVISION", x) for x in lines)
+    program, divided = base, False
+    for i, s in enumerate(found):
+        if m := re.match(r"(?i)PROGRAM-ID\b\s*([\w-]+)?", s.text):
+            program = m[1] or (found[i + 1].text.split()[0].strip("'\"") if i + 1 < len(found) else base)
+            break
+    divided = any(re.match(r"(?i)[\w-]+\s+DIVISION\b", s.text) for s in found)
     yield "module", program, "", "cobol" if divided or not path.lower().endswith(".cpy") else "copybook"
-    part, fn, stack, block = ("" if divided else "DATA"), "", [], []
-    for x in lines:
-        if m := re.search(r"(?i)^\s*([\w-]+)\s+DIVISION", x):
+    part, fn, stack = ("" if divided else "DATA"), "", []
+    for s in found:
+        if m := re.match(r"(?i)([\w-]+)\s+DIVISION\b", s.text):
             part = m[1].upper()
         elif part == "DATA":
-            if (m := re.search(r"(?i)\bCOPY\s+['\"]?([\w-]+)", x)) and not re.match(r"\s*\d", x):
+            if (m := re.search(r"(?i)\bCOPY\s+['\"]?([\w-]+)", s.text)) and not s.text[:1].isdigit():
                 yield "dependency", m[1].upper(), program, "copy"
-            elif row := _level(x, stack):
+            elif row := _level(s.text, stack):
                 yield row
         elif part == "PROCEDURE":
-            if (m := _PARAGRAPH.match(x)) and m[1].upper() not in KEYWORDS:
-                fn = m[1]
-                yield "function", fn, program, "section" if m[2] else "paragraph"
-                continue
-            for kind, pattern in _CALLS:
-                for m in pattern.finditer(x):
-                    if kind != "perform" or m[1].upper() not in {"UNTIL", "VARYING"}:
-                        yield "call", m[1], fn, kind
-            if block or re.search(r"(?i)\bEXEC\s+(CICS|SQL)\b|\bEXEC\s*$", x):
-                block.append(x)
-                if re.search(r"(?i)\bEND-EXEC\b", x):
-                    for name, detail in _exec_block(" ".join(block)):
-                        yield "io", name, fn, detail
-                    block = []
+            if header := _header(s):
+                fn = header[0]
+                yield "function", fn, program, header[1]
                 continue
-            for kind, way, pattern in _IO:
-                if m := pattern.search(x):
-                    yield "io", m[1], fn, f"{kind}:{way}"
+            for verb, said in verbs(s.text):
+                for record, name, detail in _acts(verb, said):
+                    yield record, name, fn, detail
 
 
 def constructs(path: str, content: str) -> Iterator[Row]:
     """COBOL constructs that tell how involved a paragraph is."""
-    kinds = {"exec_cics": r"(?i)\bEXEC\s+CICS\b", "exec_sql": r"(?i)\bEXEC\s+SQL\b", "evaluate": r"(?i)^\s*EVALUATE\b", "when": r"(?i)^\s*WHEN\b(?!\s+OTHER)", "goto": r"(?i)\bGO\s+TO\b"}
     fn = ""
-    for x in logical_lines(content):
-        if (m := _PARAGRAPH.match(x)) and m[1].upper() not in KEYWORDS:
-            fn = m[1]
-        for kind, pattern in kinds.items():
-            if fn and re.search(pattern, x):
+    for s in statements(content):
+        if header := _header(s):
+            fn = header[0]
+            continue
+        for verb, said in verbs(s.text) if fn else ():
+            first = said[0].upper() if said else ""
+            kind = f"exec_{first.lower()}" if verb == "EXEC" else {"EVALUATE": "evaluate", "GO": "goto", "WHEN": "when" if first != "OTHER" else ""}.get(verb, "")
+            if kind in ("exec_cics", "exec_sql", "evaluate", "when", "goto"):
                 yield "construct", kind, fn, ""
 
 
@@ -177,60 +191,92 @@ def perl_parameters(signature: str | None, body: list[str]) -> Iterator[tuple[st
             yield m[1], "unknown"
 
 
-def _perl_subs(lines: list[str]) -> dict[int, tuple[str, str | None, list[str]]]:
-    """By line: the subs that begin there, with their signature and body."""
-    out, open_, depth = {}, None, 0
+_PERL_CODE = re.compile(r"\bsub\s+([A-Za-z_]\w*)\s*(\([^)]*\))?|\bmy\s+\$(\w+)\s*=\s*sub\b|->(\w+)\s*\(|(?<![$@%\w>:&])([A-Za-z_][\w:]*)\s*\(|([{}])|(;)")
+
+
+def _perl_walk(lines: list[Line]) -> Iterator[tuple[int, str, str, str]]:
+    """(line, what, name, function) of subs, closures, calls and ends of subs in the order of the code;
+    a sub lasts from its first brace, on whatever line, to the one that closes it."""
+    depth, open_, waits = 0, [], None
     for i, x in enumerate(lines):
-        if open_ is None and (m := re.match(r"\s*sub\s+(\w+)\s*(\([^)]*\))?\s*\{", x)):
-            open_ = (i, depth, m)
-            out[i] = (m[1], m[2], [x[m.end() :]])
-        elif open_ is not None:
-            out[open_[0]][2].append(x)
-        depth += x.count("{") - x.count("}")
-        if open_ is not None and depth <= open_[1]:
-            open_ = None
-    return out
+        loads = re.match(r"\s*(?:use|require|no)\b", x.bare)
+        for m in _PERL_CODE.finditer(x.bare):
+            fn = open_[-1][0] if open_ else ""
+            if m[1]:
+                waits = m[1]
+                yield i, "sub", m[1], m[2] or ""
+            elif m[3]:
+                yield i, "closure", m[3], fn
+            elif m[6] == "{":
+                if waits:
+                    open_.append((waits, depth))
+                    waits = None
+                depth += 1
+            elif m[6] == "}":
+                depth -= 1
+                if open_ and depth <= open_[-1][1]:
+                    open_.pop()
+                    yield i, "end", fn, ""
+            elif m[7]:
+                waits = None  # a declaration ahead of its body
+            elif (m[4] or (m[5] and m[5] not in BUILTINS)) and not loads:
+                yield i, "call", m[4] or m[5], fn
 
 
 def perl(path: str, content: str) -> Iterator[Row]:
-    text = re.sub(r"(?ms)^=\w+.*?^=cut[^\n]*\n?", "", content)
-    lines = [re.sub(r"(^|\s)#.*$", "", x) if x.count('"') % 2 == 0 else x for x in text.split("\n")]
-    package = next((m[1] for x in lines if (m := re.match(r"\s*package\s+([\w:]+)", x))), path.rsplit("/", 1)[-1].split(".")[0])
+    lines = code_lines(content)
+    package = next((m[1] for x in lines if (m := re.match(r"\s*package\s+([\w:]+)", x.bare))), path.rsplit("/", 1)[-1].split(".")[0])
     yield "module", package, "", "perl"
-    subs = _perl_subs(lines)
-    fn, depth, open_at = "", 0, -1
+    walked: dict[int, list[tuple[str, str, str]]] = {}
+    bodies: dict[tuple[str, int], list[str]] = {}
+    running: list[tuple[str, int]] = []
+    ends: dict[int, list[str]] = {}
+    for i, what, name, more in _perl_walk(lines):
+        walked.setdefault(i, []).append((what, name, more))
+        if what == "end":
+            ends.setdefault(i, []).append(name)
+    for i, x in enumerate(lines):
+        for what, name, _ in walked.get(i, []):
+            if what == "sub":
+                running.append((name, i))
+        for key in running:
+            bodies.setdefault(key, []).append(re.sub(r"^.*?\bsub\s+\w+\s*(?:\([^)]*\))?\s*\{", "", x.kept) if key[1] == i else x.kept)
+        for name in ends.get(i, []):
+            running = [k for k in running if k[0] != name]
+    fn, outer = "", []
     for i, x in enumerate(lines):
-        if (m := re.match(r"\s*(?:use|require)\s+([\w:]+)", x)) and m[1] not in CORE_MODULES and not re.match(r"v?\d", m[1]):
+        if (m := re.match(r"\s*(?:use|require)\s+([\w:]+)", x.kept)) and m[1] not in CORE_MODULES and not re.match(r"v?\d", m[1]):
             yield "dependency", m[1], package, "oop" if m[1] in FRAMEWORKS else "use"
-        if m := re.match(r"\s*(with|extends)\s+['\"]?([\w:]+)", x):
+        if m := re.match(r"\s*(with|extends)\s+['\"]?([\w:]+)", x.kept):
             yield "dependency", m[2], package, m[1]
-        if m := re.match(r"\s*has\s+['\"]?(\w+)['\"]?\s*=>", x):
-            yield "data_type", m[1], package, "attribute"
-        elif m := re.match(r"\s*has\s+['\"](\w+)['\"]", x):
-            yield "data_type", m[1], package, "attribute"
-        if i in subs:
-            fn, open_at = subs[i][0], depth
-            yield "function", fn, package, "sub"
-            for name, kind in perl_parameters(*subs[i][1:]):
-                yield "parameter", name, fn, kind
-        elif m := re.match(r"\s*my\s+\$(\w+)\s*=\s*sub\s*\{", x):
-            yield "function", m[1], fn, "closure"
-        for m in re.finditer(r"\b(my|our|local)\s+([$@%])(\w+)", x):
-            yield "variable", m[3], fn, {"$": "string", "@": "array", "%": "struct"}[m[2]]
-        bare = "" if re.match(r"\s*(?:use|require|sub)\b", x) else re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", "''", x)
-        for m in re.finditer(r"->(\w+)\s*\(|(?<![$@%\w>:])([A-Za-z_][\w:]*)\s*\(", bare):
-            if m[1] or m[2] not in BUILTINS:
-                yield "call", m[1] or m[2], fn, "method" if m[1] else "function"
-        if m := re.search(r"\bopen\s*\(\s*(?:my\s+)?(\$?\w+)\s*(?:,\s*['\"]?([<>+|]+))?", x):
+        if m := re.match(r"\s*has\s+(?:['\"](\w+)['\"]|(\w+)\s*=>)", x.kept):
+            yield "data_type", m[1] or m[2], package, "attribute"
+        calls = []
+        for what, name, more in walked.get(i, []):
+            if what == "sub":
+                outer.append(fn)
+                fn = name
+                yield "function", fn, package, "sub"
+                for p, kind in perl_parameters(more, bodies[name, i]):
+                    yield "parameter", p, fn, kind
+            elif what == "closure":
+                yield "function", name, more, "closure"
+            elif what == "call":
+                method = re.search(rf"->{re.escape(name)}\s*\(", x.bare)
+                calls.append(("call", name, more, "method" if method else "function"))
+        owner = next((n for w, n, _ in walked.get(i, []) if w == "sub"), fn)
+        for m in re.finditer(r"\b(my|our|local)\s+([$@%])(\w+)", x.bare):
+            yield "variable", m[3], owner, {"$": "string", "@": "array", "%": "struct"}[m[2]]
+        yield from calls
+        if m := re.search(r"\bopen\s*\(\s*(?:my\s+)?(\$?\w+)\s*(?:,\s*['\"]?([<>+|]+))?", x.kept):
             way = "read" if m[2] in (None, "<") else "readwrite" if "+" in m[2] else "write"
-            yield "io", m[1], fn, f"open:{way}"
-        if m := re.search(r"\bclose\s*\(\s*(\$?\w+)", x):
-            yield "io", m[1], fn, "close:readwrite"
-        if m := re.search(r"(?:DBI->|->)(connect|prepare|do|selectall_arrayref|selectrow_array|execute|fetchrow|fetch)\b", x):
-            yield "io", m[1], fn, "dbi:" + ("read" if m[1].startswith(("fetch", "select")) else "readwrite")
-        depth += x.count("{") - x.count("}")
-        if fn and depth <= open_at:
-            fn, open_at = "", -1
+            yield "io", m[1], owner, f"open:{way}"
+        if m := re.search(r"\bclose\s*\(\s*(\$?\w+)", x.bare):
+            yield "io", m[1], owner, "close:readwrite"
+        if m := re.search(r"(?:DBI->|->)(connect|prepare|do|selectall_arrayref|selectrow_array|execute|fetchrow|fetch)\b", x.bare):
+            yield "io", m[1], owner, "dbi:" + ("read" if m[1].startswith(("fetch", "select")) else "readwrite")
+        for _ in ends.get(i, []):
+            fn = outer.pop() if outer else ""
 
 
 # ---- Fortran --------------------------------------------------------------------------
