@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
+from .statements import is_fixed
 from .storage import kept
 
 #: Books that come with the system and are no errors when absent.
@@ -40,23 +41,28 @@ def replace_words(line: str, pairs: list[list[str]]) -> str:
 
 def segments(content: str, pairs: list[list[str]]) -> Iterator[tuple[str | None, list[list[str]], str]]:
     """(book or None, replacements, text): one row a line, or a COPY statement up to its
-    period. Comment lines (* or / in column 7) are lines."""
+    period. Comment lines (* or / in column 7) are lines; of fixed lines columns 8 to 72 are read."""
+    lines = content.split("\n")
+    fixed = is_fixed(lines)
     held: list[str] = []
-    for raw in content.split("\n"):
+    said: list[str] = []
+    for raw in lines:
         line = replace_words(raw, pairs)
-        if not held and (line[6:7] in ("*", "/") or not _STATEMENT.search(line)):
+        text = line[7:72] if fixed else line
+        if not held and (line[6:7] in ("*", "/") or not _STATEMENT.search(text)):
             yield None, [], line
             continue
         held.append(line)
-        if line.rstrip().endswith("."):
-            yield _statement(held)
-            held = []
+        said.append(text.strip())
+        if text.rstrip().endswith("."):
+            yield _statement(held, said)
+            held, said = [], []
     if held:
-        yield _statement(held)
+        yield _statement(held, said)
 
 
-def _statement(lines: list[str]) -> tuple[str, list[list[str]], str]:
-    whole = " ".join(x.strip() for x in lines)
+def _statement(lines: list[str], said: list[str]) -> tuple[str, list[list[str]], str]:
+    whole = " ".join(said)
     found = _STATEMENT.search(whole)
     clause = re.split(r"(?i)\bREPLACING\b", whole[found.end() :], maxsplit=1)[1:]
     pairs = [[(m[1] or "").upper(), m[2].strip(), m[3].strip()] for m in _PAIR.finditer(clause[0])] if clause else []

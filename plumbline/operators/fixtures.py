@@ -23,7 +23,7 @@ def flat_headers(header: Column) -> Column:
 
 def compare(df: DataFrame, ignore_fields: list[str] = (), ignore_headers: list[str] = (), rules: str | None = None) -> DataFrame:
     """Adds ``reason``, the first of status, header and body that differs, or null; a null
-    expectation is not checked. Columns: expected_status, status, expected_header, header
+    expectation is not checked, a null status is none that was expected. Columns: expected_status, status, expected_header, header
     (maps), expected_body, body. A column ``http`` that is null gives the reason ``missing``.
     ``rules`` names a struct column (ignore_json_fields, ignore_header_fields) whose lists, where
     the struct is not null, replace the ones given."""
@@ -36,12 +36,14 @@ def compare(df: DataFrame, ignore_fields: list[str] = (), ignore_headers: list[s
         heads = F.when(F.col(rules).isNotNull(), own("ignore_header_fields")).otherwise(heads)
     low = F.transform(heads, F.lower)
     want = F.map_filter(F.col("expected_header"), lambda k, _: ~F.array_contains(low, F.lower(k)))
-    lower = F.map_from_entries(F.array_distinct(F.transform(F.map_entries("header"), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")))))
-    have = lambda k: F.coalesce(F.try_element_at(F.col("header"), k), F.try_element_at(lower, F.lower(k)))
+    entries = F.map_entries("header")
+    # of names that differ in case alone the first one's value counts
+    other = lambda k: F.get(F.filter(entries, lambda e: F.lower(e["key"]) == F.lower(k)), F.lit(0))["value"]
+    have = lambda k: F.coalesce(F.try_element_at(F.col("header"), k), other(k))
     wrong = F.exists(F.map_entries(want), lambda e: ~F.coalesce(have(e["key"]) == e["value"], F.lit(False)))
     reason = F.coalesce(
         F.when(F.col("http").isNull(), "missing") if "http" in df.columns else F.lit(None).cast("string"),
-        F.when(F.col("expected_status") != F.col("status"), "status"),
+        F.when(F.col("expected_status").isNotNull() & ~F.col("expected_status").eqNullSafe(F.col("status")), "status"),
         F.when(F.coalesce(wrong, F.lit(False)), "header"),
         F.when(F.col("expected_body").isNotNull() & ~body_equal(F.col("expected_body"), F.col("body"), (), fields), "body"),
     )

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .perl_code import Line, code_lines
 from .statements import VERBS, Statement, is_fixed, statements, verbs  # noqa: F401
+from .storage import kept
 
 Row = tuple[str, str, str, str]
 #: Words that are no paragraph names, Perl's own functions and modules.
@@ -195,21 +196,21 @@ _PERL_CODE = re.compile(r"\bsub\s+([A-Za-z_]\w*)\s*(\([^)]*\))?|\bmy\s+\$(\w+)\s
 
 
 def _perl_walk(lines: list[Line]) -> Iterator[tuple[int, str, str, str]]:
-    """(line, what, name, function) of subs, closures, calls and ends of subs in the order of the code;
-    a sub lasts from its first brace, on whatever line, to the one that closes it."""
+    """(line, what, name, function) of subs, closures, calls and ends of subs in the order of the code (a
+    sub is told at its first brace, with the line of its name); a sub lasts from its first brace, on whatever line, to the one that closes it."""
     depth, open_, waits = 0, [], None
     for i, x in enumerate(lines):
         loads = re.match(r"\s*(?:use|require|no)\b", x.bare)
         for m in _PERL_CODE.finditer(x.bare):
             fn = open_[-1][0] if open_ else ""
             if m[1]:
-                waits = m[1]
-                yield i, "sub", m[1], m[2] or ""
+                waits = (i, m[1], m[2] or "")
             elif m[3]:
                 yield i, "closure", m[3], fn
             elif m[6] == "{":
                 if waits:
-                    open_.append((waits, depth))
+                    yield waits[0], "sub", waits[1], waits[2]
+                    open_.append((waits[1], depth))
                     waits = None
                 depth += 1
             elif m[6] == "}":
@@ -281,21 +282,50 @@ def perl(path: str, content: str) -> Iterator[Row]:
 
 # ---- Fortran --------------------------------------------------------------------------
 
-_TYPE = r"(integer|real|double\s+precision|complex|logical|character|type\s*\(\s*\w+\s*\))"
+_TYPE = r"(integer|real|double\s+precision|complex|logical|character|(?:type|class)\s*\(\s*\w+\s*\))"
 _UNIT = re.compile(r"(?i)^\s*(?:(?:pure|elemental|recursive|impure|" + _TYPE[1:-1] + r")(?:\s*\*\s*\d+|\s*\((?:[^()]*)\))?\s+)*(program|module|subroutine|function)\s+(?!procedure\b)(\w+)(?:\s*\((.*?)\))?")
 _END = re.compile(r"(?i)^\s*end\s*(?:(?:program|module|subroutine|function)\b.*)?$")
 _DECLARED = re.compile(r"(?i)^\s*" + _TYPE + r"(?![a-z0-9_])(\s*\*\s*(?:\d+|\(\s*\*\s*\))|\s*\([^)]*\))?\s*((?:,\s*\w+(?:\s*\([^)]*\))?\s*)*)(::)?\s*([a-z]\w*.*)$")
 _FORTRAN_IO = re.compile(r"(?i)^\s*(?:if\s*\(.*?\)\s*)?(open|close|inquire|rewind|backspace|read|write)\s*\(|^\s*(print)\s+")
 
 
+_DERIVED = re.compile(r"(?i)^\s*type\s*(?:((?:,\s*\w+\s*(?:\([^)]*\))?\s*)*)::\s*|\s)(\w+)\s*$")
+_USE = re.compile(r"(?i)^\s*use\b\s*(?:,\s*\w+\s*::\s*|::\s*)?\s*(\w+)\s*(?:,\s*(only\s*:)?(.*))?$")
+_ACCESS = re.compile(r"(?i)^\s*(private|public)\s*(?:::\s*|\s)?\s*([\w\s,]*)$")
+
+
+def _without_comment(x: str, quote: str = "") -> tuple[str, str]:
+    """A line up to its ``!`` outside of literals, and the quote of one that it leaves open."""
+    for i, c in enumerate(x):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"":
+            quote = c
+        elif c == "!":
+            return x[:i], ""
+    return x, quote
+
+
+def _at_semicolons(x: str) -> list[str]:
+    out, quote = [""], ""
+    for c in x:
+        quote = ("" if c == quote else quote) if quote else c if c in "'\"" else ""
+        if c == ";" and not quote:
+            out.append("")
+        else:
+            out[-1] += c
+    return [s for s in out if s.strip()]
+
+
 def fortran_lines(path: str, content: str) -> list[str]:
     """Statements without comments, continuations joined: after a trailing & in free form, at a
-    mark in column 6 in fixed form (files named .f, .for or .f77)."""
-    fixed, out, more = bool(re.search(r"(?i)\.(f|for|f77)$", path)), [], False
+    mark in column 6 in fixed form (files named .f, .for or .f77); a semicolon ends one, too."""
+    fixed, out, more, quote = bool(re.search(r"(?i)\.(f|for|f77)$", path)), [], False, ""
     for x in content.split("\n"):
-        if re.match(r"^\s*!", x) or re.match(r"^[Cc*](?![A-Za-z])" if not fixed else r"^[Cc*]", x):
+        if not quote and (re.match(r"^\s*!", x) or re.match(r"^[Cc*](?![A-Za-z])" if not fixed else r"^[Cc*]", x)):
             continue
-        x = x.split("!")[0].rstrip()
+        x, quote = _without_comment(x, quote if more else "")
+        x = x.rstrip()
         if fixed and out and re.match(r"^ {5}[^ 0]", x):
             out[-1] += " " + x[6:].strip()
         elif more and out:
@@ -305,7 +335,7 @@ def fortran_lines(path: str, content: str) -> list[str]:
         more = not fixed and bool(out) and out[-1].endswith("&")
         if more:
             out[-1] = out[-1][:-1].rstrip()
-    return out
+    return [s for x in out for s in _at_semicolons(x)]
 
 
 def _split_names(text: str) -> list[tuple[str, bool]]:
@@ -320,21 +350,39 @@ def _split_names(text: str) -> list[tuple[str, bool]]:
     return out
 
 
+def _uses(m: re.Match, unit: str) -> Iterator[Row]:
+    """A USE: the module, and the names that come from it under names of their own."""
+    yield "dependency", m[1], unit, "use only" if m[2] else "use"
+    for part in filter(None, (p.strip() for p in (m[3] or "").split(","))):
+        if named := re.fullmatch(r"(\w+)(?:\s*=>\s*(\w+))?", part):
+            yield "import", named[1], unit, f"{m[1]}:{named[2] or named[1]}"
+
+
 def fortran(path: str, content: str) -> Iterator[Row]:
+    """Records of a file; a derived type's components are of record ``field`` under their type."""
     stack: list[tuple[str, str]] = []
     top = lambda: stack[-1][1] if stack else ""
+    derived = ""
     for x in fortran_lines(path, content):
-        if _END.match(x):
+        if derived and re.match(r"(?i)^\s*end\s*type\b", x):
+            derived = ""
+        elif _END.match(x):
             if stack:
                 stack.pop()
-        elif (m := _UNIT.match(x)) and not re.match(r"(?i)^\s*end", x):
+        elif not derived and (m := _DERIVED.match(x)):
+            derived = m[2]
+            yield "data_type", derived, top(), "type"
+        elif not derived and (m := _UNIT.match(x)) and not re.match(r"(?i)^\s*end", x):
             kind, name = m[1].lower(), m[2]
             yield ("module" if kind in ("program", "module") else "function"), name, top(), kind
             for p in filter(None, re.split(r"[\s,]+", m[3] or "")):
                 yield "parameter", p, name, "unknown"
             stack.append((kind, name))
-        elif m := re.match(r"(?i)^\s*use\s*(?:,\s*\w+\s*::\s*)?\s*(\w+)", x):
-            yield "dependency", m[1], top(), "use"
+        elif m := _USE.match(x):
+            yield from _uses(m, top())
+        elif not derived and (m := _ACCESS.match(x)):
+            for name in re.findall(r"\w+", m[2]) or [""]:
+                yield "access", name, top(), m[1].lower()
         elif m := re.match(r"(?i)^\s*(?:if\s*\(.*\)\s*)?call\s+(\w+)", x):
             yield "call", m[1], top(), "call"
         elif m := _FORTRAN_IO.match(x):
@@ -345,7 +393,8 @@ def fortran(path: str, content: str) -> Iterator[Row]:
             intent = re.search(r"(?i)\bintent\s*\(\s*(in\s*out|in|out)\s*\)", m[3])
             for name, own in _split_names(m[5]):
                 shape = "array" if wide or own else "scalar"
-                yield "variable", name, top(), " ".join(filter(None, [re.sub(r"\s+", " ", m[1].lower()), shape, intent and intent[1].lower().replace(" ", "")]))
+                detail = " ".join(filter(None, [re.sub(r"\s+", " ", m[1].lower()), shape, intent and intent[1].lower().replace(" ", "")]))
+                yield ("field", name, derived, detail) if derived else ("variable", name, top(), detail)
 
 
 PARSERS: dict[str, Callable[[str, str], Iterator[Row]]] = {"cobol": cobol, "perl": perl, "fortran": fortran, "cobol_constructs": constructs}
@@ -384,6 +433,43 @@ def imported(parsed: DataFrame) -> DataFrame:
     return uses.distinct().join(own, "_m").select("path", "unit", "module", "name")
 
 
+def scopes(parsed: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(unit, name, module, original, kind): the names that each Fortran unit gets by USE, in upper
+    case, with the module that declares them and their name there, over any chain of modules that
+    hand on what they use. An ONLY list lets in the names that it has, a renaming takes the place of
+    the name; private names are not handed on. Kinds are variable, data_type and function.
+
+    A fixpoint: each round joins the names that modules handed on for the first time with the USE
+    statements of these modules; names already known are dropped, so cycles of modules end."""
+    p = kept(parsed.select("record", F.upper("name").alias("name"), F.upper("parent").alias("parent"), "detail"))
+    modules = p.filter("record = 'module' and detail = 'module'").select(F.col("name").alias("module")).distinct()
+    access = p.filter("record = 'access'")
+    closed = kept(access.filter("name = '' and detail = 'private'").select(F.col("parent").alias("unit")).distinct().withColumn("_shut", F.lit(True)))
+    told = kept(access.filter("name <> ''").groupBy(F.col("parent").alias("unit"), "name").agg(F.max("detail").alias("_said")))
+
+    def handed_on(rows: DataFrame) -> DataFrame:
+        """Of (unit, name, ..) those that a module lets others use."""
+        j = rows.join(closed, "unit", "left").join(told, ["unit", "name"], "left").join(modules.withColumnRenamed("module", "unit"), "unit", "left_semi")
+        return j.filter((F.col("_said") == "public") | (F.col("_said").isNull() & F.col("_shut").isNull())).select(*rows.columns)
+
+    uses = kept(p.filter("record = 'dependency' and detail like 'use%'").groupBy(F.col("parent").alias("unit"), F.col("name").alias("module")).agg(F.min(F.col("detail") == "use only").alias("only")))
+    named = kept(p.filter("record = 'import'").select(F.col("parent").alias("unit"), F.upper(F.split("detail", ":")[0]).alias("module"), F.upper(F.split("detail", ":")[1]).alias("original_there"), F.col("name").alias("local")).distinct())
+    own = p.filter("record in ('variable', 'data_type', 'function')").select(F.col("parent").alias("unit"), "name", F.col("parent").alias("module"), F.col("name").alias("original"), F.col("record").alias("kind")).distinct()
+    front = kept(handed_on(own))
+    found = kept(front.limit(0))
+    for _ in range(max_rounds):
+        offered = front.select(F.col("unit").alias("by"), F.col("name").alias("there"), "module", "original", "kind")
+        j = uses.select("unit", F.col("module").alias("by"), "only").join(offered, "by")
+        renamed = named.select("unit", F.col("module").alias("by"), F.col("original_there").alias("there"), "local")
+        seen = j.join(renamed, ["unit", "by", "there"], "left").filter("local is not null or not only").select("unit", F.coalesce("local", "there").alias("name"), "module", "original", "kind")
+        new = kept(seen.distinct().join(found, ["unit", "name", "module", "original", "kind"], "left_anti"))
+        if new.isEmpty():
+            return found
+        found = found.unionByName(new)
+        front = kept(handed_on(new))
+    raise RuntimeError("scopes did not settle")
+
+
 def typed_parameters(parsed: DataFrame) -> DataFrame:
     """(path, function, ord, name, type): parameters with the type of the first declaration of
     their name in their function, in any case; unknown without one."""

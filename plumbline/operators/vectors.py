@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from plumbline.functions.scalars import cosine
 
+from .storage import kept
+
 
 def upsert(store: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return store.join(new.select(key), key, "left_anti").unionByName(new)
@@ -20,52 +22,113 @@ def top_k(store: DataFrame, query: list[float], key: str, vector: str, k: int) -
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
-BLOCK = 1_024  # queries that go to the workers together
+#: Cells of the store: about the root of its rows, in these bounds; rows of a sample that centres are
+#: chosen from; rounds that move them.
+CELLS, SAMPLE, ROUNDS = (1, 4096), 20_000, 4
+#: Rows of a cell to a task, about.
+TASK_ROWS = 50_000
+#: A vector's unit vector is this much longer or shorter at most: bounds give way by it.
+SLACK = 1e-6
+
+
+def _unit(vector: str):
+    size = F.sqrt(F.aggregate(F.col(vector), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return F.transform(F.col(vector), lambda x: x.cast("double") / size)
+
+
+def _usable(df: DataFrame, id_: str, vector: str, d: int | None) -> DataFrame:
+    """(id, unit vector) of rows with finite entries, some length over 0 and dimension ``d``."""
+    whole = F.forall(F.col(vector), lambda c: c.isNotNull() & (F.abs(c) < F.lit(float("inf")))) & F.exists(F.col(vector), lambda c: c != 0)
+    rows = df.filter(F.col(vector).isNotNull() & whole)
+    rows = rows if d is None else rows.filter(F.size(vector) == d)
+    return rows.select(F.col(id_).alias("_id"), _unit(vector).alias("_v"))
+
+
+def _centres(units: DataFrame, n: int):
+    """Unit centres of cells, moved over a bounded sample of the rows."""
+    import numpy as np
+
+    k = int(min(max(CELLS[0], round(n**0.5)), CELLS[1]))
+    share = min(1.0, 2.0 * SAMPLE / max(n, 1))
+    picked = units.filter(F.pmod(F.xxhash64("_v"), F.lit(1_000_003)) < share * 1_000_003).orderBy(F.xxhash64("_v"), "_v").limit(SAMPLE)
+    x = np.array([r["_v"] for r in picked.select("_v").collect()], np.float64)
+    c = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)]
+    for _ in range(ROUNDS):
+        near = (x @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        size = np.sqrt((sums * sums).sum(1))
+        c = np.where((size > 0)[:, None], sums / np.where(size > 0, size, 1)[:, None], c)
+    return c
 
 
 def search(store: DataFrame, queries: DataFrame, query: str, key: str, vector: str, k: int) -> DataFrame:
     """(query, key, score): the k most similar rows of each query by cosine similarity (rounded to
-    five digits, ties by key). Queries go out in blocks of ``BLOCK``; each task keeps the k best of
-    its rows for each query, and only these meet. A row or query of no length matches nothing."""
-    spark, out = store.sparkSession, None
-    n = queries.count()
-    parts = max(1, -(-n // BLOCK))
+    five digits, ties by key), exactly, for any number of queries.
+
+    The store's unit vectors are dealt to cells around centres; a cell knows the least and largest
+    angle of its rows to its centre. By the triangle inequality a row's angle to a query is at least
+    the query's to the centre less the cell's largest, and at most their sum: a query's k nearest
+    lie within the distance at which cells known to hold k rows end. Queries go, as rows, to the cells
+    that reach into that distance, and meet the rows there in a join; the k best of each cell and
+    query, found before the shuffle, meet by query. A cell that holds many rows is dealt to several
+    tasks, and each of its queries to all of these.
+
+    A null vector, one with a null or an infinite entry, or of no length matches nothing; a row
+    matches queries of its own dimension only (the queries' most frequent one; others match nothing)."""
+    import numpy as np
+
+    sized = queries.filter(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("_d")).agg(F.count("*").alias("_n")).agg(F.max_by("_d", F.struct("_n", "_d")).alias("_d")).first()
     id_type, key_type = queries.schema[query].dataType.simpleString(), store.schema[key].dataType.simpleString()
-    for p in range(parts):
-        block = queries.filter(F.pmod(F.xxhash64(query), F.lit(parts)) == p).select(query, vector).collect()
-        said = spark.sparkContext.broadcast([(r[0], r[1]) for r in block if r[1] is not None])
-
-        def run(batches: Iterator, said=said) -> Iterator:
-            import numpy as np
-            import pyarrow as pa
-
-            ids = [i for i, _ in said.value]
-            if not ids:
-                return
-            q = np.array([v for _, v in said.value], np.float64)
-            size = np.sqrt((q * q).sum(1))
-            best: list[list] = [[] for _ in ids]
-            for b in batches:
-                rows = [(x, v) for x, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if v is not None]
-                if not rows:
-                    continue
-                m = np.array([v for _, v in rows], np.float64)
-                with np.errstate(all="ignore"):
-                    s = np.round((m @ q.T) / np.sqrt((m * m).sum(1))[:, None] / size, 5)
-                for j, own in enumerate(best):
-                    ok = np.flatnonzero(np.isfinite(s[:, j]))
-                    if len(ok) > k:
-                        least = np.partition(s[ok, j], -k)[-k]
-                        ok = ok[s[ok, j] >= least]
-                    own += [(-s[i, j], rows[i][0]) for i in ok]
-                    own.sort()
-                    del own[k:]
-            flat = [(i, x, -s) for i, own in zip(ids, best) for s, x in own]
-            if flat:
-                a, c, s = zip(*flat)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(s, pa.float64())], names=[query, key, "score"])
-
-        found = store.select(key, vector).mapInArrow(run, f"{query} {id_type}, {key} {key_type}, score double")
-        out = found if out is None else out.unionByName(found)
-    rank = F.row_number().over(W.partitionBy(query).orderBy(F.desc("score"), key))
-    return out.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
+    schema = f"{query} {id_type}, {key} {key_type}, score double"
+    d = sized["_d"] if sized else None
+    rows, asked = _usable(store, key, vector, d or 0), _usable(queries, query, vector, d or 0)
+    n = rows.count() if d else 0
+    if not n:
+        return store.sparkSession.createDataFrame([], schema)
+    told = store.sparkSession.sparkContext.broadcast(_centres(rows, n))  # at most CELLS[1] vectors
+
+    def dealt(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            x = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
+            if b.num_rows:
+                s = x @ told.value.T
+                cell = s.argmax(1)
+                angle = np.arccos(np.clip(s[np.arange(len(x)), cell], -1, 1))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array(angle)], names=["_id", "_v", "_cell", "_angle"])
+
+    placed = kept(rows.mapInArrow(dealt, f"_id {key_type}, _v array<double>, _cell int, _angle double"))
+    bounds = placed.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_angle").alias("far")).collect()  # a row for each cell
+    cells = store.sparkSession.sparkContext.broadcast(sorted((r["_cell"], r["n"], r["far"]) for r in bounds))
+
+    def sent(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        number = np.array([c[0] for c in cells.value])
+        size, far = np.array([c[1] for c in cells.value]), np.array([c[2] for c in cells.value])
+        parts = -(-size // TASK_ROWS)
+        for b in batches:
+            ids, cell, piece = [], [], []
+            for i, q in enumerate(np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)):
+                angle = np.arccos(np.clip(told.value[number] @ q, -1, 1))
+                order = np.argsort(angle + far)
+                enough = min(int(np.searchsorted(np.cumsum(size[order]), k)), len(order) - 1)
+                limit = (angle + far)[order[enough]] + SLACK + 0.01  # scores are rounded: equal ones may lie a little further
+                for c in np.flatnonzero(angle - far <= limit):
+                    ids += [i] * int(parts[c])
+                    cell += [number[c]] * int(parts[c])
+                    piece += range(int(parts[c]))
+            at = pa.array(ids, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(cell, pa.int32()), pa.array(piece, pa.int64())], names=["_q", "_w", "_cell", "_piece"])
+
+    going = asked.mapInArrow(sent, f"_q {id_type}, _w array<double>, _cell int, _piece long")
+    pieces = F.broadcast(placed.groupBy("_cell").agg(F.ceil(F.count("*") / TASK_ROWS).alias("_of")))  # a row for each cell
+    spread = placed.join(pieces, "_cell").select("_id", "_v", "_cell", F.pmod(F.xxhash64("_id"), F.col("_of")).alias("_piece"))
+    dot = F.aggregate(F.zip_with("_v", "_w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    met = spread.join(going, ["_cell", "_piece"]).select("_q", "_id", F.round(dot, 5).alias("score"))
+    part = F.pmod(F.xxhash64("_id"), F.lit(16))
+    best = met.withColumn("_r", F.row_number().over(W.partitionBy("_q", part).orderBy(F.desc("score"), "_id"))).filter(F.col("_r") <= k)
+    rank = F.row_number().over(W.partitionBy("_q").orderBy(F.desc("score"), "_id"))
+    return best.withColumn("_r", rank).filter(F.col("_r") <= k).select(F.col("_q").alias(query), F.col("_id").alias(key), "score")

@@ -2,10 +2,11 @@
 
 from plumbline.functions import scalars as S
 from plumbline.operators import copybooks, diff, fixtures, graph, parsers, pii, review, windows
-from plumbline.plans import samples
 from plumbline.sources import io
 from pyspark.sql import functions as F
 
+from tests import parser_samples as samples
+
 
 def test_line_diff(spark):
     p = spark.createDataFrame([(1, "line1\nline2\nline3\n", "line1\nmodified\nline3\nnewline\n"), (2, "a", "a")], "id long, old string, new string")
@@ -125,3 +126,10 @@ def test_imports(spark):
     got = parsers.imported(parsers.parse(spark.createDataFrame([("a.f90", src)], "path string, content string"), "fortran")).collect()
     assert [tuple(r) for r in got] == [("a.f90", "area", "consts", "pi")]
     assert review.source_metrics(spark.createDataFrame([], "path string, content string"), spark.createDataFrame([], "record string")).first()["files"] == 0
+
+
+def test_fixture_faults(spark):
+    """A null status is not the one expected; header names that differ in case alone are no error."""
+    rows = [(200, None, {"X-A": "1"}, {"x-a": "1", "X-a": "1"}), (None, None, {"X-A": "2"}, {"x-a": "1", "X-a": "1"}), (None, 200, {"x-b": "1"}, {"X-B": "1", "x-B": "1"}), (200, 200, None, None)]
+    df = spark.createDataFrame(rows, "expected_status int, status int, expected_header map<string,string>, header map<string,string>").withColumns({"expected_body": F.lit(None).cast("string"), "body": F.lit("x")})
+    assert [r.reason for r in fixtures.compare(df).collect()] == ["status", "header", None, None]
