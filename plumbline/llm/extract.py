@@ -3,7 +3,7 @@
 A page is a sequence of words and tags. Words score from 0 to 1 and tags below 0; one scan finds
 the contiguous stretch of the largest sum, which is the article. The scores are learned from
 labelled pages: of words by the block that they stand in, of tags by their names, of both by whether
-most words of the block are links, from how often each is inside and outside the main text. Labelled pages are those
+the block's own words are mostly links, text or none, from how often each is inside and outside the main text. Labelled pages are those
 of ``LABELLED`` and a sample of the table's own pages, which label themselves by an article or main
 element; each of these counts as it is and once more as if it had no such element, so that pages
 without one are scored too.
@@ -158,7 +158,7 @@ def _tokens(page: Page, told: tuple[list[bool], list[int]], plain: bool) -> Iter
                 yield i, None, 0, article[e]
             continue
         scope, b = "in" if has and article[e] else "out" if has else "none", block[e]
-        links = 2 * linked[b] > words[b]
+        links = "links" if 2 * linked[b] > words[b] else "text" if words[b] else "empty"
         if kind in (OPEN, CLOSE):
             name = "div" if plain and page.names[e] in ("article", "main") else page.names[e]
             yield i, (scope, name if name in BLOCK or name in KNOWN else "other", links), 0, article[e]

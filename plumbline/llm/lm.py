@@ -14,13 +14,17 @@ state of the history without its first word. The empty history has an arc for ev
 the state has an arc for the token, adds up the weights, and carries on in the arc's target.
 
 The corpus counts are distributed and complete. Rows are cut into blocks, whose word numbers are
-written once to the shared folder, where later steps read them. A block
-sends each distinct word, bigram and trigram once, with its count in training rows, to the
-partition that owns the word or the bigram (a trigram goes with its first two words), which
-sums them and answers in the block's own order. So a word in every document is one entry a
-block, the automaton of no more than a block is in one task, and nothing is broadcast but two
-totals. Words are told apart by a 64-bit hash, bigrams by 56 bits of a mix of two, and the words
-that follow one bigram by 32 bits of theirs. Counts are of 64 bits.
+written once to the shared folder, where later steps read them. First a block sends each distinct
+word once, with its count in training rows, to the partition that owns the word, which sums them
+and answers with the sum and a number that the word has in all blocks. Then it sends each distinct
+bigram and trigram in these numbers to the partition that owns the bigram (a trigram goes with its
+first two words), which sums and answers in the block's own order. So a word in every document is
+one entry a block, the automaton of no more than a block is in one task, and nothing is broadcast
+but a few totals.
+
+Words are told apart by a 64-bit hash. N-grams are told apart exactly: a bigram's key is a bijection
+of its words' two numbers, a trigram is its bigram and the third word's number (with more than 2^32
+different words keys are 64 bits of a mix of the numbers). Counts are of 64 bits.
 
 Defined cases: a null text counts as empty and scores its end token alone; repeated rows are
 learned from and scored one by one; without training rows N and V are 0; a null doc_id hashes
@@ -42,7 +46,7 @@ from .common import BlockFiles, packed, squeezed, stored, unpacked, unsqueezed
 MU = (40.0, 10.0)
 BLOCK_BYTES = 4_000_000
 OWNER_TOKENS = 1_000_000  # whose n-grams one partition owns
-BIGRAM_BITS = 56
+LEAST_BITS = 16  # of a word's number in a key
 LANE = 256  # tokens that a lane of the traversal goes through
 _START, _END = b"  ", b" "  # no word holds a space
 
@@ -53,11 +57,18 @@ def word_hash(words) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(w, 1) for w in words), np.uint64)
 
 
-def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A 64-bit key of a pair of 64-bit keys."""
-    x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + (a >> np.uint64(29)))
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+def spread(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """Keys of 2 ``bits`` (64 at most) for pairs of numbers of ``bits``: different pairs have different
+    keys, which are spread evenly, as each step can be undone."""
+    if 2 * bits > 64:
+        x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + (a >> np.uint64(29)))
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
+    shift, mask = np.uint64(bits), np.uint64((1 << 2 * bits) - 1)
+    x = a << shift | b
+    for odd in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+        x = ((x ^ (x >> shift)) * np.uint64(odd)) & mask
+    return x ^ (x >> shift)
 
 
 def numbered(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -74,9 +85,8 @@ def numbered(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarr
 
 
 class Block:
-    """The texts of a block as word numbers, and its distinct n-grams in order of their keys:
-    ``bigrams`` (keys) with their words, ``trigrams`` (number of the first two words' bigram
-    times 2^32, plus 32 bits of the third word's hash)."""
+    """The texts of a block as word numbers; with ``grams`` its distinct n-grams: ``bigrams`` (keys, in
+    order) and their words, trigrams in order of their bigram and their words."""
 
     start = 0
 
@@ -86,39 +96,60 @@ class Block:
         self.first = np.zeros(len(tokens), bool)
         self.first[self.last - sizes] = True
         self.before = np.where(self.first, np.int32(self.start), np.append(np.int32([self.start]), tokens[:-1])[: len(tokens)])
-        self.bigrams, at, self.arc = np.unique(mixed(self.hash[self.before], self.hash[self.tokens]) >> np.uint64(64 - BIGRAM_BITS), return_index=True, return_inverse=True)
+
+    def grams(self, ids: np.ndarray, bits: int) -> Block:
+        """Finds the n-grams; ``ids`` are the numbers that the block's words have in all blocks."""
+        wide = lambda x: x.astype(np.uint64)
+        _, at, pair = np.unique(wide(self.before) << np.uint64(32) | wide(self.tokens), return_index=True, return_inverse=True)
+        keys = spread(ids[self.before[at]], ids[self.tokens[at]], bits)
+        order = np.argsort(keys)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.bigrams, self.arc, at = keys[order], rank[pair], at[order]
         self.bigram_of = self.before[at], self.tokens[at]
         self.inner = np.flatnonzero(~self.first)  # tokens with two words before, the start included
-        tag = self.hash[self.tokens[self.inner]] & np.uint64(0xFFFFFFFF)
-        self.trigrams, at, self.third = np.unique(self.arc[self.inner - 1].astype(np.uint64) << np.uint64(32) | tag, return_index=True, return_inverse=True)
+        _, at, self.third = np.unique(wide(self.arc[self.inner - 1]) << np.uint64(32) | wide(self.tokens[self.inner]), return_index=True, return_inverse=True)
         self.trigram_of = self.arc[self.inner[at] - 1], self.tokens[self.inner[at]], self.arc[self.inner[at]]
+        self.trigrams = ids[self.trigram_of[1]]
+        return self
 
     def per_row(self, x: np.ndarray) -> np.ndarray:
         return np.add.reduceat(x, self.last - self.sizes) if len(self.last) else np.zeros(0)
 
-    def counts(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, train: np.ndarray) -> np.ndarray:
+        found = np.bincount(self.tokens[np.repeat(train, self.sizes)], minlength=len(self.hash))
+        found[self.start] = train.sum()
+        return found
+
+    def counts(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ok = np.repeat(train, self.sizes)
-        words = np.bincount(self.tokens[ok], minlength=len(self.hash))
-        words[self.start] = train.sum()
-        return words, np.bincount(self.arc[ok], minlength=len(self.bigrams)), np.bincount(self.third[ok[self.inner]], minlength=len(self.trigrams))
+        return np.bincount(self.arc[ok], minlength=len(self.bigrams)), np.bincount(self.third[ok[self.inner]], minlength=len(self.trigrams))
+
+
+def _owners(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """The partition that owns each key, by its upper bits, so that a partition's keys lie close together."""
+    return ((keys >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _stretches(pids: np.ndarray, *owners: np.ndarray) -> Iterator[tuple]:
+    """(partition, its stretch of each of the lists, which are in order of their owners)."""
+    bounds = [np.stack([np.searchsorted(x, pids, side) for side in ("left", "right")], 1).tolist() for x in owners]
+    for p, *ends in zip(pids.tolist(), *bounds):
+        yield p, *[slice(*e) for e in ends]
 
 
-class Dealt:
-    """A block's n-grams by the partition that owns them: words and bigrams by the upper bits
-    of their keys, so that a partition's keys lie close together; trigrams with their bigram."""
+def dealt_words(b: Block, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(partition, the words that it owns)."""
+    order = np.argsort(b.hash)
+    owner = _owners(b.hash[order], 64, parts)
+    for p, w in _stretches(np.unique(owner), owner):
+        yield p, order[w]
 
-    def __init__(self, b: Block, parts: int):
-        of = lambda keys, bits: ((keys >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        self.words = np.argsort(b.hash)
-        w, a = of(b.hash[self.words], 64), of(b.bigrams, BIGRAM_BITS)
-        t = a[b.trigram_of[0]]
-        self.pids = np.unique(np.concatenate((w, a)))
-        self.bounds = [np.stack([np.searchsorted(x, self.pids, side) for side in ("left", "right")], 1) for x in (w, a, t)]
 
-    def __iter__(self) -> Iterator[tuple[int, np.ndarray, slice, slice]]:
-        """(partition, its words, its stretch of bigrams, its stretch of trigrams)."""
-        for p, (wa, wb), (aa, ab), (ta, tb) in zip(self.pids.tolist(), *[x.tolist() for x in self.bounds]):
-            yield p, self.words[wa:wb], slice(aa, ab), slice(ta, tb)
+def dealt_grams(b: Block, bits: int, parts: int) -> Iterator[tuple[int, slice, slice]]:
+    """(partition, its stretch of bigrams, its stretch of trigrams)."""
+    a = _owners(b.bigrams, min(2 * bits, 64), parts)
+    yield from _stretches(np.unique(a), a, a[b.trigram_of[0]])
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -166,27 +197,29 @@ def _block(row: dict) -> Block:
     return Block(word_hash([_START, _END, *(known.split(b" ") if known else [])]), *_unpack(row["texts"][0].as_py(), np.int32, np.int64))
 
 
-_BLOBS = "block long, pid long, blob binary, n long, v long"
+_BLOBS = "block long, pid long, blob binary, n long, v long, top long"
 
 
-def _rows(block, pid, blob, n, v) -> pa.Table:
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-    return pa.table([pa.array(x, k) for x, k in zip((block, pid, blob, n, v), kinds)], names=["block", "pid", "blob", "n", "v"])
+def _rows(block, pid, blob, n=None, v=None, top=None) -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    none = [0] * len(pid)
+    return pa.table([pa.array(x, k) for x, k in zip((block, pid, blob, n or none, v or none, top or none), kinds)], names=["block", "pid", "blob", "n", "v", "top"])
 
 
-def _ask(parts: int, read):
+def _near(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+def _ask_words(parts: int, read):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number in (n for batch in batches for n in batch.column(0).to_pylist()):
             row = read(number)
             b = _block(row)
-            words, arcs, thirds = b.counts(np.array(row["train"][0].as_py(), bool))
-            pids, blobs = [], []
-            for p, w, a, t in Dealt(b, parts):
-                near = lambda keys: np.diff(keys, prepend=np.uint64(0))
-                follow = np.bincount(b.trigram_of[0][t] - a.start, minlength=a.stop - a.start).astype(np.uint32)
+            words, pids, blobs = b.words(np.array(row["train"][0].as_py(), bool)), [], []
+            for p, w in dealt_words(b, parts):
                 pids.append(p)
-                blobs.append(_pack(near(b.hash[w]), words[w], near(b.bigrams[a]), arcs[a], follow, b.trigrams[t].astype(np.uint32), thirds[t]))
-            yield from _rows([number] * len(pids), pids, blobs, [0] * len(pids), [0] * len(pids)).to_batches()
+                blobs.append(_pack(_near(b.hash[w]), words[w]))
+            yield from _rows([number] * len(pids), pids, blobs).to_batches()
 
     return run
 
@@ -199,17 +232,58 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.n
     return np.split(total[at], np.cumsum([len(k) for k in keys])[:-1]), u, at, total
 
 
-def _answer(key: tuple, table: pa.Table) -> pa.Table:
-    u64, i64, u32 = np.uint64, np.int64, np.uint32
-    asked = [_unpack(x.as_py(), u64, i64, u64, i64, u32, u32, i64) for x in table.column("blob")]
-    words, u, _, total = _summed([np.cumsum(x[0], dtype=u64) for x in asked], [x[1] for x in asked])
-    arcs, _, at, _ = _summed([np.cumsum(x[2], dtype=u64) for x in asked], [x[3] for x in asked])
-    first = np.split(at, np.cumsum([len(x[2]) for x in asked])[:-1])
-    thirds, _, _, _ = _summed([np.repeat(f, x[4]).astype(u64) << u64(32) | x[5] for f, x in zip(first, asked)], [x[6] for x in asked])
-    real = u != word_hash([_START])[0]
-    n, v = [0] * len(asked), [0] * len(asked)
-    n[0], v[0] = int(total[real].sum()), int((total[real] > 0).sum())
-    return _rows(table.column("block").to_pylist(), table.column("pid").to_pylist(), [_pack(*x) for x in zip(words, arcs, thirds)], n, v)
+def _answer_words(parts: int):
+    """Sums, and numbers: a word's place among the partition's and the partition's number make one
+    that no other word has."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        p = key[0].as_py()
+        asked = [_unpack(x.as_py(), np.uint64, np.int64) for x in table.column("blob")]
+        words, u, at, total = _summed([np.cumsum(x[0], dtype=np.uint64) for x in asked], [x[1] for x in asked])
+        ids = np.split(at, np.cumsum([len(x) for x in words])[:-1])
+        real = u != word_hash([_START])[0]
+        n, v, top = [0] * len(asked), [0] * len(asked), [len(u) * parts + p] * len(asked)
+        n[0], v[0] = int(total[real].sum()), int((total[real] > 0).sum())
+        return _rows(table.column("block").to_pylist(), [p] * len(asked), [_pack(c, i.astype(np.int64)) for c, i in zip(words, ids)], n, v, top)
+
+    return run
+
+
+def _known(b: Block, parts: int, said: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(count, number) of each of a block's words from the answers by partition."""
+    words, ids = np.zeros(len(b.hash), np.int64), np.zeros(len(b.hash), np.uint64)
+    for p, w in dealt_words(b, parts):
+        words[w], place = _unpack(said[p].as_py(), np.int64, np.int64)
+        ids[w] = place.astype(np.uint64) * np.uint64(parts) + np.uint64(p)
+    return words, ids
+
+
+def _ask_grams(parts: int, bits: int, read):
+    def run(key: tuple, answers: pa.Table) -> pa.Table:
+        row = read(key[0].as_py())
+        b = _block(row)
+        _, ids = _known(b, parts, dict(zip(answers.column("pid").to_pylist(), answers.column("blob"))))
+        arcs, thirds = b.grams(ids, bits).counts(np.array(row["train"][0].as_py(), bool))
+        pids, blobs = [], []
+        for p, a, t in dealt_grams(b, bits, parts):
+            follow = np.bincount(b.trigram_of[0][t] - a.start, minlength=a.stop - a.start).astype(np.uint32)
+            pids.append(p)
+            blobs.append(_pack(_near(b.bigrams[a]), arcs[a], follow, b.trigrams[t], thirds[t]))
+        return _rows([key[0].as_py()] * len(pids), pids, blobs)
+
+    return run
+
+
+def _answer_grams(bits: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        u64, shift = np.uint64, np.uint64(max(bits, 32))
+        asked = [_unpack(x.as_py(), u64, np.int64, np.uint32, u64, np.int64) for x in table.column("blob")]
+        arcs, _, at, _ = _summed([np.cumsum(x[0], dtype=u64) for x in asked], [x[1] for x in asked])
+        first = np.split(at, np.cumsum([len(x[0]) for x in asked])[:-1])
+        thirds, _, _, _ = _summed([np.repeat(f, x[2]).astype(u64) << shift | x[3] for f, x in zip(first, asked)], [x[4] for x in asked])
+        return _rows(table.column("block").to_pylist(), table.column("pid").to_pylist(), [_pack(*x) for x in zip(arcs, thirds)])
+
+    return run
 
 
 class Automaton:
@@ -275,14 +349,18 @@ class Automaton:
         return out
 
 
-def _score(parts: int, n: int, v: int, read, schema: pa.Schema):
+def _score(parts: int, bits: int, n: int, v: int, read, schema: pa.Schema):
     def run(key: tuple, answers: pa.Table) -> pa.Table:
         row = read(key[0].as_py())
         b = _block(row)
-        said = dict(zip(answers.column("pid").to_pylist(), answers.column("blob")))
-        words, arcs, thirds = (np.zeros(len(x), np.int64) for x in (b.hash, b.bigrams, b.trigrams))
-        for p, w, a, t in Dealt(b, parts):
-            words[w], arcs[a], thirds[t] = _unpack(said[p].as_py(), np.int64, np.int64, np.int64)
+        said: tuple[dict, dict] = {}, {}
+        for kind, p, blob in zip(answers.column("kind").to_pylist(), answers.column("pid").to_pylist(), answers.column("blob")):
+            said[kind][p] = blob
+        words, ids = _known(b, parts, said[0])
+        b.grams(ids, bits)
+        arcs, thirds = np.zeros(len(b.bigrams), np.int64), np.zeros(len(b.trigrams), np.int64)
+        for p, a, t in dealt_grams(b, bits, parts):
+            arcs[a], thirds[t] = _unpack(said[1][p].as_py(), np.int64, np.int64)
         auto = Automaton(b, words, arcs, thirds, n, v)
         known = (words > 0)[b.tokens]
         made = [b.sizes, b.per_row(known.astype(np.int64)), np.full(len(b.sizes), n), b.per_row(auto.base[b.tokens]), b.per_row(auto.traverse(b))]
@@ -302,8 +380,12 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     names = [c for c in docs.columns if c not in ("text", "train")]
     cut = BlockFiles(docs, BLOCK_BYTES, "text", _cut(names))
     parts = int(max(12, -(-cut.size // OWNER_TOKENS)))
-    answers = stored(cut.numbers().mapInArrow(_ask(parts, cut.reader()), _BLOBS).groupBy("pid").applyInArrow(_answer, _BLOBS))
-    n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    told = stored(cut.numbers().mapInArrow(_ask_words(parts, cut.reader()), _BLOBS).groupBy("pid").applyInArrow(_answer_words(parts), _BLOBS))
+    n, v, top = told.agg(*[F.coalesce(f, F.lit(0)) for f in (F.sum("n"), F.sum("v"), F.max("top"))]).first()
+    bits = max(LEAST_BITS, int(top).bit_length())
+    words = told.select("block", "pid", "blob", F.lit(0).alias("kind"))
+    grams = stored(cut.dealt(words).groupBy("block").applyInArrow(_ask_grams(parts, bits, cut.reader()), _BLOBS).groupBy("pid").applyInArrow(_answer_grams(bits), _BLOBS))
+    answers = words.unionByName(grams.select("block", "pid", "blob", F.lit(1).alias("kind")))
     types = T.StructType([*[docs.schema[c] for c in names], *[T.StructField(c, t) for c, t in zip(made, [T.LongType()] * 3 + [T.DoubleType()] * 2)]])
-    scored = cut.dealt(answers.select("block", "pid", "blob")).groupBy("block").applyInArrow(_score(parts, n, v, cut.reader(), to_arrow_schema(types)), types)
+    scored = cut.dealt(answers).groupBy("block").applyInArrow(_score(parts, bits, n, v, cut.reader(), to_arrow_schema(types)), types)
     return unpacked(scored, own, *made)
