@@ -269,16 +269,20 @@ def _by_name():
     return W.partitionBy("module").orderBy("name")
 
 
+CLEAN = "regexp_replace({0}, '[^A-Za-z0-9_.\\s-]+', '_', 'g')"
 PASCAL = "array_to_string(list_transform(list_filter(regexp_split_to_array({0}, '[-_\\s.]+'), lambda x: x <> ''), lambda x: upper(x[1]) || lower(x[2:])), '')"
 SNAKE = "lower(array_to_string(list_filter(regexp_split_to_array({0}, '[-_\\s.]+'), lambda x: x <> ''), '_'))"
 
 
-@query(f"""WITH {CALLS} SELECT module, 'generated/' || {SNAKE.format('module')} || '.py' AS path, sha256('class ' || {PASCAL.format('module')} || 'Service:' || chr(10) || string_agg('    def ' || {SNAKE.format('name')} || '(self):' || chr(10) || '        ' || repeat(chr(34), 3) || 'From ' || name || '.' || repeat(chr(34), 3) || chr(10) || '        raise NotImplementedError("' || name || '")' || chr(10) || chr(10), '' ORDER BY name) || '    pass' || chr(10)) AS content FROM fn GROUP BY module""")
+MODULE = CLEAN.format("module")
+
+
+@query(f"""WITH {CALLS} SELECT module, 'generated/' || {SNAKE.format(MODULE)} || '.py' AS path, sha256('class ' || {PASCAL.format(MODULE)} || 'Service:' || chr(10) || string_agg('    def ' || {SNAKE.format('name')} || '(self):' || chr(10) || '        ' || repeat(chr(34), 3) || 'From ' || name || '.' || repeat(chr(34), 3) || chr(10) || '        raise NotImplementedError("' || name || '")' || chr(10) || chr(10), '' ORDER BY name) || '    pass' || chr(10)) AS content FROM fn GROUP BY module""")
 def generated_files(spark, d):
     return codegen.generate(generated(spark, d), "python").withColumn("content", S.sha256(F.col("content")))
 
 
-@query(f"""WITH {CALLS} SELECT module, 'generated/' || {SNAKE.format('module')} || '_test.go' AS path, sha256('package generated' || chr(10) || chr(10) || 'import "testing"' || chr(10) || chr(10) || string_agg('func Test' || {PASCAL.format('name')} || '(t *testing.T) {{' || chr(10) || chr(9) || 't.Skip("' || name || '")' || chr(10) || '}}' || chr(10) || chr(10), '' ORDER BY name)) AS content FROM fn GROUP BY module""")
+@query(f"""WITH {CALLS} SELECT module, 'generated/' || {SNAKE.format(MODULE)} || '_test.go' AS path, sha256('package generated' || chr(10) || chr(10) || 'import "testing"' || chr(10) || chr(10) || string_agg('func Test' || {PASCAL.format(MODULE)} || {PASCAL.format('name')} || '(t *testing.T) {{' || chr(10) || chr(9) || 'if err := (&' || {PASCAL.format(MODULE)} || 'Service{{}}).' || {PASCAL.format('name')} || '(); err != ErrUnsupported {{' || chr(10) || chr(9) || chr(9) || 't.Fatal(err)' || chr(10) || chr(9) || '}}' || chr(10) || '}}' || chr(10) || chr(10), '' ORDER BY name)) AS content FROM fn GROUP BY module""")
 def generated_tests(spark, d):
     return codegen.generate_tests(generated(spark, d), "go").withColumn("content", S.sha256(F.col("content")))
 
