@@ -36,12 +36,16 @@ def evaluate(metrics: DataFrame, key: str, gates: list[Gate], scores: bool = Fal
     if not gates:
         return metrics.select(key, F.lit(0).alias("ord"), F.lit("").alias("gate"), F.lit("").alias("severity"), F.lit("").alias("status"), *[F.lit(None).cast("double").alias(c) for c in more]).limit(0)
     flat = metrics.select(key, F.explode(F.array(*[row(i, g) for i, g in enumerate(gates)])).alias("g")).select(key, "g.*")
+    return _aborted(flat, key, more)
+
+
+def _aborted(flat: DataFrame, key: str, more: list[str]) -> DataFrame:
+    """The status of each gate from ``_raw``: those behind a failed critical one are skipped."""
     broke = ((F.col("_raw") == "failed") & (F.col("severity") == "critical")).cast("int")
     before = F.max(broke).over(W.partitionBy(key).orderBy("ord").rowsBetween(W.unboundedPreceding, -1))
-    aborted = F.coalesce(before, F.lit(0)) == 1
-    out = flat.withColumn("status", F.when(aborted, "skipped").otherwise(F.col("_raw")))
-    if scores:
-        out = out.withColumns({c: F.when(F.col("status") != "skipped", F.col(c)) for c in ("score",)})
+    out = flat.withColumn("status", F.when(F.coalesce(before, F.lit(0)) == 1, "skipped").otherwise(F.col("_raw")))
+    if "score" in more:
+        out = out.withColumn("score", F.when(F.col("status") != "skipped", F.col("score")))
     return out.select(key, "ord", "gate", "severity", "status", *more)
 
 
@@ -107,25 +111,65 @@ class Config:
     error_severity: str = "critical"
 
 
-def from_config(config: Config | None = None, columns: dict[str, str] | None = None) -> list[Gate]:
-    """The gates of a configuration over a metrics table with the columns compiled, score,
-    fixtures_passed, fixtures_total, functions_matched, functions_total, tokens and errors
-    (``columns`` gives other names)."""
+#: A gate's name, the measure that it looks at, and whether that may be at most or must be at least
+#: the threshold.
+MEASURES = {"compilation": "least", "score": "least", "fixtures": "least", "coverage": "least", "token_budget": "most", "errors": "most"}
+SETTINGS = "ord int, gate string, threshold double, severity string"
+
+
+def settings(config: Config | None = None) -> list[tuple[int, str, float, str]]:
+    """A configuration as rows of ``SETTINGS``, without the gates that are off."""
     c = config or Config()
+    said = [(float(c.compilation), "critical"), (c.score, c.score_severity), (c.fixtures, c.fixture_severity), (c.coverage, c.coverage_severity), (float(c.max_tokens), c.token_severity), (float(c.max_errors), c.error_severity)]
+    rows = [(gate, t, s if s in SEVERITIES else "required") for gate, (t, s) in zip(MEASURES, said) if t > (-1 if gate == "errors" else 0)]
+    return [(i, *row) for i, row in enumerate(rows)]
+
+
+def _measures(columns: dict[str, str] | None) -> dict[str, tuple[Column, Column]]:
+    """Each gate's measure, and whether there is nothing to measure."""
+    col = lambda n: F.col((columns or {}).get(n, n))
+    share = lambda a, b: (F.try_divide(col(a), col(b)).cast("double"), col(b) == 0)
+    whole = lambda c: (c.cast("double"), F.lit(False))
+    return {
+        "compilation": whole(col("compiled")), "score": whole(col("score")), "fixtures": share("fixtures_passed", "fixtures_total"),
+        "coverage": share("functions_matched", "functions_total"), "token_budget": whole(col("tokens")), "errors": whole(col("errors")),
+    }
+
+
+def configured(metrics: DataFrame, key: str, config: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
+    """(key, ord, gate, severity, status, score, threshold): a metrics table with the columns compiled,
+    score, fixtures_passed, fixtures_total, functions_matched, functions_total, tokens and errors
+    (``columns`` gives other names) against a table of ``SETTINGS``, which may have the key as a column, too:
+    each key is then held to settings of its own. Every measure becomes a row that meets its settings in
+    a join; gates without settings are off. A null measure fails."""
+    rows = [F.struct(F.lit(g).alias("gate"), m.alias("_m"), F.coalesce(empty, F.lit(False)).alias("_empty")) for g, (m, empty) in _measures(columns).items()]
+    found = metrics.select(key, F.explode(F.array(*rows)).alias("r")).select(key, "r.*")
+    j = found.join(config, [key, "gate"] if key in config.columns else ["gate"])
+    most = F.col("gate").isin(*[g for g, way in MEASURES.items() if way == "most"])
+    passes = F.when(most, F.col("_m") <= F.col("threshold")).otherwise(F.col("_m") >= F.col("threshold"))
+    score = F.when(F.col("gate") == "token_budget", F.greatest(F.lit(0.0), 1 - F.col("_m") / F.col("threshold"))).when(F.col("gate") == "errors", passes.cast("double")).otherwise(F.col("_m"))
+    shown = F.when(F.col("gate").isin("score", "fixtures", "coverage"), F.col("threshold"))
+    raw = F.when(F.col("_empty"), "skipped").when(passes, "passed").otherwise("failed")
+    severity = F.when(F.col("severity").isin(*SEVERITIES), F.col("severity")).otherwise("required")
+    flat = j.select(key, "ord", "gate", severity.alias("severity"), raw.alias("_raw"), F.when(raw != "skipped", score).alias("score"), shown.alias("threshold"))
+    return _aborted(flat, key, ["score", "threshold"])
+
+
+#: How a gate of each name is made of its metrics' columns, a threshold and a severity.
+MAKERS = {
+    "compilation": lambda col, t, s: compilation_gate(col("compiled"), s),
+    "score": lambda col, t, s: score_gate(col("score"), t, s),
+    "fixtures": lambda col, t, s: fixture_gate(col("fixtures_passed"), col("fixtures_total"), t, s),
+    "coverage": lambda col, t, s: coverage_gate(col("functions_matched"), col("functions_total"), t, s),
+    "token_budget": lambda col, t, s: token_gate(col("tokens"), int(t), s),
+    "errors": lambda col, t, s: error_gate(col("errors"), int(t), s),
+}
+
+
+def from_config(config: Config | None = None, columns: dict[str, str] | None = None) -> list[Gate]:
+    """The gates of a configuration's rows over the columns that ``configured`` reads."""
     col = lambda n: F.col((columns or {}).get(n, n))
-    how = lambda s: s if s in SEVERITIES else "required"
-    out = [compilation_gate(col("compiled"))] if c.compilation else []
-    if c.score > 0:
-        out.append(score_gate(col("score"), c.score, how(c.score_severity)))
-    if c.fixtures > 0:
-        out.append(fixture_gate(col("fixtures_passed"), col("fixtures_total"), c.fixtures, how(c.fixture_severity)))
-    if c.coverage > 0:
-        out.append(coverage_gate(col("functions_matched"), col("functions_total"), c.coverage, how(c.coverage_severity)))
-    if c.max_tokens > 0:
-        out.append(token_gate(col("tokens"), c.max_tokens, how(c.token_severity)))
-    if c.max_errors >= 0:
-        out.append(error_gate(col("errors"), c.max_errors, how(c.error_severity)))
-    return out
+    return [MAKERS[gate](col, threshold, severity) for _, gate, threshold, severity in settings(config)]
 
 
 # ---- scores ---------------------------------------------------------------------------

@@ -37,7 +37,7 @@ CONFIG = gates.Config(score=0.3, fixtures=0.7, coverage=0.4, max_tokens=2_000, m
  s AS (SELECT k, x.ord AS ord, x.gate AS gate, x.severity AS severity, CASE WHEN x.ord > 0 AND NOT first_value(x.raw = 'passed') OVER (PARTITION BY k ORDER BY x.ord) THEN 'skipped' ELSE x.raw END AS status, x.score AS sc, x.threshold AS threshold FROM g)
  SELECT k, ord, gate, severity, status, CASE WHEN status <> 'skipped' THEN sc END AS score, threshold FROM s""")
 def library_gates(spark, d):
-    r = gates.evaluate(supplier_metrics(spark, d), "k", gates.from_config(CONFIG), scores=True)
+    r = gates.configured(supplier_metrics(spark, d), "k", spark.createDataFrame(gates.settings(CONFIG), gates.SETTINGS))
     return r.withColumn("score", F.round("score", 6))
 
 

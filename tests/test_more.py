@@ -243,6 +243,10 @@ def test_gates(spark):
     status = {k: [x["status"] for x in r.filter(F.col("k") == k).orderBy("ord").collect()] for k in ("ok", "none", "bad", "low")}
     assert status["ok"] == ["passed"] * 6 and status["none"] == ["passed", "passed", "skipped", "skipped", "passed", "passed"]
     assert status["bad"] == ["failed"] + ["skipped"] * 5 and status["low"] == ["passed", "passed", "passed", "failed", "failed", "passed"]
+    table = spark.createDataFrame(gates.settings(gates.Config(max_tokens=200)), gates.SETTINGS)
+    assert sorted(map(tuple, gates.configured(m, "k", table).collect())) == sorted(map(tuple, r.collect()))
+    own = table.withColumn("k", F.lit("low")).unionByName(spark.createDataFrame([(3, "errors", 9.0, "odd", "bad")], gates.SETTINGS + ", k string"))
+    assert {(x["k"], x["gate"], x["severity"], x["status"]) for x in gates.configured(m, "k", own).collect() if x["k"] != "low"} == {("bad", "errors", "required", "passed")}
     all_ = {x["k"]: (x["overall"], x["warnings"]) for x in gates.overall(r, "k").collect()}
     assert all_ == {"ok": (True, 0), "none": (True, 0), "bad": (False, 0), "low": (True, 2)}
     assert len(gates.from_config()) == 5 and gates.evaluate(m, "k", []).count() == 0
