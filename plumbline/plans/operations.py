@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline import plugins
 from plumbline.functions import scalars as S
-from plumbline.operators import audit, diff, fixtures, gates, metrics, telemetry, windows
+from plumbline.operators import audit, diff, fixtures, gates, metrics, telemetry, windows, spans
 
 from .catalogue import ORDERS, cents, micros, orders_after, orders_before
 from .registry import query, read
@@ -242,3 +242,18 @@ def flat_headers(spark, d):
 def retry_waits(spark, d):
     wait = F.when(F.col("event_id") % 4 == 0, S.backoff_ms(F.col("event_id") % 7)).otherwise(F.lit(0).cast("long"))
     return read(spark, d, "events").select("event_id", wait.alias("wait"), F.floor(micros("ts") / 60_000_000).cast("long").alias("minute"))
+
+
+def order_spans(spark, d):
+    """A trace for each order: a root of 60 units and a child for each line, which may overlap."""
+    lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("trace"), F.concat(F.lit("l"), "l_linenumber").alias("span"), F.lit("root").alias("parent"), ((F.col("l_linenumber") * 7) % 40).cast("long").alias("started"), F.floor(F.col("l_quantity")).cast("long").alias("_q"))
+    children = lines.select("trace", "span", "parent", "started", (F.col("started") + F.col("_q") % 25).alias("ended"))
+    roots = lines.select("trace", F.lit("root").alias("span"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("started"), F.lit(60).cast("long").alias("ended")).distinct()
+    return roots.unionByName(children)
+
+
+@query("""WITH l AS (SELECT l_orderkey AS trace, 'l' || l_linenumber AS span, CAST((l_linenumber * 7) % 40 AS BIGINT) AS s, CAST(floor(l_quantity) AS BIGINT) % 25 AS n FROM lineitem),
+ t AS (SELECT trace, count(DISTINCT tick) AS covered FROM (SELECT trace, unnest(range(s, least(s + n, 60))) AS tick FROM l) GROUP BY trace)
+ SELECT trace, span, n AS total, n AS own FROM l UNION ALL SELECT trace, 'root', 60, 60 - coalesce(covered, 0) FROM (SELECT DISTINCT trace FROM l) LEFT JOIN t USING (trace)""")
+def span_self_times(spark, d):
+    return spans.self_times(order_spans(spark, d)).select("trace", "span", "total", "own")
