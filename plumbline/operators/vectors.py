@@ -51,7 +51,12 @@ def _centres(units: DataFrame, n: int):
     k = int(min(max(CELLS[0], round(n**0.5)), CELLS[1]))
     share = min(1.0, 2.0 * SAMPLE / max(n, 1))
     picked = units.filter(F.pmod(F.xxhash64("_v"), F.lit(1_000_003)) < share * 1_000_003).orderBy(F.xxhash64("_v"), "_v").limit(SAMPLE)
-    x = np.array([r["_v"] for r in picked.select("_v").collect()], np.float64)
+    x = picked.select("_v").toArrow().column(0).combine_chunks()
+    if not len(x) and share < 1:  # few rows of a large store are usable
+        x = units.orderBy(F.xxhash64("_v"), "_v").limit(SAMPLE).select("_v").toArrow().column(0).combine_chunks()
+    x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) if len(x) else np.zeros((0, 0))
+    if not len(x):
+        return x
     c = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)]
     for _ in range(ROUNDS):
         near = (x @ c.T).argmax(1)
@@ -66,7 +71,7 @@ def search(store: DataFrame, queries: DataFrame, query: str, key: str, vector: s
     """(query, key, score): the k most similar rows of each query by cosine similarity (rounded to
     five digits, ties by key), exactly, for any number of queries.
 
-    The store's unit vectors are dealt to cells around centres; a cell knows the least and largest
+    The store's unit vectors are dealt to cells around centres; a cell knows the largest
     angle of its rows to its centre. By the triangle inequality a row's angle to a query is at least
     the query's to the centre less the cell's largest, and at most their sum: a query's k nearest
     lie within the distance at which cells known to hold k rows end. Queries go, as rows, to the cells
@@ -83,10 +88,10 @@ def search(store: DataFrame, queries: DataFrame, query: str, key: str, vector: s
     schema = f"{query} {id_type}, {key} {key_type}, score double"
     d = sized["_d"] if sized else None
     rows, asked = _usable(store, key, vector, d or 0), _usable(queries, query, vector, d or 0)
-    n = rows.count() if d else 0
-    if not n:
+    centres = _centres(rows, store.count()) if d else ()
+    if not len(centres):
         return store.sparkSession.createDataFrame([], schema)
-    told = store.sparkSession.sparkContext.broadcast(_centres(rows, n))  # at most CELLS[1] vectors
+    told = store.sparkSession.sparkContext.broadcast(centres)  # at most CELLS[1] vectors
 
     def dealt(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -124,7 +129,7 @@ def search(store: DataFrame, queries: DataFrame, query: str, key: str, vector: s
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(cell, pa.int32()), pa.array(piece, pa.int64())], names=["_q", "_w", "_cell", "_piece"])
 
     going = asked.mapInArrow(sent, f"_q {id_type}, _w array<double>, _cell int, _piece long")
-    pieces = F.broadcast(placed.groupBy("_cell").agg(F.ceil(F.count("*") / TASK_ROWS).alias("_of")))  # a row for each cell
+    pieces = F.broadcast(store.sparkSession.createDataFrame([(r["_cell"], -(-r["n"] // TASK_ROWS)) for r in bounds], "_cell int, _of long"))
     spread = placed.join(pieces, "_cell").select("_id", "_v", "_cell", F.pmod(F.xxhash64("_id"), F.col("_of")).alias("_piece"))
     dot = F.aggregate(F.zip_with("_v", "_w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     met = spread.join(going, ["_cell", "_piece"]).select("_q", "_id", F.round(dot, 5).alias("score"))
