@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 # The patterns by type, in the order in which masking takes precedence. A word
@@ -45,6 +45,53 @@ def detect(df: DataFrame, text: str, keep: list[str], types: tuple[str, ...] = (
     return df.filter(F.col(text).isNotNull()).select(*keep, F.explode(F.concat(*found)).alias("m")).select(*keep, "m.type", "m.value")
 
 
+def locate(df: DataFrame, text: str, keep: list[str], types: tuple[str, ...] = (), custom: dict[str, str] | None = None) -> DataFrame:
+    """``detect`` with places: keep, type, value, start, end (code points, the end exclusive), each
+    kind looked for on its own, so matches of two kinds may overlap. Custom patterns match no empty text. A null or empty text has none;
+    repeated rows give their matches each. Splitting a text by a pattern gives the part before each
+    match, and a running sum over a row's matches their places; only these are shuffled, no text."""
+    patterns = PATTERNS | (custom or {})
+    none = F.array().cast("array<struct<type:string,i:int,before:int,value:string>>")
+
+    def hits(kind: str, pattern: str) -> Column:
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        pairs = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(values)), values, lambda b, v: F.struct(b.alias("b"), v.alias("v")))
+        found = F.transform(pairs, lambda x, i: F.struct(F.lit(kind).alias("type"), i.alias("i"), F.length(x["b"]).alias("before"), x["v"].alias("value")))
+        return F.when(_hinted(F.col(text), kind, pattern), found).otherwise(none)
+
+    found = [hits(t, p) for t, p in patterns.items() if not types or t in types]
+    rows = df.filter(F.col(text).isNotNull()).select(*keep, F.monotonically_increasing_id().alias("_row"), F.concat(*found).alias("_m"))
+    rows = rows.select(*keep, "_row", F.explode("_m").alias("_m"))  # a step of its own: the number is a row's, not a match's
+    upto = W.partitionBy("_row", "_m.type").orderBy("_m.i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    end = F.sum(F.col("_m.before") + F.length("_m.value")).over(upto)
+    rows = rows.select(*keep, F.col("_m.type").alias("type"), F.col("_m.value").alias("value"), end.alias("end"))
+    return rows.select(*keep, "type", "value", (F.col("end") - F.length("value")).alias("start"), "end")
+
+
+def mask_once(text: Column, style: str = "redact", types: tuple[str, ...] = ()) -> Column:
+    """The text with its personal data masked in one pass from left to right, judged on the text as
+    it is: where kinds overlap the match that starts first goes, of those that start together the kind
+    listed first, and a mask is never masked again. Null stays null."""
+    kinds = [t for t in PATTERNS if not types or t in types]
+    if not kinds:
+        return text
+    any_of = "|".join(f"({PATTERNS[t]})" for t in kinds)
+
+    def masks(group: int, kind: str) -> Column:
+        # a kind's group is empty in the matches of all other kinds, and no match is empty
+        return F.transform(F.regexp_extract_all(text, F.lit(any_of), F.lit(group)), lambda v: F.when(v != "", masked_value(v, F.lit(kind), style)))
+
+    chosen = masks(1, kinds[0])
+    for k, t in enumerate(kinds[1:]):
+        chosen = F.zip_with(chosen, masks(k + 2, t), lambda a, b: F.coalesce(a, b))
+    # one more part than matches: the last one has nothing behind it
+    whole = F.array_join(F.zip_with(F.split(text, any_of, -1), chosen, lambda part, m: F.concat(part, F.coalesce(m, F.lit("")))), "")
+    hinted = F.lit(False)
+    for t in kinds:
+        hinted = hinted | _hinted(text, t, PATTERNS[t])
+    return F.when(hinted, whole).otherwise(text)
+
+
 def mask_text(text: Column, types: tuple[str, ...] = ()) -> Column:
     """The text with each match replaced, kind after kind. A kind is looked for only where the
     original text has its hint; replacing other kinds makes no new hint."""

@@ -382,6 +382,28 @@ def pii_tokens(spark, d):
     return found(spark, d).select("doc_id", "type", pii.masked_value(v, t, "hash").alias("hashed"), pii.masked_value(v, t, "token").alias("token"))
 
 
+# a match between two marks, which no text holds
+AROUND = "chr(57344) || '\\1' || chr(57345)"
+PLACED = "p AS (" + " UNION ALL ".join(f"SELECT doc_id, '{t}' AS type, string_split(regexp_replace(text, '({p})', {AROUND}, 'g'), chr(57344)) AS s FROM documents WHERE text IS NOT NULL" for t, p in RE.items()) + ")"
+
+
+@query(f"""WITH {PLACED}, i AS (SELECT doc_id, type, s, unnest(range(1, len(s))) AS i FROM p), v AS (SELECT doc_id, type, split_part(s[i + 1], chr(57345), 1) AS value, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) - i + 1 AS BIGINT) AS pos FROM i)
+ SELECT doc_id, type, value, pos AS start, pos + length(value) AS "end" FROM v""")
+def pii_places(spark, d):
+    return pii.locate(read(spark, d, "documents"), "text", ["doc_id"])
+
+
+ANY_OF = "|".join(f"({p})" for p in RE.values())
+KIND_OF = "CASE " + " ".join(f"WHEN g{k + 1}[i] <> '' THEN '{t}'" for k, t in enumerate(RE)) + " END"
+GROUPS = ", ".join(f"regexp_extract_all(text, '{ANY_OF}', {k + 1}) AS g{k + 1}" for k in range(len(RE)))
+
+
+@query(f"""WITH m AS (SELECT doc_id, string_split(regexp_replace(text, '({ANY_OF})', {AROUND}, 'g'), chr(57344)) AS s, {GROUPS} FROM documents)
+ SELECT doc_id, sha256(list_aggregate(list_transform(range(1, len(s) + 1), lambda j: CASE WHEN j = 1 THEN s[1] ELSE '[REDACTED:' || {KIND_OF.replace("[i]", "[j - 1]")} || ']' || split_part(s[j], chr(57345), 2) END), 'string_agg', '')) AS masked FROM m""")
+def pii_masked_once(spark, d):
+    return read(spark, d, "documents").select("doc_id", S.sha256(pii.mask_once(F.col("text"))).alias("masked"))
+
+
 # ---- graphs and vectors ---------------------------------------------------------------
 
 EDGES = """e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'contains' AS kind FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'contains' FROM customer

@@ -28,6 +28,22 @@ def test_pii(spark):
     assert df.select(pii.mask_text(F.col("text")).alias("m")).first()["m"] == "My SSN is [REDACTED:ssn]"
 
 
+def test_pii_places_and_masking_in_one_pass(spark):
+    texts = ["é𝄞 a@b.co, a@b.co and 123-45-6789", None, "", "none", "4111-1111-1111-1111", "4111-1111-1111-1111", "x 12345678 at 10.0.0.1"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "id long, text string")
+    got = pii.locate(df, "text", ["id"]).collect()
+    assert all(texts[r["id"]][r["start"] : r["end"]] == r["value"] for r in got)
+    plain = pii.detect(df, "text", ["id"]).collect()
+    assert sorted((r["id"], r["type"], r["value"]) for r in got) == sorted(tuple(r) for r in plain)
+    assert sorted(r["start"] for r in got if r["type"] == "email") == [3, 3, 11, 11]
+    assert [(r["value"], r["start"]) for r in pii.locate(df, "text", ["id"], ("ssn",), {"none": "no|ne"}).filter("id = 3").orderBy("start").collect()] == [("no", 0), ("ne", 2)]
+    masked = {r["id"]: r["m"] for r in df.select("id", pii.mask_once(F.col("text")).alias("m")).collect()}
+    assert masked[0] == "é𝄞 [REDACTED:email], [REDACTED:email] and [REDACTED:ssn]" and masked[1] is None and masked[2] == "" and masked[3] == "none"
+    assert masked[4] == "[REDACTED:credit_card]" and masked[6] == "x [REDACTED:account_number] at [REDACTED:ip_address]"
+    assert df.select(pii.mask_once(F.col("text"), "partial", ("ssn",)).alias("m")).first()["m"] == "é𝄞 a@b.co, a@b.co and ***-**-6789"
+    assert pii.locate(df.limit(0), "text", ["id"]).count() == 0
+
+
 def test_fixtures(spark):
     row = lambda s, h, a, b: (200, s, {"A": "1"}, {"a": h}, a, b)
     rows = [row(200, "1", '{"a":1,"b":2}', '{"b":2,"a":1}'), row(500, "1", "x", "x"), row(200, "2", "x", "x"), row(200, "1", '{"a":1}', '{"a":2}'), row(200, "1", '{"ok":true,"ts":1}', '{"ts":2,"ok":true}')]
