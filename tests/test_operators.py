@@ -36,7 +36,7 @@ def test_pii_places_and_masking_in_one_pass(spark):
     plain = pii.detect(df, "text", ["id"]).collect()
     assert sorted((r["id"], r["type"], r["value"]) for r in got) == sorted(tuple(r) for r in plain)
     assert sorted(r["start"] for r in got if r["type"] == "email") == [3, 3, 11, 11]
-    assert [(r["value"], r["start"]) for r in pii.locate(df, "text", ["id"], ("ssn",), {"none": "no|ne"}).filter("id = 3").orderBy("start").collect()] == [("no", 0), ("ne", 2)]
+    assert [(r["value"], r["start"]) for r in pii.locate(df, "text", ["id"], ("none",), {"none": "no|ne"}).filter("id = 3").orderBy("start").collect()] == [("no", 0), ("ne", 2)]
     masked = {r["id"]: r["m"] for r in df.select("id", pii.mask_once(F.col("text")).alias("m")).collect()}
     assert masked[0] == "é𝄞 [REDACTED:email], [REDACTED:email] and [REDACTED:ssn]" and masked[1] is None and masked[2] == "" and masked[3] == "none"
     assert masked[4] == "[REDACTED:credit_card]" and masked[6] == "x [REDACTED:account_number] at [REDACTED:ip_address]"
