@@ -111,7 +111,9 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Network | None:
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARES))
     part = labelled.filter(share < -(-SHARES * sample // n)) if n > sample else labelled
     at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int") + 1
-    rows = part.select("lang", F.substr("text", at, F.lit(WINDOW)).alias("w")).limit(sample).collect()
+    # in the order of a hash, so that neither the choice nor the batches follow the files' layout
+    order = F.xxhash64("doc_id", "text", F.lit(2)).alias("h")
+    rows = part.select("lang", F.substr("text", at, F.lit(WINDOW)).alias("w"), order).orderBy("h", "lang", "w").limit(sample).collect()
     rows = [(r["lang"], r["w"]) for r in rows if has_letter(r["w"])]
     langs = sorted({lang for lang, _ in rows})
     if not langs:

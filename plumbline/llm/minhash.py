@@ -7,9 +7,10 @@ similarity s share a key with chance 1 - (1 - s^5)^30: all but 7 in a million at
 All sets under a key are compared, but never as rows of pairs: first each with the smallest of
 the key, by their texts; then, once those links are components, the sets of a key that are still
 apart meet in tasks of ``TILE`` sets a side, as sketches (the ``LEAST`` smallest hashes; of a
-set of no more than that, all of it). Sets that their sketches hold whole are decided there;
-of others, pairs whose sketches tell a similarity of ``DOUBT`` or more, in different components,
-go on to the comparison by their texts. A sketch errs by 0.08 with a chance of 6 in a million.
+set of no more than that, all of it). Sets that their sketches hold whole are decided there, and
+a task gives out a forest of links, not their pairs. Of others, pairs whose sketches tell a similarity of
+``DOUBT`` or more are compared by their texts: first a forest of these, then, where sets of a key are
+still apart, all that remain. A sketch errs by 0.08 with a chance of 6 in a million.
 
 Defined cases: texts without words share the empty set; a text of fewer words than a shingle
 has one shingle; sets are told apart by a 64-bit hash.
@@ -168,38 +169,69 @@ class Shared:
         return np.bincount(self.owners[held], minlength=self.n)
 
 
-def near_pairs(n: np.ndarray, least: list[np.ndarray], root: np.ndarray, side: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(near copies, pairs in doubt) among sets of different roots and, if ``side`` has two
-    values, of different sides; by the sizes and sketches of the sets. Sets of the commonest root
-    need not ask."""
+def near_pairs(n: np.ndarray, least: list[np.ndarray], root: np.ndarray, side: np.ndarray, whole_doubt: bool = False) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(links of near copies, pairs in doubt) among sets of different roots and, if ``side`` has two
+    values, of different sides; by the sizes and sketches of the sets. Links are a forest over the
+    roots with the components of all near copies, and so are pairs in doubt, unless ``whole_doubt`` asks
+    for every one between sets that the links leave apart. Sets of the commonest root need not ask."""
     size, shared = np.array([len(x) for x in least]), Shared(least)
-    kinds, of = np.unique(root, return_inverse=True)
+    of = np.unique(root, return_inverse=True)[1]
     common = np.bincount(of).argmax()
     two, whole = len(np.unique(side)) > 1, n <= LEAST
+    linked_, maybe = of.copy(), of.copy()  # the component of each set by links; by links and doubts
     sure, doubt = [], []
     for i in np.flatnonzero(of != common).tolist():
         both = shared(i)
-        ok = (of != of[i]) & ((of == common) | (np.arange(len(n)) > i))
+        ok = (linked_ != linked_[i]) & ((of == common) | (np.arange(len(n)) > i))
         if two:
             ok &= side != side[i]
         ok &= np.minimum(n, n[i]) * DEN >= np.maximum(n, n[i]) * NUM
         exact = ok & whole & whole[i]
-        sure += [(i, j) for j in np.flatnonzero(exact & (both * DEN >= (n + n[i] - both) * NUM)).tolist()]
+        near = np.flatnonzero(exact & (both * DEN >= (n + n[i] - both) * NUM))
+        if len(near):
+            met, first = np.unique(linked_[near], return_index=True)
+            sure += [(i, j) for j in near[first].tolist()]
+            maybe[np.isin(maybe, maybe[near])] = maybe[i]
+            linked_[np.isin(linked_, met)] = linked_[i]
         for j in np.flatnonzero(ok & ~exact & (both >= DOUBT * np.minimum(size, size[i]) / 2)).tolist():
+            if linked_[j] == linked_[i] or not whole_doubt and maybe[j] == maybe[i]:
+                continue
             top = min(least[k][-1] for k in (i, j) if not whole[k])
             x, y = (int(np.searchsorted(least[k], top, "right")) for k in (i, j))
             if both[j] >= DOUBT * (x + y - both[j]):
                 doubt.append((i, j))
-    return sure, doubt
+                if not whole_doubt:
+                    maybe[maybe == maybe[j]] = maybe[i]
+    return sure, [(i, j) for i, j in doubt if linked_[i] != linked_[j]]
 
 
-def _compared(key: tuple, table: pa.Table) -> pa.Table:
-    sets, n, root, side = (table.column(c).to_numpy() for c in ("_set", "_n", "_root", "_tile"))
-    least = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("_least")]
-    sure, doubt = near_pairs(n, least, root, side)
-    pairs = np.array([*sure, *doubt], np.int64).reshape(-1, 2)
-    low, high = np.sort(sets[pairs], axis=1).T
-    return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64()), "sure": pa.array([True] * len(sure) + [False] * len(doubt), pa.bool_())})
+def _compared(whole_doubt: bool):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        sets, n, root, side = (table.column(c).to_numpy() for c in ("_set", "_n", "_root", "_tile"))
+        least = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("_least")]
+        sure, doubt = near_pairs(n, least, root, side, whole_doubt)
+        pairs = np.array([*sure, *doubt], np.int64).reshape(-1, 2)
+        low, high = np.sort(sets[pairs], axis=1).T
+        told = pa.array([True] * len(sure) + [False] * len(doubt), pa.bool_())
+        return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64()), "sure": told, "_band": pa.array([key[0].as_py()] * len(told), pa.int64())})
+
+    return run
+
+
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(_band, _set, _root, _tiles) of the keys whose sets are not all of one component."""
+    rooted = members.join(roots.hint("merge"), "_set", "left").select("_band", "_set", F.coalesce("root", "_set").alias("_root"))
+    apart = rooted.groupBy("_band").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"), F.count("*").alias("_m")).filter("_low <> _high")
+    return rooted.join(apart.select("_band", F.ceil(F.col("_m") / TILE).cast("int").alias("_tiles")).hint("merge"), "_band")
+
+
+def _met(open_: DataFrame, texts: DataFrame, shingle: int, whole_doubt: bool) -> DataFrame:
+    """(a, b, sure, _band) of the sets of each key, which meet in pairs of tiles."""
+    told = sketches(texts.join(open_.select("_set").distinct().hint("merge"), "_set", "left_semi"), shingle)
+    tile = F.pmod(F.xxhash64("_set"), F.col("_tiles")).cast("int")
+    meet = F.transform(F.sequence(F.lit(0), F.col("_tiles") - 1), lambda k: F.struct(F.least(F.col("_tile"), k).alias("_i"), F.greatest(F.col("_tile"), k).alias("_j")))
+    dealt = open_.join(told.hint("merge"), "_set").withColumn("_tile", tile).select("*", F.explode(meet).alias("_p")).select("_band", "_p._i", "_p._j", "_tile", "_set", "_root", "_n", "_least")
+    return dealt.groupBy("_band", "_i", "_j").applyInArrow(_compared(whole_doubt), "a long, b long, sure boolean, _band long")
 
 
 def components(rows: DataFrame, shingle: int = 5, known: DataFrame | None = None) -> DataFrame:
@@ -215,17 +247,21 @@ def components(rows: DataFrame, shingle: int = 5, known: DataFrame | None = None
         star = star.join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).hint("merge"), ["a", "b"], "left_anti")
     links = linked(star, texts, shingle)
     links = stored(links if known is None else links.unionByName(known))
-    roots = star_components(links).select(F.col("node").alias("_set"), "root")
-    rooted = members.join(roots.hint("merge"), "_set", "left").select("_band", "_first", "_set", F.coalesce("root", "_set").alias("_root"))
-    apart = rooted.filter("_set <> _first").groupBy("_band").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"), F.count("*").alias("_m")).filter("_low <> _high")
-    open_ = stored(rooted.filter("_set <> _first").join(apart.select("_band", F.ceil(F.col("_m") / TILE).cast("int").alias("_tiles")).hint("merge"), "_band").drop("_first"))
-    told = sketches(texts.join(open_.select("_set").distinct().hint("merge"), "_set", "left_semi"), shingle)
-    tile = F.pmod(F.xxhash64("_set"), F.col("_tiles")).cast("int")
-    meet = F.transform(F.sequence(F.lit(0), F.col("_tiles") - 1), lambda k: F.struct(F.least(F.col("_tile"), k).alias("_i"), F.greatest(F.col("_tile"), k).alias("_j")))
-    dealt = open_.join(told.hint("merge"), "_set").withColumn("_tile", tile).select("*", F.explode(meet).alias("_p")).select("_band", "_p._i", "_p._j", "_tile", "_set", "_root", "_n", "_least")
-    pairs = stored(dealt.groupBy("_band", "_i", "_j").applyInArrow(_compared, "a long, b long, sure boolean").distinct())
-    more = stored(linked(pairs.filter("not sure").select("a", "b"), texts, shingle))
-    found = star_components(links.unionByName(pairs.filter("sure").select("a", "b")).unionByName(more)).select(F.col("node").alias("_set"), "root")
-    for done in (members, texts, links, open_, pairs, more):  # the components are stored
+    named = lambda found: found.select(F.col("node").alias("_set"), "root")
+    open_ = stored(_apart(members.filter("_set <> _first").select("_band", "_set"), named(star_components(links))))
+    pairs = stored(_met(open_, texts, shingle, False))
+    doubt = stored(pairs.filter("not sure").select("a", "b").distinct())
+    links = links.unionByName(pairs.filter("sure").select("a", "b")).unionByName(stored(linked(doubt, texts, shingle)))
+    found = named(star_components(links))
+    if not doubt.isEmpty():
+        # doubts were a forest: where its links leave a key's sets apart, all others are looked at
+        again = pairs.filter("not sure").select("_band").distinct().hint("merge")
+        left = stored(_apart(open_.select("_band", "_set").join(again, "_band", "left_semi"), found))
+        rest = stored(_met(left, texts, shingle, True).filter("not sure").select("a", "b").distinct().join(doubt.hint("merge"), ["a", "b"], "left_anti"))
+        more = stored(linked(rest, texts, shingle))
+        found = named(star_components(links.unionByName(more)))
+        for done in (left, rest, more):
+            drop_stored(done)
+    for done in (members, texts, links, open_, pairs, doubt):  # the components are stored
         drop_stored(done)
     return found

@@ -2,7 +2,7 @@
 
 import random
 
-from plumbline.llm import simhash
+from plumbline.llm import minhash, simhash
 
 from tests.llm import brute
 
@@ -50,3 +50,22 @@ def test_all_pairs_from_0_8(spark):
     assert len(between) > 50 and 40 < len(want) < len(rows) - 80
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {x["doc_id"] for x in simhash.deduplicate(docs).collect()} == want
+
+
+def test_long_texts_by_doubts(spark):
+    """Sets that their sketches don't hold whole: chains of near copies, and pairs just below 0.8."""
+    r = random.Random(8)
+    rows = []
+    for step in (6, 9, 14, 16, 18):
+        w = [f"w{r.randrange(90_000)}" for _ in range(900)]
+        for _ in range(14):
+            rows.append(" ".join(w))
+            for _ in range(step):
+                w[r.randrange(len(w))] = f"x{r.randrange(90_000)}"
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    of = sets(rows)
+    close = [len(of[i] & of[j]) / len(of[i] | of[j]) for i in range(len(rows)) for j in range(i)]
+    assert min(map(len, of)) > minhash.LEAST and sum(0.72 < x < 0.8 for x in close) > 20 and sum(0.8 <= x < 0.95 for x in close) > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"] for x in simhash.deduplicate(docs).collect()} == kept(rows)

@@ -62,3 +62,14 @@ def test_learns_bytes():
     net.train(np.concatenate([langid.windows(t)[:1] for t, _ in texts]), np.array([["a", "c"].index(k) for _, k in texts]))
     p = net.probabilities(langid.windows("zz" + "ab" * 20), net.pairs())
     assert p.argmax() == 0
+
+
+def test_the_sample_does_not_follow_the_layout(spark):
+    """One network, however the rows lie in partitions."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"{'der die das' if i % 2 else 'le la les'} {i} wort {i * 7}", "de" if i % 2 else "fr") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for sample in (30, 200):
+        nets = [langid.fit(docs.orderBy(F.rand(k)).repartition(k), F.lit(True), sample) for k in (1, 7)]
+        assert np.array_equal(nets[0].out, nets[1].out) and np.array_equal(nets[0].bias, nets[1].bias)
