@@ -191,8 +191,10 @@ def near_pairs(n: np.ndarray, least: list[np.ndarray], root: np.ndarray, side: n
         if len(near):
             met, first = np.unique(linked_[near], return_index=True)
             sure += [(i, j) for j in near[first].tolist()]
-            maybe[np.isin(maybe, maybe[near])] = maybe[i]
-            linked_[np.isin(linked_, met)] = linked_[i]
+            for at, gone in ((maybe, maybe[near]), (linked_, met)):
+                hit = np.zeros(len(n), bool)
+                hit[gone] = True
+                at[hit[at]] = at[i]
         for j in np.flatnonzero(ok & ~exact & (both >= DOUBT * np.minimum(size, size[i]) / 2)).tolist():
             if linked_[j] == linked_[i] or not whole_doubt and maybe[j] == maybe[i]:
                 continue
