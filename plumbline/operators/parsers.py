@@ -1,6 +1,6 @@
 """Source text to records: COBOL, Perl and Fortran.
 
-A file is one row (path, content); its lines are folded in ``mapInPandas``, because levels, braces
+A file is one row (path, content); its lines are folded in ``mapInArrow``, because levels, braces
 and nesting are stacks. Each parser is a generator of (record, name, parent, detail) rows; what
 needs other files (copybook types, imported variables, parameter types) is a join on the records.
 """
@@ -294,19 +294,25 @@ _USE = re.compile(r"(?i)^\s*use\b\s*(?:,\s*\w+\s*::\s*|::\s*)?\s*(\w+)\s*(?:,\s*
 _ACCESS = re.compile(r"(?i)^\s*(private|public)\s*(?:::\s*|\s)?\s*([\w\s,]*)$")
 
 
+_MARK = re.compile("['\"!]")
+
+
 def _without_comment(x: str, quote: str = "") -> tuple[str, str]:
     """A line up to its ``!`` outside of literals, and the quote of one that it leaves open."""
-    for i, c in enumerate(x):
+    for m in _MARK.finditer(x):
+        c = m[0]
         if quote:
             quote = "" if c == quote else quote
-        elif c in "'\"":
-            quote = c
         elif c == "!":
-            return x[:i], ""
+            return x[: m.start()], ""
+        else:
+            quote = c
     return x, quote
 
 
 def _at_semicolons(x: str) -> list[str]:
+    if ";" not in x:
+        return [x] if x.strip() else []
     out, quote = [""], ""
     for c in x:
         quote = ("" if c == quote else quote) if quote else c if c in "'\"" else ""
@@ -400,20 +406,34 @@ def fortran(path: str, content: str) -> Iterator[Row]:
 PARSERS: dict[str, Callable[[str, str], Iterator[Row]]] = {"cobol": cobol, "perl": perl, "fortran": fortran, "cobol_constructs": constructs}
 
 
+#: Records that a task holds before it gives them out, about.
+BATCH_ROWS = 20_000
+
+
 def parse(files: DataFrame, language: str) -> DataFrame:
     """(path, ord, record, name, parent, detail) of files (path, content)."""
     parser = PARSERS.get(language)
     if parser is None:
         raise KeyError(f"no parser for {language}; there are {', '.join(PARSERS)}")
 
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def batch(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "ord" else pa.string()) for n, c in zip(columns, zip(*rows))], names=columns)
 
-        for f in frames:
-            rows = [(p, i, *r) for p, c in zip(f["path"], f["content"]) for i, r in enumerate(parser(p, c or ""))]
-            yield pd.DataFrame(rows, columns=["path", "ord", "record", "name", "parent", "detail"])
+        for b in batches:
+            rows = []
+            for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows += [(p, i, *r) for i, r in enumerate(parser(p, c or ""))]
+                if len(rows) >= BATCH_ROWS:
+                    yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
 
-    return files.select("path", F.col("content").cast("string").alias("content")).mapInPandas(run, "path string, ord long, record string, name string, parent string, detail string")
+    columns = ["path", "ord", "record", "name", "parent", "detail"]
+    return files.select("path", F.col("content").cast("string").alias("content")).mapInArrow(run, "path string, ord long, record string, name string, parent string, detail string")
 
 
 # ---- joins on records -----------------------------------------------------------------
@@ -473,9 +493,10 @@ def scopes(parsed: DataFrame, max_rounds: int = 10_000) -> DataFrame:
 def typed_parameters(parsed: DataFrame) -> DataFrame:
     """(path, function, ord, name, type): parameters with the type of the first declaration of
     their name in their function, in any case; unknown without one."""
-    p = parsed.filter("record = 'parameter'").select("path", F.col("parent").alias("function"), "ord", "name", F.upper("name").alias("_n"))
-    d = parsed.filter("record = 'variable'").groupBy("path", F.col("parent").alias("function"), F.upper("name").alias("_n")).agg(F.min_by("detail", "ord").alias("type"))
-    return p.join(d, ["path", "function", "_n"], "left").select("path", "function", "ord", "name", F.coalesce("type", F.lit("unknown")).alias("type"))
+    of = W.partitionBy("path", "parent", F.upper("name"))  # both kinds meet in one pass over the parse
+    declared = F.when(F.col("record") == "variable", F.col("ord"))
+    p = parsed.filter("record in ('parameter', 'variable')").withColumn("_type", F.min_by("detail", declared).over(of)).filter("record = 'parameter'")
+    return p.select("path", F.col("parent").alias("function"), "ord", "name", F.coalesce("_type", F.lit("unknown")).alias("type"))
 
 
 def resolved_types(parsed: DataFrame, books: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbline.operators.storage import dealt
+
 from .registry import read
 
 COBOL = """\
@@ -102,7 +104,7 @@ def files(spark, d, language: str) -> DataFrame:
     """(path, content): a file for each part."""
     k, s, b = F.col("p_partkey"), F.col("p_size"), F.replace("p_brand", F.lit("#"), F.lit("-"))
     values = {"k": k, "u": F.floor(k / 2), "s": s, "b": b}
-    part = read(spark, d, "part").select("p_partkey", "p_size", "p_brand")
+    part = dealt(read(spark, d, "part").select("p_partkey", "p_size", "p_brand"), "p_partkey")
     if language == "cobol":
         number = lambda x, i: F.concat(F.rpad(F.concat(F.lpad((i * 10).cast("string"), 6, "0"), F.lit(" "), x), 72, " "), F.lpad(i.cast("string"), 8, "0"))
         content = F.array_join(F.transform(F.split(_filled(COBOL, **values), "\n"), number), "\n")
