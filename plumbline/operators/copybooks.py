@@ -1,6 +1,6 @@
 """COPY expansion: copybooks joined into sources, round by round.
 
-A source is split into segments, each a line or a COPY statement, ordered by a path of
+A source is split into segments, each a COPY statement or the lines between two, ordered by a path of
 positions. A round joins the statements of all files with the library on the book's name;
 the books found are split in turn. Names are compared in upper case.
 """
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -61,6 +62,15 @@ def segments(content: str, pairs: list[list[str]]) -> Iterator[tuple[str | None,
         yield _statement(held, said)
 
 
+def joined(parts: Iterator[tuple[str | None, list[list[str]], str]]) -> Iterator[tuple[str | None, list[list[str]], str]]:
+    """Segments of which the lines between two COPY statements are one."""
+    for book, run in groupby(parts, lambda p: p[0]):
+        if book is None:
+            yield None, [], "\n".join(text for _, _, text in run)
+        else:
+            yield from run
+
+
 def _statement(lines: list[str], said: list[str]) -> tuple[str, list[list[str]], str]:
     whole = " ".join(said)
     found = _STATEMENT.search(whole)
@@ -80,7 +90,8 @@ def _split(df: DataFrame, statements: bool) -> DataFrame:
                 if not statements:
                     rows.append((path, list(at), None, [], "\n".join(replace_words(x, pairs) for x in (content or "").split("\n"))))
                     continue
-                rows += [(path, [*at, i], book, p, text) for i, (book, p, text) in enumerate(segments(content or "", pairs))]
+                for i, (book, p, text) in enumerate(joined(segments(content or "", pairs))):
+                    rows.append((path, [*at, i], book, p, text))
             yield pd.DataFrame(rows, columns=["path", "ord", "book", "pairs", "text"])
 
     return df.select("path", "ord", "pairs", "content").mapInPandas(run, _SEGMENTS)
