@@ -194,13 +194,22 @@ def perl_parameters(signature: str | None, body: list[str]) -> Iterator[tuple[st
 
 _PERL_CODE = re.compile(r"\bsub\s+([A-Za-z_]\w*)\s*(\([^)]*\))?|\bmy\s+\$(\w+)\s*=\s*sub\b|->(\w+)\s*\(|(?<![$@%\w>:&])([A-Za-z_][\w:]*)\s*\(|([{}])|(;)")
 
+_PERL_LOADS = re.compile(r"\s*(?:use|require|no)\b")
+_PERL_USE = re.compile(r"\s*(?:use|require)\s+([\w:]+)")
+_PERL_BASE = re.compile(r"\s*(with|extends)\s+['\"]?([\w:]+)")
+_PERL_HAS = re.compile(r"\s*has\s+(?:['\"](\w+)['\"]|(\w+)\s*=>)")
+_PERL_VARIABLE = re.compile(r"\b(my|our|local)\s+([$@%])(\w+)")
+_PERL_OPEN = re.compile(r"\bopen\s*\(\s*(?:my\s+)?(\$?\w+)\s*(?:,\s*['\"]?([<>+|]+))?")
+_PERL_CLOSE = re.compile(r"\bclose\s*\(\s*(\$?\w+)")
+_PERL_DBI = re.compile(r"(?:DBI->|->)(connect|prepare|do|selectall_arrayref|selectrow_array|execute|fetchrow|fetch)\b")
+
 
 def _perl_walk(lines: list[Line]) -> Iterator[tuple[int, str, str, str]]:
     """(line, what, name, function) of subs, closures, calls and ends of subs in the order of the code (a
     sub is told at its first brace, with the line of its name); a sub lasts from its first brace, on whatever line, to the one that closes it."""
     depth, open_, waits = 0, [], None
     for i, x in enumerate(lines):
-        loads = re.match(r"\s*(?:use|require|no)\b", x.bare)
+        loads = _PERL_LOADS.match(x.bare) if "(" in x.bare else None
         for m in _PERL_CODE.finditer(x.bare):
             fn = open_[-1][0] if open_ else ""
             if m[1]:
@@ -246,11 +255,13 @@ def perl(path: str, content: str) -> Iterator[Row]:
             running = [k for k in running if k[0] != name]
     fn, outer = "", []
     for i, x in enumerate(lines):
-        if (m := re.match(r"\s*(?:use|require)\s+([\w:]+)", x.kept)) and m[1] not in CORE_MODULES and not re.match(r"v?\d", m[1]):
+        if not x.kept:
+            continue
+        if (m := _PERL_USE.match(x.kept)) and m[1] not in CORE_MODULES and not re.match(r"v?\d", m[1]):
             yield "dependency", m[1], package, "oop" if m[1] in FRAMEWORKS else "use"
-        if m := re.match(r"\s*(with|extends)\s+['\"]?([\w:]+)", x.kept):
+        if m := _PERL_BASE.match(x.kept):
             yield "dependency", m[2], package, m[1]
-        if m := re.match(r"\s*has\s+(?:['\"](\w+)['\"]|(\w+)\s*=>)", x.kept):
+        if m := _PERL_HAS.match(x.kept):
             yield "data_type", m[1] or m[2], package, "attribute"
         calls = []
         for what, name, more in walked.get(i, []):
@@ -266,15 +277,15 @@ def perl(path: str, content: str) -> Iterator[Row]:
                 method = re.search(rf"->{re.escape(name)}\s*\(", x.bare)
                 calls.append(("call", name, more, "method" if method else "function"))
         owner = next((n for w, n, _ in walked.get(i, []) if w == "sub"), fn)
-        for m in re.finditer(r"\b(my|our|local)\s+([$@%])(\w+)", x.bare):
+        for m in _PERL_VARIABLE.finditer(x.bare):
             yield "variable", m[3], owner, {"$": "string", "@": "array", "%": "struct"}[m[2]]
         yield from calls
-        if m := re.search(r"\bopen\s*\(\s*(?:my\s+)?(\$?\w+)\s*(?:,\s*['\"]?([<>+|]+))?", x.kept):
+        if "open" in x.kept and (m := _PERL_OPEN.search(x.kept)):
             way = "read" if m[2] in (None, "<") else "readwrite" if "+" in m[2] else "write"
             yield "io", m[1], owner, f"open:{way}"
-        if m := re.search(r"\bclose\s*\(\s*(\$?\w+)", x.bare):
+        if "close" in x.bare and (m := _PERL_CLOSE.search(x.bare)):
             yield "io", m[1], owner, "close:readwrite"
-        if m := re.search(r"(?:DBI->|->)(connect|prepare|do|selectall_arrayref|selectrow_array|execute|fetchrow|fetch)\b", x.bare):
+        if "->" in x.bare and (m := _PERL_DBI.search(x.bare)):
             yield "io", m[1], owner, "dbi:" + ("read" if m[1].startswith(("fetch", "select")) else "readwrite")
         for _ in ends.get(i, []):
             fn = outer.pop() if outer else ""
@@ -448,6 +459,7 @@ def construct_counts(parsed: DataFrame) -> DataFrame:
 def imported(parsed: DataFrame) -> DataFrame:
     """(path, unit, module, name): the variables that a Fortran unit gets from the modules it
     uses, names compared in any case."""
+    parsed = kept(parsed.filter("record in ('dependency', 'variable')").select("path", "record", "name", "parent"))  # files are parsed once
     uses = parsed.filter("record = 'dependency'").select("path", F.col("parent").alias("unit"), F.upper("name").alias("_m"))
     own = parsed.filter("record = 'variable'").select(F.upper("parent").alias("_m"), F.col("parent").alias("module"), "name").distinct()
     return uses.distinct().join(own, "_m").select("path", "unit", "module", "name")

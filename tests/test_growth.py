@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from plumbline.operators import parsers
+from plumbline.operators import copybooks, parsers, perl_code
 from plumbline.plans import samples
 
 DIR = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
@@ -40,3 +40,23 @@ def test_upsert_where_added_keys_are_there_already(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     want = sorted([(i, -1 if i % 3 == 0 else n) for i, _, n in rows] + [(i + 100_000, -2) for i, _, _ in rows if i % 50 == 0])
     assert sorted(tuple(r) for r in entry.queries()["vector_upsert"](spark, str(tmp_path)).collect()) == want
+
+
+def test_imports_read_one_parse(spark):
+    parsed = parsers.parse(samples.files(spark, DIR, "fortran"), "fortran")
+    assert "MapInArrow" not in plan_of(parsers.imported(parsed))  # it is stored
+
+
+def test_lines_between_copies_are_one_segment(spark):
+    text = "\n".join(["A.", " B", " COPY X.", " C.", " D."])
+    files = spark.createDataFrame([("p.cbl", text)], "path string, content string")
+    got = copybooks._split(files.selectExpr("path", "cast(array() as array<int>) as ord", "cast(array() as array<array<string>>) as pairs", "content"), True)
+    assert [(r["book"], r["text"]) for r in got.orderBy("ord").collect()] == [(None, "A.\n B"), ("X", " COPY X."), (None, " C.\n D.")]
+
+
+def test_perl_code_is_read_in_runs(spark, monkeypatch):
+    joins = []
+    monkeypatch.setattr(perl_code, "_pattern_may_begin", lambda code: joins.append(code) or False)
+    got = perl_code.code_lines("my $query = $total / 2; say 'it''s /'; my $sum = q{a}b} + tr; # end\n$x = s/a/b/ y;")
+    assert [x.bare for x in got] == ["my $query = $total / 2; say ''''; my $sum = ''b} + tr; ", "$x = '' y;"]
+    assert joins == ["my $query = $total "]
