@@ -2,10 +2,11 @@
 
 import os
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from plumbline.operators import copybooks, parsers, perl_code
+from plumbline.operators import copybooks, parsers, perl_code, vectors
 from plumbline.plans import samples
 
 DIR = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
@@ -60,3 +61,21 @@ def test_perl_code_is_read_in_runs(spark, monkeypatch):
     got = perl_code.code_lines("my $query = $total / 2; say 'it''s /'; my $sum = q{a}b} + tr; # end\n$x = s/a/b/ y;")
     assert [x.bare for x in got] == ["my $query = $total / 2; say ''''; my $sum = ''b} + tr; ", "$x = '' y;"]
     assert joins == ["my $query = $total "]
+
+
+def test_vectors_meet_in_blocks_of_queries_and_bins_of_like_size(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TASK_QUERIES", 3)
+    monkeypatch.setattr(vectors, "BLOCK", 10)
+    r = np.random.default_rng(2)
+    x = r.integers(-3, 4, size=(90, 3)) * 1.0 + 0.5
+    store = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = vectors.search(store, store.filter("id % 6 = 0").withColumnRenamed("id", "q"), "q", "id", "v", 4).collect()
+    u = x / np.sqrt((x * x).sum(1))[:, None]
+    want = {(q, i) for q in range(0, 90, 6) for i in sorted(range(90), key=lambda i: (-round(float(u[q] @ u[i]), 5), i))[:4]}
+    assert {(g.q, g.id) for g in got} == want
+    bins = vectors._bins(u[:30], [(c, 200 if c == 7 else 10) for c in range(30)], 4)
+    rows = {}
+    for c, (first, n) in bins.items():
+        for b in range(first, first + n):
+            rows[b] = rows.get(b, 0) + (200 if c == 7 else 10) / n
+    assert len(rows) >= 16 and max(rows.values()) <= 31 and sorted(rows) == list(range(len(rows)))
