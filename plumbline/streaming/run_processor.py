@@ -1,4 +1,8 @@
-"""Runs folded by a stateful processor: one state a run, changed event by event, freed by a timer.
+"""Runs folded by a stateful processor: a state of each run, changed event by event, freed by a timer.
+
+Every read and write of state is a message between Python and the JVM, so runs are held by the bucket
+of their hash: one message reads a bucket's open runs, one writes them, and its timer is that of the run that
+is due first. What a bucket holds is its open runs alone; ``BUCKETS`` is for some ten million of them.
 
 Events are (run, kind, stage, at, seq, value): ``kind`` is migration.started, .completed, .failed,
 stage.started, .completed, .failed, or anything else, which only counts; ``at`` is a timestamp,
@@ -16,8 +20,12 @@ from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "run string, closed boolean, n_events long, status string, started long, ended long, value long, stages array<struct<stage:string,status:string,n_starts:long,millis:long>>"
-_RUN = "n_events long, start_at long, start_seq long, end_at long, end_seq long, end_kind string, value long, latest long, timer long"
-_STAGE = "n_starts long, start_at long, start_seq long, end_at long, end_seq long, end_kind string"
+_STAGE = "stage:string,n_starts:long,start_at:long,start_seq:long,end_at:long,end_seq:long,end_kind:string"
+_RUN = f"run:string,n_events:long,start_at:long,start_seq:long,end_at:long,end_seq:long,end_kind:string,value:long,latest:long,timer:long,stages:array<struct<{_STAGE}>>"
+_RUN_NAMES = [f.split(":")[0] for f in _RUN.split(",stages:")[0].split(",")]
+_STAGE_NAMES = [f.split(":")[0] for f in _STAGE.split(",")]
+#: A number that a checkpoint keeps for good.
+BUCKETS = 4096
 
 
 def _earlier(state: dict, at: int, seq: int) -> None:
@@ -45,14 +53,32 @@ class RunFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", _RUN)
-        self.stages = handle.getMapState("stages", "stage string", _STAGE)
+        self.open = handle.getValueState("open", f"timer long, runs array<struct<{_RUN}>>")
+
+    def _read(self) -> tuple[int | None, dict[str, dict]]:
+        """A bucket's timer and its runs by name, each with its stages by name."""
+        timer, held = self.open.get() or (None, [])
+        return timer, {x[0]: dict(zip(_RUN_NAMES, x)) | {"stages": {y[0]: dict(zip(_STAGE_NAMES, y)) for y in x[-1]}} for x in held}
+
+    def _write(self, before: int | None, runs: dict[str, dict]) -> None:
+        if not runs:
+            self.open.clear()
+            return
+        timer = min(x["timer"] for x in runs.values())
+        if timer != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(timer)
+        self.open.update((timer, [(*(x[n] for n in _RUN_NAMES), [tuple(y.values()) for y in x["stages"].values()]) for x in runs.values()]))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        names = [f.split()[0] for f in _RUN.split(", ")]
-        run = dict(zip(names, self.run.get())) if self.run.exists() else dict.fromkeys(names) | {"n_events": 0}
-        changed: dict[str, dict] = {}
+        timer, runs = self._read()
+        changed = {}
         for r in rows:
+            run = changed.get(r["run"])
+            if run is None:
+                run = runs.setdefault(r["run"], dict.fromkeys(_RUN_NAMES) | {"run": r["run"], "n_events": 0, "stages": {}})
+                changed[r["run"]] = run
             run["n_events"] += 1
             run["latest"] = r["us"] if run["latest"] is None else max(run["latest"], r["us"])
             of, _, what = (r["kind"] or "").partition(".")
@@ -62,47 +88,36 @@ class RunFold(StatefulProcessor):
                 if _later(run, r["us"], r["seq"], r["kind"]):
                     run["value"] = r["value"]
             elif of == "stage" and what in ("started", "completed", "failed") and r["stage"] is not None:
-                stage = changed.get(r["stage"]) or self._stage(r["stage"])
-                changed[r["stage"]] = stage
+                stage = run["stages"].setdefault(r["stage"], dict.fromkeys(_STAGE_NAMES) | {"stage": r["stage"], "n_starts": 0})
                 if what == "started":
                     stage["n_starts"] += 1
                     _earlier(stage, r["us"], r["seq"])
                 else:
                     _later(stage, r["us"], r["seq"], r["kind"])
-        for name, stage in changed.items():
-            self.stages.updateValue((name,), tuple(stage.values()))
-        if run["timer"] is not None:
-            self.handle.deleteTimer(run["timer"])
         # behind the latest event and never behind the watermark, where it would not fire
-        run["timer"] = max((run["latest"] + self.idle) // 1000, timerValues.getCurrentWatermarkInMs()) + 1
-        self.handle.registerTimer(run["timer"])
-        self.run.update(tuple(run.values()))
-        yield self._record(key, run, False)
+        mark = timerValues.getCurrentWatermarkInMs()
+        for run in changed.values():
+            run["timer"] = max((run["latest"] + self.idle) // 1000, mark) + 1
+            yield self._record(run, False)
+        self._write(timer, runs)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.run.exists():
+        timer, runs = self._read()
+        if timer != expiredTimerInfo.getExpiryTimeInMs():
             return
-        run = dict(zip([f.split()[0] for f in _RUN.split(", ")], self.run.get()))
-        if run["timer"] == expiredTimerInfo.getExpiryTimeInMs():
-            yield self._record(key, run, True)
-            self.run.clear()
-            self.stages.clear()
-
-    def _stage(self, name: str) -> dict:
-        names = [f.split()[0] for f in _STAGE.split(", ")]
-        if self.stages.containsKey((name,)):
-            return dict(zip(names, self.stages.getValue((name,))))
-        return dict.fromkeys(names) | {"n_starts": 0}
-
-    def _record(self, key, run: dict, closed: bool) -> Row:
-        names = [f.split()[0] for f in _STAGE.split(", ")]
-        stages = []
-        for (name,), value in sorted(self.stages.iterator(), key=lambda kv: kv[0][0]):
-            s = dict(zip(names, value))
+        mark = max(timer, timerValues.getCurrentWatermarkInMs())
+        for run in [x for x in runs.values() if x["timer"] <= mark]:
+            yield self._record(run, True)
+            del runs[run["run"]]
+        self._write(None, runs)
+
+    def _record(self, run: dict, closed: bool) -> Row:
+        given = []
+        for name, s in sorted(run["stages"].items()):
             if s["start_at"] is not None:
                 millis = None if s["end_at"] is None else (s["end_at"] - s["start_at"]) // 1000
-                stages.append(Row(stage=name, status=_status(s), n_starts=s["n_starts"], millis=millis))
-        return Row(run=key[0], closed=closed, n_events=run["n_events"], status=None if run["start_at"] is None else _status(run), started=run["start_at"], ended=run["end_at"], value=run["value"], stages=stages)
+                given.append(Row(stage=name, status=_status(s), n_starts=s["n_starts"], millis=millis))
+        return Row(run=run["run"], closed=closed, n_events=run["n_events"], status=None if run["start_at"] is None else _status(run), started=run["start_at"], ended=run["end_at"], value=run["value"], stages=given)
 
 
 def records(events: DataFrame, late: str, idle: int) -> DataFrame:
@@ -111,8 +126,8 @@ def records(events: DataFrame, late: str, idle: int) -> DataFrame:
     dropped, so no freed run comes back with a part of its events if ``idle`` is at least the longest
     silence inside a run."""
     e = events.filter("run is not null and at is not null").withWatermark("at", late)
-    e = e.select("run", "kind", "stage", "at", F.unix_micros("at").alias("us"), F.coalesce("seq", F.lit(-1)).alias("seq"), "value")
-    return e.groupBy("run").transformWithState(RunFold(idle), OUTPUT, "Update", "EventTime")
+    e = e.select(F.pmod(F.xxhash64("run"), F.lit(BUCKETS)).alias("bucket"), "run", "kind", "stage", "at", F.unix_micros("at").alias("us"), F.coalesce("seq", F.lit(-1)).alias("seq"), "value")
+    return e.groupBy("bucket").transformWithState(RunFold(idle), OUTPUT, "Update", "EventTime")
 
 
 def last(given: DataFrame) -> DataFrame:

@@ -3,11 +3,12 @@
 import os
 
 import numpy as np
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 import __spark_entry__ as entry
 from plumbline.operators import copybooks, parsers, perl_code, vectors
-from plumbline.plans import samples
+from plumbline.plans import documents, samples
+from plumbline.streaming import run_processor
 
 DIR = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
 
@@ -79,3 +80,25 @@ def test_vectors_meet_in_blocks_of_queries_and_bins_of_like_size(spark, monkeypa
         for b in range(first, first + n):
             rows[b] = rows.get(b, 0) + (200 if c == 7 else 10) / n
     assert len(rows) >= 16 and max(rows.values()) <= 31 and sorted(rows) == list(range(len(rows)))
+
+
+def test_runs_of_a_bucket_cost_one_read_and_one_write():
+    class Handle:
+        calls, held, due = [], None, []
+        getValueState = lambda self, name, schema: self
+        get = lambda self: self.calls.append("get") or self.held
+        registerTimer = lambda self, at: self.due.append(at)
+        deleteTimer = lambda self, at: self.due.remove(at)
+        getCurrentWatermarkInMs = lambda self: 0
+
+        def update(self, value):
+            self.calls.append("update")
+            self.held = value
+
+    h = Handle()
+    fold = run_processor.RunFold(1000)
+    fold.init(h)
+    rows = [Row(run=f"r{i % 50}", kind="stage.started", stage="s", us=i * 1000, seq=i, value=0) for i in range(100)]
+    out = list(fold.handleInputRows((1,), iter(rows), h))
+    assert sorted((r["run"], r["n_events"], r["stages"][0]["n_starts"]) for r in out) == sorted((f"r{i}", 2, 2) for i in range(50))
+    assert h.calls == ["get", "update"] and h.due == [50 + 1 + 1]
