@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import json_leaves
+from plumbline.operators.storage import dealt
 
 from .registry import query, read
 
 
 def documents(spark, d):
     """A JSON document for each part."""
-    p = read(spark, d, "part")
+    p = dealt(read(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size"), "p_partkey")
     mail = F.concat(F.lit("write to p"), "p_partkey", F.lit("@parts.example.org now"))
     inner = F.struct(F.floor(F.col("p_size") / 2).alias("half"), mail.alias("mail"))
     doc = F.struct(F.col("p_partkey").alias("id"), F.struct(F.col("p_name").alias("full"), F.struct(F.col("p_brand").alias("id")).alias("brand")).alias("names"), F.array(inner, inner).alias("sizes"), F.array().cast("array<string>").alias("none"))

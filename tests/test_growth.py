@@ -102,3 +102,8 @@ def test_runs_of_a_bucket_cost_one_read_and_one_write():
     out = list(fold.handleInputRows((1,), iter(rows), h))
     assert sorted((r["run"], r["n_events"], r["stages"][0]["n_starts"]) for r in out) == sorted((f"r{i}", 2, 2) for i in range(50))
     assert h.calls == ["get", "update"] and h.due == [50 + 1 + 1]
+
+
+def test_documents_are_made_in_many_tasks(spark):
+    assert tasks_with_rows(documents.documents(spark, DIR)) > 4
+    assert tasks_with_rows(entry.queries()["json_normalize_compare"](spark, DIR)) > 4
