@@ -10,11 +10,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .perl_code import Line, code_lines
 from .statements import VERBS, Statement, is_fixed, statements, verbs  # noqa: F401
-from .storage import kept
+from .storage import kept, scratch
 
 Row = tuple[str, str, str, str]
 #: Words that are no paragraph names, Perl's own functions and modules.
@@ -472,33 +472,51 @@ def scopes(parsed: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     the name; private names are not handed on. Kinds are variable, data_type and function.
 
     A fixpoint: each round joins the names that modules handed on for the first time with the USE
-    statements of these modules; names already known are dropped, so cycles of modules end."""
-    p = kept(parsed.select("record", F.upper("name").alias("name"), F.upper("parent").alias("parent"), "detail"))
-    modules = p.filter("record = 'module' and detail = 'module'").select(F.col("name").alias("module")).distinct()
-    access = p.filter("record = 'access'")
-    closed = kept(access.filter("name = '' and detail = 'private'").select(F.col("parent").alias("unit")).distinct().withColumn("_shut", F.lit(True)))
-    told = kept(access.filter("name <> ''").groupBy(F.col("parent").alias("unit"), "name").agg(F.max("detail").alias("_said")))
-
-    def handed_on(rows: DataFrame) -> DataFrame:
-        """Of (unit, name, ..) those that a module lets others use."""
-        j = rows.join(closed, "unit", "left").join(told, ["unit", "name"], "left").join(modules.withColumnRenamed("module", "unit"), "unit", "left_semi")
-        return j.filter((F.col("_said") == "public") | (F.col("_said").isNull() & F.col("_shut").isNull())).select(*rows.columns)
-
-    uses = kept(p.filter("record = 'dependency' and detail like 'use%'").groupBy(F.col("parent").alias("unit"), F.col("name").alias("module")).agg(F.min(F.col("detail") == "use only").alias("only")))
-    named = kept(p.filter("record = 'import'").select(F.col("parent").alias("unit"), F.upper(F.split("detail", ":")[0]).alias("module"), F.upper(F.split("detail", ":")[1]).alias("original_there"), F.col("name").alias("local")).distinct())
-    own = p.filter("record in ('variable', 'data_type', 'function')").select(F.col("parent").alias("unit"), "name", F.col("parent").alias("module"), F.col("name").alias("original"), F.col("record").alias("kind")).distinct()
-    front = kept(handed_on(own))
-    found = kept(front.limit(0))
-    for _ in range(max_rounds):
-        offered = front.select(F.col("unit").alias("by"), F.col("name").alias("there"), "module", "original", "kind")
-        j = uses.select("unit", F.col("module").alias("by"), "only").join(offered, "by")
-        renamed = named.select("unit", F.col("module").alias("by"), F.col("original_there").alias("there"), "local")
-        seen = j.join(renamed, ["unit", "by", "there"], "left").filter("local is not null or not only").select("unit", F.coalesce("local", "there").alias("name"), "module", "original", "kind")
-        new = kept(seen.distinct().join(found, ["unit", "name", "module", "original", "kind"], "left_anti"))
-        if new.isEmpty():
-            return found
-        found = found.unionByName(new)
-        front = kept(handed_on(new))
+    statements of these modules, in which all that a unit says about them lies. A name comes to a unit
+    in two rounds only where one of its ways there passes a unit that uses several modules, or its own
+    module again; names that came such a way (``again``) are compared with those already known, so
+    cycles of modules end, and others are not, so that a round's cost is that of its names."""
+    p = kept(parsed.filter("record in ('module', 'access', 'dependency', 'import', 'variable', 'data_type', 'function')").select("record", F.upper("name").alias("name"), F.upper("parent").alias("parent"), "detail"))
+    spark, key, unit = p.sparkSession, ["unit", "name", "module", "original", "kind"], F.col("parent").alias("unit")
+    said = p.filter("record = 'access'").groupBy(unit).agg(F.max((F.col("name") == "") & (F.col("detail") == "private")).alias("_shut"), F.collect_set(F.when(F.col("name") != "", F.struct("name", "detail"))).alias("_told"))
+    modules = p.filter("record = 'module' and detail = 'module'").select(F.col("name").alias("unit")).distinct().join(said, "unit", "left").withColumn("_module", F.lit(True))
+
+    def handed_on(name: str) -> Column:
+        """Whether the unit is a module that lets others use the name: public wins over private."""
+        told = lambda x: x["name"] == F.col(name)
+        public, named = F.exists("_told", lambda x: told(x) & (x["detail"] == "public")), F.exists("_told", told)
+        return F.col("_module").isNotNull() & (F.col("_told").isNull() | public | ~(F.col("_shut") | named))
+
+    part = F.split("detail", ":")
+    of = F.when(F.col("record") == "import", F.upper(part[0])).otherwise(F.col("name")).alias("by")
+    there = F.when(F.col("record") == "import", F.struct(F.upper(part[1]).alias("there"), F.col("name").alias("local")))
+    uses = p.filter("record = 'import' or record = 'dependency' and detail like 'use%'").groupBy(unit, of)
+    uses = uses.agg(F.min(F.when(F.col("record") == "dependency", F.col("detail") == "use only")).alias("_only"), F.collect_set(there).alias("_named")).filter("_only is not null")
+    uses = kept(uses.withColumn("_several", F.count("*").over(W.partitionBy("unit")) > 1).join(modules, "unit", "left"))
+
+    own = p.filter("record in ('variable', 'data_type', 'function')").select(unit, "name", F.col("record").alias("kind")).join(modules, "unit").filter(handed_on("name"))
+    front = own.select("unit", "name", F.col("unit").alias("module"), F.col("name").alias("original"), "kind").distinct().withColumns({"on": F.lit(True), "again": F.lit(False)})
+    folder, schema, known = scratch(spark), front.schema, []
+
+    def written(df: DataFrame, place: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{place}")
+        return spark.read.schema(schema).parquet(f"{folder}/{place}")
+
+    front = written(front, "own")
+    for i in range(max_rounds):
+        offered = front.filter("on").select(F.col("unit").alias("by"), F.col("name").alias("there"), "module", "original", "kind", "again")
+        j = uses.join(offered, "by").withColumn("_local", F.transform(F.filter("_named", lambda x: x["there"] == F.col("there")), lambda x: x["local"]))
+        names = F.when(F.size("_local") > 0, F.col("_local")).when(~F.col("_only"), F.array("there")).otherwise(F.array().cast("array<string>"))
+        j = j.withColumn("name", F.explode(names)).withColumns({"on": handed_on("name"), "again": F.col("again") | F.col("_several") | (F.col("unit") == F.col("module"))})
+        front = written(j.groupBy(*key, "on").agg(F.max("again").alias("again")), f"seen{i}")
+        if known and not front.filter("again").isEmpty():
+            before = spark.read.schema(schema).parquet(*known)
+            front = written(front.filter("not again").unionByName(front.filter("again").join(before, key, "left_anti")), f"new{i}")
+            known.append(f"{folder}/new{i}")
+        else:
+            known.append(f"{folder}/seen{i}")
+        if front.isEmpty():
+            return spark.read.schema(schema).parquet(*known).select(*key)
     raise RuntimeError("scopes did not settle")
 
 

@@ -1,9 +1,10 @@
 """Work is dealt to many tasks and done once, however small the files are that it comes from."""
 
 import os
+import random
 
 import numpy as np
-from pyspark.sql import Row, functions as F
+from pyspark.sql import DataFrameWriter, Row, functions as F
 
 import __spark_entry__ as entry
 from plumbline.operators import copybooks, parsers, perl_code, vectors
@@ -107,3 +108,54 @@ def test_runs_of_a_bucket_cost_one_read_and_one_write():
 def test_documents_are_made_in_many_tasks(spark):
     assert tasks_with_rows(documents.documents(spark, DIR)) > 4
     assert tasks_with_rows(entry.queries()["json_normalize_compare"](spark, DIR)) > 4
+
+
+def test_scopes_of_a_chain_write_a_table_a_round(spark, monkeypatch):
+    files = spark.createDataFrame([(f"{i}.f90", f"module m{i}\nuse m{i - 1}\nreal :: x{i}\nend module") for i in range(1, 5)], "path string, content string")
+    parsed, write, made = parsers.parse(files, "fortran"), DataFrameWriter.parquet, []
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: made.append(path) or write(self, path))
+    got = {tuple(r) for r in parsers.scopes(parsed).collect()}
+    assert got == {(f"M{i}", f"X{j}", f"M{j}", f"X{j}", "variable") for i in range(1, 5) for j in range(1, i)}
+    assert len(made) == 3 + 4  # records, uses and own names; three rounds that find names and one that does not
+
+
+def plain_scopes(records):
+    """The same by going over all USE statements until nothing is added."""
+    up = [(r, n.upper(), p.upper(), d) for r, n, p, d in records]
+    uses = {}
+    for r, n, p, d in up:
+        if r == "dependency":
+            uses.setdefault((p, n), []).append(d == "use only")
+    named = {(p, d.upper().split(":")[0], d.upper().split(":")[1], n) for r, n, p, d in up if r == "import"}
+    said = {(p, n): max(d for r, m, q, d in up if r == "access" and (q, m) == (p, n)) for r, n, p, _ in up if r == "access" and n}
+    shut = {p for r, n, p, d in up if r == "access" and not n and d == "private"}
+    modules = {n for r, n, _, d in up if r == "module" and d == "module"}
+    on = lambda u, n: u in modules and said.get((u, n), "private" if u in shut else "public") == "public"
+    found, offered = set(), {(p, n, p, n, r) for r, n, p, _ in up if r in ("variable", "data_type", "function") and on(p, n)}
+    while True:
+        new = set()
+        for (unit, by), only in uses.items():
+            for u, n, *rest in offered:
+                if u == by:
+                    names = [x for p, m, t, x in named if (p, m, t) == (unit, by, n)] or ([] if all(only) else [n])
+                    new |= {(unit, x, *rest) for x in names}
+        if new <= found:
+            return found
+        found |= new
+        offered |= {x for x in new if on(x[0], x[1])}
+
+
+def test_scopes_where_ways_meet_and_turn_back(spark):
+    """Names that come over ways of several lengths, rings, names under two names that meet again."""
+    r = random.Random(57)
+    sources = ["module a\nreal :: x, y\nend module", "module b\nuse a, p => x, q => x\nend module", "module c\nuse b, one => p, one => q\nuse a, one => x\nend module", "module d\nuse d, again => z\nuse e\nreal :: z\nend module", "module e\nuse d\nend module", "module f\nuse f\nreal :: w\nend module"]
+    for i in range(9):
+        text = f"module m{i}\n"
+        for j in r.sample(range(9), 2) if i % 3 else [(i + 4) % 9]:
+            text += f"use m{j}" + r.choice(["", "", f", k{i} => v{j}", f", only: v{j}, t{i} => v{(j + 1) % 9}"]) + "\n"
+        text += r.choice(["private\npublic v%d\n" % ((i + 1) % 9), "private v%d\n" % ((i + 2) % 9), "", "", "", ""])
+        sources.append(text + f"real :: v{i}\nend module")
+    files = spark.createDataFrame([(f"{i}.f90", x) for i, x in enumerate(sources)], "path string, content string")
+    got = [tuple(x) for x in parsers.scopes(parsers.parse(files, "fortran")).collect()]
+    want = plain_scopes([x for i, s in enumerate(sources) for x in parsers.fortran(f"{i}.f90", s)])
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
