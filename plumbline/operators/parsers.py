@@ -295,6 +295,7 @@ def perl(path: str, content: str) -> Iterator[Row]:
 
 _TYPE = r"(integer|real|double\s+precision|complex|logical|character|(?:type|class)\s*\(\s*\w+\s*\))"
 _UNIT = re.compile(r"(?i)^\s*(?:(?:pure|elemental|recursive|impure|" + _TYPE[1:-1] + r")(?:\s*\*\s*\d+|\s*\((?:[^()]*)\))?\s+)*(program|module|subroutine|function)\s+(?!procedure\b)(\w+)(?:\s*\((.*?)\))?")
+_ENDS = re.compile(r"(?i)^\s*end")
 _END = re.compile(r"(?i)^\s*end\s*(?:(?:program|module|subroutine|function)\b.*)?$")
 _DECLARED = re.compile(r"(?i)^\s*" + _TYPE + r"(?![a-z0-9_])(\s*\*\s*(?:\d+|\(\s*\*\s*\))|\s*\([^)]*\))?\s*((?:,\s*\w+(?:\s*\([^)]*\))?\s*)*)(::)?\s*([a-z]\w*.*)$")
 _FORTRAN_IO = re.compile(r"(?i)^\s*(?:if\s*\(.*?\)\s*)?(open|close|inquire|rewind|backspace|read|write)\s*\(|^\s*(print)\s+")
@@ -310,6 +311,8 @@ _MARK = re.compile("['\"!]")
 
 def _without_comment(x: str, quote: str = "") -> tuple[str, str]:
     """A line up to its ``!`` outside of literals, and the quote of one that it leaves open."""
+    if not quote and "!" not in x and "'" not in x and '"' not in x:
+        return x, ""
     for m in _MARK.finditer(x):
         c = m[0]
         if quote:
@@ -334,16 +337,21 @@ def _at_semicolons(x: str) -> list[str]:
     return [s for s in out if s.strip()]
 
 
+_FIXED_NAME = re.compile(r"(?i)\.(f|for|f77)$")
+_LETTER = re.compile("[A-Za-z]")
+_CONTINUED = re.compile(" {5}[^ 0]")
+
+
 def fortran_lines(path: str, content: str) -> list[str]:
     """Statements without comments, continuations joined: after a trailing & in free form, at a
     mark in column 6 in fixed form (files named .f, .for or .f77); a semicolon ends one, too."""
-    fixed, out, more, quote = bool(re.search(r"(?i)\.(f|for|f77)$", path)), [], False, ""
+    fixed, out, more, quote = bool(_FIXED_NAME.search(path)), [], False, ""
     for x in content.split("\n"):
-        if not quote and (re.match(r"^\s*!", x) or re.match(r"^[Cc*](?![A-Za-z])" if not fixed else r"^[Cc*]", x)):
+        if not quote and (x.lstrip()[:1] == "!" or x[:1] in ("C", "c", "*") and (fixed or not _LETTER.match(x, 1))):
             continue
         x, quote = _without_comment(x, quote if more else "")
         x = x.rstrip()
-        if fixed and out and re.match(r"^ {5}[^ 0]", x):
+        if fixed and out and _CONTINUED.match(x):
             out[-1] += " " + x[6:].strip()
         elif more and out:
             out[-1] = out[-1] + " " + x.strip().lstrip("&")
@@ -355,62 +363,84 @@ def fortran_lines(path: str, content: str) -> list[str]:
     return [s for x in out for s in _at_semicolons(x)]
 
 
+_LISTED = re.compile(r"\s*(\w+)\s*(\()?")
+
+
 def _split_names(text: str) -> list[tuple[str, bool]]:
     """(name, whether it has dimensions of its own) of a declaration's list."""
+    if "(" not in text and ")" not in text:
+        return [(m[1], False) for m in map(_LISTED.match, text.split(",")) if m]
     out, depth, start = [], 0, 0
     for i, c in enumerate(text + ","):
         depth += (c == "(") - (c == ")")
         if c == "," and depth == 0:
-            if m := re.match(r"\s*(\w+)\s*(\()?", text[start:i]):
+            if m := _LISTED.match(text[start:i]):
                 out.append((m[1], bool(m[2])))
             start = i + 1
     return out
 
 
+_USED_NAME = re.compile(r"(\w+)(?:\s*=>\s*(\w+))?")
+
+
 def _uses(m: re.Match, unit: str) -> Iterator[Row]:
     """A USE: the module, and the names that come from it under names of their own."""
     yield "dependency", m[1], unit, "use only" if m[2] else "use"
     for part in filter(None, (p.strip() for p in (m[3] or "").split(","))):
-        if named := re.fullmatch(r"(\w+)(?:\s*=>\s*(\w+))?", part):
+        if named := _USED_NAME.fullmatch(part):
             yield "import", named[1], unit, f"{m[1]}:{named[2] or named[1]}"
 
 
+_END_TYPE = re.compile(r"(?i)^\s*end\s*type\b")
+_CALL = re.compile(r"(?i)^\s*(?:if\s*\(.*\)\s*)?call\s+(\w+)")
+_ASSIGNED = re.compile(r"\s*\w+\s*=")
+_DIMENSION = re.compile(r"(?i)\bdimension\s*\(")
+_INTENT = re.compile(r"(?i)\bintent\s*\(\s*(in\s*out|in|out)\s*\)")
+_LIST_GAP = re.compile(r"[\s,]+")
+_WORD = re.compile(r"\w+")
+
+
 def fortran(path: str, content: str) -> Iterator[Row]:
-    """Records of a file; a derived type's components are of record ``field`` under their type."""
+    """Records of a file; a derived type's components are of record ``field`` under their type.
+
+    A pattern is tried on statements that begin with a letter that it may begin with: ``h`` is this
+    letter in lower case, and empty, which lies in any text, beside letters that ``(?i)`` folds to ASCII."""
     stack: list[tuple[str, str]] = []
     top = lambda: stack[-1][1] if stack else ""
     derived = ""
     for x in fortran_lines(path, content):
-        if derived and re.match(r"(?i)^\s*end\s*type\b", x):
+        low = x.lower()
+        h = low.lstrip()[0] if x.isascii() else ""
+        if derived and h in "e" and _END_TYPE.match(x):
             derived = ""
-        elif _END.match(x):
+        elif h in "e" and _END.match(x):
             if stack:
                 stack.pop()
-        elif not derived and (m := _DERIVED.match(x)):
+        elif not derived and h in "t" and (m := _DERIVED.match(x)):
             derived = m[2]
             yield "data_type", derived, top(), "type"
-        elif not derived and (m := _UNIT.match(x)) and not re.match(r"(?i)^\s*end", x):
+        elif not derived and h in "cdefilmprst" and (not h or "function" in low or "module" in low or "subroutine" in low or "program" in low) and (m := _UNIT.match(x)) and not _ENDS.match(x):
             kind, name = m[1].lower(), m[2]
             yield ("module" if kind in ("program", "module") else "function"), name, top(), kind
-            for p in filter(None, re.split(r"[\s,]+", m[3] or "")):
+            for p in filter(None, _LIST_GAP.split(m[3] or "")):
                 yield "parameter", p, name, "unknown"
             stack.append((kind, name))
-        elif m := _USE.match(x):
+        elif h in "u" and (m := _USE.match(x)):
             yield from _uses(m, top())
-        elif not derived and (m := _ACCESS.match(x)):
-            for name in re.findall(r"\w+", m[2]) or [""]:
+        elif not derived and h in "p" and (m := _ACCESS.match(x)):
+            for name in _WORD.findall(m[2]) or [""]:
                 yield "access", name, top(), m[1].lower()
-        elif m := re.match(r"(?i)^\s*(?:if\s*\(.*\)\s*)?call\s+(\w+)", x):
+        elif h in "ci" and (m := _CALL.match(x)):
             yield "call", m[1], top(), "call"
-        elif m := _FORTRAN_IO.match(x):
+        elif h in "bcioprw" and (m := _FORTRAN_IO.match(x)):
             verb = (m[1] or m[2]).lower()
             yield "io", verb, top(), "io"
-        elif (m := _DECLARED.match(x)) and (m[4] or not re.match(r"\s*\w+\s*=", m[5]) and not m[3].strip()):
-            wide = re.search(r"(?i)\bdimension\s*\(", m[3])
-            intent = re.search(r"(?i)\bintent\s*\(\s*(in\s*out|in|out)\s*\)", m[3])
+        elif h in "cdilrt" and (m := _DECLARED.match(x)) and (m[4] or not _ASSIGNED.match(m[5]) and not m[3].strip()):
+            wide, intent = (_DIMENSION.search(m[3]), _INTENT.search(m[3])) if m[3] else (None, None)
+            kind = " ".join(m[1].lower().split())
             for name, own in _split_names(m[5]):
                 shape = "array" if wide or own else "scalar"
-                detail = " ".join(filter(None, [re.sub(r"\s+", " ", m[1].lower()), shape, intent and intent[1].lower().replace(" ", "")]))
+                detail = " ".join(filter(None, [kind, shape, intent and intent[1].lower().replace(" ", "")]))
                 yield ("field", name, derived, detail) if derived else ("variable", name, top(), detail)
 
 

@@ -159,3 +159,22 @@ def test_scopes_where_ways_meet_and_turn_back(spark):
     got = [tuple(x) for x in parsers.scopes(parsers.parse(files, "fortran")).collect()]
     want = plain_scopes([x for i, s in enumerate(sources) for x in parsers.fortran(f"{i}.f90", s)])
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
+
+
+def test_fortran_patterns_are_tried_where_they_may_begin(monkeypatch):
+    class Tried:
+        def __init__(self, pattern):
+            self.pattern, self.texts = pattern, []
+
+        def match(self, x):
+            self.texts.append(x)
+            return self.pattern.match(x)
+
+    names = ("_UNIT", "_USE", "_ACCESS", "_FORTRAN_IO", "_DECLARED", "_DERIVED", "_END")
+    for name in names:
+        monkeypatch.setattr(parsers, name, Tried(getattr(parsers, name)))
+    got = list(parsers.fortran("a.f90", "subroutine s\nuse m\n  REAL :: x, y(2)\nPrint *, x\nu = 1\nend"))
+    assert [r[1] for r in got] == ["s", "m", "x", "y", "print"]
+    assert [getattr(parsers, n).texts for n in names] == [["subroutine s"], ["use m", "u = 1"], ["Print *, x"], ["  REAL :: x, y(2)", "Print *, x"], ["  REAL :: x, y(2)"], [], ["end"]]
+    # letters that are folded to ASCII ones: a long s, a dotless i, a Kelvin sign
+    assert [r[:2] for r in parsers.fortran("a.f90", "ſubroutine s\nuſe m\nıf (a) call k\nınteger i")] == [("function", "s"), ("dependency", "m"), ("call", "k"), ("variable", "i")]
