@@ -5,15 +5,21 @@ Reports are frames of lines, a row each, so none is gathered in one task.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Collection, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 #: Phrases that speak for and against a translation.
 POSITIVE = ("equivalent", "semantically correct", "logic is preserved", "correctly translated", "matches the original", "faithful")
 NEGATIVE = ("not equivalent", "missing", "incorrect", "differs", "does not match", "lost", "wrong")
 #: The pattern of a name in upper-case text.
 NAME = r"[A-Z0-9_-]+"
+_SPACED = bytes(x if re.match(NAME, chr(x)) else 32 for x in range(256))
+#: Distinct names that a task may hold, those that it looks for one by one, words that it remembers, and rows that it
+#: holds before it gives them out, about.
+TASK_NAMES, FEW_NAMES, HELD_WORDS, BATCH_ROWS = 100_000, 500, 200_000, 20_000
 
 
 def _hits(text: Column, phrases: tuple[str, ...]) -> Column:
@@ -70,21 +76,91 @@ def report_document(items: DataFrame, project: str) -> DataFrame:
     return got.select(F.to_json(F.struct(F.lit(project).alias("project"), "*")).alias("report"))
 
 
+def _words(text: bytes) -> set[bytes]:
+    return set(text.translate(_SPACED).split())
+
+
+def _of_bodies(bodies: DataFrame, key: str, body: str, name: str, found: Callable[[bytes], Collection[bytes]]) -> DataFrame:
+    """(key, name): what ``found`` gives for each body in upper case (a-z only)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def batch(keys, at: list, names: list):
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), pa.array(names, pa.binary()).cast(pa.string())], names=[key, name])
+
+        for b in batches:
+            at, names = [], []
+            for i, text in enumerate(b.column(1)):
+                text = text.as_py()
+                if text:
+                    got = found(text.upper())  # of bytes: a-z only
+                    names += got
+                    at += [i] * len(got)
+                if len(at) >= BATCH_ROWS:
+                    yield batch(b.column(0), at, names)
+                    at, names = [], []
+            if at:
+                yield batch(b.column(0), at, names)
+
+    return bodies.select(key, F.col(body).cast("binary").alias("_b")).mapInArrow(run, T.StructType([bodies.schema[key], T.StructField(name, T.StringType())]))
+
+
+def _few(names: DataFrame) -> set[bytes] | None:
+    """The distinct names where a task may hold them all."""
+    rows = names.limit(TASK_NAMES + 1).collect()
+    return None if len(rows) > TASK_NAMES else {r[0].encode() for r in rows if r[0] is not None}
+
+
 def mentions(names: DataFrame, bodies: DataFrame, key: str, body: str) -> DataFrame:
     """(key, name): names that a body holds as a word, in any case. Words are made distinct
-    within a body before they are joined."""
-    words = bodies.select(key, F.explode(F.array_distinct(F.regexp_extract_all(_upper(F.col(body)), F.lit(f"({NAME})")))).alias("name"))
-    return words.join(names.select(_upper(F.col("name")).alias("name")).distinct(), "name").select(key, "name")
+    within a body; many names are joined with them, few are held by each task."""
+    wanted = names.select(_upper(F.col("name")).alias("name")).distinct()
+    if (few := _few(wanted)) is not None:
+        return _of_bodies(bodies, key, body, "name", lambda text: _words(text) & few)
+    return _of_bodies(bodies, key, body, "name", _words).join(wanted, "name").select(key, "name")
+
+
+def _parts(names: set[bytes]) -> Callable[[bytes], Collection[bytes]]:
+    """Gives the names that lie in an upper-case text: a few are looked for one by one, of more those that
+    lie in any of its words, of which short ones are remembered with theirs."""
+    if len(names) <= FEW_NAMES:
+        return lambda text: [n for n in names if n in text]
+    known, letters, starts = {}, [n for n in names if len(n) == 1], {}
+    for start, size in {(n[:2], len(n)) for n in names if len(n) > 1}:
+        starts.setdefault(start, []).append(size)
+
+    def found(text: bytes) -> set[bytes]:
+        out = set()
+        for w in _words(text):
+            got = known.get(w)
+            if got is None:
+                got = {n for n in letters if n in w}
+                for i in range(len(w) - 1):
+                    for n in starts.get(w[i : i + 2], ()):
+                        if (p := w[i : i + n]) in names:
+                            got.add(p)
+                if len(known) >= HELD_WORDS:
+                    known.clear()
+                if len(w) <= 64:
+                    known[w] = got
+            if got:
+                out |= got
+        return out
+
+    return found
 
 
 def contained(names: DataFrame, bodies: DataFrame, key: str, body: str, kind: str | None = "struct") -> DataFrame:
     """(key, name): names (name[, kind]) that a body holds anywhere, also inside a longer word, in
     any case; with ``kind`` only names of that kind. Names consist of NAME's characters, so one
-    lies within one word: each distinct word's parts of the names' lengths are made, and an equi
-    join finds them."""
+    lies within one word. Where a task may hold all names, only those found leave a body; of more
+    names, each distinct word's parts of their lengths are made, and an equi join finds them."""
     wanted = names.filter(F.col("kind") == kind) if kind and "kind" in names.columns else names
     wanted = wanted.select(_upper(F.col("name")).alias("name")).filter(F.col("name").rlike(f"^{NAME}$")).distinct()
-    words = bodies.select(key, F.explode(F.array_distinct(F.regexp_extract_all(_upper(F.col(body)), F.lit(f"({NAME})")))).alias("_w"))
+    if (few := _few(wanted)) is not None:
+        return _of_bodies(bodies, key, body, "name", _parts(few)).distinct()
+    words = _of_bodies(bodies, key, body, "_w", _words)
     sizes = wanted.agg(F.coalesce(F.collect_set(F.length("name")), F.array().cast("array<int>"))).first()[0]  # one number a length
     every = F.flatten(F.transform(F.array(*[F.lit(n) for n in sorted(sizes)]).cast("array<int>"), lambda n: F.when(F.length("_w") >= n, F.transform(F.sequence(F.lit(1), F.length("_w") - n + 1), lambda i: F.substr("_w", i, n))).otherwise(F.array().cast("array<string>"))))
     parts = words.select("_w").distinct().select("_w", F.explode(F.array_distinct(every)).alias("name")).join(wanted, "name")

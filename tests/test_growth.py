@@ -2,12 +2,13 @@
 
 import os
 import random
+import re
 
 import numpy as np
 from pyspark.sql import DataFrameWriter, Row, functions as F
 
 import __spark_entry__ as entry
-from plumbline.operators import copybooks, parsers, perl_code, vectors
+from plumbline.operators import copybooks, parsers, perl_code, review, vectors
 from plumbline.plans import documents, samples
 from plumbline.streaming import run_processor
 
@@ -178,3 +179,25 @@ def test_fortran_patterns_are_tried_where_they_may_begin(monkeypatch):
     assert [getattr(parsers, n).texts for n in names] == [["subroutine s"], ["use m", "u = 1"], ["Print *, x"], ["  REAL :: x, y(2)", "Print *, x"], ["  REAL :: x, y(2)"], [], ["end"]]
     # letters that are folded to ASCII ones: a long s, a dotless i, a Kelvin sign
     assert [r[:2] for r in parsers.fortran("a.f90", "ſubroutine s\nuſe m\nıf (a) call k\nınteger i")] == [("function", "s"), ("dependency", "m"), ("call", "k"), ("variable", "i")]
+
+
+def test_names_found_leave_a_body_and_no_words(spark, monkeypatch):
+    texts = ["a recording, é-rec2 xx", "RECREC q-1x\n_q-1", "no ſrec", "", None, "REcording recording re" + "x" * 300, "ß\0rec_A éq-1é"]
+    bodies = spark.createDataFrame([(i // 2, x) for i, x in enumerate(texts)] + [(0, texts[0])], "id long, b string")
+    names = spark.createDataFrame([("rec", "struct"), ("q-1", "struct"), ("Recording", "struct"), ("r é", "struct"), ("xx", "string"), ("", "struct"), (None, "struct")], "name string, kind string")
+    up = lambda x: "".join(chr(ord(c) - 32) if "a" <= c <= "z" else c for c in x or "")
+    want = sorted({(i // 2, n) for i, x in enumerate(texts) for n in ("REC", "Q-1", "RECORDING") if n in up(x)})
+    words = sorted((i // 2, w) for i, x in enumerate([*texts, texts[0]]) for w in set(re.findall("[A-Z0-9_-]+", up(x))) & {"REC", "Q-1", "RECORDING", "XX"} for i in [i if i < len(texts) else 0])
+    few = review.contained(names, bodies, "id", "b"), review.mentions(names, bodies, "id", "b")
+    assert not any("Join" in plan_of(x) or "Generate" in plan_of(x) for x in few)
+    monkeypatch.setattr(review, "TASK_NAMES", 1)
+    many = review.contained(names, bodies, "id", "b"), review.mentions(names, bodies, "id", "b")
+    assert all("Join" in plan_of(x) for x in many)
+    for found, said in (few, many):
+        assert sorted(map(tuple, found.collect())) == want and sorted(map(tuple, said.collect())) == words
+    assert len(want) > 5 and len(words) > 3
+    monkeypatch.setattr(review, "TASK_NAMES", 100)
+    monkeypatch.setattr(review, "FEW_NAMES", 1)
+    monkeypatch.setattr(review, "HELD_WORDS", 1)
+    assert sorted(map(tuple, review.contained(names, bodies, "id", "b").collect())) == want
+    assert review._parts({b"B", b"BC", b"X"})(b"ABC.BCB Y C-X") == {b"B", b"BC", b"X"} and review._parts(set())(b"A") == []
